@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import bpe, decontamination
 
 QUERIES = {
+    "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
 }
