@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination
+from . import bpe, decontamination, toxicity
 
 QUERIES = {
+    "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
 }
