@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
 Every word has a log-odds score, toxic against clean, from document counts with
-Dirichlet priors: a word's prior is that of its stem (first letters), a stem's
-prior is the share of the classes. A linear scan (Ruzzo and Tompa) finds all
+Dirichlet priors: a word's prior is that of its longest known stem (its first
+letters), a stem's prior is that of the next shorter one, and the shortest
+stem's is the share of the classes. The k-th repeat of a word in a text weighs
+1/k, as words come in bursts. A linear scan (Ruzzo and Tompa) finds all
 maximal segments of a text, whose scores are put on the scale of Karlin and
 Altschul: with lambda and K from clean texts, the number of segments that reach
 a score by chance is Poisson with mean ``K n exp(-lambda S)``. The sum statistic
@@ -34,12 +36,13 @@ from .training import held_out, labelled_sample
 #: Labelled rows that training takes at most.
 SAMPLE = 20_000
 #: Words and stems that the model holds at most.
-VOCABULARY = 60_000
-STEM = 4
-#: Pseudo-documents of a stem's prior, and of a word's prior.
-STEM_PRIOR, WORD_PRIOR = 4.0, 4.0
+VOCABULARY = 150_000
+#: Lengths of stems.
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Pseudo-documents of a prior.
+PRIOR = 4.0
 #: Subtracted from every score, so that a clean text drifts down.
-DRIFT = 0.5
+DRIFT = 1.0
 #: Segments that the sum statistic takes at most.
 BEST = 24
 _GRID = np.linspace(0.1, 3.0, 59)
@@ -47,15 +50,21 @@ _GRID = np.linspace(0.1, 3.0, 59)
 _word = re.compile(r"[^\W\d_]+").findall
 
 
+def stems(word: str) -> list[str]:
+    """The proper stems of a word, the longest first."""
+    return [word[:n] for n in reversed(STEMS) if n < len(word)]
+
+
 class Scores(dict):
-    """Word -> score; words that the model does not hold get their stem's."""
+    """Word -> score; words that the model does not hold get their longest stem's."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], unknown: float):
         super().__init__(words)
         self.words, self.stems, self.unknown = words, stems, unknown
 
     def __missing__(self, word: str) -> float:
-        value = self[word] = self.stems.get(word[:STEM], self.unknown)
+        held = self.stems
+        value = self[word] = next((held[s] for s in stems(word) if s in held), self.unknown)
         return value
 
     def of(self, text: str | None) -> np.ndarray:
@@ -64,7 +73,13 @@ class Scores(dict):
             self.clear()
             self.update(self.words)
         found = _word(text.lower()) if text else []
-        return np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        scores = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        seen: dict[str, int] = {}
+        for i in np.flatnonzero(scores > 0).tolist():
+            k = seen[found[i]] = seen.get(found[i], 0) + 1
+            if k > 1:
+                scores[i] = (scores[i] + DRIFT) / k - DRIFT
+        return scores
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -117,24 +132,17 @@ def log_odds(counts: list[tuple[str, str, int, int]], docs: tuple[int, int]) ->
     """The model from document counts: (kind, unit, clean, toxic)."""
     clean, toxic = max(docs[0], 1), max(docs[1], 1)
     share = toxic / (clean + toxic)
-    stems: dict[str, float] = {}
+    ratios: dict[str, float] = {}
     words: dict[str, float] = {}
-    for kind, unit, n0, n1 in counts:
-        if kind == "s":
-            p1 = (n1 + STEM_PRIOR * share) / (toxic + STEM_PRIOR)
-            p0 = (n0 + STEM_PRIOR * (1 - share)) / (clean + STEM_PRIOR)
-            stems[unit] = math.log(p1 / p0) - DRIFT
-    for kind, unit, n0, n1 in counts:
-        if kind == "w":
-            stem = stems.get(unit[:STEM])
-            prior = share
-            if stem is not None:
-                ratio = math.exp(stem + DRIFT)
-                prior = share * ratio / (share * ratio + 1 - share)
-            p1 = (n1 + WORD_PRIOR * prior) / (toxic + WORD_PRIOR)
-            p0 = (n0 + WORD_PRIOR * (1 - prior)) / (clean + WORD_PRIOR)
-            words[unit] = math.log(p1 / p0) - DRIFT
-    return Scores(words, stems, -DRIFT)
+    for kind, unit, n0, n1 in sorted(counts, key=lambda c: (c[0], len(c[1]))):  # stems first, the short ones first
+        ratio = next((ratios[s] for s in stems(unit) if s in ratios), 0.0)
+        prior = 1 / (1 + (1 - share) / share * math.exp(-ratio))
+        p1 = (n1 + PRIOR * prior) / (toxic + PRIOR)
+        p0 = (n0 + PRIOR * (1 - prior)) / (clean + PRIOR)
+        (ratios if kind == "s" else words)[unit] = math.log(p1 / p0)
+    return Scores(
+        {w: v - DRIFT for w, v in words.items()}, {s: v - DRIFT for s, v in ratios.items()}, -DRIFT
+    )
 
 
 class Model:
@@ -161,8 +169,8 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * x + self.offset)))), kept
 
 
-def _count(sample: DataFrame) -> list[tuple[str, str, int, int, int, int]]:
-    """Document counts by unit, label and fold; the most frequent units of each kind."""
+def _count(sample: DataFrame, docs: list[int]) -> list[tuple[str, str, int, int, int, int]]:
+    """Document counts by unit, label and fold, of the units whose counts tell most (chi-square)."""
 
     def run(batches):
         for batch in batches:
@@ -171,7 +179,7 @@ def _count(sample: DataFrame) -> list[tuple[str, str, int, int, int, int]]:
                 found = set(_word(text.lower()))
                 slot = 2 * fold + label
                 seen.update(("w", w, slot) for w in found)
-                seen.update(("s", s, slot) for s in {w[:STEM] for w in found})
+                seen.update(("s", s, slot) for s in {s for w in found for s in stems(w)})
             rows = [(k, u, [n if i == slot else 0 for i in range(4)]) for (k, u, slot), n in seen.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
@@ -182,11 +190,10 @@ def _count(sample: DataFrame) -> list[tuple[str, str, int, int, int, int]]:
     counts = sample.mapInArrow(run, "kind string, unit string, c0 long, c1 long, c2 long, c3 long")
     totals = counts.groupBy("kind", "unit").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
     totals = totals.withColumn("n", F.expr("c0 + c1 + c2 + c3")).where("n >= 2")
-    kept = []
-    for kind in ("w", "s"):
-        top = totals.where(F.col("kind") == kind).orderBy(F.desc("n"), "unit").limit(VOCABULARY)
-        kept += [(r.kind, r.unit, r.c0, r.c1, r.c2, r.c3) for r in top.collect()]
-    return kept
+    share = (docs[1] + docs[3]) / max(sum(docs), 1)
+    surplus = F.expr("c1 + c3") - F.col("n") * F.lit(share)
+    top = totals.orderBy(F.desc(surplus * surplus / F.col("n")), "kind", "unit").limit(VOCABULARY)
+    return [(r.kind, r.unit, r.c0, r.c1, r.c2, r.c3) for r in top.collect()]
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
@@ -195,7 +202,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     sample = materialize(sample, "toxicity-sample")
     docs = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     n = [docs.get((slot // 2, slot % 2), 0) for slot in range(4)]
-    counts = _count(sample)
+    counts = _count(sample, n)
     whole = log_odds([(k, u, c0 + c2, c1 + c3) for k, u, c0, c1, c2, c3 in counts], (n[0] + n[2], n[1] + n[3]))
     # A fold is scored by the other fold's counts.
     crossed = [
