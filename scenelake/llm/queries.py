@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, toxicity
+from . import bpe, decontamination, gif, toxicity
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
+    "op7_gif": (gif.op7_gif, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
 }
