@@ -22,8 +22,11 @@ def labelled_sample(
     bound: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    meta_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``text``, ``label`` and ``fold`` (0 or 1) of at most ``bound`` labels outside the held-out fold.
+    """``text``, ``label``, ``fold`` (0 or 1) and ``meta`` (doubles) of the training rows.
+
+    They belong to at most ``bound`` labels outside the held-out fold.
 
     The labels are taken in the order of a hash of their id, so the sample is
     the same however the tables are partitioned. At most ``bound`` ids are
@@ -36,7 +39,11 @@ def labelled_sample(
         .orderBy(F.xxhash64("__id"), "__id", "label")
         .limit(bound)
     )
-    rows = documents.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = documents.select(
+        F.col(id_col).alias("__id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.array(*[F.col(c).cast("double") for c in meta_cols]).cast("array<double>").alias("meta"),
+    )
     return rows.join(F.broadcast(chosen), "__id").select(
-        "text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")
+        "text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "meta"
     )
