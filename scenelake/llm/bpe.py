@@ -214,7 +214,7 @@ class ByteBPE:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not remembered."""
-        new = pieces - self.known.keys()
+        new = {piece for piece in pieces if piece not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = pieces

@@ -63,7 +63,7 @@ def structure(text: str, words: list[str], counts: Counter) -> list[float]:
         len(set(lines)) / len(lines),
         min(1.0, math.log1p(len(words)) / 12),
         min(1.0, math.log1p(len(text) / len(lines)) / 12),
-        sum(c for w, c in counts.items() if not any(map(str.isalnum, w))) / n,
+        sum(c for w, c in counts.items() if not w.isalnum() and not any(map(str.isalnum, w))) / n,
     ]
 
 
@@ -89,8 +89,9 @@ class Features:
         bucket = self.bucket
         if len(bucket) > REMEMBERED:
             bucket.clear()
-        for w in counts.keys() - bucket.keys():
-            bucket[w] = zlib.crc32(w.lower().encode()) % WORDS
+        for w in counts:
+            if w not in bucket:
+                bucket[w] = zlib.crc32(w.lower().encode()) % WORDS
         norm = 1 / math.sqrt(max(len(words), 1))
         numbers = [None if m is None else min(1.0, math.log1p(abs(float(m))) / 24) for m in meta]
         form = steps(structure(text, words, counts) + numbers)
