@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, gif, quality, toxicity, urls
+from . import bpe, decontamination, gif, html, jaccard, quality, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op5_quality": (quality.op5_quality, None),
     "op6_url_filter": (urls.op6_url_filter, None),
+    "op9_html": (html.op9_html, None),
+    "op8_ngram_jaccard": (jaccard.op8_ngram_jaccard, None),
     "op7_gif": (gif.op7_gif, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
 }
