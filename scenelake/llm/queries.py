@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, gif, html, jaccard, quality, toxicity, urls
+from . import bpe, decontamination, gif, html, jaccard, licenses, lines, quality, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_url_filter": (urls.op6_url_filter, None),
     "op9_html": (html.op9_html, None),
     "op8_ngram_jaccard": (jaccard.op8_ngram_jaccard, None),
+    "op4_line_dedup": (lines.op4_line_dedup, lines.OP4_SQL),
+    "op10_licenses": (licenses.op10_licenses, licenses.OP10_SQL),
     "op7_gif": (gif.op7_gif, None),
     "op3_decontamination": (decontamination.op3_decontamination, decontamination.OP3_SQL),
 }
