@@ -1,14 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Toxic documents go; of passages that repeat, the first document keeps the lines;
+of each group of near copies the document with the least id stays; documents
+that hold a benchmark window go; what is left is encoded and decoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scenelake.llm import bpe, decontamination, jaccard, lines, toxicity
+from scenelake.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7, by a model trained on the labelled ones."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later runs of repeated lines.
+
+    ``n_chars`` follows the text. A document of which no line with a word is
+    left, as all of them stand in earlier documents, goes.
+    """
+    kept = lines.dedup_lines(docs)
+    kept = kept.where("n_removed = 0 or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that with the least id."""
+    found = jaccard.components(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digests of the ids and of the bytes they decode to."""
+    return bpe.round_trip(docs, ["doc_id", "lang", "source"], with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
+
+#: The toxicity model is no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents table."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -299,9 +299,14 @@ def decode(
 
 
 def round_trip(
-    documents: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, pattern: str | None = None
+    documents: DataFrame,
+    keep: list[str],
+    text_col: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """``keep`` columns, ``n_tokens``, and the digests of the ids and of the bytes they decode to."""
+    """``keep`` columns, ``n_tokens``, the digests of the ids and of the bytes they decode to, and ``token_ids`` if asked."""
     path, pattern = (path, pattern) if path else public_vocabulary()
 
     def start():
@@ -309,15 +314,18 @@ def round_trip(
 
         def work(texts: list) -> list[pa.Array]:
             n, ids_sha, decoded_sha = [], [], []
-            for ids in bpe.encode_batch(texts):
+            encoded = bpe.encode_batch(texts)
+            for ids in encoded:
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            out = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            return [*out, pa.array(encoded, pa.list_(pa.int32()))] if with_ids else out
 
         return work
 
-    return map_text(documents, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", start)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return map_text(documents, keep, text_col, schema, start)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -153,10 +153,14 @@ def _inherit(files: DataFrame, own: DataFrame) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the licence of every whole document, whose path is source/lang/id."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     found = scan(documents.select(path.alias("path"), "text"))
     return found.select(
-        F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "own_license", "own_score", "license", "from_dir"
+        F.expr("try_cast(substring_index(path, '/', -1) as long)").alias("doc_id"), "path",
+        "own_license",
+        "own_score",
+        "license",
+        "from_dir",
     )
 
 

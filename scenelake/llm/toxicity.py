@@ -198,8 +198,8 @@ def _count(sample: DataFrame, docs: list[int]) -> list[tuple[str, str, int, int,
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
     """Fit the model on at most ``bound`` labelled rows outside the held-out fold."""
-    sample = labelled_sample(documents, labels, "toxic", 3, 1, bound, id_col, text_col).dropDuplicates(["text"])
-    sample = materialize(sample, "toxicity-sample")
+    sample = labelled_sample(documents, labels, "toxic", 3, 1, bound, id_col, text_col)
+    sample = materialize(sample.select("text", "label", "fold").dropDuplicates(["text"]), "toxicity-sample")
     docs = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     n = [docs.get((slot // 2, slot % 2), 0) for slot in range(4)]
     counts = _count(sample, n)
