@@ -1,0 +1 @@
+"""Views of the star-schema tables as scenes, classes, types, rooms and points."""
