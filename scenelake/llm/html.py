@@ -123,15 +123,16 @@ def blocks(html: str | None) -> list[Block]:
         if name == "br":
             parts.append("\n")
             continue
-        if name not in _INLINE:
-            flush()
-        if name in _VOID or attributes.endswith("/") and name in _RAW:
+        if name in _VOID:
+            if name == "hr":
+                flush()
             continue
         if name in _RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
             continue
         if name not in _INLINE:
+            flush()
             # A block-level start ends an open paragraph and the inline elements in it.
             for i in range(len(stack) - 1, -1, -1):
                 tag = stack[i][0]
