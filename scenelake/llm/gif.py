@@ -332,10 +332,8 @@ _FRAMES = "array<struct<time:int,delay:int,histogram:array<int>,pixels_sha256:st
 def media_columns(media: DataFrame, keep: list[str], data_col: str = "data") -> DataFrame:
     """``keep`` columns, ``width``, ``height``, ``loops``, ``error`` and ``frames`` of GIF files."""
     narrow = media.select(*keep, data_col)
-    schema = type(narrow.schema)(narrow.schema.fields[:-1])
-    for name, kind in (("width", "int"), ("height", "int"), ("loops", "int"), ("error", "string")):
-        schema = schema.add(name, kind)
-    schema = type(schema)(schema.fields + media.sparkSession.createDataFrame([], f"frames {_FRAMES}").schema.fields)
+    added = media.sparkSession.createDataFrame([], f"width int, height int, loops int, error string, frames {_FRAMES}").schema
+    schema = type(added)(narrow.schema.fields[:-1] + added.fields)
     frame = pa.struct(
         [("time", pa.int32()), ("delay", pa.int32()), ("histogram", pa.list_(pa.int32())), ("pixels_sha256", pa.string())]
     )
