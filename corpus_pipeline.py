@@ -26,17 +26,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text. A document of which no line with a word is
     left, as all of them stand in earlier documents, goes.
     """
-    kept = lines.dedup_lines(docs)
-    kept = kept.where("n_removed = 0 or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    kept = lines.dedup_lines(docs, added=("__lines", "__removed"))
+    kept = kept.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the least id."""
     found = jaccard.components(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,9 +124,13 @@ def deletions(
 
 
 def dedup_lines(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    added: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """The documents with ``text`` less its deleted lines, all columns kept, and ``n_lines`` and ``n_removed`` added."""
+    """The documents with ``text`` less its deleted lines, all columns kept, and two counts ``added``: lines, and deleted lines."""
     columns = documents.columns
     names = [f"__c{i}" for i in range(len(columns))]
     plain = documents.toDF(*names)
@@ -142,8 +146,8 @@ def dedup_lines(
             F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(c) if n == text else F.col(n).alias(c)
             for c, n in zip(columns, names)
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias(added[0]),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(added[1]),
     )
 
 

@@ -39,3 +39,23 @@ def test_sql_of_the_corpus_queries(spark):
             columns = [d[0] for d in result.description]
             got = entry.queries()[name](spark, SF).select(*columns)
             assert sorted(map(tuple, got.collect()), key=str) == sorted(result.fetchall(), key=str), name
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [
+        (1, words, "en", "s", 10, 5, "x"), (2, words, None, None, None, None, None), (2, words, None, None, None, None, None),
+        (3, "own words here\n" + words, "en", "s", 1, 0, "y"), (4, None, None, None, None, 1, "z"), (5, "", "de", "s", 0, 1, "z"),
+        (None, "a text without an id", None, "s", 3, 1, "z"), (6, "one two three four five six seven", "en", "s", 3, 1, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_removed int, node string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    got = {(r.doc_id, r.text, r.n_chars) for r in docs.collect()}
+    assert got == {
+        (1, words, 10), (3, "own words here", 14), (4, None, None), (5, "", 0),
+        (None, "a text without an id", 3), (6, "one two three four five six seven", 3),
+    }
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
