@@ -78,6 +78,16 @@ def split_set(joined: Column) -> Column:
     )
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility decomposition (NFKD), for the text of reports; no built-in function does it."""
+    import pandas as pd
+
+    def decompose(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKD")
+
+    return F.pandas_udf(decompose, "string")(text)
+
+
 def fold_dashes(text: Column) -> Column:
     """Unicode dashes as hyphens, runs of them as one."""
     return F.regexp_replace(F.translate(text, "‐‑‒–—―−", "-------"), "-+", "-")

@@ -76,6 +76,11 @@ def coarser(voxels: DataFrame, levels: int) -> DataFrame:
     ).distinct()
 
 
+def batch_items(voxels: DataFrame, batch: int) -> DataFrame:
+    """The voxels of one item of a batch, without the batch column."""
+    return voxels.where(F.col("batch") == batch).drop("batch")
+
+
 def merge_levels(fine: DataFrame, deep: DataFrame, order: list[str], value: str) -> DataFrame:
     """Add the deeper level's rows, repeated in a cycle, to the finer level's rows."""
     n = deep.agg(F.count("*").alias("n_deep"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import labels as L
 from .operators import checks, cluster, cooccurrence, lift, pointcloud, presence, spatial, splits
+from .plans import catalogue
 from .plans import tables as T
 
 QUERIES: dict = {}
@@ -439,6 +440,27 @@ def sampled_filter_check(spark, sf):
     return checks.filter_holds(splits.surviving_scenes(found, scenes, stages, stage_types(spark)), stages)
 
 
+_SPLIT_ROWS = ", ".join(f"('{s}', {i}, '{label}', '{c}', {k})" for s, i, label, c, k in catalogue.split_rows())
+
+
+@query(f"""SELECT split, CAST(stage_idx AS BIGINT) AS stage_idx, label AS stage_label, string_agg(class, '|' ORDER BY position) AS classes, count(*) AS n
+    FROM (VALUES {_SPLIT_ROWS}) AS t(split, stage_idx, label, class, position) GROUP BY ALL""")
+def split_catalogue(spark, sf):
+    rows = F.sort_array(F.collect_list(F.struct("position", "class")))
+    grouped = catalogue.split_table(spark).groupBy("split", "stage_idx", "stage_label").agg(rows.alias("r"))
+    names = F.array_join(F.transform("r", lambda x: x["class"]), "|")
+    return grouped.select("split", "stage_idx", "stage_label", names.alias("classes"), F.size("r").cast("long").alias("n"))
+
+
+@query(ctes("freq_masks") + """, r AS (SELECT CAST(s AS BIGINT) AS stage_idx, CAST(coalesce(sum(n) FILTER (mask >> (s - 1) = 1), 0) AS BIGINT) AS survived FROM freq_masks, unnest(range(1, 4)) AS k(s) GROUP BY s)
+    SELECT stage_idx, CAST(old AS BIGINT) AS survived_old, survived AS survived_new, CAST(survived - old AS BIGINT) AS delta FROM r JOIN (VALUES (1, 442), (2, 2727), (3, 6808)) AS v(stage_idx, old) USING (stage_idx)""")
+def survival_delta(spark, sf):
+    found, scenes, stages = frequency_stages(spark, sf)
+    new = splits.strict_by_presence(splits.stage_masks(found, scenes, stages), 5).select("stage_idx", F.col("survived").alias("survived_new"))
+    old = spark.createDataFrame([(i, n) for i, _, n, _ in catalogue.SEMANTIC_3_SURVIVAL], "stage_idx long, survived_old long")
+    return new.join(F.broadcast(old), "stage_idx").withColumn("delta", F.col("survived_new") - F.col("survived_old"))
+
+
 # -- robust statistics -----------------------------------------------------------
 
 
@@ -488,6 +510,22 @@ def histogram_fixed(spark, sf):
     return rows.groupBy("event_type", G.fixed_bin(F.col("v"), 0.0, 200.0, 64).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH b AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) SELECT CAST(least(floor((l_quantity - lo) / ((hi - lo) / 80)), 79) AS BIGINT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1""")
+def histogram_auto(spark, sf):
+    rows = T.read(spark, sf, "lineitem").select("l_quantity")
+    bounds = rows.agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    place = F.least(F.floor((F.col("l_quantity") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 80)), F.lit(79)).cast("long")
+    return rows.crossJoin(F.broadcast(bounds)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, round(m, 6) AS median_price, 'least' AS end_of FROM m QUALIFY row_number() OVER (ORDER BY m, p_brand) <= 3
+    UNION ALL SELECT p_brand, round(m, 6), 'most' FROM m QUALIFY row_number() OVER (ORDER BY m DESC, p_brand) <= 3""")
+def smallest_and_largest(spark, sf):
+    m = T.read(spark, sf, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
+    ends = [m.orderBy(o, "p_brand").limit(3).withColumn("end_of", F.lit(e)) for o, e in ((F.asc("m"), "least"), (F.desc("m"), "most"))]
+    return ends[0].union(ends[1]).select("p_brand", F.round("m", 6).alias("median_price"), "end_of")
+
+
 @query(f"SELECT event_type, {_P([0.05, 0.25, 0.5, 0.75, 0.95])} FROM (SELECT event_type, least(greatest(value, 0.0), 100.0) AS value FROM events) GROUP BY event_type")
 def boxplot_stats(spark, sf):
     rows = T.read(spark, sf, "events").withColumn("value", G.clip(F.col("value"), 0.0, 100.0))
