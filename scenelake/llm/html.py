@@ -262,10 +262,11 @@ _SIDE = "sidebar aside side widget related recommended trending popular more rai
 _NOTE = "notice cookie consent gdpr alert modal popup overlay warning subscribe newsletter paywall".split()
 _ADS = "ad ads advert advertisement adsense sponsored sponsor promo promotion banner".split()
 _FORM = "form search login signup subscribe newsletter contact".split()
+_SHARE = "share social sharing tags follow buttons tools meta".split()
 _TALK = "comments comment replies reply respond discussion disqus thread responses".split()
 
 
-def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
     """Pages in many layouts, and the label of each of their blocks, in order."""
     rng = random.Random(seed)
     sounds = "ba de fi go lu mer tan sol rin che ver ung ión eau ß th wh ck é ñ ö".split()
@@ -308,7 +309,10 @@ def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[str, list[int]]]:
 
         def main_text() -> None:
             if rng.random() < 0.85:
-                put(1, f"<h1>{rng.choice([phrase(1, 12), sentences(1, 3)])}</h1>")
+                title = f"<h1>{rng.choice([phrase(1, 12), sentences(1, 3)])}</h1>"
+                put(1, f"<header>{title}</header>" if opened.startswith(("<article", "<main")) and rng.random() < 0.15 else title)
+            if rng.random() < 0.05:
+                links(_MENU, "nav", 4)
             for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14])):
                 kind = rng.random()
                 if kind < 0.62:
@@ -324,7 +328,9 @@ def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[str, list[int]]]:
                     put(1, f"<blockquote><p>{sentences(1, 4)}</p></blockquote>")
                 elif kind < 0.94:
                     put(1, f"<pre>{phrase(2, 20)}</pre>")
-                elif kind < 0.97:
+                elif kind < 0.955:
+                    put(1, f"<figure><img src=x><figcaption>{phrase(2, 12)}</figcaption></figure>")
+                elif kind < 0.98:
                     k = rng.randint(2, 6)
                     put(1, "<table><tr>" + "".join(f"<td>{phrase(1, 4)}</td>" for _ in range(k)) + "</tr></table>", k)
                 else:
@@ -332,13 +338,16 @@ def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[str, list[int]]]:
                 if rng.random() < 0.06:
                     bit(_ADS, ["div", "aside"])
                 if rng.random() < 0.03:
-                    links(_SIDE, "div", 6)
+                    links(_SIDE + _SHARE, "div", 6)
+                if rng.random() < 0.02:
+                    bit(_NOTE, ["div", "aside"])
 
         def talk() -> None:
             outer = rng.choice(["section", "div", "ol"])
             out.append(f"<{outer}{attr(_TALK)}>")
             if rng.random() < 0.6:
-                put(0, f"<h3>{phrase(1, 4)}</h3>")
+                h = rng.choice(["h2", "h3", "h4"])
+                put(0, f"<{h}>{phrase(1, 4)}</{h}>")
             for _ in range(rng.randint(1, 5)):
                 tag = rng.choice(["div", "article", "li"])
                 named = attr(_TALK) if rng.random() < 0.6 else ""
@@ -384,8 +393,8 @@ def labelled_pages(n: int = 260, seed: int = 17) -> list[tuple[str, list[int]]]:
         )
         out.append(opened)
         main_text()
-        inside = rng.random() < 0.3
-        if inside and rng.random() < 0.5:
+        inside = rng.random() < 0.45
+        if inside and rng.random() < 0.7:
             talk()
         if inside and rng.random() < 0.3:
             bit(_NOTE + _ADS, ["div", "aside"])
