@@ -5,17 +5,21 @@ linked; the result is each document's connected component. The sets are those of
 :mod:`shingles` (five words). How the links are found, with none lost:
 
 1. Equal sets are one node (a 64-bit hash of the set).
-2. Tokens are put in one order, frequent ones last. Sets that are linked share a
-   token among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter), so only
-   the lists of those tokens are looked at. "Frequent" comes from counts over all
-   documents in a fixed number of buckets; any order gives the same links.
-3. Similar nodes are put into groups: every node is held against the first node
-   of the list that it shares most with, and components of what is linked so
-   are cut into groups of about ``GROUP`` nodes.
+2. Tokens are put in one order, rare ones first. Sets that are linked share a
+   token among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter); a token
+   known to be in one set only leads to no link. So a set whose prefix has such
+   tokens alone is done. First the tokens in the lowest ``COUNTED`` of the hash
+   range are counted over all documents; then all tokens of the sets that are
+   left, over these. The counts go to all tasks as sketches of bounded size; an
+   order that knows less gives the same links.
+3. Similar nodes are put into groups: a node belongs to the first node of the
+   list that it shares most tokens with, in parts of about ``GROUP`` nodes. Each
+   is held against that first node, which links most copies.
 4. The token-group matrix holds a row for each group: the union of its tokens.
-   A node of another component that shares a list with a group is a query; it is
-   bounded by its overlap with the group's row, and only a group whose bound
-   reaches the threshold is opened, its members held one by one against the query.
+   Where a list holds several components, nodes of the smaller ones query the
+   groups with larger ones. A query is bounded by its overlap with the group's
+   row; only a group whose bound reaches the threshold is opened, and its members
+   of other components are held one by one against the query.
 
 Lists of one component only are settled by step 3, so large groups of copies
 never give all pairs. Members of a group, and queries against it, are dealt out
@@ -43,23 +47,42 @@ from .shingles import set_hash, shingle_sets
 PERCENT = 80
 #: Nodes of a group, and queries that one task holds against a group.
 GROUP, QUERIES = 64, 256
-#: Buckets of token counts, a power of two.
-BUCKETS = 1 << 18
+#: Share of the hash range whose tokens are counted first.
+COUNTED = 0.3
+#: Numbers of sets from which on a token moves back in the order.
+STEPS = (2, 16, 128)
 #: Bits of a sieve that keeps rows out of a shuffle, a power of two. A full sieve lets all rows pass.
 SIEVE = 1 << 26
 
 
-def prefix(found: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
-    """The tokens of which a linked set must hold one: rare ones first."""
+def counted(tokens: np.ndarray) -> np.ndarray:
+    """Whether tokens lie in the part of the hash range that is counted."""
+    return tokens < np.uint64(int(COUNTED * 2**64))
+
+
+def prefix(found: np.ndarray, sieves: list[Sieve], known: int) -> np.ndarray:
+    """The tokens of which a linked set must hold one, without those in one set only.
+
+    The first ``known`` tokens are counted: ``sieves`` hold those that are in as
+    many sets as ``STEPS`` says. A token that is not counted comes behind the
+    counted ones of few sets. Equal places go by hash.
+    """
     n = found.size
     if not n:
         return found
     k = n - (PERCENT * n + 99) // 100 + 1
-    if levels is not None:
-        level = levels[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        if level.any():
-            found = found[np.lexsort((found, level))]
-    return found[:k]
+    level = np.full(n, 2 * len(STEPS) - 1)
+    level[:known] = 0
+    for i, sieve in enumerate(sieves):
+        level[:known][sieve.has(found[:known])] = 2 * i + 2 if i else 1
+    if known < n:
+        level[known:] = 2
+        level[:known][level[:known] > 1] += 1
+    single = int(np.count_nonzero(level == 0))
+    if single >= k:
+        return found[:0]
+    order = np.argsort(level, kind="stable")
+    return found[order[single:k]]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -84,39 +107,6 @@ def _nodes(documents: DataFrame) -> DataFrame:
     return map_text(documents, ["id"], "text", "n long, node long", start)
 
 
-def _levels(documents: DataFrame) -> np.ndarray | None:
-    """How frequent the tokens of each bucket are: 0, or the power of two over the mean.
-
-    Each task counts its tokens by bucket and passes on the buckets that stand
-    out in it; the sums of these decide.
-    """
-
-    def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for part in slices(batch, 0):
-                found = np.concatenate([*shingle_sets(part.column(0).to_pylist()), np.zeros(0, np.uint64)])
-                counts += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        total = int(counts.sum())
-        stand_out = np.flatnonzero(counts >= 8 + 4 * total / BUCKETS)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(stand_out, -1), pa.int64()),
-                pa.array(np.append(counts[stand_out], total), pa.int64()),
-            ],
-            names=["bucket", "count"],
-        )
-
-    sums = documents.select("text").mapInArrow(run, "bucket long, count long")
-    rows = sums.groupBy("bucket").agg(F.sum("count").alias("count")).collect()
-    total = next((r["count"] for r in rows if r.bucket == -1), 0)
-    levels = np.zeros(BUCKETS, np.int8)
-    for r in rows:
-        if r.bucket >= 0:
-            levels[r.bucket] = max(0, int(np.log2(max(1.0, r["count"] / max(1.0, total / BUCKETS)))))
-    return levels if levels.any() else None
-
-
 class Sieve:
     """A bounded set sketch of 64-bit keys that never forgets a key (two bits for each)."""
 
@@ -127,7 +117,7 @@ class Sieve:
     def of(keys: DataFrame, col: str) -> Sieve:
         bits = F.explode(
             F.array(
-                F.pmod(F.col(col), F.lit(SIEVE)), F.pmod(F.shiftrightunsigned(F.col(col), 32), F.lit(SIEVE))
+                F.pmod(F.col(col), F.lit(SIEVE)), F.pmod(F.shiftrightunsigned(F.col(col), 30), F.lit(SIEVE))
             )
         ).alias("bit")
         words = (
@@ -143,87 +133,109 @@ class Sieve:
     def has(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.view(np.uint64)
         found = np.ones(keys.size, bool)
-        for bit in (keys & np.uint64(SIEVE - 1), keys >> np.uint64(32) & np.uint64(SIEVE - 1)):
+        for bit in (keys & np.uint64(SIEVE - 1), keys >> np.uint64(30) & np.uint64(SIEVE - 1)):
             found &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
         return found
 
 
-def _postings(documents: DataFrame, levels, sieve=None) -> DataFrame:
-    """Rows of ``token`` and ``node`` for all prefixes; with a sieve, of its tokens only."""
+def _tokens(texts: DataFrame, low_only: bool) -> DataFrame:
+    """``token`` and ``node`` of all tokens, or of those in the lowest part of the hash range."""
 
     def run(batches):
-        order = levels.value
-        keep = sieve.value if sieve else None
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 sets = [s for s in shingle_sets(part.column(0).to_pylist()) if s.size]
-                if not sets:
-                    continue
-                found = [prefix(s, order) for s in sets]
-                tokens = np.concatenate(found).view(np.int64)
-                nodes = np.repeat([set_hash(s) for s in sets], [f.size for f in found])
-                if keep is not None:
-                    chosen = keep.has(tokens)
-                    tokens, nodes = tokens[chosen], nodes[chosen]
+                kept = [s[: np.count_nonzero(counted(s))] for s in sets] if low_only else sets
+                nodes = np.repeat(np.array([set_hash(s) for s in sets], np.int64), [s.size for s in kept])
+                tokens = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
 
-    return documents.select("text").mapInArrow(run, "token long, node long")
+    return texts.select("text").mapInArrow(run, "token long, node long")
 
 
-def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node`` and ``text`` of the documents that a sieve of the wanted nodes lets pass."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(Sieve.of(wanted, "node"))
+def _sieves(tokens: DataFrame, name: str) -> list[Sieve]:
+    """Sieves of the tokens that are in several nodes, by ``STEPS``."""
+    spans = tokens.groupBy("token").agg(
+        F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")
+    )
+    counts = materialize(spans.where("first < last").select("token", "n"), name)
+    sieves = [Sieve.of(counts.where(F.col("n") >= step), "token") for step in STEPS]
+    discard(counts)
+    return sieves
+
+
+def _left_over(documents: DataFrame, sieves) -> DataFrame:
+    """``node`` and ``text`` of the documents whose prefix holds a token that may be shared."""
+
     def run(batches):
-        sieve = shared.value
+        known = sieves.value
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
-                hashes = np.array([set_hash(s) for s in shingle_sets(part.column(0).to_pylist())], np.int64)
-                chosen = pa.array(sieve.has(hashes))
+                sets = shingle_sets(part.column(0).to_pylist())
+                chosen = [i for i, s in enumerate(sets) if prefix(s, known, np.count_nonzero(counted(s))).size]
+                nodes = np.array([set_hash(sets[i]) for i in chosen], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes).filter(chosen), part.column(0).filter(chosen)], names=["node", "text"]
+                    [pa.array(nodes), part.column(0).take(pa.array(chosen, pa.int64()))], names=["node", "text"]
                 )
 
     return documents.select("text").mapInArrow(run, "node long, text string")
 
 
+def _postings(texts: DataFrame, sieves) -> DataFrame:
+    """``token``, ``node`` and the set's size ``n`` for the prefixes of nodes of which all tokens are counted."""
+
+    def run(batches):
+        known = sieves.value
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                sets = shingle_sets(part.column(1).to_pylist())
+                found = [prefix(s, known, s.size) for s in sets]
+                sizes = [f.size for f in found]
+                tokens = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                nodes = np.repeat(part.column(0).to_numpy(), sizes)
+                n = np.repeat([s.size for s in sets], sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens), pa.array(nodes), pa.array(n.astype(np.int64))], names=["token", "node", "n"]
+                )
+
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, n long")
+
+
 def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between queries and members of the groups that they qualify for.
 
-    ``pairs``: ``node`` (query) and ``group``; ``groups``: ``group`` and ``node``
-    (member); ``texts``: ``node`` and ``text``. The queries of a group are dealt
-    out over tasks, each of which gets the members.
+    ``pairs``: ``node`` (query), its ``label`` and the ``group`` it asks;
+    ``groups``: ``group``, ``node`` (member) and its ``label``; ``texts``: ``node``
+    and ``text``. Nodes of one label are not compared. The queries of a group are
+    dealt out over tasks, each of which gets the members.
     """
     many = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     queries = pairs.join(many, "group").select(
-        "group", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node"
+        "group", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node", "label"
     )
-    members = (
-        groups.join(many, "group")
-        .select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node")
-    )
-    rows = queries.union(members).join(texts, "node").select("group", "part", "role", "node", "text")
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    members = groups.join(many, "group").select("group", parts, F.lit(0).alias("role"), "node", "label")
+    rows = queries.union(members).join(texts, "node").select("group", "part", "role", "node", "label", "text")
     dealt = rows.repartition("group", "part").sortWithinPartitions("group", "part", "role")
 
     def run(batches):
         now, members, union = None, [], None
         for batch in batches:
-            for part in slices(batch, 4, 2 << 20):
-                group, piece, role, node, text = (c.to_pylist() for c in part.columns)
-                sets = shingle_sets(text)
+            for part in slices(batch, 5, 2 << 20):
+                group, piece, role, node, label, text = (c.to_pylist() for c in part.columns)
                 found = []
-                for i, found_set in enumerate(sets):
+                for i, found_set in enumerate(shingle_sets(text)):
                     key = (group[i], piece[i])
                     if key != now:
                         now, members, union = key, [], None
                     if role[i] == 0:
-                        members.append((node[i], found_set))
+                        members.append((node[i], label[i], found_set))
                         continue
                     if union is None:  # the group's row of the matrix
-                        union = np.unique(np.concatenate([s for _, s in members])) if members else found_set[:0]
+                        union = np.unique(np.concatenate([s for _, _, s in members])) if members else found_set[:0]
                     if 100 * np.intersect1d(found_set, union, assume_unique=True).size < PERCENT * found_set.size:
                         continue
-                    found += [(node[i], m) for m, s in members if m != node[i] and linked(found_set, s)]
+                    found += [(node[i], m) for m, of, s in members if of != label[i] and linked(found_set, s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                     names=["a", "b"],
@@ -236,15 +248,15 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``n_shingles`` and ``component_id`` for each row."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(_levels(docs))
     nodes = materialize(_nodes(docs), "jaccard-nodes")
-    # Lists of tokens that two nodes at least have in their prefixes.
-    spans = _postings(docs, levels).groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    shared = materialize(spans.where("leader < last").select("token", "leader"), "jaccard-shared")
-    sieve = spark.sparkContext.broadcast(Sieve.of(shared, "token"))
-    lists = materialize(_postings(docs, levels, sieve).join(shared, "token").distinct(), "jaccard-lists")
-    texts = _texts(docs, lists.select("node").distinct())
-    texts = materialize(texts.dropDuplicates(["node"]), "jaccard-texts")
+    order = spark.sparkContext.broadcast(_sieves(_tokens(docs, True), "jaccard-counts"))
+    texts = materialize(_left_over(docs, order).dropDuplicates(["node"]), "jaccard-texts")
+    order = spark.sparkContext.broadcast(_sieves(_tokens(texts, False), "jaccard-counts"))
+    postings = materialize(_postings(texts, order), "jaccard-postings")
+    spans = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+    shared = spans.where("leader < last").select("token", "leader")
+    lists = materialize(postings.join(shared, "token"), "jaccard-lists")
+    discard(postings)
     # Every node against the first node of the list it shares most with.
     stars = (
         lists.where("node <> leader")
@@ -254,10 +266,11 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.max(F.struct("n", "leader")).alias("best"))
         .select("node", F.col("best.leader").alias("group"))
     )
-    leaders = stars.select("group").distinct().select("group", F.col("group").alias("node"))
-    edges = materialize(_open(stars, leaders, texts), "jaccard-stars")
+    stars = materialize(stars, "jaccard-groups")
+    leaders = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.lit(0).alias("label"))
+    edges = materialize(_open(stars.withColumn("label", F.lit(1)), leaders, texts), "jaccard-stars")
     labels = connected_components(edges, name="jaccard-first")
-    more = materialize(_residual(lists, labels, nodes, texts), "jaccard-rest")
+    more = materialize(_residual(lists, labels, stars, texts), "jaccard-rest")
     if not more.isEmpty():
         discard(labels)
         labels = connected_components(edges.union(more), name="jaccard-all")
@@ -273,35 +286,55 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _residual(lists: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _residual(lists: DataFrame, labels: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components, over the lists that hold several."""
-    sizes = nodes.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    held = lists.select("token", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = held.join(sizes, "node")
-    open_lists = held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    held = materialize(held.join(open_lists, "token"), "jaccard-open")
-    everyone = texts.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = everyone.groupBy("label").agg(F.count("*").alias("members"))
-    held_members = held.select("node", "label", "n").distinct().join(counts, "label")
-    placed = held_members.withColumn(
-        "group", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)))
+    held = lists.select("token", "node", "n").join(labels, "node", "left")
+    held = held.withColumn("label", F.coalesce("label", "node"))
+    several = held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    members = held.select("node", "label", "n").distinct().join(stars, "node", "left")
+    members = members.withColumn("group", F.coalesce("group", "node"))
+    per_label = members.groupBy("label").agg(F.count("*").alias("members"))
+    per_group = members.groupBy("group").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
+    placed = members.join(per_label, "label").join(per_group, "group").select(
+        "node", "label", "n", F.struct("members", "label").alias("rank"), F.xxhash64("group", part).alias("group")
     )
-    placed = materialize(placed, "jaccard-groups")
-    with_group = held.select("token", "node").join(placed, "node")
-    queries = with_group.select("token", "node", "label", "members", "n")
-    sides = with_group.groupBy("token", "group", F.col("label").alias("g_label"), F.col("members").alias("g_members")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high")
+    placed = materialize(placed, "jaccard-matrix")
+    entries = held.select("token", "node").join(several.select("token"), "token").join(placed, "node")
+    entries = materialize(entries, "jaccard-open")
+    sides = entries.groupBy("token", F.col("group").alias("asked")).agg(
+        F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     # The smaller component asks; sizes too far apart cannot be linked.
-    asks = queries.join(sides, "token").where(
-        "(members < g_members or members = g_members and label < g_label) "
-        f"and 100 * n >= {PERCENT} * low and 100 * high >= {PERCENT} * n"
-    )
-    pairs = materialize(asks.select("node", "group").distinct(), "jaccard-asks")
-    return _open(pairs, placed.select("group", "node"), texts)
+    asks = entries.join(sides, "token").where(f"rank < top and 100 * n >= {PERCENT} * low and 100 * high >= {PERCENT} * n")
+    pairs = materialize(asks.select("node", "label", F.col("asked").alias("group")).distinct(), "jaccard-asks")
+    return _open(pairs, placed.select("group", "node", "label"), texts)
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Contract query: the component of every whole document."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes AS a ON a.doc_id = x JOIN sizes AS b ON b.doc_id = y
+  WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach AS r JOIN links AS l ON l.x = r.other)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

@@ -10,7 +10,7 @@ QUERIES = {
     "op5_quality": (quality.op5_quality, None),
     "op6_url_filter": (urls.op6_url_filter, None),
     "op9_html": (html.op9_html, None),
-    "op8_ngram_jaccard": (jaccard.op8_ngram_jaccard, None),
+    "op8_ngram_jaccard": (jaccard.op8_ngram_jaccard, jaccard.OP8_SQL),
     "op4_line_dedup": (lines.op4_line_dedup, lines.OP4_SQL),
     "op10_licenses": (licenses.op10_licenses, licenses.OP10_SQL),
     "op7_gif": (gif.op7_gif, None),
