@@ -206,8 +206,10 @@ def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``pairs``: ``node`` (query), its ``label`` and the ``group`` it asks;
     ``groups``: ``group``, ``node`` (member) and its ``label``; ``texts``: ``node``
-    and ``text``. Nodes of one label are not compared. The queries of a group are
-    dealt out over tasks, each of which gets the members.
+    and ``text``. Nodes of one label are not compared, nor are those of labels
+    that links of the same task have joined, so a task gives fewer links than it
+    has nodes. The queries of a group are dealt out over tasks, each of which
+    gets the members.
     """
     many = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     queries = pairs.join(many, "group").select(
@@ -220,6 +222,14 @@ def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         now, members, union = None, [], None
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in parent:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
         for batch in batches:
             for part in slices(batch, 5, 2 << 20):
                 group, piece, role, node, label, text = (c.to_pylist() for c in part.columns)
@@ -228,6 +238,7 @@ def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
                     key = (group[i], piece[i])
                     if key != now:
                         now, members, union = key, [], None
+                        parent.clear()
                     if role[i] == 0:
                         members.append((node[i], label[i], found_set))
                         continue
@@ -235,7 +246,11 @@ def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
                         union = np.unique(np.concatenate([s for _, _, s in members])) if members else found_set[:0]
                     if 100 * np.intersect1d(found_set, union, assume_unique=True).size < PERCENT * found_set.size:
                         continue
-                    found += [(node[i], m) for m, of, s in members if of != label[i] and linked(found_set, s)]
+                    for m, of, s in members:
+                        mine, other = top(label[i]), top(of)
+                        if mine != other and linked(found_set, s):
+                            parent[mine] = other
+                            found.append((node[i], m))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                     names=["a", "b"],
@@ -251,8 +266,10 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(_nodes(docs), "jaccard-nodes")
     order = spark.sparkContext.broadcast(_sieves(_tokens(docs, True), "jaccard-counts"))
     texts = materialize(_left_over(docs, order).dropDuplicates(["node"]), "jaccard-texts")
+    order.destroy()
     order = spark.sparkContext.broadcast(_sieves(_tokens(texts, False), "jaccard-counts"))
     postings = materialize(_postings(texts, order), "jaccard-postings")
+    order.destroy()
     spans = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
     shared = spans.where("leader < last").select("token", "leader")
     lists = materialize(postings.join(shared, "token"), "jaccard-lists")
@@ -267,8 +284,8 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("node", F.col("best.leader").alias("group"))
     )
     stars = materialize(stars, "jaccard-groups")
-    leaders = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.lit(0).alias("label"))
-    edges = materialize(_open(stars.withColumn("label", F.lit(1)), leaders, texts), "jaccard-stars")
+    leaders = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("label"))
+    edges = materialize(_open(stars.withColumn("label", F.col("node")), leaders, texts), "jaccard-stars")
     labels = connected_components(edges, name="jaccard-first")
     more = materialize(_residual(lists, labels, stars, texts), "jaccard-rest")
     if not more.isEmpty():
