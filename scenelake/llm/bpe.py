@@ -32,7 +32,7 @@ from .common import map_text
 
 SHORT = 64
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = np.int64(1) << 62
 
 # White_Space, and letters and numbers, of the first 256 code points.

@@ -192,17 +192,18 @@ def train(
     def run(batches):
         features = Features()
         for batch in batches:
-            texts, meta = batch.column("text").to_pylist(), batch.column("meta").to_pylist()
-            rows = [features.row(t, tuple(m)) for t, m in zip(texts, meta)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([np.asarray(r[0], np.int32).tobytes() for r in rows], pa.binary()),
-                    pa.array([np.asarray(r[1], np.float32).tobytes() for r in rows], pa.binary()),
-                    pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
-                    batch.column("label"),
-                ],
-                names=["index", "value", "crc", "label"],
-            )
+            for part in slices(batch, 0, 1 << 20):
+                texts, meta = part.column("text").to_pylist(), part.column("meta").to_pylist()
+                rows = [features.row(t, tuple(m)) for t, m in zip(texts, meta)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([np.asarray(r[0], np.int32).tobytes() for r in rows], pa.binary()),
+                        pa.array([np.asarray(r[1], np.float32).tobytes() for r in rows], pa.binary()),
+                        pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
+                        part.column("label"),
+                    ],
+                    names=["index", "value", "crc", "label"],
+                )
 
     got = sample.select("text", "meta", "label").mapInArrow(run, "index binary, value binary, crc long, label int")
     got = sorted(got.collect(), key=lambda r: (r.crc, r.label, bytes(r["index"])))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, materialize
+from .common import discard, map_text, materialize, slices
 from .training import held_out, labelled_sample
 
 #: Labelled rows that training takes at most.
@@ -173,20 +173,28 @@ def _count(sample: DataFrame, docs: list[int]) -> list[tuple[str, str, int, int,
     """Document counts by unit, label and fold, of the units whose counts tell most (chi-square)."""
 
     def run(batches):
-        for batch in batches:
-            seen: Counter = Counter()
-            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                found = set(_word(text.lower()))
-                slot = 2 * fold + label
-                seen.update(("w", w, slot) for w in found)
-                seen.update(("s", s, slot) for s in {s for w in found for s in stems(w)})
+        seen: Counter = Counter()
+
+        def flush():
             rows = [(k, u, [n if i == slot else 0 for i in range(4)]) for (k, u, slot), n in seen.items()]
-            yield pa.RecordBatch.from_arrays(
+            seen.clear()
+            return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
                 + [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(4)],
                 names=["kind", "unit", "c0", "c1", "c2", "c3"],
             )
 
+        for batch in batches:
+            for part in slices(batch, 0, 1 << 20):
+                for text, label, fold in zip(*(c.to_pylist() for c in part.columns)):
+                    found = set(_word(text.lower()))
+                    slot = 2 * fold + label
+                    seen.update(("w", w, slot) for w in found)
+                    seen.update(("s", s, slot) for s in {s for w in found for s in stems(w)})
+                if len(seen) > 200_000:
+                    yield flush()
+        yield flush()
+
     counts = sample.mapInArrow(run, "kind string, unit string, c0 long, c1 long, c2 long, c3 long")
     totals = counts.groupBy("kind", "unit").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
     totals = totals.withColumn("n", F.expr("c0 + c1 + c2 + c3")).where("n >= 2")
@@ -215,21 +223,22 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         scores = [Scores(*p) for p in shared.value]
         for batch in batches:
-            rows = []
-            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                values = scores[fold].of(text)
-                best = sorted((s for _, _, s in segments(values)), reverse=True)[:BEST]
-                moments = np.exp(np.outer(_GRID, values)).sum(1).tolist() if not label else []
-                rows.append((label, values.size, best, moments))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.float64())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.float64())),
-                ],
-                names=["label", "n", "best", "moments"],
-            )
+            for part in slices(batch, 0, 1 << 20):
+                rows = []
+                for text, label, fold in zip(*(c.to_pylist() for c in part.columns)):
+                    values = scores[fold].of(text)
+                    best = sorted((s for _, _, s in segments(values)), reverse=True)[:BEST]
+                    moments = np.exp(np.outer(_GRID, values)).sum(1).tolist() if not label else []
+                    rows.append((label, values.size, best, moments))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.int32()),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.float64())),
+                        pa.array([r[3] for r in rows], pa.list_(pa.float64())),
+                    ],
+                    names=["label", "n", "best", "moments"],
+                )
 
     scored = sample.select("text", "label", "fold").mapInArrow(
         run, "label int, n long, best array<double>, moments array<double>"
