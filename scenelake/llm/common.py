@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Removes the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
@@ -30,6 +32,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than the default, as rows hold whole texts; a setting of one's own stays."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, "1000")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -38,6 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -79,6 +88,7 @@ def map_text(
     so a run of very long texts does not pile up in a worker.
     """
     spark = df.sparkSession
+    small_batches(spark)
     narrow = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     kept = narrow.drop("__text").schema
     added = spark.createDataFrame([], schema).schema if schema else None

@@ -43,13 +43,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The set of each text as a sorted array of uint64, about a megabyte of text at a time."""
+    """The set of each text as a sorted array of uint64, about 256 KB of text at a time."""
     out: list[np.ndarray] = []
     part: list[bytes] = []
     size = 0
     for text in texts:
         raw = text.encode().translate(_LOWER) if text else b""
-        if part and size + len(raw) > 1 << 20:
+        if part and size + len(raw) > 1 << 18:
             out += _sets(part)
             part, size = [], 0
         part.append(raw)

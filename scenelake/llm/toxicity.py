@@ -69,7 +69,7 @@ class Scores(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """The scores of a text's words."""
-        if len(self) > 400_000:
+        if len(self) > len(self.words) + 100_000:
             self.clear()
             self.update(self.words)
         found = _word(text.lower()) if text else []
