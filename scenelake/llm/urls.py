@@ -9,6 +9,10 @@ cut that is calibrated on examples scored by the other half's counts.
 
 Digits all read as 0, as numbers in URLs are mostly serial.
 
+All counts are used. Up to ``ENTRIES`` of them are sent to the workers; a larger
+table stays in the shared folder and is joined to the distinct windows of
+``ORDER + 1`` characters of the URLs, with the same results.
+
 Defined results:
 - null URL or one without ``://``: empty host and path, no rule; the models judge
   what text there is, and an empty or null URL is allowed;
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 ORDER, SEEN = 5, 2
-#: Context counts that a model holds at most.
+#: Counts that workers hold at most; a larger table is joined instead.
 ENTRIES = 200_000
+#: The most common windows, sent to workers where the rest is joined.
+COMMON = 20_000
 #: Steps of the difference by character, for calibration.
 STEP = 0.01
 
@@ -97,8 +103,8 @@ class Markov:
         return total / (len(text) - ORDER)
 
 
-def _count(examples: DataFrame) -> list:
-    """Counts of n-grams by class and half, over all examples."""
+def _count(examples: DataFrame) -> DataFrame:
+    """``gram`` and its counts ``c0`` to ``c3`` by class and half, over all examples."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -124,14 +130,103 @@ def _count(examples: DataFrame) -> list:
     counts = examples.mapInArrow(run, "gram string, c0 long, c1 long, c2 long, c3 long")
     totals = counts.groupBy("gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
     n = F.expr("c0 + c1 + c2 + c3")
-    return totals.where(n >= SEEN).orderBy(F.desc(n), "gram").limit(ENTRIES).collect()
+    return materialize(totals.where(n >= SEEN), "url-grams")
+
+
+def _windows(urls: DataFrame) -> DataFrame:
+    """``id``, ``place`` and ``window`` (a character and the ``ORDER`` before it) of each ``id`` and ``url``."""
+
+    def run(batches):
+        for batch in batches:
+            for at, url in zip(*(c.to_pylist() for c in batch.columns)):
+                text = symbols(url)
+                for start in range(0, len(text) - ORDER, 10_000):
+                    places = range(start, min(start + 10_000, len(text) - ORDER))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([at] * len(places), pa.int64()),
+                            pa.array(places, pa.int32()),
+                            pa.array([text[i : i + ORDER + 1] for i in places], pa.string()),
+                        ],
+                        names=["id", "place", "window"],
+                    )
+
+    return urls.select("id", "url").mapInArrow(run, "id long, place int, window string")
+
+
+def _terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``window`` and ``n``, with its log ratios ``t0``, ``t1`` (by the other half's counts) and ``t`` (by all).
+
+    Ends of windows are told apart before each join, so a key meets a row for each character at most.
+    """
+    sums = [F.sum(f"c{i}").alias(f"s{i}") for i in range(4)]
+    kinds = [F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"k{i}") for i in range(4)]
+    kinds += [F.sum((F.col(f"c{i}") + F.col(f"c{i + 2}") > 0).cast("long")).alias(f"k{i + 4}") for i in range(2)]
+    contexts = counts.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context")).agg(*sums, *kinds)
+    whole = materialize(windows.groupBy("window").agg(F.count("*").alias("n")), "url-windows")
+    tails = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda n: F.right("window", n))
+    ends = whole.select(F.explode(tails).alias("end")).distinct().withColumn("before", F.expr("left(end, length(end) - 1)"))
+    ends = ends.join(contexts, F.col("before") == F.col("context"), "left")
+    ends = materialize(ends.join(counts, F.col("end") == F.col("gram"), "left").na.fill(0), "url-ends")
+    # Names of the counts, sums and kinds by model and class.
+    parts = {
+        "p0": ("c2", "s2", "k2"), "q0": ("c3", "s3", "k3"),
+        "p1": ("c0", "s0", "k0"), "q1": ("c1", "s1", "k1"),
+        "p": ("c0 + c2", "s0 + s2", "k4"), "q": ("c1 + c3", "s1 + s3", "k5"),
+    }
+    smoothed = None
+    for size in range(1, ORDER + 2):
+        rows = ends.where(F.length("end") == size)
+        if smoothed is None:
+            rows = rows.withColumns({f"{m}_": F.lit(1 / 256) for m in parts})
+        else:
+            rows = rows.join(smoothed, F.right("end", F.lit(size - 1)) == F.col("tail"))
+        chances = [
+            F.expr(f"if({s} > 0, ({c} + {k} * {m}_) / ({s} + {k}), {m}_)").alias(f"{m}_") for m, (c, s, k) in parts.items()
+        ]
+        smoothed = rows.select(F.col("end").alias("tail"), *chances)
+
+    def run(batches):
+        for batch in batches:
+            values = [c.to_pylist() for c in batch.columns[2:]]
+            terms = [[math.log(q / p) for p, q in zip(*values[i : i + 2])] for i in (0, 2, 4)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *[pa.array(t, pa.float64()) for t in terms]], names=["window", "n", "t0", "t1", "t"]
+            )
+
+    named = whole.join(smoothed, F.col("window") == F.col("tail")).select("window", "n", *[f"{m}_" for m in parts])
+    terms = materialize(named.mapInArrow(run, "window string, n long, t0 double, t1 double, t double"), "url-terms")
+    discard(whole)
+    discard(ends)
+    return terms
+
+
+def differences(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``url`` and its differences ``d0``, ``d1`` and ``d`` by all ``counts``, a row for each distinct URL but null."""
+    known = urls.select("url").where("url is not null").distinct().withColumn("id", F.monotonically_increasing_id())
+    known = materialize(known, "url-known")
+    windows = _windows(known)
+    terms = _terms(windows, counts)
+    # Windows of very many URLs are sent to the workers, the others joined.
+    common = materialize(terms.orderBy(F.desc("n"), "window").limit(COMMON).drop("n"), "url-common")
+    met = windows.join(F.broadcast(common), "window")
+    others = windows.join(F.broadcast(common.select("window")), "window", "left_anti").join(terms.drop("n"), "window")
+    # The sum goes by place, as that of Markov.difference.
+    rows = met.unionByName(others).groupBy("id")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("place", "t0", "t1", "t"))).alias("rows"))
+    total = lambda t: F.aggregate("rows", F.lit(0.0), lambda s, r: s + r[t]) / F.size("rows")
+    sums = rows.select("id", total("t0").alias("d0"), total("t1").alias("d1"), total("t").alias("d"))
+    found = materialize(known.join(sums, "id").drop("id"), "url-differences")
+    for table in (known, terms, common):
+        discard(table)
+    return found
 
 
 class Filter:
-    """The models and their cut."""
+    """The models and their cut; ``found`` holds the differences where the counts are too many for a worker."""
 
-    def __init__(self, markov: Markov | None, cut: float):
-        self.markov, self.cut = markov, cut
+    def __init__(self, markov: Markov | None, cut: float, found: DataFrame | None = None):
+        self.markov, self.cut, self.found = markov, cut, found
 
 
 def train(judged: DataFrame, url_col: str, verdict_col: str) -> Filter:
@@ -143,11 +238,22 @@ def train(judged: DataFrame, url_col: str, verdict_col: str) -> Filter:
         F.pmod(F.xxhash64(url_col), F.lit(2)).cast("int").alias("half"),
     )
     examples = materialize(examples, "url-examples")
-    counts = _count(examples)
-    slots = [sum(r[f"c{i}"] for r in counts) for i in range(4)]
+    grams = _count(examples)
+    size, *slots = grams.agg(F.count("*"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(4)]).first()
     if not (slots[0] + slots[2] and slots[1] + slots[3]):
         discard(examples)
+        discard(grams)
         return Filter(None, 0.0)
+    if size > ENTRIES:
+        found = differences(judged.select(F.col(url_col).alias("url")), grams)
+        by_half = F.when(F.col("half") == 0, F.col("d0")).otherwise(F.col("d1"))
+        step = F.rint(by_half / F.lit(STEP)).cast("long").alias("step")
+        table = examples.join(found, "url").groupBy(step, "accepted").agg(F.count("*").alias("n")).collect()
+        discard(examples)
+        discard(grams)
+        return Filter(None, _cut(table), found)
+    counts = grams.collect()
+    discard(grams)
     whole = Markov({r.gram: (r.c0 + r.c2, r.c1 + r.c3) for r in counts})
     halves = [{r.gram: (r.c2, r.c3) for r in counts if r.c2 + r.c3}, {r.gram: (r.c0, r.c1) for r in counts if r.c0 + r.c1}]
     shared = spark.sparkContext.broadcast(halves)
@@ -199,6 +305,10 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "verdict": verdict})
     model = train(judged, "__url", "verdict")
+    if model.found is not None:
+        return _by_table(judged, model).select(
+            *[F.col(n).alias(c) for c, n in zip(keep, names)], "host", "path", "rule", "verdict", "difference"
+        )
     shared = pages.sparkSession.sparkContext.broadcast(model)
     out = judged.select(*names, "host", "path", "rule", "verdict", "__url")
     schema = type(out.schema)(out.schema.fields[:-1]).add("difference", "double")
@@ -222,6 +332,15 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
     )
 
 
+def _by_table(judged: DataFrame, model: Filter) -> DataFrame:
+    """``judged`` with its verdicts filled and ``difference``, by the table of differences."""
+    found = model.found.where("url <> ''").select("url", F.col("d").alias("difference"))
+    done = judged.join(found, F.col("__url") == F.col("url"), "left")
+    by_model = F.when(F.col("difference") < model.cut, "block").otherwise("allow")
+    verdict = F.coalesce("verdict", by_model)
+    return done.withColumns({"verdict": verdict, "difference": F.coalesce("difference", F.lit(0.0))})
+
+
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     """Contract query: judge every page's URL."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"])

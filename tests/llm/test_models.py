@@ -113,6 +113,17 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0), ["url"]).count() == 0
 
 
+def test_url_counts_beyond_the_workers_are_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"http://h{rng.choice('abcdefgh')}{i % 3}.{rng.choice(['net', 'org', 'info'])}/{rng.choice(['fr', 'x', 'yé'])}/{rng.choice('klmnop') * 3}{i}",) for i in range(240)]
+    df = spark.createDataFrame(rows + rows[:40] + [(None,), ("",), ("no scheme",)], "url string")
+    want = sorted(urls.judge(df, ["url"]).collect(), key=str)
+    monkeypatch.setattr(urls, "ENTRIES", 60)
+    monkeypatch.setattr(urls, "COMMON", 9, raising=False)
+    got = sorted(urls.judge(df, ["url"]).collect(), key=str)
+    assert got == want and len({r.difference for r in got if r.rule is None}) > 20
+
+
 def test_markov_is_a_distribution():
     counts = urls.Markov({g: (2, 1) for g in ("a", "b", "\x02a", "ab", "\x02\x02a")})
     assert math.isfinite(counts.difference("abba")) and counts.difference(None) == counts.difference("")
