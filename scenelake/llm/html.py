@@ -12,7 +12,9 @@ feeds; script, style, template and the like, comments and markup are no text.
 
 Defined results:
 - null, empty and text-free pages give the empty text;
-- markup that breaks off inside a tag, comment or script ends the page there;
+- markup that breaks off inside a tag, comment or script ends the page there; other bad markup is read on as
+  the HTML parsing rules do: ``</`` and no letter is a comment up to ``>``, a stray quote is part of its
+  attribute, a self-closing svg is empty. A quote that nothing closes does not hold the tag open;
 - repeated rows are extracted each for itself, an empty table gives no rows;
 - further columns are not read, whatever their names.
 """
@@ -47,8 +49,12 @@ _ENDS = {
     "option": {"option"},
     "body": {"head"},
 }
+_value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+|(?=>))"""
+_attribute = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_value})?+"
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<", re.S
+    rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|{_attribute})*+)(/?)>"
+    r"|<(?:[!?]|/(?![a-zA-Z]))[^>]*>|([^<]+)|<",
+    re.S,
 )
 _names = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
 _parts = re.compile(r"[a-zA-Z]+")
@@ -91,7 +97,7 @@ def blocks(html: str | None) -> list[Block]:
     while at < end:
         found = _token.match(source, at)
         start, at = at, found.end()
-        closing, name, attributes, text = found.group(1, 2, 3, 4)
+        closing, name, attributes, empty, text = found.group(1, 2, 3, 4, 5)
         if text is not None:
             text = references.unescape(text)
             parts.append(text)
@@ -99,10 +105,10 @@ def blocks(html: str | None) -> list[Block]:
                 linked += len(text)
             continue
         if name is None:
-            if source.startswith("<!", start) or source.startswith("<?", start):
+            if at > start + 1 or source.startswith("<!", start) or source.startswith("<?", start):
                 continue
             rest = source[start + 1 : start + 2]
-            if rest.isalpha() or rest == "/":
+            if rest.isascii() and rest.isalpha() or rest == "/":
                 break  # a tag that never ends
             parts.append("<")
             continue
@@ -128,6 +134,8 @@ def blocks(html: str | None) -> list[Block]:
                 flush()
             continue
         if name in _RAW:
+            if name == "svg" and empty:
+                continue
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
             continue

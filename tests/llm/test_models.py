@@ -168,6 +168,35 @@ def test_blocks(page, want):
     assert [b.text for b in html.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a</>b</p><p>c</p>", ["ab", "c"]),
+        ("<p>a</ p>b</p><p>c", ["ab", "c"]),
+        ("<p>I </3 this</p><p>b</p>", ["I", "b"]),
+        ("<p>a<img alt=\"5\" tall\">b</p><p>c</p>", ["ab", "c"]),
+        ("<p><a title=it's>a</a></p><p>b's</p>", ["a", "b's"]),
+        ("<p><a title=it's>a</a></p><p class='x'>b</p>", ["a", "b"]),
+        ("<p title=\"x>a</p><p>b</p>", ["a", "b"]),
+        ("<p>a<svg width=\"5\"/>b</p><p>c</p>", ["ab", "c"]),
+        ("<p>a<svg/>b<svg><text>t</text></svg>c", ["abc"]),
+        ("<p>a<script src=x />b</script>c", ["ac"]),
+        ("<p>1 <é 2</p><p>b", ["1 <é 2", "b"]),
+        ("<p>a<a href=b/c/>d</a></p>e", ["ad", "e"]),
+        ("<p>a</p><p title='>", ["a"]),
+        ("<p>a</p><p x='b' y=c", ["a"]),
+        ("<p>a</ b", ["a"]),
+    ],
+)
+def test_blocks_behind_bad_markup(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+def test_bad_markup_is_read_in_linear_time():
+    for page in ("<a " + "b" * 50_000, "<p>" + "<a b='" * 20_000, "<a" + " b=\"" * 20_001, "<a " + "/ " * 40_000):
+        assert isinstance(html.blocks(page), list)
+
+
 def test_extract_rows(spark):
     article = "<nav><a>m</a></nav><article><h1>Head line</h1><p>Some text here, with words.</p></article><footer>&copy; x</footer>"
     df = spark.createDataFrame([(1, article, "t"), (2, None, None), (2, "", None), (None, article, "t")], "page_id long, html string, text string")
