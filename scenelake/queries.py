@@ -731,7 +731,7 @@ def kmeans_inertia_curve(spark, sf):
 
 @query(None)
 def gap_statistic(spark, sf):
-    gaps = cluster.gap_table(cluster.fits(_patterns(spark, sf, 0.1), [2, 3, 4, 5], draws=8, n_init=4))
+    gaps = cluster.gap_table(cluster.fits(_patterns(spark, sf, 0.1), list(range(2, 11)), draws=20))
     return cluster.one_se_steps(gaps).join(cluster.best_k(gaps), "focal_class")
 
 

@@ -38,3 +38,12 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in queries.QUERIES.items() if not sql))
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_gap_statistic_runs_as_the_reference(spark, monkeypatch):
+    calls = []
+    fits = queries.cluster.fits
+    monkeypatch.setattr(queries.cluster, "fits", lambda *a, **k: calls.append((a[1:], k)) or fits(*a, **k))
+    got = entry.queries()["gap_statistic"](spark, SF)
+    assert calls == [(([2, 3, 4, 5, 6, 7, 8, 9, 10],), {"draws": 20})]
+    assert {r.k for r in got.collect()} == set(range(2, 11))
