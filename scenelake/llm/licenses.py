@@ -13,6 +13,13 @@ as words never seen. As no word weighs more, a unit less than the square of the
 threshold of whose distinct words are in templates cannot reach it, and is left
 out before anything is exploded.
 
+Licence texts and standard headers (``license_texts``) are templates too. Files
+that could hold one, or a notice over several lines, by the weight of the words
+they share with it, are also cut into windows of ``SIZES`` consecutive lines with
+words. Texts are compared with lines, windows and the whole text, notices with
+windows. These weights count the words of texts and notices alike; a window
+speaks for its directory as a line does.
+
 Defined results:
 - null and empty texts have no units, and inherit;
 - a null path has no directory and inherits nothing;
@@ -23,6 +30,9 @@ Defined results:
 
 from __future__ import annotations
 
+import math
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +59,9 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Lines of a window.
+SIZES = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+_FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
 #: Names of licence files, without regard to case.
 FILE_NAMES = r"(?i)^(un)?licen[cs]e([-._].*)?$|^copying([-._].*)?$|^notice([-._].*)?$"
 
@@ -58,8 +71,88 @@ def _words(text):
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def license_texts() -> tuple[tuple[str, str], ...]:
+    """Names and texts of the licences and headers in the folder of texts."""
+    found = []
+    for file in sorted(os.listdir(_FOLDER)):
+        with open(os.path.join(_FOLDER, file), encoding="utf-8") as f:
+            found.append((file.removesuffix(".txt").removesuffix(".header"), f.read()))
+    return tuple(found)
+
+
+def _by_windows(rows: DataFrame, templates, texts, total: int, threshold: float) -> DataFrame:
+    """``path``, ``whole`` and ``best`` of the units that are like a text, and of the windows that are like a notice."""
+    spark = rows.sparkSession
+    listed = [(i, name, i < len(templates), text) for i, (name, text) in enumerate((*templates, *texts))]
+    known = spark.createDataFrame(listed, "id int, name string, notice boolean, text string")
+    known = [(r.id, r.name, r.notice, r.words) for r in known.select("id", "name", "notice", _words("text").alias("words")).collect()]
+    vocabulary = sorted({w for *_, words in known for w in words})
+    cut = F.split("text", "\n")
+    of_known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
+    line_words = rows.select(F.explode(cut).alias("line")).select(F.explode(_words("line")).alias("term"))
+    counts = {r.term: r["count"] for r in line_words.join(of_known, "term").groupBy("term").count().collect()}
+    square = lambda n: (math.log((1 + total) / (1 + n)) + 1) ** 2
+    w2 = {w: square(counts.get(w, 0)) for w in vocabulary}
+    # A file must hold the square of the threshold of a template's weight, so half of that in the heavier words.
+    heavy, norms = [], []
+    for i, name, notice, words in known:
+        norm2 = sum(w2[w] for w in words)
+        norms.append((i, name, notice, norm2))
+        half, light = threshold * threshold * norm2 / 2, 0.0
+        for w in sorted(words, key=lambda w: (w2[w], w)):
+            light += w2[w]
+            if light > half:
+                heavy.append((w, i, w2[w], half))
+    heavy = spark.createDataFrame(heavy, "term string, id int, w2 double, half double")
+    keyed = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
+    shared = keyed.select("path", "th", F.explode(_words("text")).alias("term")).join(F.broadcast(heavy), "term")
+    shared = shared.groupBy("path", "th", "id").agg(F.sum("w2").alias("w2"), F.first("half").alias("half"))
+    likely = materialize(shared.where("w2 >= half - 1e-6").select("path", "th").distinct(), "license-files")
+    chosen = keyed.alias("k").join(likely.alias("l"), F.expr("k.path <=> l.path and k.th = l.th"), "left_semi")
+    held = F.filter(F.transform(cut, _words), lambda x: F.size(x) > 0)
+    chosen = chosen.dropDuplicates(["path", "th"]).select("path", held.alias("lines")).where("size(lines) > 0")
+    unit = lambda words, kind: F.struct(words.alias("words"), F.lit(kind).alias("kind"))
+    groups = [F.transform("lines", lambda x: unit(x, "line"))]
+    groups.append(F.array(unit(F.array_distinct(F.flatten("lines")), "whole")))
+    none = F.expr("cast(array() as array<struct<words:array<string>,kind:string>>)")
+    for size in SIZES:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1)))
+        slices = F.transform(starts, lambda i: F.slice("lines", i, size))
+        windows = F.transform(slices, lambda x: unit(F.array_distinct(F.flatten(x)), "window"))
+        groups.append(F.when(F.size("lines") >= size, windows).otherwise(none))
+    units = chosen.select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", "u.words")
+    in_known = F.array(*[F.lit(w) for w in vocabulary])
+    units = units.withColumn("hits", F.array_intersect("words", in_known))
+    units = units.where(F.size("hits") >= threshold * threshold * F.size("words") - 1e-9)
+    units = units.select(
+        "path", "kind", F.xxhash64("kind", F.array_sort("hits"), F.size("words")).alias("unit"), "hits",
+        (F.size("words") - F.size("hits")).alias("others"),
+    )
+    units = materialize(units, "license-windows")
+    sets = units.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("kind", "hits", "others")])
+    idf = F.broadcast(spark.createDataFrame(list(w2.items()), "term string, w2 double"))
+    weighed = sets.select("unit", "kind", "others", F.explode("hits").alias("term")).join(idf, "term")
+    unit_norms = weighed.groupBy("unit").agg((F.sum("w2") + F.max("others") * square(0)).alias("norm2"))
+    terms = spark.createDataFrame([(i, w) for i, _, _, words in known for w in words], "id int, term string")
+    terms = terms.join(spark.createDataFrame(norms, "id int, name string, notice boolean, template2 double"), "id")
+    pairs = weighed.join(unit_norms, "unit").join(F.broadcast(terms), "term")
+    # A likeness is at most the root of the smaller norm over the larger.
+    close = F.least("norm2", "template2") >= threshold * threshold * F.greatest("norm2", "template2") - 1e-6
+    pairs = pairs.where(close & (~F.col("notice") | (F.col("kind") == "window")))
+    dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum("w2").alias("dot"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6)
+    best = dots.withColumn("score", score).where(F.col("score") >= threshold)
+    best = best.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
+    return units.join(best, "unit").select("path", (F.col("kind") == "whole").alias("whole"), "best")
+
+
 def scan(
-    files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD
+    files: DataFrame,
+    path_col: str = "path",
+    text_col: str = "text",
+    templates=TEMPLATES,
+    threshold: float = THRESHOLD,
+    texts=None,
 ) -> DataFrame:
     """``path``, ``own_license``, ``own_score``, ``license`` and ``from_dir`` (null unless inherited), one row for each path."""
     spark = files.sparkSession
@@ -79,7 +172,8 @@ def scan(
         ).alias("u"),
     ).select("path", "u.whole", "u.words", F.size("u.words").alias("n"), F.array_intersect("u.words", listed).alias("hits"))
     units = units.where("n > 0")
-    counted = units.where("not whole").select(F.explode(F.concat("hits", F.array(F.lit("")))).alias("term"))
+    single = rows.select(F.explode(cut).alias("line")).select(_words("line").alias("words")).where("size(words) > 0")
+    counted = single.select(F.array_intersect("words", listed).alias("hits")).select(F.explode(F.concat("hits", F.array(F.lit("")))).alias("term"))
     counts = {r.term: r["count"] for r in counted.groupBy("term").count().collect()}  # a row for each term of the templates
     total = counts.pop("", 0)
     weight = lambda n: F.log((F.lit(1.0) + total) / (F.lit(1.0) + n)) + 1
@@ -106,6 +200,8 @@ def scan(
         .select("unit", "best")
     )
     found = likely.join(best, "unit").select("path", "whole", "best")
+    texts = license_texts() if texts is None else texts
+    found = found.unionByName(_by_windows(rows, templates, texts, total, threshold))
     own = found.groupBy("path").agg(F.min("best").alias("own"), F.max("whole").alias("whole"))
     own = materialize(own, "license-own")
     everyone = rows.select("path").distinct()

@@ -1,3 +1,5 @@
+import os
+
 from scenelake.llm import licenses
 
 FILES = [
@@ -36,5 +38,32 @@ def test_near_notices_go_to_the_likest_template(spark):
     assert {r.path[2:]: r.own_license for r in licenses.scan(df).collect()} == {k: k for k in notes}
 
 
+def test_texts_headers_and_wrapped_notices(spark):
+    texts = {}
+    for file in os.listdir(licenses._FOLDER):
+        with open(os.path.join(licenses._FOLDER, file)) as f:
+            texts[file.removesuffix(".txt")] = f.read()
+    code = [f"value{i} = compute{i}(argument{i}, other{i})" for i in range(60)]
+    comment = lambda text: "\n".join("# " + x for x in text.split("\n"))
+    rows, want = [], {}
+    for key, text in texts.items():
+        name = key.removesuffix(".header")
+        if key == name:
+            rows.append((f"{key}/code.txt", f"Copyright (c) 2020 Some Body\n\n{text}"))
+            rows.append((f"{key}/below/x.py", "\n".join(code)))
+            want[f"{key}/below/x.py"] = (None, name, key)
+            want[f"{key}/code.txt"] = (name, name, None)
+        if len(text) < 3000:
+            rows.append((f"headers/{key}.py", "\n".join(code[:9]) + "\n" + comment(text) + "\n" + "\n".join(code)))
+            want[f"headers/{key}.py"] = (name, name, None)
+    rows.append(("wrapped.py", "\n".join([*code[:5], "# Licensed under the", "# Apache License, Version 2.0.", *code])))
+    want["wrapped.py"] = ("Apache-2.0", "Apache-2.0", None)
+    rows.append(("none.py", "\n".join(code)))
+    want["none.py"] = (None, None, None)
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.own_license, r.license, r.from_dir) for r in licenses.scan(df).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
