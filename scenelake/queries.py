@@ -749,8 +749,8 @@ def cluster_summary(spark, sf):
 @query(None)
 def threshold_sweep(spark, sf):
     out = None
-    for t in (0.0, 0.1, 0.2, 0.3):
-        fitted = cluster.fits(_patterns(spark, sf, t), [2, 3, 4, 5], n_init=4)
+    for t in (0.10, 0.11, 0.12, 0.13, 0.14, 0.15, 0.16, 0.18, 0.20):
+        fitted = cluster.fits(_patterns(spark, sf, t), [2, 3, 4, 5])
         best = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
         row = best.agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("mean"), F.round(F.median("silhouette"), 6).alias("median"), F.round(F.min("silhouette"), 6).alias("min"))
         row = row.select(F.lit(t).alias("threshold"), "*")

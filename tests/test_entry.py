@@ -47,3 +47,12 @@ def test_gap_statistic_runs_as_the_reference(spark, monkeypatch):
     got = entry.queries()["gap_statistic"](spark, SF)
     assert calls == [(([2, 3, 4, 5, 6, 7, 8, 9, 10],), {"draws": 20})]
     assert {r.k for r in got.collect()} == set(range(2, 11))
+
+
+def test_threshold_sweep_runs_as_the_reference(spark, monkeypatch):
+    calls = []
+    fits = queries.cluster.fits
+    monkeypatch.setattr(queries.cluster, "fits", lambda *a, **k: calls.append((a[1:], k)) or fits(*a, **k))
+    got = entry.queries()["threshold_sweep"](spark, SF).select("threshold").collect()
+    assert sorted(r.threshold for r in got) == [0.10, 0.11, 0.12, 0.13, 0.14, 0.15, 0.16, 0.18, 0.20]
+    assert calls == [(([2, 3, 4, 5],), {})] * 9
