@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,44 +20,78 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Temporary folders of local sessions that name no shared one, by application.
+_temporary: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Where the session names none (unit tests on a local master) a temporary
-    folder is made once and kept in the session's settings.
+    Where a local session names none, a temporary folder serves for as long as
+    the driver runs; its settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="scenelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _temporary.get(context.applicationId)
+        if root is None:
+            root = _temporary[context.applicationId] = tempfile.mkdtemp(prefix="scenelake-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch than the default, as rows hold whole texts; a setting of one's own stays."""
-    if spark.conf.get(_ROWS, "10000") == "10000":
-        spark.conf.set(_ROWS, "1000")
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Run a block under other values of settings; afterwards the session has its own again."""
+    names = {"cleanup": _CLEANUP, "rows": _ROWS}
+    before = {names[k]: spark.conf.get(names[k], None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+#: The tables of the open scopes, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end of a block, the tables that operators have written in it.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+    What the block has made must be written or read to its end by then.
+    """
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs one re-read. The shuffle
-    files of the write go as soon as it is done.
+    files of the write go as soon as it is done. Python gets a tenth of the
+    default rows at once, as rows hold whole texts. The table goes by
+    :func:`discard`, or with the innermost :func:`scratch` unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, cleanup="true", rows="1000"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._scenelake_path = path
+    if _scopes and not keep:
+        _scopes[-1].append(back)
     return back
 
 
@@ -88,7 +125,6 @@ def map_text(
     so a run of very long texts does not pile up in a worker.
     """
     spark = df.sparkSession
-    small_batches(spark)
     narrow = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     kept = narrow.drop("__text").schema
     added = spark.createDataFrame([], schema).schema if schema else None

@@ -12,18 +12,23 @@ linked; the result is each document's connected component. The sets are those of
    range are counted over all documents; then all tokens of the sets that are
    left, over these. The counts go to all tasks as sketches of bounded size; an
    order that knows less gives the same links.
-3. Similar nodes are put into groups: a node belongs to the first node of the
-   list that it shares most tokens with, in parts of about ``GROUP`` nodes. Each
-   is held against that first node, which links most copies.
-4. The token-group matrix holds a row for each group: the union of its tokens.
-   Where a list holds several components, nodes of the smaller ones query the
-   groups with larger ones. A query is bounded by its overlap with the group's
-   row; only a group whose bound reaches the threshold is opened, and its members
-   of other components are held one by one against the query.
+3. The list of a token holds the nodes with the token in their prefix. Its leader
+   is the node with the longest prefix for its size, so one that lacks few of the
+   tokens its likes share. Each node is held against the leader that it shares
+   most lists with, which links most copies.
+4. Where a list still holds several components, its nodes are put on shelves: by
+   the longest such list that a node is in and by size, in parts of about
+   ``SHELF`` tokens. The token-group matrix has a row for each token and shelf
+   (``jaccard-matrix``); shelves that share a token, can have linked sizes and hold
+   several components are a task, once for all their tokens.
+5. In a task a shelf is cut into groups of ``GROUP`` sets, the next level of the
+   matrix: a group's row is the union of its tokens. A query is bounded by its
+   overlap with that row; only a group whose bound reaches the threshold is
+   opened, and its members of other components are counted against the query.
 
 Lists of one component only are settled by step 3, so large groups of copies
-never give all pairs. Members of a group, and queries against it, are dealt out
-in parts of bounded size.
+never give all pairs; of a group that step 3 leaves in many components, pairs of
+shelves are made, never pairs of nodes.
 
 Defined results:
 - null and empty texts, and texts without words: no shingles, linked with
@@ -45,14 +50,18 @@ from .components import connected_components
 from .shingles import set_hash, shingle_sets
 
 PERCENT = 80
-#: Nodes of a group, and queries that one task holds against a group.
+#: Sets of a group, and queries that one task holds against a leader.
 GROUP, QUERIES = 64, 256
+#: Tokens of a shelf, as planned, and of a group that takes no more sets.
+SHELF = 1 << 17
+#: Columns of the union that a product of matrices takes at once.
+COLUMNS = 1 << 13
 #: Share of the hash range whose tokens are counted first.
 COUNTED = 0.3
 #: Numbers of sets from which on a token moves back in the order.
 STEPS = (2, 16, 128)
-#: Bits of a sieve that keeps rows out of a shuffle, a power of two. A full sieve lets all rows pass.
-SIEVE = 1 << 26
+#: Most bits of a sieve that keeps rows out of a shuffle, a power of two. A full sieve lets all rows pass.
+SIEVE = 1 << 28
 
 
 def counted(tokens: np.ndarray) -> np.ndarray:
@@ -85,15 +94,6 @@ def prefix(found: np.ndarray, sieves: list[Sieve], known: int) -> np.ndarray:
     return found[order[single:k]]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets are linked."""
-    small, large = sorted((a.size, b.size))
-    if not small or 100 * small < PERCENT * large:
-        return False
-    common = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * common >= PERCENT * (a.size + b.size - common)
-
-
 def _nodes(documents: DataFrame) -> DataFrame:
     """Rows of ``id``, ``n`` and ``node``."""
 
@@ -108,44 +108,46 @@ def _nodes(documents: DataFrame) -> DataFrame:
 
 
 class Sieve:
-    """A bounded set sketch of 64-bit keys that never forgets a key (two bits for each)."""
+    """A bounded set sketch of 64-bit keys that never forgets a key (two bits for each).
+
+    It has eight bits or more for a key, as far as ``SIEVE`` allows.
+    """
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def of(keys: DataFrame, col: str) -> Sieve:
-        bits = F.explode(
-            F.array(
-                F.pmod(F.col(col), F.lit(SIEVE)), F.pmod(F.shiftrightunsigned(F.col(col), 30), F.lit(SIEVE))
-            )
-        ).alias("bit")
+    def of(keys: DataFrame, col: str, count: int) -> Sieve:
+        size = min(SIEVE, 1 << max(16, (8 * count - 1).bit_length()))
+        places = [F.pmod(F.col(col), F.lit(size)), F.pmod(F.shiftrightunsigned(F.col(col), 32), F.lit(size))]
+        bits = F.explode(F.array(*places)).alias("bit")
         words = (
             keys.select(bits)
             .groupBy(F.shiftright("bit", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
         )
         table = words.toArrow()
-        out = np.zeros(SIEVE // 64, np.uint64)
+        out = np.zeros(size // 64, np.uint64)
         out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
         return Sieve(out)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.view(np.uint64)
         found = np.ones(keys.size, bool)
-        for bit in (keys & np.uint64(SIEVE - 1), keys >> np.uint64(30) & np.uint64(SIEVE - 1)):
+        last = np.uint64(self.words.size * 64 - 1)
+        for bit in (keys & last, keys >> np.uint64(32) & last):
             found &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
         return found
 
 
-def _tokens(texts: DataFrame, low_only: bool) -> DataFrame:
-    """``token`` and ``node`` of all tokens, or of those in the lowest part of the hash range."""
+def _tokens(texts: DataFrame) -> DataFrame:
+    """``token`` and ``node`` of the tokens in the lowest part of the hash range."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 sets = [s for s in shingle_sets(part.column(0).to_pylist()) if s.size]
-                kept = [s[: np.count_nonzero(counted(s))] for s in sets] if low_only else sets
+                kept = [s[: np.count_nonzero(counted(s))] for s in sets]
                 nodes = np.repeat(np.array([set_hash(s) for s in sets], np.int64), [s.size for s in kept])
                 tokens = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
@@ -159,102 +161,214 @@ def _sieves(tokens: DataFrame, name: str) -> list[Sieve]:
         F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")
     )
     counts = materialize(spans.where("first < last").select("token", "n"), name)
-    sieves = [Sieve.of(counts.where(F.col("n") >= step), "token") for step in STEPS]
+    sizes = counts.agg(*[F.count_if(F.col("n") >= step) for step in STEPS]).first()
+    sieves = [Sieve.of(counts.where(F.col("n") >= step), "token", size) for step, size in zip(STEPS, sizes)]
     discard(counts)
     return sieves
 
 
 def _left_over(documents: DataFrame, sieves) -> DataFrame:
-    """``node`` and ``text`` of the documents whose prefix holds a token that may be shared."""
+    """``node`` and ``tokens`` (the sorted set, 8 bytes each) of the documents whose prefix holds a token that may be shared."""
 
     def run(batches):
         known = sieves.value
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 sets = shingle_sets(part.column(0).to_pylist())
-                chosen = [i for i, s in enumerate(sets) if prefix(s, known, np.count_nonzero(counted(s))).size]
-                nodes = np.array([set_hash(sets[i]) for i in chosen], np.int64)
+                chosen = [s for s in sets if prefix(s, known, np.count_nonzero(counted(s))).size]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), part.column(0).take(pa.array(chosen, pa.int64()))], names=["node", "text"]
+                    [
+                        pa.array([set_hash(s) for s in chosen], pa.int64()),
+                        pa.array([s.tobytes() for s in chosen], pa.binary()),
+                    ],
+                    names=["node", "tokens"],
                 )
 
-    return documents.select("text").mapInArrow(run, "node long, text string")
+    return documents.select("text").mapInArrow(run, "node long, tokens binary")
+
 
+def _sets_of(part: pa.RecordBatch, index: int) -> list[np.ndarray]:
+    """The sets in a column of ``tokens``."""
+    return [np.frombuffer(x.as_py(), np.uint64) for x in part.column(index)]
 
-def _postings(texts: DataFrame, sieves) -> DataFrame:
-    """``token``, ``node`` and the set's size ``n`` for the prefixes of nodes of which all tokens are counted."""
+
+def _all_tokens(sets: DataFrame) -> DataFrame:
+    """``token`` and ``node`` of all tokens of stored sets."""
 
     def run(batches):
-        known = sieves.value
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
-                sets = shingle_sets(part.column(1).to_pylist())
-                found = [prefix(s, known, s.size) for s in sets]
-                sizes = [f.size for f in found]
+                found = _sets_of(part, 1)
+                nodes = np.repeat(part.column(0).to_numpy(), [s.size for s in found])
                 tokens = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                nodes = np.repeat(part.column(0).to_numpy(), sizes)
-                n = np.repeat([s.size for s in sets], sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens), pa.array(nodes), pa.array(n.astype(np.int64))], names=["token", "node", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
 
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, n long")
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
 
-def _open(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between queries and members of the groups that they qualify for.
+def _postings(sets: DataFrame, sieves) -> DataFrame:
+    """``token``, ``node``, the set's size ``n`` and its ``rank`` as a leader, for the prefixes of sets of which all tokens are counted.
 
-    ``pairs``: ``node`` (query), its ``label`` and the ``group`` it asks;
-    ``groups``: ``group``, ``node`` (member) and its ``label``; ``texts``: ``node``
-    and ``text``. Nodes of one label are not compared, nor are those of labels
-    that links of the same task have joined, so a task gives fewer links than it
-    has nodes. The queries of a group are dealt out over tasks, each of which
-    gets the members.
+    A set that lacks few of the tokens its likes share has a long prefix of
+    tokens in several sets, so it ranks by that prefix against its size.
     """
-    many = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    queries = pairs.join(many, "group").select(
-        "group", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node", "label"
-    )
-    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    members = groups.join(many, "group").select("group", parts, F.lit(0).alias("role"), "node", "label")
-    rows = queries.union(members).join(texts, "node").select("group", "part", "role", "node", "label", "text")
-    dealt = rows.repartition("group", "part").sortWithinPartitions("group", "part", "role")
 
     def run(batches):
-        now, members, union = None, [], None
-        parent: dict[int, int] = {}
+        known = sieves.value
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                whole = _sets_of(part, 1)
+                found = [prefix(s, known, s.size) for s in whole]
+                sizes = [f.size for f in found]
+                columns = [
+                    np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64),
+                    np.repeat(part.column(0).to_numpy(), sizes),
+                    np.repeat(np.array([s.size for s in whole], np.int64), sizes),
+                    np.repeat(np.array([1000 * f.size // s.size for f, s in zip(found, whole)], np.int64), sizes),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "rank"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, n long, rank long")
+
+
+class Group:
+    """Up to ``GROUP`` similar sets: the row of the matrix (the union of their tokens), and its members."""
+
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.labels: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.size = 0
+        self._union = None
+
+    def add(self, node: int, label: int, found: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.sets.append(found)
+        self.size += found.size
+        self._union = None
+
+    @property
+    def full(self) -> bool:
+        return len(self.nodes) >= GROUP or self.size >= SHELF
+
+    @property
+    def union(self) -> np.ndarray:
+        if self._union is None:
+            self._union = np.unique(np.concatenate(self.sets))
+        return self._union
+
+    def common(self, queries: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+        """The queries that qualify by their overlap with the union, and their intersections with each member."""
+        union = self.union
+        sizes = np.array([q.size for q in queries])
+        joined = np.concatenate(queries)
+        at = np.minimum(np.searchsorted(union, joined), union.size - 1)
+        met = union[at] == joined
+        overlap = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
+        open_ = np.flatnonzero(100 * overlap >= PERCENT * sizes)
+        out = np.zeros((open_.size, len(self.sets)), np.int64)
+        if not open_.size:
+            return [], out
+        row = np.full(len(queries), -1)
+        row[open_] = np.arange(open_.size)
+        row = np.repeat(row, sizes)
+        held = met & (row >= 0)
+        # Only the union's tokens that a qualifying query holds make columns.
+        columns = np.unique(at[held])
+        q_row, q_col = row[held], np.searchsorted(columns, at[held])
+        tokens = union[columns]
+        m_row = np.repeat(np.arange(len(self.sets)), [s.size for s in self.sets])
+        m_tokens = np.concatenate(self.sets)
+        m_col = np.minimum(np.searchsorted(tokens, m_tokens), tokens.size - 1)
+        same = tokens[m_col] == m_tokens
+        m_row, m_col = m_row[same], m_col[same]
+        for first in range(0, tokens.size, COLUMNS):
+            wide = min(COLUMNS, tokens.size - first)
+            a, b = np.zeros((open_.size, wide), np.float32), np.zeros((len(self.sets), wide), np.float32)
+            q, m = (q_col >= first) & (q_col < first + wide), (m_col >= first) & (m_col < first + wide)
+            a[q_row[q], q_col[q] - first] = 1
+            b[m_row[m], m_col[m] - first] = 1
+            out += (a @ b.T).astype(np.int64)
+        return open_.tolist(), out
+
+
+class Block:
+    """Sets in groups, against which queries are held; links join labels, so what is linked already is not compared."""
+
+    def __init__(self):
+        self.groups: list[Group] = []
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while x in parent:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    def add(self, node: int, label: int, found: np.ndarray) -> None:
+        if not self.groups or self.groups[-1].full:
+            self.groups.append(Group())
+        self.groups[-1].add(node, label, found)
+
+    def links(self, asking: Group) -> list[tuple[int, int]]:
+        """Links of the group's sets with members of qualifying groups, one for each two labels that they join."""
+        found = []
+        for group in self.groups:
+            tops = {self.top(label) for label in group.labels}
+            asks = [i for i, label in enumerate(asking.labels) if len(tops) > 1 or self.top(label) not in tops]
+            if not asks:
+                continue
+            chosen, common = group.common([asking.sets[i] for i in asks])
+            sizes = np.array([s.size for s in group.sets])
+            for i, row in zip((asks[c] for c in chosen), common):
+                for m in np.flatnonzero(100 * row >= PERCENT * (asking.sets[i].size + sizes - row)).tolist():
+                    mine, other = self.top(asking.labels[i]), self.top(group.labels[m])
+                    if mine != other:
+                        self.parent[mine] = other
+                        found.append((asking.nodes[i], group.nodes[m]))
+        return found
+
 
-        def top(x: int) -> int:
-            while x in parent:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
+def _open(rows: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` within each task ``x``, ``y``: rows of ``role`` 0 are held in groups, those of ``role`` 1 ask them.
+
+    Where ``x`` is ``y``, all rows are held and ask. A task gives one link for
+    each two labels that it joins, so fewer links than rows.
+    """
+    dealt = rows.select("x", "y", "role", "label", "node", "tokens").repartition("x", "y")
+    dealt = dealt.sortWithinPartitions("x", "y", "role", "label")
+
+    def run(batches):
+        now, block, asking = None, Block(), Group()
+
+        def flush():
+            nonlocal asking
+            if now and now[0] == now[1]:
+                block.groups.append(asking)
+            found = block.links(asking) if asking.nodes else []
+            asking = Group()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
+            )
 
         for batch in batches:
             for part in slices(batch, 5, 2 << 20):
-                group, piece, role, node, label, text = (c.to_pylist() for c in part.columns)
-                found = []
-                for i, found_set in enumerate(shingle_sets(text)):
-                    key = (group[i], piece[i])
-                    if key != now:
-                        now, members, union = key, [], None
-                        parent.clear()
-                    if role[i] == 0:
-                        members.append((node[i], label[i], found_set))
-                        continue
-                    if union is None:  # the group's row of the matrix
-                        union = np.unique(np.concatenate([s for _, _, s in members])) if members else found_set[:0]
-                    if 100 * np.intersect1d(found_set, union, assume_unique=True).size < PERCENT * found_set.size:
+                x, y, role, label, node = (part.column(i).to_pylist() for i in range(5))
+                for i, found in enumerate(_sets_of(part, 5)):
+                    if (x[i], y[i]) != now:
+                        if asking.nodes:
+                            yield flush()
+                        now, block = (x[i], y[i]), Block()
+                    if role[i] == 0 and x[i] != y[i]:
+                        block.add(node[i], label[i], found)
                         continue
-                    for m, of, s in members:
-                        mine, other = top(label[i]), top(of)
-                        if mine != other and linked(found_set, s):
-                            parent[mine] = other
-                            found.append((node[i], m))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
-                    names=["a", "b"],
-                )
+                    asking.add(node[i], label[i], found)
+                    if asking.full:
+                        yield flush()
+        if asking.nodes:
+            yield flush()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -264,68 +378,87 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = materialize(_nodes(docs), "jaccard-nodes")
-    order = spark.sparkContext.broadcast(_sieves(_tokens(docs, True), "jaccard-counts"))
-    texts = materialize(_left_over(docs, order).dropDuplicates(["node"]), "jaccard-texts")
+    order = spark.sparkContext.broadcast(_sieves(_tokens(docs), "jaccard-counts"))
+    sets = materialize(_left_over(docs, order).dropDuplicates(["node"]), "jaccard-sets")
     order.destroy()
-    order = spark.sparkContext.broadcast(_sieves(_tokens(texts, False), "jaccard-counts"))
-    postings = materialize(_postings(texts, order), "jaccard-postings")
+    order = spark.sparkContext.broadcast(_sieves(_all_tokens(sets), "jaccard-counts"))
+    postings = materialize(_postings(sets, order), "jaccard-postings")
     order.destroy()
-    spans = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    shared = spans.where("leader < last").select("token", "leader")
-    lists = materialize(postings.join(shared, "token"), "jaccard-lists")
-    discard(postings)
-    # Every node against the first node of the list it shares most with.
-    stars = (
-        lists.where("node <> leader")
-        .groupBy("node", "leader")
-        .agg(F.count("*").alias("n"))
-        .groupBy("node")
-        .agg(F.max(F.struct("n", "leader")).alias("best"))
-        .select("node", F.col("best.leader").alias("group"))
+    spans = postings.groupBy("token").agg(
+        F.min("node").alias("first"), F.max("node").alias("last"), F.max(F.struct("rank", "node")).alias("leader")
     )
-    stars = materialize(stars, "jaccard-groups")
-    leaders = stars.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("label"))
-    edges = materialize(_open(stars.withColumn("label", F.col("node")), leaders, texts), "jaccard-stars")
+    shared = spans.where("first < last").select("token", "leader")
+    lists = materialize(postings.join(shared, "token").select("token", "node", "n", "leader"), "jaccard-lists")
+    discard(postings)
+    edges = materialize(_stars(lists, sets), "jaccard-stars")
     labels = connected_components(edges, name="jaccard-first")
-    more = materialize(_residual(lists, labels, stars, texts), "jaccard-rest")
+    more = materialize(_residual(lists, labels, sets), "jaccard-rest")
+    discard(lists)
     if not more.isEmpty():
         discard(labels)
         labels = connected_components(edges.union(more), name="jaccard-all")
+    for table in (sets, edges, more):
+        discard(table)
     classes = nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = named.join(names, "label").select("node", "component_id")
-    out = nodes.join(of_node, "node", "left")
-    return out.select(
+    out = nodes.join(of_node, "node", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+    out = materialize(out, "jaccard-components")
+    discard(nodes)
+    discard(labels)
+    return out
+
+
+def _stars(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each node with the leader that it shares most lists with."""
+    stars = (
+        lists.where("node <> leader.node")
+        .groupBy("node", "leader")
+        .agg(F.count("*").alias("n"))
+        .groupBy("node")
+        .agg(F.max(F.struct("n", "leader")).alias("best"))
+        .select("node", F.col("best.leader.node").alias("x"))
+    )
+    stars = materialize(stars, "jaccard-leaders")
+    many = stars.groupBy("x").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    asks = stars.join(many, "x").select("x", F.pmod(F.xxhash64("node"), F.col("parts")).alias("y"), F.lit(1).alias("role"), "node")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    held = many.select("x", parts.alias("y"), F.lit(0).alias("role"), F.col("x").alias("node"))
+    return _open(asks.unionByName(held).join(sets, "node").withColumn("label", F.col("node")))
 
 
-def _residual(lists: DataFrame, labels: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
+def _residual(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components, over the lists that hold several."""
     held = lists.select("token", "node", "n").join(labels, "node", "left")
     held = held.withColumn("label", F.coalesce("label", "node"))
-    several = held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    members = held.select("node", "label", "n").distinct().join(stars, "node", "left")
-    members = members.withColumn("group", F.coalesce("group", "node"))
-    per_label = members.groupBy("label").agg(F.count("*").alias("members"))
-    per_group = members.groupBy("group").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
-    placed = members.join(per_label, "label").join(per_group, "group").select(
-        "node", "label", "n", F.struct("members", "label").alias("rank"), F.xxhash64("group", part).alias("group")
-    )
-    placed = materialize(placed, "jaccard-matrix")
-    entries = held.select("token", "node").join(several.select("token"), "token").join(placed, "node")
-    entries = materialize(entries, "jaccard-open")
-    sides = entries.groupBy("token", F.col("group").alias("asked")).agg(
-        F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high")
+    several = held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
+    entries = materialize(held.join(several.where("x < y").select("token", "m"), "token"), "jaccard-open")
+    # Similar nodes: of one longest list, and of sizes that can be linked.
+    homes = entries.groupBy("node", "label", "n").agg(F.max(F.struct("m", "token"))["token"].alias("key"))
+    homes = homes.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
+    weights = homes.groupBy("key", "size").agg(F.ceil(F.sum("n") / SHELF).alias("parts"))
+    shelf = F.xxhash64("key", "size", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = materialize(homes.join(weights, ["key", "size"]).select("node", "label", shelf.alias("shelf")), "jaccard-shelves")
+    matrix = entries.join(placed.select("node", "shelf"), "node").groupBy("token", "shelf")
+    matrix = matrix.agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last")
     )
-    # The smaller component asks; sizes too far apart cannot be linked.
-    asks = entries.join(sides, "token").where(f"rank < top and 100 * n >= {PERCENT} * low and 100 * high >= {PERCENT} * n")
-    pairs = materialize(asks.select("node", "label", F.col("asked").alias("group")).distinct(), "jaccard-asks")
-    return _open(pairs, placed.select("group", "node", "label"), texts)
+    matrix = materialize(matrix, "jaccard-matrix")
+    discard(entries)
+    several = "a.shelf <= b.shelf and least(a.first, b.first) < greatest(a.last, b.last)"
+    close = f"100 * a.high >= {PERCENT} * b.low and 100 * b.high >= {PERCENT} * a.low"
+    met = matrix.alias("a").join(matrix.alias("b"), F.expr(f"a.token = b.token and {several} and {close}"))
+    pairs = met.select(F.col("a.shelf").alias("x"), F.col("b.shelf").alias("y")).distinct()
+    pairs = materialize(pairs, "jaccard-pairs")
+    discard(matrix)
+    sides = pairs.select("x", "y", F.col("x").alias("shelf"), F.lit(0).alias("role"))
+    sides = sides.union(pairs.where("x <> y").select("x", "y", F.col("y").alias("shelf"), F.lit(1).alias("role")))
+    return _open(sides.join(placed, "shelf").join(sets, "node"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

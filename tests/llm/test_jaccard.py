@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from scenelake.llm import jaccard
 from scenelake.llm.components import connected_components
 from scenelake.llm.shingles import shingle_sets
@@ -54,6 +56,8 @@ def world(seed):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 4)
     monkeypatch.setattr(jaccard, "QUERIES", 3)
+    monkeypatch.setattr(jaccard, "SHELF", 100)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
     for seed in (1, 2):
         docs = world(seed)
         df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, node int")
@@ -61,6 +65,45 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == brute(docs)
 
 
+def test_one_large_group_near_the_threshold(spark):
+    """Copies of one text with so many changes each that most pairs are just not linked, and a word run in all."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(100)]
+    docs = []
+    for i in range(900):
+        copy = base[:]
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(copy)))
+    docs += [(900 + i, " ".join(base[:30] + [f"own{i}x{k}" for k in range(20)])) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.components(df).collect()), key=str) == brute(docs)
+
+
+def test_groups_count_like_plain_sets(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 5)
+    rng = random.Random(5)
+    draw = lambda: np.array(sorted(rng.sample(range(60), rng.randrange(1, 40))), np.uint64)
+    group, queries = jaccard.Group(), [draw() for _ in range(50)]
+    for i in range(20):
+        group.add(i, i, draw())
+    union = set().union(*(s.tolist() for s in group.sets))
+    chosen, common = group.common(queries)
+    assert chosen == [i for i, q in enumerate(queries) if 100 * len(union & set(q.tolist())) >= 80 * q.size]
+    assert common.tolist() == [[len(set(queries[i].tolist()) & set(s.tolist())) for s in group.sets] for i in chosen]
+
+
+def test_sieves_hold_their_keys(spark, monkeypatch):
+    keys = [random.Random(6).randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for most in (1 << 28, 1 << 10):  # the second is full
+        monkeypatch.setattr(jaccard, "SIEVE", most)
+        sieve = jaccard.Sieve.of(df, "k", len(keys))
+        assert sieve.has(np.array(keys)).all()
+        others = sieve.has(np.arange(1, 20_000, dtype=np.int64) * 0x9E3779B97F4A7)
+        assert others.mean() < 0.2 or most == 1 << 10
+
+
 def test_boundary_of_the_threshold(spark):
     w = [f"w{i}" for i in range(22)]
     docs = [(1, " ".join(w[:20])), (2, " ".join(w[2:22])), (3, " ".join(w[:13])), (4, " ".join(w[:14]))]
