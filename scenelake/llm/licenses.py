@@ -36,7 +36,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 THRESHOLD = 0.6
 
@@ -71,6 +71,12 @@ def _words(text):
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def _among(words: str, vocabulary: list[str]):
+    """The words of an array that are in a vocabulary, as an expression; the names of words have no quotes."""
+    listed = ", ".join(f"'{w}'" for w in vocabulary)
+    return F.expr(f"filter({words}, w -> w in ({listed}))")
+
+
 def license_texts() -> tuple[tuple[str, str], ...]:
     """Names and texts of the licences and headers in the folder of texts."""
     found = []
@@ -80,37 +86,86 @@ def license_texts() -> tuple[tuple[str, str], ...]:
     return tuple(found)
 
 
-def _by_windows(rows: DataFrame, templates, texts, total: int, threshold: float) -> DataFrame:
+class Templates:
+    """Notices and texts: their words, by the expression that cuts files into words."""
+
+    def __init__(self, spark: SparkSession, notices, texts):
+        listed = [(i, name, i < len(notices), text) for i, (name, text) in enumerate((*notices, *texts))]
+        known = spark.createDataFrame(listed, "id int, name string, notice boolean, text string")
+        known = known.select("id", "name", "notice", _words("text").alias("words")).collect()
+        self.known = [(r.id, r.name, r.notice, r.words) for r in known]
+        self.vocabulary = sorted({w for *_, words in self.known for w in words})
+        self.of_notices = sorted({w for _, _, notice, words in self.known if notice for w in words})
+
+
+def _held(rows: DataFrame, templates: Templates, threshold: float) -> DataFrame:
+    """What a single reading of the texts gives for each file.
+
+    ``path``, ``th`` (hash of the text), ``total`` (lines with words), ``seen``
+    (the templates' words, once for each line that holds them) and ``units``: the
+    lines and whole texts, with so many words of notices that they could reach
+    the threshold.
+    """
+    keyed = rows.where("text is not null").select("path", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("cut"))
+    lines = F.filter(F.transform("cut", _words), lambda x: F.size(x) > 0)
+    # No condition stands on the lines, as it would be pushed below and cut the text twice.
+    keyed = keyed.select("path", "th", lines.alias("lines"))
+    flat = F.flatten("lines")
+    keyed = keyed.select("path", "th", F.size("lines").cast("long").alias("total"), "lines", flat.alias("flat"))
+    keyed = keyed.select("*", F.array_distinct("flat").alias("words"), _among("flat", templates.vocabulary).alias("seen"))
+    listed = ", ".join(f"'{w}'" for w in templates.of_notices)
+    unit = "transform({}, x -> struct({} as whole, size(x) as n, filter(x, w -> w in (" + listed + ")) as hits))"
+    units = F.expr("concat(" + unit.format("lines", "false") + ", " + unit.format("array(words)", "true") + ")")
+    likely = F.filter(units, lambda u: (u["n"] > 0) & (F.size(u["hits"]) >= threshold * threshold * u["n"] - 1e-9))
+    return keyed.select("path", "th", "total", "seen", likely.alias("units"))
+
+
+def _square(total: int, n: int) -> float:
+    """The squared weight of a word that ``n`` of ``total`` lines hold."""
+    return (math.log((1 + total) / (1 + n)) + 1) ** 2
+
+
+def _best(spark: SparkSession, units: DataFrame, templates: list[tuple], w2: dict[str, float], unseen2: float, threshold: float) -> DataFrame:
+    """``unit`` and ``best`` of the units that are like a template.
+
+    ``units``: ``unit`` (a key of what follows), ``kind``, ``hits`` and the count
+    ``others`` of further words. Equal units are scored once.
+    """
+    sets = units.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("kind", "hits", "others")])
+    idf = F.broadcast(spark.createDataFrame(sorted(w2.items()), "term string, w2 double"))
+    weighed = sets.select("unit", "kind", "others", F.explode("hits").alias("term")).join(idf, "term")
+    norms = weighed.groupBy("unit").agg((F.sum("w2") + F.max("others") * unseen2).alias("norm2"))
+    terms = [(i, name, notice, sum(w2[w] for w in words), word) for i, name, notice, words in templates for word in words]
+    terms = spark.createDataFrame(terms, "id int, name string, notice boolean, template2 double, term string")
+    pairs = weighed.join(norms, "unit").join(F.broadcast(terms), "term")
+    # A likeness is at most the root of the smaller norm over the larger. Lines and whole texts have met the notices.
+    close = F.least("norm2", "template2") >= threshold * threshold * F.greatest("norm2", "template2") - 1e-6
+    pairs = pairs.where(close & (~F.col("notice") | F.col("kind").isin("window", "notice")))
+    dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum("w2").alias("dot"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6)
+    best = dots.withColumn("score", score).where(F.col("score") >= threshold)
+    return best.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
+
+
+def _by_windows(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict[str, float], unseen2: float, threshold: float) -> DataFrame:
     """``path``, ``whole`` and ``best`` of the units that are like a text, and of the windows that are like a notice."""
     spark = rows.sparkSession
-    listed = [(i, name, i < len(templates), text) for i, (name, text) in enumerate((*templates, *texts))]
-    known = spark.createDataFrame(listed, "id int, name string, notice boolean, text string")
-    known = [(r.id, r.name, r.notice, r.words) for r in known.select("id", "name", "notice", _words("text").alias("words")).collect()]
-    vocabulary = sorted({w for *_, words in known for w in words})
-    cut = F.split("text", "\n")
-    of_known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "term string"))
-    line_words = rows.select(F.explode(cut).alias("line")).select(F.explode(_words("line")).alias("term"))
-    counts = {r.term: r["count"] for r in line_words.join(of_known, "term").groupBy("term").count().collect()}
-    square = lambda n: (math.log((1 + total) / (1 + n)) + 1) ** 2
-    w2 = {w: square(counts.get(w, 0)) for w in vocabulary}
     # A file must hold the square of the threshold of a template's weight, so half of that in the heavier words.
-    heavy, norms = [], []
-    for i, name, notice, words in known:
-        norm2 = sum(w2[w] for w in words)
-        norms.append((i, name, notice, norm2))
-        half, light = threshold * threshold * norm2 / 2, 0.0
+    heavy = []
+    for i, _, _, words in templates.known:
+        half, light = threshold * threshold * sum(w2[w] for w in words) / 2, 0.0
         for w in sorted(words, key=lambda w: (w2[w], w)):
             light += w2[w]
             if light > half:
                 heavy.append((w, i, w2[w], half))
     heavy = spark.createDataFrame(heavy, "term string, id int, w2 double, half double")
-    keyed = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
-    shared = keyed.select("path", "th", F.explode(_words("text")).alias("term")).join(F.broadcast(heavy), "term")
+    shared = held.select("path", "th", F.explode(F.array_distinct("seen")).alias("term")).join(F.broadcast(heavy), "term")
     shared = shared.groupBy("path", "th", "id").agg(F.sum("w2").alias("w2"), F.first("half").alias("half"))
     likely = materialize(shared.where("w2 >= half - 1e-6").select("path", "th").distinct(), "license-files")
+    keyed = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
     chosen = keyed.alias("k").join(likely.alias("l"), F.expr("k.path <=> l.path and k.th = l.th"), "left_semi")
-    held = F.filter(F.transform(cut, _words), lambda x: F.size(x) > 0)
-    chosen = chosen.dropDuplicates(["path", "th"]).select("path", held.alias("lines")).where("size(lines) > 0")
+    lines = F.filter(F.transform(F.split("text", "\n"), _words), lambda x: F.size(x) > 0)
+    chosen = chosen.dropDuplicates(["path", "th"]).select("path", lines.alias("lines")).where("size(lines) > 0")
     unit = lambda words, kind: F.struct(words.alias("words"), F.lit(kind).alias("kind"))
     groups = [F.transform("lines", lambda x: unit(x, "line"))]
     groups.append(F.array(unit(F.array_distinct(F.flatten("lines")), "whole")))
@@ -121,28 +176,14 @@ def _by_windows(rows: DataFrame, templates, texts, total: int, threshold: float)
         windows = F.transform(slices, lambda x: unit(F.array_distinct(F.flatten(x)), "window"))
         groups.append(F.when(F.size("lines") >= size, windows).otherwise(none))
     units = chosen.select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", "u.words")
-    in_known = F.array(*[F.lit(w) for w in vocabulary])
-    units = units.withColumn("hits", F.array_intersect("words", in_known))
+    units = units.withColumn("hits", _among("words", templates.vocabulary))
     units = units.where(F.size("hits") >= threshold * threshold * F.size("words") - 1e-9)
     units = units.select(
         "path", "kind", F.xxhash64("kind", F.array_sort("hits"), F.size("words")).alias("unit"), "hits",
         (F.size("words") - F.size("hits")).alias("others"),
     )
     units = materialize(units, "license-windows")
-    sets = units.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("kind", "hits", "others")])
-    idf = F.broadcast(spark.createDataFrame(list(w2.items()), "term string, w2 double"))
-    weighed = sets.select("unit", "kind", "others", F.explode("hits").alias("term")).join(idf, "term")
-    unit_norms = weighed.groupBy("unit").agg((F.sum("w2") + F.max("others") * square(0)).alias("norm2"))
-    terms = spark.createDataFrame([(i, w) for i, _, _, words in known for w in words], "id int, term string")
-    terms = terms.join(spark.createDataFrame(norms, "id int, name string, notice boolean, template2 double"), "id")
-    pairs = weighed.join(unit_norms, "unit").join(F.broadcast(terms), "term")
-    # A likeness is at most the root of the smaller norm over the larger.
-    close = F.least("norm2", "template2") >= threshold * threshold * F.greatest("norm2", "template2") - 1e-6
-    pairs = pairs.where(close & (~F.col("notice") | (F.col("kind") == "window")))
-    dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum("w2").alias("dot"))
-    score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6)
-    best = dots.withColumn("score", score).where(F.col("score") >= threshold)
-    best = best.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
+    best = _best(spark, units, templates.known, w2, unseen2, threshold)
     return units.join(best, "unit").select("path", (F.col("kind") == "whole").alias("whole"), "best")
 
 
@@ -156,54 +197,24 @@ def scan(
 ) -> DataFrame:
     """``path``, ``own_license``, ``own_score``, ``license`` and ``from_dir`` (null unless inherited), one row for each path."""
     spark = files.sparkSession
-    known = spark.createDataFrame(list(templates), "name string, notice string").select("name", _words("notice").alias("words"))
-    terms = known.select("name", F.explode("words").alias("term"))
-    vocabulary = [r.term for r in terms.select("term").distinct().orderBy("term").collect()]
-    listed = F.array(*[F.lit(t) for t in vocabulary])
+    known = Templates(spark, templates, license_texts() if texts is None else texts)
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    cut = F.split("text", "\n")
-    units = rows.select(
-        "path",
-        F.explode(
-            F.concat(
-                F.transform(cut, lambda x: F.struct(F.lit(False).alias("whole"), _words(x).alias("words"))),
-                F.array(F.struct(F.lit(True).alias("whole"), _words(F.col("text")).alias("words"))),
-            )
-        ).alias("u"),
-    ).select("path", "u.whole", "u.words", F.size("u.words").alias("n"), F.array_intersect("u.words", listed).alias("hits"))
-    units = units.where("n > 0")
-    single = rows.select(F.explode(cut).alias("line")).select(_words("line").alias("words")).where("size(words) > 0")
-    counted = single.select(F.array_intersect("words", listed).alias("hits")).select(F.explode(F.concat("hits", F.array(F.lit("")))).alias("term"))
-    counts = {r.term: r["count"] for r in counted.groupBy("term").count().collect()}  # a row for each term of the templates
-    total = counts.pop("", 0)
-    weight = lambda n: F.log((F.lit(1.0) + total) / (F.lit(1.0) + n)) + 1
-    seen = spark.createDataFrame([(t, counts.get(t, 0)) for t in vocabulary], "term string, df long")
-    idf = seen.select("term", (weight(F.col("df")) * weight(F.col("df"))).alias("w2"))
-    unseen2 = weight(F.lit(0)) * weight(F.lit(0))
-    # Only the distinct sets of words that could reach the threshold are scored.
-    likely = units.where(F.size("hits") >= threshold * threshold * F.col("n") - 1e-9)
-    likely = materialize(
-        likely.select("path", "whole", F.xxhash64(F.array_sort("hits"), "n").alias("unit"), "hits", (F.col("n") - F.size("hits")).alias("others")),
-        "license-units",
-    )
-    sets = likely.groupBy("unit").agg(F.first("hits").alias("hits"), F.first("others").alias("others"))
-    weighed = sets.select("unit", "others", F.explode("hits").alias("term")).join(F.broadcast(idf), "term")
-    norms = weighed.groupBy("unit").agg((F.sum("w2") + F.max("others") * unseen2).alias("norm2"))
-    template_norms = terms.join(idf, "term").groupBy("name").agg(F.sum("w2").alias("template2"))
-    dots = weighed.join(F.broadcast(terms), "term").groupBy("unit", "name").agg(F.sum("w2").alias("dot"))
-    scored = dots.join(norms, "unit").join(F.broadcast(template_norms), "name")
-    scored = scored.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6))
-    best = (
-        scored.where(F.col("score") >= threshold)
-        .groupBy("unit")
-        .agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
-        .select("unit", "best")
-    )
-    found = likely.join(best, "unit").select("path", "whole", "best")
-    texts = license_texts() if texts is None else texts
-    found = found.unionByName(_by_windows(rows, templates, texts, total, threshold))
-    own = found.groupBy("path").agg(F.min("best").alias("own"), F.max("whole").alias("whole"))
-    own = materialize(own, "license-own")
+    with scratch():
+        held = materialize(_held(rows, known, threshold), "license-words")
+        total = held.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        # A row for each term of the templates.
+        counts = {r.term: r["count"] for r in held.select(F.explode("seen").alias("term")).groupBy("term").count().collect()}
+        w2 = {w: _square(total, counts.get(w, 0)) for w in known.vocabulary}
+        unseen2 = _square(total, 0)
+        likely = held.select("path", F.explode("units").alias("u")).select(
+            "path", "u.whole", F.lit("notice").alias("kind"), "u.hits", (F.col("u.n") - F.size("u.hits")).alias("others"),
+            F.xxhash64(F.array_sort("u.hits"), "u.n").alias("unit"),
+        )
+        best = _best(spark, likely, [t for t in known.known if t[2]], w2, unseen2, threshold)
+        found = likely.join(best, "unit").select("path", "whole", "best")
+        found = found.unionByName(_by_windows(rows, held, known, w2, unseen2, threshold))
+        own = found.groupBy("path").agg(F.min("best").alias("own"), F.max("whole").alias("whole"))
+        own = materialize(own, "license-own", keep=True)
     everyone = rows.select("path").distinct()
     everyone = everyone.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
     return _inherit(everyone, own)

@@ -1,19 +1,25 @@
 """Toxicity by maximum-scoring segments.
 
 Every word has a log-odds score, toxic against clean, from document counts with
-Dirichlet priors: a word's prior is that of its longest known stem (its first
-letters), a stem's prior is that of the next shorter one, and the shortest
-stem's is the share of the classes. The k-th repeat of a word in a text weighs
-1/k, as words come in bursts. A linear scan (Ruzzo and Tompa) finds all
-maximal segments of a text, whose scores are put on the scale of Karlin and
-Altschul: with lambda and K from clean texts, the number of segments that reach
-a score by chance is Poisson with mean ``K n exp(-lambda S)``. The sum statistic
-of the best r segments, for the best r, is a document's evidence; a logistic
-curve maps it to a probability. Lambda, K and the curve are fitted on scores
-that each half of the training rows gets from the other half's counts.
+Dirichlet priors: a word's prior is that of its longest stem (its first letters),
+a stem's prior is that of the next shorter one, and the shortest stem's is the
+share of the classes. A word that no training text holds has the score of its
+longest known stem. The k-th repeat of a word in a text weighs 1/k, as words come
+in bursts. A linear scan (Ruzzo and Tompa) finds all maximal segments of a text,
+whose scores are put on the scale of Karlin and Altschul: with lambda and K from
+clean texts, the number of segments that reach a score by chance is Poisson with
+mean ``K n exp(-lambda S)``. The sum statistic of the best r segments, for the
+best r, is a document's evidence; a logistic curve maps it to a probability.
+Lambda, K and the curve are fitted on scores that each half of the training rows
+gets from the other half's counts.
+
+All words and stems of the training rows are counted. The model holds them as
+64-bit hashes, twelve bytes each.
 
 Defined results:
 - null or empty text, or text without letters: no segments, lowest evidence;
+- equal training texts count once, with the label that most of their rows have
+  (0 on a tie), so the model is the same however the tables are partitioned;
 - repeated rows are scored each for itself, an empty table gives no rows;
 - without usable labels of both classes every score is the prior (0.5 at worst);
 - further columns are not read, whatever their names.
@@ -27,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +42,18 @@ from .training import held_out, labelled_sample
 
 #: Labelled rows that training takes at most.
 SAMPLE = 20_000
-#: Words and stems that the model holds at most.
-VOCABULARY = 150_000
 #: Lengths of stems.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Pseudo-documents of a prior.
 PRIOR = 4.0
 #: Subtracted from every score, so that a clean text drifts down.
 DRIFT = 1.0
-#: Segments that the sum statistic takes at most.
-BEST = 24
+#: Words whose scores a worker remembers.
+REMEMBERED = 200_000
 _GRID = np.linspace(0.1, 3.0, 59)
 
 _word = re.compile(r"[^\W\d_]+").findall
+_WORD, _STEM = 0, 1
 
 
 def stems(word: str) -> list[str]:
@@ -55,25 +61,57 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in reversed(STEMS) if n < len(word)]
 
 
-class Scores(dict):
-    """Word -> score; words that the model does not hold get their longest stem's."""
+def key(unit: str, kind: int) -> int:
+    """A 64-bit hash that tells words and stems apart."""
+    return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), kind)
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], unknown: float):
-        super().__init__(words)
-        self.words, self.stems, self.unknown = words, stems, unknown
 
-    def __missing__(self, word: str) -> float:
-        held = self.stems
-        value = self[word] = next((held[s] for s in stems(word) if s in held), self.unknown)
-        return value
+class Scores:
+    """Scores of words: sorted hashes of words and stems with a score each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, unknown: float):
+        self.keys, self.values, self.unknown = keys, values, unknown
+        self.memo: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.keys, self.values, self.unknown
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def held(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes the model holds, and their scores."""
+        wanted = np.array(keys, np.uint64)
+        if not self.keys.size:
+            return np.zeros(wanted.size, bool), np.zeros(wanted.size)
+        at = np.minimum(np.searchsorted(self.keys, wanted), self.keys.size - 1)
+        return self.keys[at] == wanted, self.values[at]
+
+    def look_up(self, words: list[str]) -> None:
+        """Remember the scores of words: their own, or those of their longest known stems."""
+        memo = self.memo
+        known, values = self.held([key(w, _WORD) for w in words])
+        memo.update(zip(words, np.where(known, values, self.unknown).tolist()))
+        left = [w for w, k in zip(words, known.tolist()) if not k]
+        for n in reversed(STEMS):
+            asked = [w for w in left if len(w) > n]
+            if asked:
+                known, values = self.held([key(w[:n], _STEM) for w in asked])
+                found = {w: v for w, k, v in zip(asked, known.tolist(), values.tolist()) if k}
+                memo.update(found)
+                left = [w for w in left if w not in found]
 
     def of(self, text: str | None) -> np.ndarray:
         """The scores of a text's words."""
-        if len(self) > len(self.words) + 100_000:
-            self.clear()
-            self.update(self.words)
+        memo = self.memo
         found = _word(text.lower()) if text else []
-        scores = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        new = list({w for w in found if w not in memo})
+        if len(memo) + len(new) > REMEMBERED:
+            memo.clear()
+            new = list(set(found))
+        if new:
+            self.look_up(new)
+        scores = np.fromiter(map(memo.__getitem__, found), np.float64, len(found))
         seen: dict[str, int] = {}
         for i in np.flatnonzero(scores > 0).tolist():
             k = seen[found[i]] = seen.get(found[i], 0) + 1
@@ -116,7 +154,7 @@ def evidence(found: list[float], n: int, rate: float, k: float) -> float:
     """Minus the log of the chance that clean text of n words has such best segments."""
     if not n or not found:
         return -math.log(max(n, 1)) - 5.0
-    best = sorted((rate * s - math.log(k * n) for s in found), reverse=True)[:BEST]
+    best = sorted((rate * s - math.log(k * n) for s in found), reverse=True)
     top, total = best[0], 0.0
     for r, x in enumerate(best, 1):
         total += x
@@ -128,21 +166,27 @@ def evidence(found: list[float], n: int, rate: float, k: float) -> float:
     return top
 
 
-def log_odds(counts: list[tuple[str, str, int, int]], docs: tuple[int, int]) -> Scores:
-    """The model from document counts: (kind, unit, clean, toxic)."""
-    clean, toxic = max(docs[0], 1), max(docs[1], 1)
-    share = toxic / (clean + toxic)
-    ratios: dict[str, float] = {}
-    words: dict[str, float] = {}
-    for kind, unit, n0, n1 in sorted(counts, key=lambda c: (c[0], len(c[1]))):  # stems first, the short ones first
-        ratio = next((ratios[s] for s in stems(unit) if s in ratios), 0.0)
-        prior = 1 / (1 + (1 - share) / share * math.exp(-ratio))
-        p1 = (n1 + PRIOR * prior) / (toxic + PRIOR)
-        p0 = (n0 + PRIOR * (1 - prior)) / (clean + PRIOR)
-        (ratios if kind == "s" else words)[unit] = math.log(p1 / p0)
-    return Scores(
-        {w: v - DRIFT for w, v in words.items()}, {s: v - DRIFT for s, v in ratios.items()}, -DRIFT
-    )
+def log_odds(units: dict[str, np.ndarray], clean: np.ndarray, toxic: np.ndarray, docs: tuple[int, int]) -> Scores:
+    """The model from the documents with each unit.
+
+    ``units``: ``key``, ``parent`` (its longest proper stem's key) and ``level``
+    (a stem's letters; words above), sorted by key. Units of no document are left
+    out; a unit's parent is in all its documents.
+    """
+    seen = clean + toxic > 0
+    keys, parents, levels = (units[c][seen] for c in ("key", "parent", "level"))
+    n0, n1 = np.maximum(docs[0], 1), np.maximum(docs[1], 1)
+    share = n1 / (n0 + n1)
+    ratios = np.zeros(keys.size)
+    for level in np.unique(levels):
+        rows = np.flatnonzero(levels == level)
+        at = np.minimum(np.searchsorted(keys, parents[rows]), keys.size - 1)
+        ratio = np.where((keys[at] == parents[rows]) & (levels[at] < level), ratios[at], 0.0)
+        prior = 1 / (1 + (1 - share) / share * np.exp(-ratio))
+        p1 = (toxic[seen][rows] + PRIOR * prior) / (n1 + PRIOR)
+        p0 = (clean[seen][rows] + PRIOR * (1 - prior)) / (n0 + PRIOR)
+        ratios[rows] = np.log(p1 / p0)
+    return Scores(keys, (ratios - DRIFT).astype(np.float32), -DRIFT)
 
 
 class Model:
@@ -151,14 +195,6 @@ class Model:
     def __init__(self, scores: Scores, rate: float, k: float, slope: float, offset: float):
         self.scores, self.rate, self.k, self.slope, self.offset = scores, rate, k, slope, offset
 
-    def __getstate__(self):
-        s = self.scores
-        return (s.words, s.stems, s.unknown), self.rate, self.k, self.slope, self.offset
-
-    def __setstate__(self, state):
-        self.scores = Scores(*state[0])
-        self.rate, self.k, self.slope, self.offset = state[1:]
-
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Probability, and the significant segments (first word, end, minus log of E)."""
         scores = self.scores.of(text)
@@ -169,92 +205,96 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * x + self.offset)))), kept
 
 
-def _count(sample: DataFrame, docs: list[int]) -> list[tuple[str, str, int, int, int, int]]:
-    """Document counts by unit, label and fold, of the units whose counts tell most (chi-square)."""
+def _count(sample: DataFrame) -> dict[str, np.ndarray]:
+    """All units of the sample by ``key``, with ``parent``, ``level`` and document counts ``c0`` to ``c3`` by fold and label."""
+    names = ["key", "parent", "level", "c0", "c1", "c2", "c3"]
 
     def run(batches):
         seen: Counter = Counter()
 
         def flush():
-            rows = [(k, u, [n if i == slot else 0 for i in range(4)]) for (k, u, slot), n in seen.items()]
+            rows = []
+            for (kind, unit, slot), n in seen.items():
+                longest = next(iter(stems(unit)), None)
+                parent = key(longest, _STEM) if longest else 0
+                rows.append((key(unit, kind), parent, STEMS[-1] + 1 if kind == _WORD else len(unit), *(n * (i == slot) for i in range(4))))
             seen.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
-                + [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(4)],
-                names=["kind", "unit", "c0", "c1", "c2", "c3"],
-            )
+            columns = list(zip(*rows)) or [()] * 7
+            keys = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
+            return pa.RecordBatch.from_arrays(keys + [pa.array(c, pa.int64()) for c in columns[2:]], names=names)
 
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 for text, label, fold in zip(*(c.to_pylist() for c in part.columns)):
                     found = set(_word(text.lower()))
                     slot = 2 * fold + label
-                    seen.update(("w", w, slot) for w in found)
-                    seen.update(("s", s, slot) for s in {s for w in found for s in stems(w)})
-                if len(seen) > 200_000:
-                    yield flush()
+                    seen.update((_WORD, w, slot) for w in found)
+                    seen.update((_STEM, s, slot) for s in {s for w in found for s in stems(w)})
+                    if len(seen) > 200_000:
+                        yield flush()
         yield flush()
 
-    counts = sample.mapInArrow(run, "kind string, unit string, c0 long, c1 long, c2 long, c3 long")
-    totals = counts.groupBy("kind", "unit").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
-    totals = totals.withColumn("n", F.expr("c0 + c1 + c2 + c3")).where("n >= 2")
-    share = (docs[1] + docs[3]) / max(sum(docs), 1)
-    surplus = F.expr("c1 + c3") - F.col("n") * F.lit(share)
-    top = totals.orderBy(F.desc(surplus * surplus / F.col("n")), "kind", "unit").limit(VOCABULARY)
-    return [(r.kind, r.unit, r.c0, r.c1, r.c2, r.c3) for r in top.collect()]
+    counts = sample.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    sums = [F.min("parent").alias("parent"), F.min("level").alias("level"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]]
+    table = counts.groupBy("key").agg(*sums).toArrow()
+    found = {c: table.column(c).to_numpy() for c in names}
+    found = {c: v.view(np.uint64) if c in ("key", "parent") else v for c, v in found.items()}
+    order = np.argsort(found["key"])
+    return {c: v[order] for c, v in found.items()}
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
-    """Fit the model on at most ``bound`` labelled rows outside the held-out fold."""
+    """Fit the model on at most ``bound`` labels outside the held-out fold."""
     sample = labelled_sample(documents, labels, "toxic", 3, 1, bound, id_col, text_col)
-    sample = materialize(sample.select("text", "label", "fold").dropDuplicates(["text"]), "toxicity-sample")
+    sample = sample.groupBy("text", "fold").agg((F.avg("label") > 0.5).cast("int").alias("label"))
+    sample = materialize(sample.select("text", "label", "fold"), "toxicity-sample")
     docs = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     n = [docs.get((slot // 2, slot % 2), 0) for slot in range(4)]
-    counts = _count(sample, n)
-    whole = log_odds([(k, u, c0 + c2, c1 + c3) for k, u, c0, c1, c2, c3 in counts], (n[0] + n[2], n[1] + n[3]))
+    units = _count(sample)
+    c = [units[f"c{i}"] for i in range(4)]
+    whole = log_odds(units, c[0] + c[2], c[1] + c[3], (n[0] + n[2], n[1] + n[3]))
     # A fold is scored by the other fold's counts.
-    crossed = [
-        log_odds([(c[0], c[1], c[4], c[5]) for c in counts if c[4] + c[5] > 0], (n[2], n[3])),
-        log_odds([(c[0], c[1], c[2], c[3]) for c in counts if c[2] + c[3] > 0], (n[0], n[1])),
-    ]
-    parts = [(s.words, s.stems, s.unknown) for s in crossed]
-    shared = sample.sparkSession.sparkContext.broadcast(parts)
+    crossed = [log_odds(units, c[2], c[3], (n[2], n[3])), log_odds(units, c[0], c[1], (n[0], n[1]))]
+    shared = sample.sparkSession.sparkContext.broadcast(crossed)
 
     def run(batches):
-        scores = [Scores(*p) for p in shared.value]
+        scores = shared.value
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 rows = []
                 for text, label, fold in zip(*(c.to_pylist() for c in part.columns)):
                     values = scores[fold].of(text)
-                    best = sorted((s for _, _, s in segments(values)), reverse=True)[:BEST]
-                    moments = np.exp(np.outer(_GRID, values)).sum(1).tolist() if not label else []
-                    rows.append((label, values.size, best, moments))
+                    moments = np.zeros(_GRID.size)
+                    for first in range(0, 0 if label else values.size, 10_000):
+                        moments += np.exp(np.outer(_GRID, values[first : first + 10_000])).sum(1)
+                    rows.append((label, values.size, [s for _, _, s in segments(values)], moments.tolist()))
+                kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int32()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.list_(pa.float64())),
-                        pa.array([r[3] for r in rows], pa.list_(pa.float64())),
-                    ],
-                    names=["label", "n", "best", "moments"],
+                    [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["label", "n", "found", "moments"]
                 )
 
-    scored = sample.select("text", "label", "fold").mapInArrow(
-        run, "label int, n long, best array<double>, moments array<double>"
-    )
-    rows = scored.collect()
+    scored = sample.mapInArrow(run, "label int, n long, found array<double>, moments array<double>")
+    scored = materialize(scored, "toxicity-scored")
+    shared.destroy()
     discard(sample)
-    rows.sort(key=lambda r: (r.label, r.n, r.best))
-    return _calibrate(whole, rows)
+    model = _calibrate(whole, scored, sum(n), n[1] + n[3])
+    discard(scored)
+    return model
+
+
+def _exact(column):
+    """As a decimal, whose sums do not depend on the order of rows."""
+    return column.cast("decimal(38,9)")
 
 
-def _calibrate(scores: Scores, rows: list) -> Model:
-    clean = [r for r in rows if r.label == 0 and r.n]
-    words = sum(r.n for r in clean)
-    if not words or not any(r.label for r in rows):
-        return Model(scores, 1.0, 0.1, 0.0, 0.0 if not rows else -4.0 if not any(r.label for r in rows) else 0.0)
-    moments = np.sum([r.moments for r in clean], axis=0) / words
+def _calibrate(scores: Scores, scored: DataFrame, rows: int, toxic: int) -> Model:
+    clean = scored.where("label = 0 and n > 0")
+    sums = [F.sum(_exact(F.col("moments")[i])).alias(f"m{i}") for i in range(_GRID.size)]
+    got = clean.agg(F.sum("n").alias("words"), *sums).first()
+    if not got.words or not toxic:
+        return Model(scores, 1.0, 0.1, 0.0, 0.0 if not rows else -4.0 if not toxic else 0.0)
+    moments = np.array([float(got[f"m{i}"]) for i in range(_GRID.size)]) / got.words
     above = np.flatnonzero(moments >= 1.0)
     if not above.size:
         rate = float(_GRID[-1])
@@ -263,11 +303,19 @@ def _calibrate(scores: Scores, rows: list) -> Model:
     else:
         i = int(above[0])
         rate = float(np.interp(1.0, moments[i - 1 : i + 1], _GRID[i - 1 : i + 1]))
-    tops = [rate * r.best[0] - math.log(r.n) for r in clean if r.best]
-    k = math.exp(float(np.mean(tops)) - 0.5772156649) if tops else 0.1
-    x = np.array([evidence(r.best, r.n, rate, k) for r in rows])
-    y = np.array([r.label for r in rows], float)
-    slope, offset = logistic(x, y)
+    top = F.lit(rate) * F.array_max("found") - F.log("n")
+    tops = clean.where("size(found) > 0").agg(F.sum(_exact(top)).alias("total"), F.count("*").alias("n")).first()
+    k = math.exp(float(tops.total) / tops.n - 0.5772156649) if tops.n else 0.1
+
+    def run(batches):
+        for batch in batches:
+            x = [evidence(found, n, rate, k) for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["label", "x"])
+
+    table = scored.select("label", "n", "found").mapInArrow(run, "label int, x double").toArrow()
+    y, x = table.column("label").to_numpy().astype(float), table.column("x").to_numpy()
+    order = np.lexsort((x, y))
+    slope, offset = logistic(x[order], y[order])
     return Model(scores, rate, k, slope, offset)
 
 

@@ -5,9 +5,17 @@ of accepted and of rejected URLs, give the next character's probability from
 contexts of up to ``ORDER`` characters, each order smoothed by the next shorter
 one after Witten and Bell; a context counts from ``SEEN`` examples up, so its
 length varies. The log-likelihood difference by character is compared with a
-cut that is calibrated on examples scored by the other half's counts.
+cut.
 
-Digits all read as 0, as numbers in URLs are mostly serial.
+The models read a URL without its scheme and without the last two labels of its
+host, as rules name those: else the models would learn to tell the rules' hosts
+and top-level domains, which say nothing of other URLs. Digits all read as 0, as
+numbers in URLs are mostly serial.
+
+The cut is calibrated on examples whose rules the counts do not know: the rules of
+each verdict are dealt out over two folds, and a fold's examples are scored by the
+other fold's counts. (Where a verdict has one rule only, folds go by a hash of the
+URL.) ``Filter.errors`` tells how the examples of each rule fared at the cut.
 
 All counts are used. Up to ``ENTRIES`` of them are sent to the workers; a larger
 table stays in the shared folder and is joined to the distinct windows of
@@ -45,6 +53,7 @@ STEP = 0.01
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 _digits = re.compile(r"[0-9]").sub
+_host = re.compile(r"[^/?#]*").match
 
 
 def host_and_path(url_col: str) -> tuple[Column, Column]:
@@ -65,9 +74,18 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+def told(url: str | None) -> str:
+    """The URL without its scheme and the last two labels of its host; all of a text without ``://``."""
+    _, scheme, rest = (url or "").partition("://")
+    if not scheme:
+        return url or ""
+    host = _host(rest)[0]
+    return ".".join(host.split(".")[:-2]) + rest[len(host) :]
+
+
 def symbols(url: str | None) -> str:
-    """What the models read: start marks, the URL with digits as 0, an end mark."""
-    return "\x02" * ORDER + _digits("0", url or "") + "\x03"
+    """What the models read: start marks, what is told of the URL with digits as 0, an end mark."""
+    return "\x02" * ORDER + _digits("0", told(url)) + "\x03"
 
 
 class Markov:
@@ -223,22 +241,35 @@ def differences(urls: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """The models and their cut; ``found`` holds the differences where the counts are too many for a worker."""
+    """The models and their cut; ``found`` holds the differences where the counts are too many for a worker.
+
+    ``errors``: rule -> (wrong, all), of its examples as the other fold's counts judge them.
+    """
 
-    def __init__(self, markov: Markov | None, cut: float, found: DataFrame | None = None):
-        self.markov, self.cut, self.found = markov, cut, found
+    def __init__(self, markov: Markov | None, cut: float, found: DataFrame | None = None, errors: dict | None = None):
+        self.markov, self.cut, self.found, self.errors = markov, cut, found, errors or {}
 
 
-def train(judged: DataFrame, url_col: str, verdict_col: str) -> Filter:
+def _fold(rule: Column, verdict: Column, rules) -> Column:
+    """The fold of an example: its rule's, dealt out by verdict, or that of ``__url`` where a verdict has one rule."""
+    of = {v: sorted(h + p for h, p, w in rules if w == v) for v in ("allow", "block")}
+    if min(map(len, of.values())) < 2:
+        return F.pmod(F.xxhash64("__url"), F.lit(2)).cast("int")
+    odd = [name for names in of.values() for name in names[1::2]]
+    return rule.isin(odd).cast("int")
+
+
+def train(judged: DataFrame, url_col: str, verdict_col: str, rule_col: str, rules=RULES) -> Filter:
     """Fit on all rows whose verdict is set."""
     spark = judged.sparkSession
-    examples = judged.where(F.col(verdict_col).isNotNull()).select(
+    examples = judged.where(F.col(verdict_col).isNotNull()).withColumn("__url", F.col(url_col)).select(
         F.col(url_col).alias("url"),
         (F.col(verdict_col) == "allow").cast("int").alias("accepted"),
-        F.pmod(F.xxhash64(url_col), F.lit(2)).cast("int").alias("half"),
+        _fold(F.col(rule_col), F.col(verdict_col), rules).alias("half"),
+        F.col(rule_col).alias("rule"),
     )
     examples = materialize(examples, "url-examples")
-    grams = _count(examples)
+    grams = _count(examples.select("url", "accepted", "half"))
     size, *slots = grams.agg(F.count("*"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(4)]).first()
     if not (slots[0] + slots[2] and slots[1] + slots[3]):
         discard(examples)
@@ -248,10 +279,11 @@ def train(judged: DataFrame, url_col: str, verdict_col: str) -> Filter:
         found = differences(judged.select(F.col(url_col).alias("url")), grams)
         by_half = F.when(F.col("half") == 0, F.col("d0")).otherwise(F.col("d1"))
         step = F.rint(by_half / F.lit(STEP)).cast("long").alias("step")
-        table = examples.join(found, "url").groupBy(step, "accepted").agg(F.count("*").alias("n")).collect()
+        table = examples.join(found, "url").groupBy(step, "accepted", "rule").agg(F.count("*").alias("n")).collect()
         discard(examples)
         discard(grams)
-        return Filter(None, _cut(table), found)
+        cut = _cut(table)
+        return Filter(None, cut, found, _errors(table, cut))
     counts = grams.collect()
     discard(grams)
     whole = Markov({r.gram: (r.c0 + r.c2, r.c1 + r.c3) for r in counts})
@@ -261,22 +293,34 @@ def train(judged: DataFrame, url_col: str, verdict_col: str) -> Filter:
     def run(batches):
         models = [Markov(g) for g in shared.value]
         for batch in batches:
-            urls, accepted, half = (c.to_pylist() for c in batch.columns)
-            found = Counter((round(models[h].difference(u) / STEP), a) for u, a, h in zip(urls, accepted, half))
+            columns = [c.to_pylist() for c in batch.columns]
+            found = Counter((round(models[h].difference(u) / STEP), a, r) for u, a, h, r in zip(*columns))
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int32()),
+                    pa.array([k[2] for k in keys], pa.string()),
                     pa.array([found[k] for k in keys], pa.int64()),
                 ],
-                names=["step", "accepted", "n"],
+                names=["step", "accepted", "rule", "n"],
             )
 
-    scored = examples.mapInArrow(run, "step long, accepted int, n long")
-    table = scored.groupBy("step", "accepted").agg(F.sum("n").alias("n")).collect()
+    scored = examples.mapInArrow(run, "step long, accepted int, rule string, n long")
+    table = scored.groupBy("step", "accepted", "rule").agg(F.sum("n").alias("n")).collect()
     discard(examples)
-    return Filter(whole, _cut(table))
+    cut = _cut(table)
+    return Filter(whole, cut, None, _errors(table, cut))
+
+
+def _errors(table: list, cut: float) -> dict[str, tuple[int, int]]:
+    """Of each rule's examples, how many are on the wrong side of the cut, and how many there are."""
+    out: dict[str, list[int]] = {}
+    for r in table:
+        have = out.setdefault(r.rule, [0, 0])
+        have[0] += r.n * ((r.step * STEP >= cut) != bool(r.accepted))
+        have[1] += r.n
+    return {rule: tuple(have) for rule, have in sorted(out.items())}
 
 
 def _cut(table: list) -> float:
@@ -304,7 +348,7 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
     judged = plain.withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "verdict": verdict})
-    model = train(judged, "__url", "verdict")
+    model = train(judged, "__url", "verdict", "rule", rules)
     if model.found is not None:
         return _by_table(judged, model).select(
             *[F.col(n).alias(c) for c, n in zip(keep, names)], "host", "path", "rule", "verdict", "difference"

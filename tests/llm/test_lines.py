@@ -46,8 +46,9 @@ def world(seed):
     return docs + [(100, None), (101, ""), (102, "\n\n"), (103, docs[5][1]), (103, docs[5][1]), (None, docs[8][1])]
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     for seed, least in ((1, 6), (2, 3), (3, 12)):
+        monkeypatch.setattr(lines, "HOT", 3 if seed == 2 else 20_000)  # many keys get salts
         docs = world(seed)
         gone = brute(docs, least)
         df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, line string")
@@ -61,6 +62,18 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_every_window_selects_a_place_and_few_are_selected(spark):
+    rng = random.Random(8)
+    text = "\n".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(2, 6))) for _ in range(3000))
+    df = spark.createDataFrame([(1, text)], "id long, text string").selectExpr("id", "text", "xxhash64(text) th")
+    rows = lines._lines(df)
+    marks = sorted(r.pos for r in lines._fingerprints(rows, 40).collect())
+    at = [r.at for r in rows.orderBy("pos").collect()]
+    # Two neighbouring places are within one window of each other, and about 2 in (lines of a window + 1) are selected.
+    assert all(at[b] - at[a] <= 40 + 6 for a, b in zip(marks, marks[1:]))
+    assert len(marks) < 3 * len(at) / 11
+
+
 def test_a_shared_passage_stays_once(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(i, f"own {i} line\n{passage}\nend {i}") for i in range(20)], "doc_id long, text string")

@@ -61,6 +61,47 @@ def test_toxicity_held_out(spark):
     assert len(model.judge("ba de idiot idiot moronic fi go")[1]) >= 1
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = corpus(spark, 200)
+    texts = [r.text for r in docs.where("doc_id < 40").collect()]
+    again = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(again)
+    labels = labels.union(spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(40)], labels.schema))  # labels that clash
+    got = []
+    for parts in (1, 7):
+        model = toxicity.train(docs.repartition(parts, "text"), labels.repartition(parts))
+        got.append(sorted(map(tuple, toxicity.score(docs, model, ["doc_id"]).select("doc_id", "score").collect()), key=str))
+    assert got[0] == got[1] and len({s for _, s in got[0]}) > 20
+
+
+def test_log_odds_by_the_plain_formula(spark):
+    """Counts of all units, and scores by the recursion over stems."""
+    rows = [("idiot idiots fool", 1, 0), ("idiot day", 0, 0), ("night day foolish", 0, 1), ("idiotic", 1, 1), ("", 0, 1)]
+    units = toxicity._count(spark.createDataFrame(rows, "text string, label int, fold int"))
+    clean, toxic = units["c0"] + units["c2"], units["c1"] + units["c3"]
+    model = toxicity.log_odds(units, clean, toxic, (3, 2))
+
+    def holds(unit, stem, label):
+        words = [(set(t.split()), y) for t, y, _ in rows]
+        return sum(y == label and any(w.startswith(unit) and len(w) > len(unit) if stem else w == unit for w in ws) for ws, y in words)
+
+    def ratio(unit, stem):
+        parents = toxicity.stems(unit)
+        prior = 1 / (1 + 3 / 2 * math.exp(-(ratio(parents[0], True) if parents else 0.0)))
+        p1, p0 = (holds(unit, stem, 1) + 4 * prior) / (2 + 4), (holds(unit, stem, 0) + 4 * (1 - prior)) / (3 + 4)
+        return math.log(p1 / p0)
+
+    for word in ("idiot", "idiots", "fool", "foolish", "day", "night", "idiotic"):
+        assert model.of(word)[0] == pytest.approx(ratio(word, False) - toxicity.DRIFT, rel=1e-5)
+    assert model.of("idiotical")[0] == pytest.approx(ratio("idioti", True) - toxicity.DRIFT, rel=1e-5)
+    assert model.of("zzz")[0] == -toxicity.DRIFT
+
+
+def test_evidence_takes_all_segments():
+    one, many = toxicity.evidence([3.0] * 24, 5000, 1.0, 1e-4), toxicity.evidence([3.0] * 60, 5000, 1.0, 1e-4)
+    assert many > one + 10
+
+
 def test_models_without_labels(spark):
     docs, labels = corpus(spark, 30)
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
@@ -129,6 +170,64 @@ def test_markov_is_a_distribution():
     assert math.isfinite(counts.difference("abba")) and counts.difference(None) == counts.difference("")
 
 
+def test_markov_sums_to_one_and_meets_the_plain_formula(spark):
+    """The two models' chances of the next character, and the difference, by the formula of Witten and Bell."""
+    rng = random.Random(12)
+    texts = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 8))), k % 2) for k in range(40)]
+    grams = {}
+    for text, accepted in texts:
+        marked = urls.symbols(text)
+        for i in range(urls.ORDER, len(marked)):
+            for n in range(urls.ORDER + 1):
+                grams.setdefault(marked[i - n : i + 1], [0, 0])[accepted] += 1
+    markov = urls.Markov({g: tuple(c) for g, c in grams.items()})
+
+    def chance(c, context, k):
+        prior = chance(c, context[1:], k) if context else 1 / 256
+        follow = {g[-1]: v[k] for g, v in grams.items() if g[:-1] == context}
+        total, kinds = sum(follow.values()), sum(v > 0 for v in follow.values())
+        return (follow.get(c, 0) + kinds * prior) / (total + kinds) if total else prior
+
+    letters = sorted({g[-1] for g in grams})
+    for context in ("", "a", "ab", "\x02\x02a", "zz"):
+        for k in (0, 1):
+            # Letters never seen share what is left of 256.
+            left = (256 - len(letters)) * chance("\x00", context, k)
+            assert sum(chance(c, context, k) for c in letters) + left == pytest.approx(1)
+    for text in ("abca", "cc", "", "azb"):
+        marked = urls.symbols(text)
+        want = sum(
+            math.log(chance(marked[i], marked[i - urls.ORDER : i], 1) / chance(marked[i], marked[i - urls.ORDER : i], 0))
+            for i in range(urls.ORDER, len(marked))
+        )
+        assert markov.difference(text) == pytest.approx(want / (len(marked) - urls.ORDER))
+
+
+def test_urls_of_one_domain_are_told_apart_by_their_text(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(["ba", "lo", "mi", "ter", "sun"]) for _ in range(2))
+    bad = lambda: rng.choice(["casino-win", "cheap-pills", "free-bets"])
+    rules = (("net", "/", "block"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("example.net", "/en/", "allow"))
+    rows = []
+    for i in range(200):
+        rows += [f"http://{bad()}.a.net/x/{i}", f"https://{bad()}.example.com/de/{i}"]
+        rows += [f"https://{word()}.b.org/fr/{i}", f"http://{word()}.example.net/en/{i}"]
+    fresh = [(f"http://{bad()}.shop.info/q/{i}", "block") for i in range(40)] + [(f"http://{word()}.shop.info/q/{i}", "allow") for i in range(40)]
+    df = spark.createDataFrame([(u,) for u in rows + [u for u, _ in fresh]], "url string")
+    got = {r.url: r.verdict for r in urls.judge(df, ["url"], rules=rules).collect()}
+    assert np.mean([got[u] == v for u, v in fresh]) > 0.9
+    judged = df.withColumns(dict(zip(("host", "path"), urls.host_and_path("url"))))
+    rule, verdict = urls.rule_columns(judged["host"], judged["path"], rules)
+    errors = urls.train(judged.withColumns({"rule": rule, "verdict": verdict}), "url", "verdict", "rule", rules).errors
+    assert set(errors) == {"net/", "example.com/de/", "org/fr/", "example.net/en/"}
+    assert sum(w for w, _ in errors.values()) < 0.1 * sum(n for _, n in errors.values())
+
+
+def test_very_long_urls(spark):
+    df = spark.createDataFrame([("http://a.net/" + "x" * 300_000,), ("http://b.org/fr/1",), ("http://c.info/" + "y" * 300_000,)], "url string")
+    assert urls.judge(df, ["url"]).count() == 3
+
+
 def test_html_held_out():
     crf = html.trained()
     wrong = total = 0
