@@ -3,6 +3,22 @@
 Toxic documents go; of passages that repeat, the first document keeps the lines;
 of each group of near copies the document with the least id stays; documents
 that hold a benchmark window go; what is left is encoded and decoded.
+
+Each stage writes its result into the shared folder itself, so that Python gets
+few rows at once and nothing is computed twice.
+
+Defined results:
+- all columns of the documents go through all stages but the last, whatever
+  their names; the last gives ``doc_id``, ``lang``, ``source``, ``token_ids`` and
+  the digests, and leaves ``n_chars`` and further columns out;
+- null and empty texts are neither toxic, repeated, copies nor contaminated, and
+  are encoded as no token;
+- a null id is an id like any other in the first two stages; a row with a null id
+  never stands for a group of copies that has another id;
+- rows that repeat an id and a text are one document: the first of them in the
+  order of their other columns as JSON stays; rows that share an id with
+  different texts each stay if their group is named by that id;
+- an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm import bpe, decontamination, jaccard, lines, toxicity
-from scenelake.llm.common import materialize
+from scenelake.llm.common import discard, materialize, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7, by a model trained on the labelled ones."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs, model)
+    return materialize(toxicity.drop_toxic(docs, model), "pipeline-toxicity", keep=True)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,27 +42,45 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text. A document of which no line with a word is
     left, as all of them stand in earlier documents, goes.
     """
-    kept = lines.dedup_lines(docs, added=("__lines", "__removed"))
-    kept = kept.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", changed).select(*docs.columns)
+    with scratch():
+        kept = lines.dedup_lines(docs, added=("__lines", "__removed"))
+        kept = kept.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+        changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", changed).select(*docs.columns)
+        return materialize(kept, "pipeline-lines", keep=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the least id."""
-    found = jaccard.components(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    with scratch():
+        found = jaccard.components(docs)
+        stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__stay"))
+        stay = materialize(stay.agg((F.count("*") > 1).alias("__twice")), "pipeline-stay")
+        named = docs["doc_id"].eqNullSafe(F.col("__stay"))
+        if stay.where("__twice").isEmpty():
+            kept = docs.join(stay, named, "left_semi")
+        else:
+            kept = docs.join(stay.where("not __twice"), named, "left_semi")
+            kept = kept.unionByName(_one_of_each(docs.join(stay.where("__twice"), named, "left_semi")))
+        return materialize(kept, "pipeline-copies", keep=True)
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """Of the rows that repeat an id and a text, the first by their other columns as JSON."""
+    others = F.struct(*[c for c in rows.columns if c not in ("doc_id", "text")], F.lit(1).alias("__one"))
+    first = rows.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias("__rest"))
+    return first.select("doc_id", "text", "__rest.*").select(*rows.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return materialize(clean, "pipeline-benchmark", keep=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of the ids and of the bytes they decode to."""
-    return bpe.round_trip(docs, ["doc_id", "lang", "source"], with_ids=True)
+    return materialize(bpe.round_trip(docs, ["doc_id", "lang", "source"], with_ids=True), "pipeline-tokens", keep=True)
 
 
 STAGES = [
@@ -62,8 +96,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result over the documents table."""
+    """The last stage's result over the documents table; the tables between go when they have been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for _, stage in STAGES:
+        after = stage(spark, docs, sf_dir)
+        discard(docs)
+        docs = after
     return docs
