@@ -91,3 +91,23 @@ def compatible(text: Column) -> Column:
 def fold_dashes(text: Column) -> Column:
     """Unicode dashes as hyphens, runs of them as one."""
     return F.regexp_replace(F.translate(text, "‐‑‒–—―−", "-------"), "-+", "-")
+
+
+def two_decimals(value: Column) -> Column:
+    """A number with two decimals, N/A for null."""
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.2f", F.round(value, 2)))
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(value, 0)
+
+
+def signed(value: Column) -> Column:
+    """A number with its sign and four decimals."""
+    return F.format_string("%+.4f", F.round(value, 4))
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage with one decimal."""
+    return F.concat(F.format_string("%.1f", F.round(share * 100, 1)), F.lit("%"))

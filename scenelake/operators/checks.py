@@ -60,3 +60,41 @@ def filter_holds(survivors: DataFrame, stages: DataFrame) -> DataFrame:
         F.count_if(F.col("c_stage") == F.col("stage_idx")).alias("own_hits"),
         F.count_if(F.col("c_stage") > F.col("stage_idx")).alias("future_hits"),
     )
+
+
+def pair_checks(pairs: DataFrame, bounds: list[tuple[str, str, str, float]]) -> DataFrame:
+    """``check_name`` and ``result`` of bounds (name, class, class, least value) on a pair's ``jaccard``; SKIP if a class is unknown."""
+    spark = pairs.sparkSession
+    wanted = spark.createDataFrame(bounds, "check_name string, a string, b string, bound double")
+    classes = pairs.select(F.explode(F.array("class_i", "class_j")).alias("class")).distinct()
+    held = wanted.join(F.broadcast(pairs), F.expr("least(a, b) = class_i and greatest(a, b) = class_j"), "left")
+    for side in ("a", "b"):
+        known = classes.select(F.col("class").alias(f"known_{side}"))
+        held = held.join(known, F.col(side) == F.col(f"known_{side}"), "left")
+    known = F.col("known_a").isNotNull() & F.col("known_b").isNotNull()
+    value = F.when(known, F.coalesce("jaccard", F.lit(0.0)))
+    return held.select("check_name", result(value > F.col("bound")).alias("result"))
+
+
+def against_report(found: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Measured counts beside reported ones (column ``expected``), and whether they agree; SKIP without a report."""
+    both = found.select(*keys, value).join(F.broadcast(expected.select(*keys, "expected")), keys, "left")
+    return both.withColumn("result", result(F.col(value) == F.col("expected")))
+
+
+def corroborated(rows: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of ``scene`` and ``classes_present`` against a second source, joined by the last part of the scene's path.
+
+    ``second``: ``scene`` and ``class``. ``n_first`` classes, ``n_both`` that the second source has too,
+    and whether it knows the scene at all.
+    """
+    name = lambda c: F.substring_index(c, "/", -1)
+    held = second.groupBy(name(F.col("scene").cast("string")).alias("name")).agg(F.collect_set("class").alias("others"))
+    mine = rows.select("scene", name(F.col("scene").cast("string")).alias("name"), F.filter(F.split("classes_present", r"\|"), lambda c: c != "").alias("own"))
+    both = mine.join(held, "name", "left")
+    return both.select(
+        "scene",
+        F.size("own").cast("long").alias("n_first"),
+        F.when(F.col("others").isNotNull(), F.size(F.array_intersect("own", "others"))).otherwise(0).cast("long").alias("n_both"),
+        F.col("others").isNotNull().alias("in_second"),
+    )

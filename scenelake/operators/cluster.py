@@ -56,22 +56,58 @@ def weighted_kmeans(x: np.ndarray, w: np.ndarray, k: int, seed: int, n_init: int
     return best
 
 
+#: Rows of a block whose distances to all rows are held at once.
+BLOCK = 1024
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of two matrices, by one product."""
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
 def weighted_silhouette(x: np.ndarray, w: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette of rows with multiplicities."""
-    kinds = np.unique(labels)
+    """Mean Euclidean silhouette of rows with multiplicities, a block of rows at a time."""
+    kinds, own = np.unique(labels, return_inverse=True)
     if kinds.size < 2:
         return float("nan")
-    distance = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(2))
-    sums = np.stack([(distance * (w * (labels == c))[None]).sum(1) for c in kinds], 1)
-    mass = np.array([w[labels == c].sum() for c in kinds])
-    own = np.searchsorted(kinds, labels)
-    rows = np.arange(len(x))
-    a = sums[rows, own] / np.maximum(mass[own] - 1, 1e-12)
-    other = sums / mass
-    other[rows, own] = np.inf
-    b = other.min(1)
-    s = np.where(mass[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float((w * s).sum() / w.sum())
+    member = np.zeros((len(x), kinds.size))
+    member[np.arange(len(x)), own] = w
+    mass = member.sum(0)
+    total = 0.0
+    for first in range(0, len(x), BLOCK):
+        part = slice(first, first + BLOCK)
+        distance = _distances(x[part], x)
+        rows, mine = np.arange(distance.shape[0]), own[part]
+        distance[rows, rows + first] = 0.0
+        sums = distance @ member
+        a = sums[rows, mine] / np.maximum(mass[mine] - 1, 1e-12)
+        other = sums / mass
+        other[rows, mine] = np.inf
+        b = other.min(1)
+        s = np.where(mass[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+        total += float((w[part] * s).sum())
+    return total / float(w.sum())
+
+
+def null_reference(x: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and their counts of as many draws as the rows weigh, with independent columns of the same shares.
+
+    Drawn in blocks of rows, each of which is counted by pattern at once.
+    """
+    p = np.clip((w[:, None] * x).sum(0) / w.sum(), 1e-6, 1 - 1e-6)
+    counts: dict[bytes, int] = {}
+    left = int(w.sum())
+    while left:
+        n = min(left, 1 << 16)
+        packed = np.packbits(rng.random((n, x.shape[1])) < p, axis=1)
+        kinds, times = np.unique(packed, axis=0, return_counts=True)
+        for kind, t in zip(kinds, times.tolist()):
+            counts[kind.tobytes()] = counts.get(kind.tobytes(), 0) + t
+        left -= n
+    keys = sorted(counts)
+    bits = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+    return np.unpackbits(bits, axis=1)[:, : x.shape[1]].astype(float), np.array([counts[k] for k in keys], float)
 
 
 _FITS = "focal_class string, k int, draw int, log_w double, silhouette double, labels string"
@@ -97,10 +133,7 @@ def fits(patterns: DataFrame, ks: list[int], draws: int = 0, seed: int = 42, n_i
             x = np.array([[int(c) for c in p] for p, _ in rows], float)
             w = np.array([n for _, n in rows], float)
             if draw:
-                p = np.clip((w[:, None] * x).sum(0) / w.sum(), 1e-6, 1 - 1e-6)
-                rng = np.random.default_rng([seed, draw, k, *focal.encode()])
-                x, w = np.unique((rng.random((int(w.sum()), x.shape[1])) < p).astype(float), axis=0, return_counts=True)
-                w = w.astype(float)
+                x, w = null_reference(x, w, np.random.default_rng([seed, draw, k, *focal.encode()]))
             labels, inertia = weighted_kmeans(x, w, int(k), seed, n_init)
             if np.unique(labels).size < 2:
                 continue
@@ -175,17 +208,83 @@ def version_comparison(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def silhouette_of_labels(points: DataFrame) -> DataFrame:
+def version_counts(comparison: DataFrame) -> DataFrame:
+    """How many classes there are, and for how many k changed, fell and rose."""
+    return comparison.agg(
+        F.count("*").alias("n_classes"),
+        F.count_if("changed").alias("n_changed"),
+        F.count_if(F.col("changed") & (F.col("delta") < 0)).alias("n_lower"),
+        F.count_if(F.col("changed") & (F.col("delta") > 0)).alias("n_higher"),
+    )
+
+
+def diagnosis(gaps: DataFrame) -> DataFrame:
+    """Each k's bound, with tags: ``chosen``, ``argmax`` (of the gap), ``ignored`` (the rule holds, behind the chosen k).
+
+    ``fired_early`` tells whether the rule chose another k than that of the largest gap.
+    """
+    steps, chosen = one_se_steps(gaps), best_k(gaps)
+    top = gaps.groupBy("focal_class").agg((-F.max(F.struct("gap", (-F.col("k")).alias("back")))["back"]).alias("argmax_k"))
+    rows = steps.join(chosen, "focal_class").join(top, "focal_class")
+    tag = (
+        F.when(F.col("k") == F.col("best_k"), "chosen")
+        .when(F.col("k") == F.col("argmax_k"), "argmax")
+        .when(F.col("fires"), "ignored")
+        .otherwise("")
+    )
+    early = F.col("best_k") != F.col("argmax_k")
+    return rows.select("focal_class", "k", "gap", "sk", "bound", "fires", "best_k", "argmax_k", tag.alias("tag"), early.alias("fired_early"))
+
+
+def silhouette_of_labels(points: DataFrame, block: int = 2048) -> DataFrame:
     """Mean Euclidean silhouette of each label, of ``id``, ``v`` (array) and ``label``.
 
-    All pairs of points, summed by label; made for the thousands of points that
-    patterns or samples give, not for whole corpora.
+    Exact, so each point meets all others: points are put into blocks of about
+    ``block``, and a pair of blocks is a task of matrix products, which gives a
+    sum of distances for each point and label. Work grows with the square of the
+    points, memory does not.
     """
-    a = points.select(F.col("id").alias("i"), F.col("label").alias("li"), F.col("v").alias("vi"))
-    b = points.select(F.col("id").alias("j"), F.col("label").alias("lj"), F.col("v").alias("vj"))
-    square = F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    sums = a.crossJoin(b).where("i <> j").groupBy("i", "li", "lj").agg(F.avg(F.sqrt(square)).alias("d"))
-    per = sums.groupBy("i", "li").agg(
+    n = points.count()
+    parts = max(1, -(-n // block))
+    dealt = points.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asks = dealt.select("id", "label", "v", F.col("part").alias("x"), other.alias("y"), F.lit(1).alias("role"))
+    held = dealt.select("id", "label", "v", other.alias("x"), F.col("part").alias("y"), F.lit(0).alias("role"))
+    rows = asks.union(held).repartition("x", "y").sortWithinPartitions("x", "y", "role")
+    kind = points.schema
+
+    def run(frames):
+        now, have, waiting = None, [], []
+
+        def sums() -> pd.DataFrame:
+            labels = np.concatenate([f.label.to_numpy() for f in have])
+            matrix = np.concatenate([np.stack(f.v.to_numpy()) for f in have])
+            ids = np.concatenate([f.id.to_numpy() for f in have])
+            out = []
+            for frame in waiting:
+                distance = _distances(np.stack(frame.v.to_numpy()), matrix)
+                same = frame.id.to_numpy()[:, None] == ids[None]
+                distance[same] = 0.0
+                for label in np.unique(labels):
+                    of = labels == label
+                    met = of.sum() - same[:, of].sum(1)
+                    out.append(pd.DataFrame({"i": frame.id, "li": frame.label, "lj": label, "d": distance[:, of].sum(1), "n": met}))
+            return pd.concat(out)
+
+        for frame in frames:
+            for key, part in frame.groupby(["x", "y"], sort=False):
+                if key != now:
+                    if waiting:
+                        yield sums()
+                    now, have, waiting = key, [], []
+                for role, rows in part.groupby("role"):
+                    (waiting if role else have).append(rows)
+        if waiting:
+            yield sums()
+
+    schema = f"i {kind['id'].dataType.simpleString()}, li {kind['label'].dataType.simpleString()}, lj {kind['label'].dataType.simpleString()}, d double, n long"
+    met = rows.mapInPandas(run, schema).groupBy("i", "li", "lj").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    per = met.groupBy("i", "li").agg(
         F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"),
         F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"),
     )
@@ -233,6 +332,39 @@ def top_features(profiles: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
+def padded(ranked: DataFrame, n: int) -> DataFrame:
+    """``rank`` 1 to ``n`` and ``feature``, null where there are fewer."""
+    places = ranked.sparkSession.range(1, n + 1).withColumnRenamed("id", "rank")
+    return places.join(F.broadcast(ranked.where(F.col("rank") <= n)), "rank", "left")
+
+
+def summary(patterns: DataFrame, features: DataFrame, assigned: DataFrame, top: int = 3) -> DataFrame:
+    """Clusters of each focal class: scenes, share of the class, and the strongest co-classes with their means.
+
+    ``patterns`` and ``features`` as for :func:`presence_patterns`; ``assigned`` has
+    ``focal_class``, ``pattern``, 0-based ``cluster``, and ``k`` and ``silhouette``, which are
+    the same in all rows of a class.
+    """
+    listed = features.groupBy("focal_class").agg(F.sort_array(F.collect_set("feature")).alias("f"))
+    rows = assigned.join(patterns, ["focal_class", "pattern"]).join(F.broadcast(listed), "focal_class")
+    cluster = (F.col("cluster") + 1).cast("long").alias("cluster")
+    sizes = rows.groupBy("focal_class", cluster).agg(
+        F.sum("n").alias("n_scenes"), F.first("k").cast("long").alias("k"), F.round(F.first("silhouette"), 3).alias("silhouette")
+    )
+    total = F.sum("n_scenes").over(Window.partitionBy("focal_class"))
+    sizes = sizes.withColumn("pct_of_class", F.round(100.0 * F.col("n_scenes") / total, 1))
+    bits = rows.select("focal_class", cluster, "n", F.posexplode("f").alias("i", "feature"), "pattern")
+    on = F.sum(F.when(F.expr("substr(pattern, i + 1, 1) = '1'"), F.col("n")).otherwise(0)) / F.sum("n")
+    means = bits.groupBy("focal_class", "cluster", "feature").agg(on.alias("mean"))
+    strongest = F.row_number().over(Window.partitionBy("focal_class", "cluster").orderBy(F.desc("mean"), "feature"))
+    means = means.withColumn("r", strongest).where(F.col("r") <= top)
+    named = F.transform(F.sort_array(F.collect_list(F.struct("r", "feature", "mean"))), lambda x: F.format_string("%s=%.2f", x["feature"], F.round(x["mean"], 2)))
+    tops = means.groupBy("focal_class", "cluster").agg(F.array_join(named, ", ").alias("top_co_classes"))
+    return sizes.join(tops, ["focal_class", "cluster"]).select(
+        "focal_class", "cluster", "n_scenes", "pct_of_class", "top_co_classes", "silhouette", "k"
+    )
+
+
 def cluster_sizes(rows: DataFrame) -> DataFrame:
     """Clusters by size, named C1, C2, …, with their share."""
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))

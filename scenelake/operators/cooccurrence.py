@@ -51,9 +51,20 @@ def symmetric(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.select("class_i", "class_j", value).union(back)
 
 
+#: Classes of which a full matrix is made at most.
+WIDEST = 2_000
+
+
 def full_matrix(found: DataFrame) -> DataFrame:
-    """All ordered pairs of classes with their count, zero on the diagonal and for pairs that never occur."""
+    """All ordered pairs of classes with their count, zero on the diagonal and for pairs that never occur.
+
+    Meant for selected classes; more than ``WIDEST`` are refused, as the matrix
+    grows with their square.
+    """
     classes = found.select("class").distinct()
+    n = classes.count()
+    if n > WIDEST:
+        raise ValueError(f"a full matrix of {n} classes: restrict the presence to at most {WIDEST} first")
     grid = classes.select(F.col("class").alias("class_i")).crossJoin(classes.select(F.col("class").alias("class_j")))
     counts = symmetric(pair_counts(found), "n")
     return grid.join(counts, ["class_i", "class_j"], "left").select("class_i", "class_j", F.coalesce("n", F.lit(0)).alias("n"))

@@ -46,3 +46,14 @@ def pivot(lifts: DataFrame, types: list[str], names: list[str]) -> DataFrame:
     """One row for each class, one column for each type."""
     wide = lifts.groupBy("class").pivot("scene_type", types).agg(F.first("lift")).fillna(0.0, types)
     return wide.toDF("class", *names)
+
+
+def assignment_table(lifts: DataFrame, assigned: DataFrame, types: list[str]) -> DataFrame:
+    """A row for each class with its lifts as text, the assigned type's marked by ``*``, and that type."""
+    wide = lifts.groupBy("class").pivot("scene_type", types).agg(F.first("lift")).fillna(0.0, types)
+    rows = wide.join(assigned.select("class", F.col("scene_type").alias("assigned")), "class", "left")
+    cells = [
+        F.concat(F.when(F.col("assigned") == t, "*").otherwise(" "), F.format_string("%.4f", F.col(f"`{t}`"))).alias(f"lift_{i + 1}")
+        for i, t in enumerate(types)
+    ]
+    return rows.select("class", *cells, F.coalesce("assigned", F.lit("?")).alias("assigned"))

@@ -81,15 +81,43 @@ def batch_items(voxels: DataFrame, batch: int) -> DataFrame:
     return voxels.where(F.col("batch") == batch).drop("batch")
 
 
-def merge_levels(fine: DataFrame, deep: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Add the deeper level's rows, repeated in a cycle, to the finer level's rows."""
+def numbered(rows: DataFrame, key: str, name: str, parts: int = 200) -> DataFrame:
+    """``rows`` with 0-based numbers in the order of ``key``, a number, date or time without repeats.
+
+    Rows are cut into ranges of the key at its approximate percentiles, numbered
+    within each range, and moved on by the counts of the ranges before.
+    """
+    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("cuts"))
+    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.col("__before")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, number).drop("__part", "__before")
+
+
+def merge_levels(fine: DataFrame, deep: DataFrame, key: str, value: str) -> DataFrame:
+    """Add the deeper level's rows, repeated in a cycle, to the finer level's rows, both in the order of ``key``."""
     n = deep.agg(F.count("*").alias("n_deep"))
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    a = fine.withColumn("__r", number).crossJoin(F.broadcast(n)).withColumn("__k", F.col("__r") % F.col("n_deep"))
-    b = deep.withColumn("__k", number).select("__k", F.col(value).alias("__deep"))
+    a = numbered(fine, key, "__r").crossJoin(F.broadcast(n)).withColumn("__k", F.col("__r") % F.col("n_deep"))
+    b = numbered(deep, key, "__k").select("__k", F.col(value).alias("__deep"))
     return a.join(b, "__k").withColumn(value, F.col(value) + F.col("__deep")).drop("__r", "__k", "__deep", "n_deep")
 
 
+def concat_levels(levels: list[DataFrame]) -> DataFrame:
+    """The rows of all pyramid levels under one another, with their ``level``."""
+    out = None
+    for i, rows in enumerate(levels):
+        rows = rows.withColumn("level", F.lit(i).cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def with_colour(points: DataFrame, *channels: str) -> DataFrame:
+    """Eight-bit colour channels as shares of 255."""
+    return points.withColumns({c: F.col(c) / 255.0 for c in channels})
+
+
 def decode_boxes(points: DataFrame, size: float = VOXEL) -> DataFrame:
     """Box centres and extents from voxel indices, offsets (d0..d2) and log extents (d3..d5)."""
     centre = [(F.col(v) * size + F.col(d)).alias(n) for v, d, n in (("vx", "d0", "cx"), ("vy", "d1", "cy"), ("vz", "d2", "cz"))]
@@ -108,8 +136,26 @@ def simulated_survivors(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / 20)).cast("long")
 
 
+def separate(boxes: DataFrame, keys: list[str], name: str = "island") -> DataFrame:
+    """``boxes`` with the number of their island: boxes of different islands of a group do not meet along x.
+
+    In the order of the lower end, a box that begins beyond the ends of all
+    before it begins an island.
+    """
+    low, high = F.col("cx") - F.col("w") / 2, F.col("cx") + F.col("w") / 2
+    order = Window.partitionBy(*keys).orderBy(low, high, "cy", "cz")
+    reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(low > reach, 1).otherwise(0)
+    return boxes.withColumn("__new", begins).withColumn(name, F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
 def suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.25) -> DataFrame:
-    """Greedy suppression of axis-aligned boxes by overlap, per group of keys."""
+    """Greedy suppression of axis-aligned boxes by overlap, per group of keys.
+
+    Boxes that do not meet cannot suppress one another, so a group is cut into
+    islands along x, and each island is a task's work. Ties of the score go by
+    centre.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "cx", "cy", "cz"], ascending=[False, True, True, True], kind="stable")
@@ -125,7 +171,8 @@ def suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.25) -> Data
             kept.append(i)
         return frame.iloc[kept]
 
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    apart = separate(boxes, keys, "__island")
+    return apart.groupBy(*keys, "__island").applyInPandas(run, apart.schema).drop("__island")
 
 
 def level_table(spark: SparkSession, routing: tuple[int, ...] = LABEL_TO_LEVEL) -> DataFrame:
@@ -134,7 +181,11 @@ def level_table(spark: SparkSession, routing: tuple[int, ...] = LABEL_TO_LEVEL)
 
 
 def synthetic_cloud(spark: SparkSession, n: int = 50_000, scale: float = 6.0, seed: int = 0) -> DataFrame:
-    """Uniform points with colours, alike however they are partitioned."""
-    unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(1 << 30)) / float(1 << 30))
+    """Uniform points with colours, alike however they are partitioned: each value from a digest of seed, column and number."""
+
+    def unit(i: int) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}/{i}/"), F.col("id").cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+
     names = ("x", "y", "z", "r", "g", "b")
     return spark.range(n).select("id", *[(unit(i) * (scale if i < 3 else 1.0)).alias(c) for i, c in enumerate(names)])

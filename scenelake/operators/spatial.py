@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import extent, half_extent, mean_of, nearest_corner_distance, polygon_distance
@@ -97,11 +97,46 @@ def bands(summary: DataFrame) -> DataFrame:
     )
 
 
+def band_lists(summary: DataFrame) -> DataFrame:
+    """``band``, ``n`` and the joined ``categories`` of the floor and wall bands, and of the three lowest and tallest medians."""
+    of_bands = bands(summary).select(F.explode(F.array("floor_band", "wall_band")).alias("band"), "category")
+    known = summary.where("median_height_m is not null")
+    ends = []
+    for name, order in (("shortest", F.asc("median_height_m")), ("tallest", F.desc("median_height_m"))):
+        place = F.row_number().over(Window.orderBy(order, "category"))  # a row for each category
+        ends.append(known.withColumn("r", place).where("r <= 3").select(F.lit(name).alias("band"), "category"))
+    rows = of_bands.unionByName(ends[0]).unionByName(ends[1])
+    names = F.array_join(F.sort_array(F.collect_list("category")), ", ")
+    return rows.groupBy("band").agg(F.count("*").alias("n"), names.alias("categories"))
+
+
+def floor_probe(features: DataFrame, category: str) -> DataFrame:
+    """Median height of a category's bottoms above the floor; near 0 if the axis points as expected."""
+    of = features.where(F.col("category") == category)
+    return of.agg(F.count("bottom_above_floor_m").alias("n"), F.round(F.median("bottom_above_floor_m"), 3).alias("median_bottom_above_floor_m")).select(
+        F.lit(category).alias("category"), "n", "median_bottom_above_floor_m"
+    )
+
+
+def below_floor(features: DataFrame) -> DataFrame:
+    """Objects of each category with a known floor, how many of them reach below it, their share and their scenes."""
+    known = features.where("bottom_above_floor_m is not null")
+    below = F.col("bottom_above_floor_m") < 0
+    return known.groupBy("category").agg(
+        F.count("*").alias("n"),
+        F.count_if(below).alias("n_below"),
+        F.round(100.0 * F.count_if(below) / F.count("*"), 6).alias("pct_below"),
+        F.count_distinct(F.when(below, F.col("scene"))).alias("n_scenes_below"),
+    )
+
+
 def stable_sample(rows: DataFrame, key: str, n: int, seed: int = 42, per: str | None = None) -> DataFrame:
-    """``n`` rows (for each value of ``per``) by a hash of the key, however the rows are partitioned."""
+    """``n`` rows (for each value of ``per``) by a hash of the key, however the rows are partitioned.
+
+    With ``per``, each task keeps the first ``n`` of a value before the shuffle.
+    """
     order = F.xxhash64(F.lit(seed), F.col(key))
     if per is None:
         return rows.orderBy(order, key).limit(n)
-    best = rows.groupBy(per).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), key))).alias("all"))
-    chosen = best.select(per, F.explode(F.slice("all", 1, n)).alias("x")).select(per, F.col(f"x.{key}").alias(key))
-    return rows.join(chosen, [per, key], "left_semi")
+    place = F.row_number().over(Window.partitionBy(per).orderBy(order, key))
+    return rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")

@@ -620,23 +620,6 @@ def negative_offset_examples(spark, sf):
     return rows.select("vec_id", "label", F.round(above, 6).alias("above")).orderBy("above", "vec_id").limit(10)
 
 
-@query(ctes("rooms") + """, f AS (SELECT label, floor_y - (y + h / 2) AS above, h FROM objs JOIN rooms USING (label))
-    SELECT CAST(label AS VARCHAR) AS category, count(*) AS n_objects, count(above) AS n_with_floor_data, round(median(round(above, 4)), 6) AS median_bottom_above_floor_m, round(quantile_cont(round(above, 4), 0.75) - quantile_cont(round(above, 4), 0.25), 6) AS iqr_bottom_above_floor_m,
-    round(100 * avg(CASE WHEN above < 0.15 THEN 1.0 ELSE 0.0 END), 6) AS pct_on_floor, round(median(round(h, 4)), 6) AS median_height_m FROM f GROUP BY label""")
-def spatial_summary(spark, sf):
-    found = T.objects(spark, sf)
-    above = F.col("floor_y") - (F.col("y") + F.col("h") / 2)
-    rows = found.join(F.broadcast(T.rooms(found).select("label", "floor_y")), "label")
-    none = F.lit(None).cast("double")
-    rows = rows.select(
-        F.col("label").cast("string").alias("category"), F.round(above, 4).alias("bottom_above_floor_m"), (above < 0.15).alias("on_floor"),
-        none.alias("nearest_edge_dist_to_wall_m"), F.round("h", 4).alias("height_m"),
-    )
-    return spatial.spatial_summary(rows).select(
-        "category", "n_objects", "n_with_floor_data", "median_bottom_above_floor_m", "iqr_bottom_above_floor_m", "pct_on_floor", "median_height_m"
-    )
-
-
 # -- clustering ------------------------------------------------------------------
 
 
@@ -660,11 +643,11 @@ def lloyd_step(spark, sf):
     return cluster.lloyd_step(points, seeds)
 
 
-_PROFILE = ", pr AS (SELECT label AS cluster, d - 1 AS feature, round(avg(CASE WHEN v[d] > 0 THEN 1.0 ELSE 0.0 END), 6) AS mean FROM vecs, unnest(range(1, 17)) AS r(d) GROUP BY label, d)"
+_PROFILE = ", pr AS (SELECT label AS cluster, d - 1 AS feature, round(avg(CASE WHEN v[d] > 0 THEN 1.0 ELSE 0.0 END), 6) AS mean FROM vecs, unnest(range(1, 65)) AS r(d) GROUP BY label, d)"
 
 
 def _profile(spark, sf):
-    rows = T.vectors(spark, sf, 16).select(F.col("label").alias("cluster"), F.posexplode("v").alias("feature", "x"))
+    rows = T.vectors(spark, sf).select(F.col("label").alias("cluster"), F.posexplode("v").alias("feature", "x"))
     return cluster.profile(rows.select("cluster", F.col("feature").cast("long").alias("feature"), (F.col("x") > 0).cast("int").alias("x")))
 
 
@@ -717,15 +700,21 @@ def version_comparison(spark, sf):
     return out.withColumns({c: F.col(c).cast("double") for c in ("k_old", "k_new", "delta")})
 
 
+def _features(spark, sf, threshold: float):
+    edges = cooccurrence.symmetric(cooccurrence.jaccard(T.user_days(spark, sf)), "jaccard").where(F.col("jaccard") >= threshold)
+    return edges.select(F.col("class_i").alias("focal_class"), F.col("class_j").alias("feature"))
+
+
 def _patterns(spark, sf, threshold: float):
-    found = T.user_days(spark, sf)
-    edges = cooccurrence.symmetric(cooccurrence.jaccard(found), "jaccard").where(F.col("jaccard") >= threshold)
-    return cluster.presence_patterns(found, edges.select(F.col("class_i").alias("focal_class"), F.col("class_j").alias("feature")))
+    return cluster.presence_patterns(T.user_days(spark, sf), _features(spark, sf, threshold))
+
+
+_KS = list(range(2, 11))
 
 
 @query(None)
 def kmeans_inertia_curve(spark, sf):
-    fitted = cluster.fits(_patterns(spark, sf, 0.1), [2, 3, 4, 5])
+    fitted = cluster.fits(_patterns(spark, sf, 0.1), _KS)
     return fitted.select("focal_class", "k", F.round("log_w", 6).alias("log_w"), F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -737,13 +726,10 @@ def gap_statistic(spark, sf):
 
 @query(None)
 def cluster_summary(spark, sf):
-    fitted = cluster.fits(_patterns(spark, sf, 0.1), [2, 3, 4, 5])
+    patterns = _patterns(spark, sf, 0.1)
+    fitted = cluster.fits(patterns, _KS)
     chosen = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
-    labels = cluster.assignments(fitted, chosen)
-    rows = labels.join(_patterns(spark, sf, 0.1), ["focal_class", "pattern"])
-    sizes = rows.groupBy("focal_class", "k", "silhouette", "cluster").agg(F.sum("n").alias("n_scenes"))
-    total = F.sum("n_scenes").over(Window.partitionBy("focal_class"))
-    return sizes.withColumn("pct_of_class", F.round(100.0 * F.col("n_scenes") / total, 6)).withColumn("cluster", F.col("cluster") + 1)
+    return cluster.summary(patterns, _features(spark, sf, 0.1), cluster.assignments(fitted, chosen))
 
 
 @query(None)
@@ -753,7 +739,25 @@ def threshold_sweep(spark, sf):
         fitted = cluster.fits(_patterns(spark, sf, t), [2, 3, 4, 5])
         best = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
         row = best.agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("mean"), F.round(F.median("silhouette"), 6).alias("median"), F.round(F.min("silhouette"), 6).alias("min"))
-        row = row.select(F.lit(t).alias("threshold"), "*")
+        wide = _features(spark, sf, t).groupBy("focal_class").agg(F.count("*").alias("f")).where("f >= 2")
+        row = row.crossJoin(wide.agg(F.round(F.avg("f"), 1).alias("mean_features"))).select(F.lit(t).alias("threshold"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(None)
+def threshold_sensitivity(spark, sf):
+    """One class at thresholds from 0 to 0.30, as far as two features are left."""
+    focal = T.user_days(spark, sf).groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1)
+    focal = F.broadcast(focal.select(F.col("class").alias("focal_class")))
+    out = None
+    for t in _GRID:
+        features = _features(spark, sf, t).join(focal, "focal_class", "left_semi")
+        n = features.groupBy("focal_class").agg(F.count("*").alias("n_features")).where("n_features >= 2")
+        features = features.join(F.broadcast(n), "focal_class", "left_semi")
+        fitted = cluster.fits(cluster.presence_patterns(T.user_days(spark, sf), features), [2, 3, 4, 5])
+        best = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
+        row = n.join(best, "focal_class").select(F.lit(t).alias("threshold"), "focal_class", "n_features", "best_k", F.round("silhouette", 4).alias("silhouette"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -816,7 +820,7 @@ def voxel_levels(spark, sf):
     SELECT vec_id, round(f.x + d.x, 6) AS x FROM f JOIN d ON d.k = f.r % (SELECT count(*) FROM d)""")
 def pyramid_merge(spark, sf):
     rows = T.read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    merged = pointcloud.merge_levels(rows.where("label > 0").drop("label"), rows.where("label = 0").drop("label"), ["vec_id"], "x")
+    merged = pointcloud.merge_levels(rows.where("label > 0").drop("label"), rows.where("label = 0").drop("label"), "vec_id", "x")
     return merged.select("vec_id", F.round("x", 6).alias("x"))
 
 
@@ -854,12 +858,34 @@ def level_routing(spark, sf):
     return rows.join(F.broadcast(pointcloud.level_table(spark)), "label").groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query(None)
+_GREEDY = f"""WITH RECURSIVE s AS ({_SCORED}),
+    e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    b AS (SELECT vec_id, batch, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS label, list_max(s) AS score, vec_id % 50 * 0.02 + v[1] AS cx, vec_id % 40 * 0.02 + v[2] AS cy, vec_id % 30 * 0.02 + v[3] AS cz,
+      exp(v[4]) AS w, exp(v[5]) AS h, exp(v[6]) AS l FROM s JOIN e USING (vec_id) WHERE list_max(s) > 0.01),
+    o AS (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY score DESC, cx, cy, cz) AS r,
+      struct_pack(id := vec_id, x0 := cx - w / 2, x1 := cx + w / 2, y0 := cy - h / 2, y1 := cy + h / 2, z0 := cz - l / 2, z1 := cz + l / 2) AS box FROM b),
+    fold AS (SELECT batch, label, CAST(1 AS BIGINT) AS r, [box] AS kept FROM o WHERE r = 1
+      UNION ALL SELECT f.batch, f.label, o.r, CASE WHEN len(list_filter(f.kept, lambda k: {{both}} / greatest((k.x1 - k.x0) * (k.y1 - k.y0) * (k.z1 - k.z0) + (box.x1 - box.x0) * (box.y1 - box.y0) * (box.z1 - box.z0) - {{both}}, 1e-12) > 0.25)) > 0
+        THEN f.kept ELSE list_append(f.kept, box) END FROM fold f JOIN o ON o.batch = f.batch AND o.label = f.label AND o.r = f.r + 1),
+    last AS (SELECT batch, label, max_by(kept, r) AS kept FROM fold GROUP BY batch, label),
+    k AS (SELECT batch, label, unnest(kept).id AS vec_id FROM last)
+    SELECT vec_id, batch, label, round(score, 5) AS score, {{rounded}} FROM k JOIN b USING (vec_id, batch, label)""".format(
+    both="(greatest(0, least(k.x1, box.x1) - greatest(k.x0, box.x0)) * greatest(0, least(k.y1, box.y1) - greatest(k.y0, box.y0)) * greatest(0, least(k.z1, box.z1) - greatest(k.z0, box.z0)))",
+    rounded=", ".join(f"round({c}, 5) AS {c}" for c in ("cx", "cy", "cz", "w", "h", "l")),
+)
+
+
+@query(_GREEDY)
 def nms_greedy(spark, sf):
     rows = pointcloud.score_labels(_detections(spark, sf), "logits").where("score > 0.01")
-    return pointcloud.suppress(rows.select("vec_id", "batch", "label", "score", "cx", "cy", "cz", "w", "h", "l"), ["batch", "label"])
+    kept = pointcloud.suppress(rows.select("vec_id", "batch", "label", "score", "cx", "cy", "cz", "w", "h", "l"), ["batch", "label"])
+    return kept.select("vec_id", "batch", "label", *[F.round(c, 5).alias(c) for c in ("score", "cx", "cy", "cz", "w", "h", "l")])
 
 
-@query(None)
+_UNIT = "CAST('0x' || substr(md5('0/{}/' || id), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query("SELECT CAST(trunc(x / 0.02) AS BIGINT) AS vx, CAST(trunc(y / 0.02) AS BIGINT) AS vy, CAST(trunc(z / 0.02) AS BIGINT) AS vz, count(*) AS n, round(avg(r), 4) AS r, round(avg(g), 4) AS g, round(avg(b), 4) AS b FROM (SELECT "
+    + ", ".join(f"{_UNIT.format(i)}{' * 6.0' if i < 3 else ''} AS {c}" for i, c in enumerate("xyzrgb")) + " FROM range(50000) AS t(id)) GROUP BY ALL")
 def synthetic_voxels(spark, sf):
     return pointcloud.voxel_means(pointcloud.synthetic_cloud(spark), ("x", "y", "z"), ["r", "g", "b"])

@@ -57,28 +57,39 @@ def names_2d(read: DataFrame) -> DataFrame:
     return rows.where(F.regexp_replace(raw, r"(?U)\s", "") != "").select("scene_path", normalise(raw).alias("class"))
 
 
-def scenes_3d(spark: SparkSession, root: str) -> DataFrame:
-    """``scene`` (folder name), ``scene_path``, ``annotation`` and ``layout`` (null if missing or malformed)."""
+def join_layouts(main: DataFrame, layout: DataFrame) -> DataFrame:
+    """``scene``, ``scene_path``, ``annotation`` and ``layout`` of parsed files (``scene_path``, ``value``, ``v``)."""
     typed = lambda d: d.where("v is not null").select("scene_path", F.from_json("value", OBJECTS).alias("x"))
-    main = typed(documents(spark, root, "annotation3Dfinal")).withColumnRenamed("x", "annotation")
-    layout = typed(documents(spark, root, "annotation3Dlayout")).withColumnRenamed("x", "layout")
-    rows = main.join(layout, "scene_path", "left")
+    rows = typed(main).withColumnRenamed("x", "annotation").join(typed(layout).withColumnRenamed("x", "layout"), "scene_path", "left")
     return rows.select(scene_name(F.col("scene_path")).alias("scene"), "scene_path", "annotation", "layout")
 
 
+def scenes_3d(spark: SparkSession, root: str) -> DataFrame:
+    """``scene`` (folder name), ``scene_path``, ``annotation`` and ``layout`` (null if missing or malformed)."""
+    return join_layouts(documents(spark, root, "annotation3Dfinal"), documents(spark, root, "annotation3Dlayout"))
+
+
 def category_3d(raw: Column) -> Column:
     """The canonical label of a 3-D name, less what follows a colon."""
     return normalise(without_suffix(raw))
 
 
+def with_labels(scenes: DataFrame, files: DataFrame) -> DataFrame:
+    """``scene_path`` and ``scene_type`` of ``scenes`` by label files (``scene_path``, ``value``); "unknown" without one."""
+    label = F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("t")
+    joined = scenes.select("scene_path").join(files.select("scene_path", label), "scene_path", "left")
+    return joined.select("scene_path", F.coalesce("t", F.lit("unknown")).alias("scene_type"), F.col("t").isNull().alias("missing"))
+
+
 def scene_labels(spark: SparkSession, root: str, scenes: DataFrame) -> DataFrame:
     """``scene_path`` and ``scene_type`` of ``scenes``; "unknown" where there is no label file."""
-    files = text_files(spark, root, "scene.txt")
-    labels = files.select(
-        scene_path(F.col("file_path"), 1).alias("scene_path"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("t")
-    )
-    joined = scenes.select("scene_path").join(labels, "scene_path", "left")
-    return joined.select("scene_path", F.coalesce("t", F.lit("unknown")).alias("scene_type"))
+    files = text_files(spark, root, "scene.txt").select(scene_path(F.col("file_path"), 1).alias("scene_path"), "value")
+    return with_labels(scenes, files).drop("missing")
+
+
+def missing_labels(labelled: DataFrame) -> DataFrame:
+    """Scenes of each type, and how many of them had no label file."""
+    return labelled.groupBy("scene_type").agg(F.count("*").alias("n_scenes"), F.count_if("missing").alias("n_missing"))
 
 
 def last_path_by_name(scenes: DataFrame) -> DataFrame:
@@ -86,13 +97,17 @@ def last_path_by_name(scenes: DataFrame) -> DataFrame:
     return scenes.groupBy(scene_name(F.col("scene_path")).alias("scene")).agg(F.max("scene_path").alias("scene_path"))
 
 
-def intrinsics(spark: SparkSession, root: str) -> DataFrame:
-    """``scene_path``, ``fx``, ``cx``, ``fy``, ``cy`` of ``intrinsics.txt``."""
+def parse_intrinsics(files: DataFrame) -> DataFrame:
+    """``scene_path``, ``fx``, ``cx``, ``fy``, ``cy`` of ``scene_path`` and the text ``value``."""
     v = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     at = lambda i: F.get(v, F.lit(i)).cast("double")
-    return text_files(spark, root, "intrinsics.txt").select(
-        scene_path(F.col("file_path"), 1).alias("scene_path"), at(0).alias("fx"), at(2).alias("cx"), at(4).alias("fy"), at(5).alias("cy")
-    )
+    return files.select("scene_path", at(0).alias("fx"), at(2).alias("cx"), at(4).alias("fy"), at(5).alias("cy"))
+
+
+def intrinsics(spark: SparkSession, root: str) -> DataFrame:
+    """The parsed ``intrinsics.txt`` of every scene."""
+    files = text_files(spark, root, "intrinsics.txt")
+    return parse_intrinsics(files.select(scene_path(F.col("file_path"), 1).alias("scene_path"), "value"))
 
 
 def csv(spark: SparkSession, path: str, schema: str = CLASSES_CSV) -> DataFrame:

@@ -145,3 +145,61 @@ def test_greedy_suppression(spark):
     data = [("a", 0.9, 0.0), ("a", 0.8, 0.1), ("a", 0.7, 5.0), ("b", 0.6, 0.0)]
     boxes = spark.createDataFrame([(k, s, x, 0.0, 0.0, 1.0, 1.0, 1.0) for k, s, x in data], "k string, score double, cx double, cy double, cz double, w double, h double, l double")
     assert rows(pointcloud.suppress(boxes, ["k"]), "k", "score") == [("a", 0.7), ("a", 0.9), ("b", 0.6)]
+
+
+def test_silhouette_over_several_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (90, 5)) + (np.arange(90) % 3)[:, None]
+    v[7] = v[10]  # equal points
+    points = spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(89)] + [(89, 9, v[89].tolist())], "id long, label long, v array<double>")
+    one, many = (rows(cluster.silhouette_of_labels(points, block), "label", "n", "silhouette") for block in (2048, 20))
+    assert one == many and (9, 1, 0.0) in one
+    labels = np.array([i % 3 for i in range(89)] + [9])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    s = []
+    for i in np.flatnonzero(labels == 1):
+        own = (labels == 1) & (np.arange(90) != i)
+        a, b = d[i, own].mean(), min(d[i, labels == c].mean() for c in (0, 2, 9))
+        s.append((b - a) / max(a, b))
+    assert dict((r[0], r[2]) for r in one)[1] == pytest.approx(np.mean(s), abs=1e-5)
+
+
+def test_null_reference_keeps_shares_and_counts():
+    x = np.array([[0, 1, 1], [1, 0, 1], [0, 0, 1]], float)
+    w = np.array([50_000.0, 30_000.0, 60_000.0])
+    patterns, counts = cluster.null_reference(x, w, np.random.default_rng(4))
+    assert counts.sum() == 140_000 and len(patterns) == len({tuple(p) for p in patterns.tolist()}) <= 8
+    assert (counts[:, None] * patterns).sum(0) / 140_000 == pytest.approx([3 / 14, 5 / 14, 1], abs=0.01)
+    again = cluster.null_reference(x, w, np.random.default_rng(4))
+    assert (again[0] == patterns).all() and (again[1] == counts).all()
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "k long").repartition(5)
+    assert rows(pointcloud.numbered(df, "k", "r", 8), "k", "r") == [(i, i) for i in range(101)]
+    assert pointcloud.numbered(df.limit(0), "k", "r").count() == 0
+
+
+def test_suppression_does_not_depend_on_islands(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = [("a", float(s), *map(float, c), *map(float, e)) for s, c, e in zip(rng.random(120), rng.random((120, 3)) * [150, 1, 1], rng.random((120, 3)) + 0.5)]
+    boxes = spark.createDataFrame(data, "k string, score double, cx double, cy double, cz double, w double, h double, l double")
+    assert pointcloud.separate(boxes, ["k"]).select("island").distinct().count() > 3
+    got = rows(pointcloud.suppress(boxes, ["k"]), "score")
+    monkeypatch.setattr(pointcloud, "separate", lambda b, keys, name: b.withColumn(name, F.lit(0)))
+    assert got == rows(pointcloud.suppress(boxes, ["k"]), "score")
+
+
+def test_samples_by_group_are_bounded_and_stable(spark):
+    df = spark.range(500).selectExpr("id", "id % 3 as g")
+    first, again = (rows(spatial.stable_sample(df.repartition(k), "id", 7, per="g"), "g", "id") for k in (1, 6))
+    assert first == again and [g for g, _ in first] == [0] * 7 + [1] * 7 + [2] * 7
+    assert first != rows(spatial.stable_sample(df, "id", 7, seed=1, per="g"), "g", "id")
+
+
+def test_full_matrix_is_refused_for_raw_labels(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "WIDEST", 3)
+    found = spark.createDataFrame([(i, f"c{i}") for i in range(4)], "scene long, class string")
+    with pytest.raises(ValueError, match="4 classes"):
+        cooccurrence.full_matrix(found)
+    assert cooccurrence.full_matrix(found.where("scene < 3")).count() == 9
