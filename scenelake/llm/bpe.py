@@ -92,6 +92,7 @@ class ByteBPE:
         self.split_any = regex.compile(explicit(pattern, _SPACE)).findall
         self.split_latin = re.compile(explicit(pattern, _SPACE_1, _LETTER_1, _NUMBER_1)).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern."""
@@ -213,23 +214,31 @@ class ByteBPE:
         return [tuple(self.ints[x] for x in row if x >= 0) for row in ids.tolist()]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not remembered."""
-        new = {piece for piece in pieces if piece not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
+        """Encode the pieces that are not remembered.
+
+        What is remembered has two generations: when the young one is half of
+        all, it becomes the old one, from which pieces in use are taken over.
+        """
+        if len(self.known) > REMEMBERED // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         short, names = [], []
-        for piece in new:
+        for piece in pieces:
+            if piece in known:
+                continue
+            if piece in old:
+                known[piece] = old[piece]
+                continue
             raw = piece.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.known[piece] = (self.ints[rank],)
+                known[piece] = (self.ints[rank],)
             elif len(raw) > SHORT:
-                self.known[piece] = self.encode_long(raw)
+                known[piece] = self.encode_long(raw)
             else:
                 short.append(raw)
                 names.append(piece)
-        self.known.update(zip(names, self.encode_short(short)))
+        known.update(zip(names, self.encode_short(short)))
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text."""

@@ -12,8 +12,14 @@ Defined results:
 - null and empty media give no frames, with ``error`` set to "empty";
 - a file that breaks off or breaks the format gives the frames read before
   that point, and ``error`` names the fault;
+- a file whose screen has more than ``SCREEN`` pixels gives no frames, and one
+  whose images have more than ``PIXELS`` together gives those before that point,
+  with ``error`` "too large": sizes are 16-bit claims of the file, for which
+  nothing is set aside before this is checked;
+- a code stream that goes on behind an image's last sample is read no further;
 - repeated rows are decoded each for itself, an empty table gives no rows;
-- further columns are not read, whatever their names.
+- further columns are not read, whatever their names; a kept column that is named
+  like an added one stays, and the added one gets the prefix ``gif_``.
 """
 
 from __future__ import annotations
@@ -26,12 +32,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_text, slices
 
 WIDTH, FRAME_ROWS, DELAY = 64, 1024, 10
 #: A histogram counts the pixels of each of 4 x 4 x 4 colours.
 LEVELS = 4
+#: Pixels of a screen, and of all images of a file, that are decoded at most.
+SCREEN, PIXELS = 1 << 24, 1 << 26
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -108,6 +117,8 @@ def lzw_decode(data: bytes, bits: int, expected: int) -> tuple[bytes, bool]:
             before = entry
         else:
             at += width * n
+            if made >= expected:
+                return b"".join(out)[:expected], True
             if width < 12 and len(table) >= 1 << width:
                 width += 1
 
@@ -137,8 +148,8 @@ def _rows_in_order(height: int) -> np.ndarray:
     return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def parse(data: bytes | None) -> Gif:
-    """Read a file as far as it is sound."""
+def parse(data: bytes | None, screen: int | None = SCREEN, pixels: int | None = PIXELS) -> Gif:
+    """Read a file as far as it is sound, and within the bounds where there are any."""
     gif = Gif()
     if not data:
         gif.error = "empty"
@@ -147,7 +158,10 @@ def parse(data: bytes | None) -> Gif:
         gif.error = "no GIF header"
         return gif
     gif.width, gif.height, flags = struct.unpack_from("<HHB", data, 6)
-    at, common = 13, None
+    if screen is not None and gif.width * gif.height > screen:
+        gif.error = "too large"
+        return gif
+    at, common, held = 13, None, 0
     if flags & 128:
         size = 2 << (flags & 7)
         common = _palette(data, at, size)
@@ -172,6 +186,10 @@ def parse(data: bytes | None) -> Gif:
         elif kind == 0x2C and at + 9 < len(data):
             left, top, width, height, flags = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            held += width * height
+            if pixels is not None and held > pixels:
+                gif.error = "too large"
+                return gif
             palette = common
             if flags & 128:
                 size = 2 << (flags & 7)
@@ -183,10 +201,10 @@ def parse(data: bytes | None) -> Gif:
                 gif.error = "bad code size"
                 return gif
             stream, after, whole = _cut(data, at + 1)
-            pixels, sound = lzw_decode(stream, data[at], width * height)
+            decoded, sound = lzw_decode(stream, data[at], width * height)
             at = after
             samples = np.zeros(width * height, np.uint8)
-            samples[: len(pixels)] = np.frombuffer(pixels, np.uint8)
+            samples[: len(decoded)] = np.frombuffer(decoded, np.uint8)
             indices = samples.reshape(height, width)
             if flags & 64:
                 straight = np.empty_like(indices)
@@ -331,7 +349,8 @@ _FRAMES = "array<struct<time:int,delay:int,histogram:array<int>,pixels_sha256:st
 
 def media_columns(media: DataFrame, keep: list[str], data_col: str = "data") -> DataFrame:
     """``keep`` columns, ``width``, ``height``, ``loops``, ``error`` and ``frames`` of GIF files."""
-    narrow = media.select(*keep, data_col)
+    names = [f"__k{i}" for i in range(len(keep))]
+    narrow = media.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(data_col).alias("__data"))
     added = media.sparkSession.createDataFrame([], f"width int, height int, loops int, error string, frames {_FRAMES}").schema
     schema = type(added)(narrow.schema.fields[:-1] + added.fields)
     frame = pa.struct(
@@ -354,7 +373,8 @@ def media_columns(media: DataFrame, keep: list[str], data_col: str = "data") ->
                     names=schema.names,
                 )
 
-    return narrow.mapInArrow(run, schema)
+    shown = [*keep, *[f"gif_{c}" if c in keep else c for c in added.names]]
+    return narrow.mapInArrow(run, schema).toDF(*shown)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -367,7 +387,7 @@ def stored(text: str | None) -> tuple:
     """Store a text as a GIF, read the file back, and describe it."""
     n, payload = payload_of(text)
     media = write_gif(payload)
-    gif = parse(media)
+    gif = parse(media, None, None)
     back = read_payload(gif)
     colours = np.zeros(LEVELS**3, np.int64)
     for _, _, canvas in compose(gif):

@@ -15,6 +15,7 @@ Defined results:
 - markup that breaks off inside a tag, comment or script ends the page there; other bad markup is read on as
   the HTML parsing rules do: ``</`` and no letter is a comment up to ``>``, a stray quote is part of its
   attribute, a self-closing svg is empty. A quote that nothing closes does not hold the tag open;
+- elements nested deeper than ``DEPTH`` stand beside the deepest, as in browsers, so a page takes linear time;
 - repeated rows are extracted each for itself, an empty table gives no rows;
 - further columns are not read, whatever their names.
 """
@@ -60,6 +61,10 @@ _names = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _parts = re.compile(r"[a-zA-Z]+")
 
 
+#: Elements that may be open at once; deeper ones stand beside the deepest.
+DEPTH = 512
+
+
 class Block:
     """A leaf block: its text, its ancestors' features, and the characters inside links."""
 
@@ -149,6 +154,8 @@ def blocks(html: str | None) -> list[Block]:
                     links = sum(t == "a" for t, _ in stack)
                 elif tag not in _INLINE:
                     break
+        if len(stack) >= DEPTH:  # as browsers do, a sibling of the deepest element
+            links -= stack.pop()[0] == "a"
         if name == "a":
             links += 1
         stack.append((name, _marks(attributes) if attributes else ()))
@@ -160,16 +167,17 @@ def features(found: list[Block]) -> list[list[str]]:
     """The feature names of each block of a page."""
     out = []
     n = len(found)
+    path, own, above = None, "none", frozenset()
     for i, block in enumerate(found):
         text = block.text
         words = text.count(" ") + 1
         share = min(3, int(4 * min(1.0, block.linked / len(text))))
-        own = next((t for t, _ in reversed(block.path) if t not in _INLINE), "none")
-        names = {f"a:{t}" for t, _ in block.path if t not in _INLINE}
-        for t, marks in block.path:
-            if t not in ("html", "body"):
-                names.update(f"c:{m}" for m in marks)
-        names |= {
+        if block.path != path:
+            path = block.path
+            own = next((t for t, _ in reversed(path) if t not in _INLINE), "none")
+            tags, classes = {t for t, _ in path if t not in _INLINE}, {marks for t, marks in path if marks and t not in ("html", "body")}
+            above = frozenset([f"a:{t}" for t in tags] + [f"c:{m}" for marks in classes for m in marks])
+        names = above | {
             f"t:{own}",
             f"w:{min(7, words.bit_length())}",
             f"l:{share}",
@@ -206,22 +214,7 @@ class ChainCRF:
         for _ in range(epochs):
             rng.shuffle(data)
             for page, labels in data:
-                emit = self._emissions(page)
-                n = len(page)
-                forward, back = np.empty((n, 2)), np.zeros((n, 2))
-                forward[0] = emit[0]
-                for i in range(1, n):
-                    forward[i] = emit[i] + np.logaddexp(*(forward[i - 1][:, None] + self.step))
-                for i in range(n - 2, -1, -1):
-                    back[i] = np.logaddexp(*(self.step + emit[i + 1] + back[i + 1]).T)
-                total = np.logaddexp(*forward[-1])
-                d_emit = np.exp(forward + back - total)
-                d_step = np.zeros((2, 2))
-                if n > 1:
-                    joint = forward[:-1, :, None] + self.step + (emit + back)[1:, None, :] - total
-                    d_step = np.exp(joint).sum(0)
-                    np.subtract.at(d_step, (labels[:-1], labels[1:]), 1)
-                d_emit[np.arange(n), labels] -= 1
+                d_emit, d_step = self._slopes(page, labels)
                 flat = [f for block in page for f in block]
                 d = np.repeat(d_emit, [len(b) for b in page], axis=0)
                 touched, place = np.unique(flat, return_inverse=True)
@@ -233,6 +226,34 @@ class ChainCRF:
                 self.step -= rate * d_step / np.sqrt(g_step)
         self.rows = {n: tuple(self.weights[i].tolist()) for n, i in self.index.items()}
 
+    def _slopes(self, page: list[list[int]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The marginals of labels and of steps less those of the given labels, by the forward-backward recursions."""
+        emit = self._emissions(page)
+        n = len(page)
+        forward, back = np.empty((n, 2)), np.zeros((n, 2))
+        forward[0] = emit[0]
+        for i in range(1, n):
+            forward[i] = emit[i] + np.logaddexp(*(forward[i - 1][:, None] + self.step))
+        for i in range(n - 2, -1, -1):
+            back[i] = np.logaddexp(*(self.step + emit[i + 1] + back[i + 1]).T)
+        total = np.logaddexp(*forward[-1])
+        d_emit = np.exp(forward + back - total)
+        d_step = np.zeros((2, 2))
+        if n > 1:
+            joint = forward[:-1, :, None] + self.step + (emit + back)[1:, None, :] - total
+            d_step = np.exp(joint).sum(0)
+            np.subtract.at(d_step, (labels[:-1], labels[1:]), 1)
+        d_emit[np.arange(n), labels] -= 1
+        return d_emit, d_step
+
+    def gradient(self, page: list[list[int]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient of the negative log-likelihood of one page, in the weights and in the steps."""
+        d_emit, d_step = self._slopes(page, labels)
+        d_weights = np.zeros_like(self.weights)
+        for i, block in enumerate(page):
+            np.add.at(d_weights, block, d_emit[i])
+        return d_weights, d_step
+
     def decode(self, page: list[list[str]]) -> list[int]:
         """The best label sequence, by Viterbi; a tie goes to label 0."""
         if not page:
@@ -271,7 +292,9 @@ _NOTE = "notice cookie consent gdpr alert modal popup overlay warning subscribe
 _ADS = "ad ads advert advertisement adsense sponsored sponsor promo promotion banner".split()
 _FORM = "form search login signup subscribe newsletter contact".split()
 _SHARE = "share social sharing tags follow buttons tools meta".split()
-_TALK = "comments comment replies reply respond discussion disqus thread responses".split()
+_TALK = "comments comment replies reply respond discussion disqus thread responses feedback user reviews review opinions talk".split()
+_WRAP = "page site wrapper container content layout app root outer row col grid wrap inner".split()
+_BYLINE = "meta byline author date time published posted info details".split()
 
 
 def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
@@ -315,10 +338,26 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
             text = inner or rng.choice([phrase(1, 12), sentences(1, 3), sentences(1, 5)])
             put(0, f"<{tag}{named}>{text}</{tag}>" if tag == "p" or rng.random() < 0.4 else f"<{tag}{named}><p>{text}</p></{tag}>")
 
+        def byline() -> None:
+            tag = rng.choice(["div", "p", "span", "footer"])
+            text = rng.choice([f"By <a href=/>{phrase(1, 2)}</a>", phrase(1, 5), f"<time>{phrase(1, 3)}</time>", f'{phrase(1, 2)} <a href="/">{phrase(1, 2)}</a>'])
+            put(0, f"<{'div' if tag == 'span' else tag}{attr(_BYLINE)}>{text}</{'div' if tag == 'span' else tag}>")
+
         def main_text() -> None:
             if rng.random() < 0.85:
-                title = f"<h1>{rng.choice([phrase(1, 12), sentences(1, 3)])}</h1>"
-                put(1, f"<header>{title}</header>" if opened.startswith(("<article", "<main")) and rng.random() < 0.15 else title)
+                title = f"<h1{attr(['title', 'headline', 'entry', 'post']) if rng.random() < 0.4 else ''}>{rng.choice([phrase(1, 12), sentences(1, 3)])}</h1>"
+                if opened.startswith(("<article", "<main")) and rng.random() < 0.35:
+                    out.append(f"<header{attr(['entry', 'post', 'article', 'header', 'title']) if rng.random() < 0.6 else ''}>")
+                    put(1, title)
+                    if rng.random() < 0.5:
+                        byline()
+                    out.append("</header>")
+                else:
+                    put(1, title)
+                    if rng.random() < 0.25:
+                        byline()
+            body = f"<div{attr(_MAIN)}>" if rng.random() < 0.3 else ""
+            out.append(body)
             if rng.random() < 0.05:
                 links(_MENU, "nav", 4)
             for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14])):
@@ -338,6 +377,9 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
                     put(1, f"<pre>{phrase(2, 20)}</pre>")
                 elif kind < 0.955:
                     put(1, f"<figure><img src=x><figcaption>{phrase(2, 12)}</figcaption></figure>")
+                elif kind < 0.965:
+                    k = rng.randint(2, 5)
+                    put(1, "<ul>" + "".join(f'<li><a href="/">{phrase(1, 6)}</a>{rng.choice(["", " " + phrase(1, 6)])}</li>' for _ in range(k)) + "</ul>", k)
                 elif kind < 0.98:
                     k = rng.randint(2, 6)
                     put(1, "<table><tr>" + "".join(f"<td>{phrase(1, 4)}</td>" for _ in range(k)) + "</tr></table>", k)
@@ -349,6 +391,10 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
                     links(_SIDE + _SHARE, "div", 6)
                 if rng.random() < 0.02:
                     bit(_NOTE, ["div", "aside"])
+            if rng.random() < 0.15:
+                links(_SHARE, rng.choice(["div", "footer"]), 3)
+            if body:
+                out.append("</div>")
 
         def talk() -> None:
             outer = rng.choice(["section", "div", "ol"])
@@ -365,6 +411,8 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
         out.append("<!DOCTYPE html><html><head>")
         put(0, f"<title>{phrase(1, 10)}</title><style>p{{}}</style></head>")
         out.append(f"<body{attr(_MAIN + ['home', 'post']) if rng.random() < 0.2 else ''}>")
+        for _ in range(rng.choice([0, 0, 1, 2])):  # never closed, which changes no block
+            out.append(f"<div{attr(_WRAP)}>")
         if rng.random() < 0.4:
             tag = rng.choice(["header", "div"])
             out.append(f"<{tag}{attr(_HEAD) if tag == 'div' else ''}>")

@@ -108,3 +108,36 @@ def test_round_trip_of_texts(spark):
     assert set(rows) == {(1, None), (2, "empty"), (2, "no GIF header")}
     assert sum(rows[1, None].frames[0].histogram) == 64
     assert gif.media_columns(media.limit(0), ["id"]).count() == 0
+
+
+def claim(width, height, image=None):
+    """A file of a few bytes that claims a screen, and an image, of any size."""
+    out = b"GIF89a" + struct.pack("<HHBBB", width, height, 0, 0, 0)
+    for w, h in image or []:
+        out += b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x02\x02\x4c\x01\x00"
+    return out + b"\x3b"
+
+
+def test_claims_of_size_are_bounded(spark):
+    huge = gif.decode_gif(claim(65_535, 65_535, [(65_535, 65_535)]))
+    assert huge[0].error == "too large" and huge[1] == []
+    image = gif.decode_gif(claim(4, 4, [(1, 1), (65_535, 65_535)]))
+    assert image[0].error == "too large" and len(image[1]) == 1
+    rows = [("a", bytearray(claim(65_535, 65_535))), ("b", bytearray(gif.write_gif(b"x" * 64))), ("b", bytearray(gif.write_gif(b"x" * 64))), (None, None), ("", bytearray())]
+    df = spark.createDataFrame([(n, d, 7) for n, d in rows], "frames string, data binary, error int")
+    got = gif.media_columns(df, ["frames", "error"])
+    assert got.columns == ["frames", "error", "width", "height", "loops", "gif_error", "gif_frames"]
+    assert sorted(map(tuple, got.select("frames", "error", "gif_error").collect()), key=str) == sorted(
+        [("a", 7, "too large"), ("b", 7, None), ("b", 7, None), (None, 7, "empty"), ("", 7, "empty")], key=str
+    )
+    assert len({str(r.gif_frames) for r in got.where("frames = 'b'").collect()}) == 1
+
+
+def test_codes_behind_the_last_sample_are_not_read():
+    stream = gif.lzw_encode(bytes(200_000))
+    assert gif.lzw_decode(stream, 8, 10) == (bytes(10), True)
+
+
+def test_long_texts_are_stored_whole():
+    n, *_ = gif.stored("ab" * 3_000_000)
+    assert n == 6_000_000

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -238,6 +239,102 @@ def test_html_held_out():
     assert wrong < 0.02 * total
 
 
+def themed_pages(n, seed):
+    """Pages in the manner of blog software, written apart from the training pages: (html, labels)."""
+    rng = random.Random(seed)
+    words = "harbour winter kettle morning ledger quiet orchard signal paper bridge copper lantern meadow engine velvet".split()
+    say = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high))).capitalize()
+    tell = lambda: " ".join(say(5, 14) + "." for _ in range(rng.randint(1, 6)))
+    items = lambda k: "".join(f'<li class="menu-item"><a href="/{i}">{say(1, 3)}</a></li>' for i in range(k))
+
+    def press():
+        page = [("<html><head>", 0), (f"<title>{say(2, 6)}</title></head><body class='post-template single'><div id='page' class='site'>", 1)]
+        page += [("<a class='skip-link' href='#content'>Skip to content</a><header id='masthead' class='site-header'>", 1), (f"<p class='site-title'><a href='/'>{say(1, 3)}</a></p>", 1)]
+        page += [(f"<nav id='site-navigation' class='main-navigation'><ul>{items(4)}</ul></nav></header><div id='content' class='site-content'>", 4)]
+        text = [(f"<article id='post-{rng.randrange(99)}' class='post type-post hentry'><header class='entry-header'><h1 class='entry-title'>{say(3, 8)}</h1>", 1)]
+        meta = [(f"<div class='entry-meta'>Posted on <time>{say(1, 2)}</time> by <a href='/a'>{say(1, 2)}</a></div></header><div class='entry-content'>", 1)]
+        body = [(f"<p>{tell()}</p>", 1) for _ in range(rng.randint(2, 6))] + [(f"<h2 class='wp-block-heading'>{say(2, 5)}</h2>", 1), (f"<blockquote class='wp-block-quote'><p>{tell()}</p></blockquote>", 1)]
+        body += [("<ul class='wp-block-list'>" + "".join(f"<li>{say(3, 9)}</li>" for _ in range(3)) + "</ul>", 3), (f"<p>{tell()}</p></div>", 1)]
+        tail = [(f"<footer class='entry-footer'>Filed under <a href='/c'>{say(1, 2)}</a></footer></article>", 1), (f"<nav class='post-navigation'><a href='/p'>{say(2, 5)}</a></nav>", 1)]
+        tail += [(f"<div id='comments' class='comments-area'><h2 class='comments-title'>{say(2, 4)}</h2><ol class='comment-list'>", 1)]
+        tail += [(f"<li class='comment'><div class='comment-body'><p>{tell()}</p></div></li>", 1) for _ in range(3)]
+        tail += [(f"</ol></div><aside id='secondary' class='widget-area'><section class='widget'><h2 class='widget-title'>{say(1, 3)}</h2><ul>{items(3)}</ul></section></aside></div>", 4)]
+        tail += [(f"<footer id='colophon' class='site-footer'><div class='site-info'>{say(2, 5)}</div></footer></div></body></html>", 1)]
+        return [(page, 0), (text, 1), (meta, 0), (body, 1), (tail, 0)]
+
+    def bare():
+        top = [(f"<head><title>{say(2, 5)}</title></head><body><table class='top'><tr><td><a href='/'>{say(1, 2)}</a></td><td><a href='/x'>{say(1, 2)}</a></td></tr></table>", 3)]
+        body = [(f"<main><h1>{say(2, 7)}</h1>", 1), *[(f"<p>{tell()}</p>", 1) for _ in range(rng.randint(3, 9))], (f"<pre>{say(4, 9)}</pre></main>", 1)]
+        end = [(f"<div class='user-feedback'><p>{tell()}</p><p>{tell()}</p></div>", 2), (f"<footer>&copy; {say(2, 4)}</footer>", 1)]
+        return [(top, 0), (body, 1), (end, 0)]
+
+    def paper():
+        top = [(f"<head><title>{say(2, 5)}</title></head><body><div class='cookie-banner'><p>We use cookies. {say(4, 9)}.</p><button>OK</button></div>", 3)]
+        top += [(f"<header class='top-bar'><ul class='nav'>{items(5)}</ul></header><div class='advert'>{say(2, 6)}</div>", 6)]
+        body = [(f"<section class='story'><h1 class='headline'>{say(4, 9)}</h1>", 1)]
+        line = [(f"<p class='byline'>By {say(2, 2)}</p><div class='story-body'>", 1)]
+        rest = [(f"<p>{tell()}</p>", 1) for _ in range(rng.randint(3, 8))]
+        ad = [(f"<div class='ad-slot'>{say(2, 5)}</div>", 1)]
+        more = [(f"<p>{tell()}</p>", 1), (f"<figure><img src=x><figcaption>{say(4, 8)}.</figcaption></figure><p>{tell()}</p></div></section>", 2)]
+        end = [(f"<aside class='related-links'><h3>{say(1, 3)}</h3><ul>{items(4)}</ul></aside>", 5), (f"<form class='newsletter-signup'><p>{say(3, 7)}</p></form>", 1), (f"<footer class='site-footer'><p>{say(3, 9)}</p></footer>", 1)]
+        return [(top, 0), (body, 1), (line, 0), (rest, 1), (ad, 0), (more, 1), (end, 0)]
+
+    for _ in range(n):
+        html_text, labels = "", []
+        for parts, label in rng.choice([press, bare, paper])():
+            for piece, blocks_in in parts:
+                html_text += piece
+                labels += [label] * blocks_in
+        yield html_text, labels
+
+
+def test_html_held_out_in_another_style():
+    crf = html.trained()
+    wrong = total = 0
+    for page, labels in themed_pages(150, 99):
+        found = html.blocks(page)
+        assert len(found) == len(labels)
+        wrong += sum(a != b for a, b in zip(crf.decode(html.features(found)), labels))
+        total += len(labels)
+    assert wrong < 0.03 * total
+
+
+def test_crf_gradient_and_marginals_by_all_sequences():
+    """One step of the training is the gradient that plain enumeration of all label sequences gives."""
+    page, labels = [["a", "b"], ["b"], ["a", "c"]], [0, 1, 1]
+    crf = html.ChainCRF()
+    crf.fit([(page, labels)], epochs=1, rate=0.0, ridge=0.0)
+    rng = np.random.default_rng(5)
+    crf.weights, crf.step = rng.normal(0, 1, crf.weights.shape), rng.normal(0, 1, (2, 2))
+    rows = [[crf.index[n] for n in block] for block in page]
+
+    def likelihood(weights, step):
+        def value(y):
+            return sum(weights[f, y[i]] for i, block in enumerate(rows) for f in block) + sum(step[a, b] for a, b in zip(y, y[1:]))
+
+        every = [value([k >> i & 1 for i in range(3)]) for k in range(8)]
+        return np.logaddexp.reduce(every) - value(labels)
+
+    d_weights, d_step = crf.gradient(rows, labels)
+    for at in np.ndindex(*crf.weights.shape):
+        moved = crf.weights.copy()
+        moved[at] += 1e-6
+        assert d_weights[at] == pytest.approx((likelihood(moved, crf.step) - likelihood(crf.weights, crf.step)) / 1e-6, abs=1e-4)
+    for at in np.ndindex(2, 2):
+        moved = crf.step.copy()
+        moved[at] += 1e-6
+        assert d_step[at] == pytest.approx((likelihood(crf.weights, moved) - likelihood(crf.weights, crf.step)) / 1e-6, abs=1e-4)
+
+
+def test_html_deep_nesting_and_unclosed_tags_take_linear_time():
+    began = time.time()
+    deep = "<div class='x y'>" * 5000 + "text" + "</div>" * 5000
+    assert [b.text for b in html.blocks(deep)] == ["text"]
+    html.features(html.blocks("<div>a" * 3000))
+    html.blocks("<a" * 100_000)
+    assert time.time() - began < 5
+
+
 def test_viterbi_is_the_best_of_all_sequences():
     crf = html.trained()
     page = html.features(html.blocks(html.labelled_pages(1, 77)[0][0]))[:9]
