@@ -105,6 +105,15 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a table that is sent to all executors, at most.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` (``SMALL``) narrow rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= (SMALL if rows is None else rows) else df
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

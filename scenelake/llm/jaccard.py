@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, materialize, slices
+from .common import discard, map_text, materialize, scratch, slices, small
 from .components import connected_components
 from .shingles import set_hash, shingle_sets
 
@@ -390,9 +390,11 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spans.where("first < last").select("token", "leader")
     lists = materialize(postings.join(shared, "token").select("token", "node", "n", "leader"), "jaccard-lists")
     discard(postings)
-    edges = materialize(_stars(lists, sets), "jaccard-stars")
+    with scratch():
+        edges = materialize(_stars(lists, sets), "jaccard-stars", keep=True)
     labels = connected_components(edges, name="jaccard-first")
-    more = materialize(_residual(lists, labels, sets), "jaccard-rest")
+    with scratch():
+        more = materialize(_residual(lists, labels, sets), "jaccard-rest", keep=True)
     discard(lists)
     if not more.isEmpty():
         discard(labels)
@@ -429,7 +431,8 @@ def _stars(lists: DataFrame, sets: DataFrame) -> DataFrame:
     asks = stars.join(many, "x").select("x", F.pmod(F.xxhash64("node"), F.col("parts")).alias("y"), F.lit(1).alias("role"), "node")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     held = many.select("x", parts.alias("y"), F.lit(0).alias("role"), F.col("x").alias("node"))
-    return _open(asks.unionByName(held).join(sets, "node").withColumn("label", F.col("node")))
+    dealt = materialize(asks.unionByName(held), "jaccard-asks")
+    return _open(sets.join(small(dealt), "node").withColumn("label", F.col("node")))
 
 
 def _residual(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -458,7 +461,8 @@ def _residual(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     discard(matrix)
     sides = pairs.select("x", "y", F.col("x").alias("shelf"), F.lit(0).alias("role"))
     sides = sides.union(pairs.where("x <> y").select("x", "y", F.col("y").alias("shelf"), F.lit(1).alias("role")))
-    return _open(sides.join(placed, "shelf").join(sets, "node"))
+    dealt = materialize(sides.join(placed, "shelf"), "jaccard-members")
+    return _open(sets.join(small(dealt), "node"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """License scans with DataFrame functions only.
 
 Each file gives units: its whole text, and each of its lines (its headers). A
-unit and a template are sets of words weighted by inverse document frequency
-over all lines; their likeness is the cosine. A unit belongs to the likest
-template from ``THRESHOLD`` up. A file whose whole text does, or whose name is
-that of a licence file and one of whose lines does, is a licence file and speaks
-for its directory. A file's licence is that of its own likest unit; a file
-without one inherits from the nearest directory above it that has one.
+unit and a template are vectors of words: ``1 + ln(times)`` by the inverse
+document frequency over all lines; their likeness is the cosine. A unit belongs
+to the likest template from ``THRESHOLD`` up. A file whose whole text does, or
+whose name is that of a licence file and one of whose lines does, is a licence
+file and speaks for its directory. A file's licence is that of its own likest
+unit; a file without one inherits from the nearest directory above it that has
+one.
 
 Words that no template holds have no document frequency of their own; they weigh
-as words never seen. As no word weighs more, a unit less than the square of the
-threshold of whose distinct words are in templates cannot reach it, and is left
-out before anything is exploded.
+as words never seen. As no word weighs more, and ``(1 + ln n)^2`` is at most
+``MOST * n``, a unit whose words are too seldom those of templates cannot reach
+the threshold and is left out before anything is exploded.
 
 Licence texts and standard headers (``license_texts``) are templates too. Files
 that could hold one, or a notice over several lines, by the weight of the words
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch
 
 THRESHOLD = 0.6
+#: The largest (1 + ln n)^2 / n, that of n = e.
+MOST = 4 / math.e
 
 # Short notices of well-known licences.
 TEMPLATES = (
@@ -67,8 +71,8 @@ FILE_NAMES = r"(?i)^(un)?licen[cs]e([-._].*)?$|^copying([-._].*)?$|^notice([-._]
 
 
 def _words(text):
-    """The distinct words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """The words of a text, with repeats."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _among(words: str, vocabulary: list[str]):
@@ -87,17 +91,25 @@ def license_texts() -> tuple[tuple[str, str], ...]:
 
 
 class Templates:
-    """Notices and texts: their words, by the expression that cuts files into words."""
+    """Notices and texts: how often they hold their words, by the expression that cuts files into words."""
 
     def __init__(self, spark: SparkSession, notices, texts):
         listed = [(i, name, i < len(notices), text) for i, (name, text) in enumerate((*notices, *texts))]
         known = spark.createDataFrame(listed, "id int, name string, notice boolean, text string")
         known = known.select("id", "name", "notice", _words("text").alias("words")).collect()
-        self.known = [(r.id, r.name, r.notice, r.words) for r in known]
+        self.known = [(r.id, r.name, r.notice, Counter(r.words)) for r in known]
         self.vocabulary = sorted({w for *_, words in self.known for w in words})
         self.of_notices = sorted({w for _, _, notice, words in self.known if notice for w in words})
 
 
+def _likely(tokens: str, vocabulary: list[str], threshold: float):
+    """Whether an array of words, by its words in a vocabulary, could reach the threshold, as an SQL expression."""
+    listed = ", ".join(f"'{w}'" for w in vocabulary)
+    hits = f"{MOST}D * size(filter({tokens}, w -> w in ({listed})))"
+    others = f"size(array_distinct(filter({tokens}, w -> not (w in ({listed})))))"
+    return f"({hits} > 0 and {hits} >= {threshold * threshold}D * ({hits} + {others}) - 1e-6)"
+
+
 def _held(rows: DataFrame, templates: Templates, threshold: float) -> DataFrame:
     """What a single reading of the texts gives for each file.
 
@@ -110,38 +122,49 @@ def _held(rows: DataFrame, templates: Templates, threshold: float) -> DataFrame:
     lines = F.filter(F.transform("cut", _words), lambda x: F.size(x) > 0)
     # No condition stands on the lines, as it would be pushed below and cut the text twice.
     keyed = keyed.select("path", "th", lines.alias("lines"))
-    flat = F.flatten("lines")
-    keyed = keyed.select("path", "th", F.size("lines").cast("long").alias("total"), "lines", flat.alias("flat"))
-    keyed = keyed.select("*", F.array_distinct("flat").alias("words"), _among("flat", templates.vocabulary).alias("seen"))
-    listed = ", ".join(f"'{w}'" for w in templates.of_notices)
-    unit = "transform({}, x -> struct({} as whole, size(x) as n, filter(x, w -> w in (" + listed + ")) as hits))"
-    units = F.expr("concat(" + unit.format("lines", "false") + ", " + unit.format("array(words)", "true") + ")")
-    likely = F.filter(units, lambda u: (u["n"] > 0) & (F.size(u["hits"]) >= threshold * threshold * u["n"] - 1e-9))
-    return keyed.select("path", "th", "total", "seen", likely.alias("units"))
+    keyed = keyed.select(
+        "path", "th", F.size("lines").cast("long").alias("total"), "lines", F.array(F.flatten("lines")).alias("whole"),
+        F.transform("lines", F.array_distinct).alias("sets"),
+    )
+    unit = "transform(filter({}, x -> " + _likely("x", templates.of_notices, threshold) + "), x -> struct({} as whole, x as words))"
+    units = F.expr("concat(" + unit.format("lines", "false") + ", " + unit.format("whole", "true") + ")")
+    keyed = keyed.select("path", "th", "total", F.flatten("sets").alias("flat"), units.alias("units"))
+    return keyed.select("path", "th", "total", _among("flat", templates.vocabulary).alias("seen"), "units")
 
 
 def _square(total: int, n: int) -> float:
-    """The squared weight of a word that ``n`` of ``total`` lines hold."""
+    """The squared inverse document frequency of a word that ``n`` of ``total`` lines hold."""
     return (math.log((1 + total) / (1 + n)) + 1) ** 2
 
 
+def _times(n: int) -> float:
+    """The weight of a word that a unit holds ``n`` times, before its document frequency."""
+    return 1 + math.log(n)
+
+
 def _best(spark: SparkSession, units: DataFrame, templates: list[tuple], w2: dict[str, float], unseen2: float, threshold: float) -> DataFrame:
     """``unit`` and ``best`` of the units that are like a template.
 
-    ``units``: ``unit`` (a key of what follows), ``kind``, ``hits`` and the count
-    ``others`` of further words. Equal units are scored once.
+    ``units``: ``unit`` (a key of what follows), ``kind`` and ``words``. Equal units are scored once.
     """
-    sets = units.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("kind", "hits", "others")])
+    sets = units.groupBy("unit").agg(F.first("kind").alias("kind"), F.first("words").alias("words"))
+    counted = sets.select("unit", "kind", F.explode("words").alias("term")).groupBy("unit", "kind", "term")
+    counted = counted.agg((1 + F.log(F.count("*"))).alias("times"))
     idf = F.broadcast(spark.createDataFrame(sorted(w2.items()), "term string, w2 double"))
-    weighed = sets.select("unit", "kind", "others", F.explode("hits").alias("term")).join(idf, "term")
-    norms = weighed.groupBy("unit").agg((F.sum("w2") + F.max("others") * unseen2).alias("norm2"))
-    terms = [(i, name, notice, sum(w2[w] for w in words), word) for i, name, notice, words in templates for word in words]
-    terms = spark.createDataFrame(terms, "id int, name string, notice boolean, template2 double, term string")
-    pairs = weighed.join(norms, "unit").join(F.broadcast(terms), "term")
-    # A likeness is at most the root of the smaller norm over the larger. Lines and whole texts have met the notices.
-    close = F.least("norm2", "template2") >= threshold * threshold * F.greatest("norm2", "template2") - 1e-6
-    pairs = pairs.where(close & (~F.col("notice") | F.col("kind").isin("window", "notice")))
-    dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum("w2").alias("dot"))
+    weighed = counted.join(idf, "term", "left")
+    square = F.col("times") * F.col("times") * F.coalesce("w2", F.lit(unseen2))
+    norms = weighed.groupBy("unit").agg(F.sum(square).alias("norm2"), F.count("*").alias("n"))
+    terms = []
+    for i, name, notice, words in templates:
+        squares = [_times(n) ** 2 * w2[w] for w, n in words.items()]
+        # A unit holds the square of the threshold of the template's weight, so as many words as that takes.
+        least = threshold * threshold * sum(squares) / max(squares, default=1.0) - 1e-6
+        terms += [(i, name, notice, sum(squares), least, w, _times(n)) for w, n in words.items()]
+    terms = spark.createDataFrame(terms, "id int, name string, notice boolean, template2 double, least double, term string, t_times double")
+    # Lines and whole texts have met the notices by themselves.
+    pairs = weighed.where("w2 is not null").join(norms, "unit").join(F.broadcast(terms), "term")
+    pairs = pairs.where((F.col("n") >= F.col("least")) & (~F.col("notice") | F.col("kind").isin("window", "notice")))
+    dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum(F.col("times") * F.col("t_times") * F.col("w2")).alias("dot"))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6)
     best = dots.withColumn("score", score).where(F.col("score") >= threshold)
     return best.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
@@ -153,11 +176,12 @@ def _by_windows(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict
     # A file must hold the square of the threshold of a template's weight, so half of that in the heavier words.
     heavy = []
     for i, _, _, words in templates.known:
-        half, light = threshold * threshold * sum(w2[w] for w in words) / 2, 0.0
-        for w in sorted(words, key=lambda w: (w2[w], w)):
-            light += w2[w]
+        square = {w: _times(n) ** 2 * w2[w] for w, n in words.items()}
+        half, light = threshold * threshold * sum(square.values()) / 2, 0.0
+        for w in sorted(words, key=lambda w: (square[w], w)):
+            light += square[w]
             if light > half:
-                heavy.append((w, i, w2[w], half))
+                heavy.append((w, i, square[w], half))
     heavy = spark.createDataFrame(heavy, "term string, id int, w2 double, half double")
     shared = held.select("path", "th", F.explode(F.array_distinct("seen")).alias("term")).join(F.broadcast(heavy), "term")
     shared = shared.groupBy("path", "th", "id").agg(F.sum("w2").alias("w2"), F.first("half").alias("half"))
@@ -165,24 +189,18 @@ def _by_windows(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict
     keyed = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
     chosen = keyed.alias("k").join(likely.alias("l"), F.expr("k.path <=> l.path and k.th = l.th"), "left_semi")
     lines = F.filter(F.transform(F.split("text", "\n"), _words), lambda x: F.size(x) > 0)
-    chosen = chosen.dropDuplicates(["path", "th"]).select("path", lines.alias("lines")).where("size(lines) > 0")
+    chosen = materialize(chosen.dropDuplicates(["path", "th"]).select("path", lines.alias("lines")), "license-lines")
     unit = lambda words, kind: F.struct(words.alias("words"), F.lit(kind).alias("kind"))
     groups = [F.transform("lines", lambda x: unit(x, "line"))]
-    groups.append(F.array(unit(F.array_distinct(F.flatten("lines")), "whole")))
+    groups.append(F.array(unit(F.flatten("lines"), "whole")))
     none = F.expr("cast(array() as array<struct<words:array<string>,kind:string>>)")
     for size in SIZES:
         starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1)))
-        slices = F.transform(starts, lambda i: F.slice("lines", i, size))
-        windows = F.transform(slices, lambda x: unit(F.array_distinct(F.flatten(x)), "window"))
+        windows = F.transform(starts, lambda i: unit(F.flatten(F.slice("lines", i, size)), "window"))
         groups.append(F.when(F.size("lines") >= size, windows).otherwise(none))
-    units = chosen.select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", "u.words")
-    units = units.withColumn("hits", _among("words", templates.vocabulary))
-    units = units.where(F.size("hits") >= threshold * threshold * F.size("words") - 1e-9)
-    units = units.select(
-        "path", "kind", F.xxhash64("kind", F.array_sort("hits"), F.size("words")).alias("unit"), "hits",
-        (F.size("words") - F.size("hits")).alias("others"),
-    )
-    units = materialize(units, "license-windows")
+    units = chosen.repartition(spark.sparkContext.defaultParallelism * 2).select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", "u.words")
+    units = units.where(F.expr(_likely("words", templates.vocabulary, threshold)))
+    units = materialize(units.select("path", "kind", "words", F.xxhash64("kind", F.array_sort("words")).alias("unit")), "license-windows")
     best = _best(spark, units, templates.known, w2, unseen2, threshold)
     return units.join(best, "unit").select("path", (F.col("kind") == "whole").alias("whole"), "best")
 
@@ -207,10 +225,10 @@ def scan(
         w2 = {w: _square(total, counts.get(w, 0)) for w in known.vocabulary}
         unseen2 = _square(total, 0)
         likely = held.select("path", F.explode("units").alias("u")).select(
-            "path", "u.whole", F.lit("notice").alias("kind"), "u.hits", (F.col("u.n") - F.size("u.hits")).alias("others"),
-            F.xxhash64(F.array_sort("u.hits"), "u.n").alias("unit"),
-        )
-        best = _best(spark, likely, [t for t in known.known if t[2]], w2, unseen2, threshold)
+            "path", "u.whole", F.lit("notice").alias("kind"), "u.words", F.xxhash64(F.array_sort("u.words")).alias("unit")
+        )
+        of_notices = {w: w2[w] for w in known.of_notices}
+        best = _best(spark, likely, [t for t in known.known if t[2]], of_notices, unseen2, threshold)
         found = likely.join(best, "unit").select("path", "whole", "best")
         found = found.unionByName(_by_windows(rows, held, known, w2, unseen2, threshold))
         own = found.groupBy("path").agg(F.min("best").alias("own"), F.max("whole").alias("whole"))
@@ -278,18 +296,18 @@ WITH templates(name, notice) AS (VALUES """
     + _VALUES
     + r"""),
 terms AS (
-  SELECT DISTINCT name, unnest(string_split_regex(lower(notice), '[^\p{L}\p{N}]+')) AS term FROM templates),
-real_terms AS (SELECT * FROM terms WHERE term <> ''),
+  SELECT name, unnest(string_split_regex(lower(notice), '[^\p{L}\p{N}]+')) AS term FROM templates),
+real_terms AS (SELECT name, term, 1 + ln(count(*)) AS times FROM terms WHERE term <> '' GROUP BY ALL),
 files AS (
   SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id AS path,
     coalesce(source, '-') || '/' || coalesce(lang, '-') AS dir, coalesce(source, '-') AS up, text FROM documents),
 units AS (
   SELECT row_number() OVER () AS unit, path, whole, w FROM (
-    SELECT path, whole, list_filter(list_distinct(string_split_regex(lower(u), '[^\p{L}\p{N}]+')), lambda x: x <> '') AS w FROM (
+    SELECT path, whole, list_filter(string_split_regex(lower(u), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (
       SELECT path, false AS whole, unnest(string_split(text, chr(10))) AS u FROM files
       UNION ALL SELECT path, true, text FROM files WHERE text IS NOT NULL))
   WHERE len(w) > 0),
-unit_words AS (SELECT unit, unnest(w) AS term FROM units),
+unit_words AS (SELECT unit, term, 1 + ln(count(*)) AS times FROM (SELECT unit, unnest(w) AS term FROM units) GROUP BY ALL),
 totals AS (SELECT count(*) AS n FROM units WHERE NOT whole),
 df AS (
   SELECT t.term, count(u.unit) AS df FROM (SELECT DISTINCT term FROM real_terms) AS t
@@ -297,10 +315,10 @@ df AS (
 idf AS (SELECT term, power(ln((1.0 + n) / (1.0 + df)) + 1, 2) AS w2 FROM df, totals),
 unseen AS (SELECT power(ln(1.0 + n) + 1, 2) AS w2 FROM totals),
 norms AS (
-  SELECT x.unit, sum(coalesce(i.w2, unseen.w2)) AS norm2 FROM unit_words AS x LEFT JOIN idf AS i USING (term), unseen GROUP BY x.unit),
-template_norms AS (SELECT name, sum(w2) AS template2 FROM real_terms JOIN idf USING (term) GROUP BY name),
+  SELECT x.unit, sum(times * times * coalesce(i.w2, unseen.w2)) AS norm2 FROM unit_words AS x LEFT JOIN idf AS i USING (term), unseen GROUP BY x.unit),
+template_norms AS (SELECT name, sum(times * times * w2) AS template2 FROM real_terms JOIN idf USING (term) GROUP BY name),
 dots AS (
-  SELECT x.unit, t.name, sum(i.w2) AS dot FROM unit_words AS x JOIN real_terms AS t USING (term) JOIN idf AS i USING (term) GROUP BY x.unit, t.name),
+  SELECT x.unit, t.name, sum(x.times * t.times * i.w2) AS dot FROM unit_words AS x JOIN real_terms AS t USING (term) JOIN idf AS i USING (term) GROUP BY x.unit, t.name),
 scored AS (
   SELECT unit, name, round(dot / sqrt(norm2 * template2), 6) AS score FROM dots JOIN norms USING (unit) JOIN template_norms USING (name)),
 own AS (

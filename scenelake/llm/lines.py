@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import SMALL, materialize, scratch
 
 MIN_WORDS = 50
 #: Rows that a key of a join may bring to a task before it gets salts.
@@ -78,15 +78,15 @@ def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     return chosen.groupBy("id", "th", "pos", "fp").agg(F.collect_set("run").alias("runs"))
 
 
-def _dealt(many: DataFrame, few: DataFrame, keys: dict[str, str], counts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def _dealt(many: DataFrame, few: DataFrame, keys: dict[str, str], counts: DataFrame, total: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join with a ``salt``, so that a hot key's rows of ``many`` go to several tasks.
 
     ``keys``: column of ``many`` -> column of ``few``; ``counts``: the former and
-    ``n``, the rows of ``many``; ``by``: what deals a key's rows out. A key is hot
-    from ``HOT`` rows up, or from a 10,000th of all if that is more, so at most
-    10,000 keys are broadcast. ``few`` is copied for each salt of a hot key.
+    ``n``, the rows of ``many``, ``total`` at most in all; ``by``: what deals a
+    key's rows out. A key is hot from ``HOT`` rows up, or from a 10,000th of all
+    if that is more, so at most 10,000 keys are broadcast. ``few`` is copied for
+    each salt of a hot key.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     most = max(HOT, total // 10_000)
     names = {c: f"hot_{c}" for c in keys}
     salts = F.ceil(F.col("n") / most).alias("salts")
@@ -117,12 +117,11 @@ def _seeds(places: DataFrame) -> DataFrame:
     ends = places.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     shared = ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp")
     met = places.join(shared, "fp", "left_semi").select("fp", "id", "th", "pos", F.explode("runs").alias("run"))
-    met = materialize(met, "line-met")
     # One fingerprint may stand in different windows: those that are equal have a first occurrence.
     runs = met.groupBy("fp", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    runs = materialize(runs.where(~F.col("first").eqNullSafe(F.col("last"))), "line-runs")
+    runs = runs.where(~F.col("first").eqNullSafe(F.col("last")))
     first = runs.select(F.col("fp").alias("f_fp"), F.col("run").alias("f_run"), "first")
-    later, first = _dealt(met, first, {"fp": "f_fp", "run": "f_run"}, runs.select("fp", "run", "n"), ["id", "th", "pos"])
+    later, first = _dealt(met, first, {"fp": "f_fp", "run": "f_run"}, runs.select("fp", "run", "n"), places.count() * MIN_WORDS, ["id", "th", "pos"])
     found = later.join(first, F.expr("fp = f_fp and run = f_run and salt = f_salt")).where(~place.eqNullSafe(F.col("first")))
     return found.select(
         "id", "th", "pos", F.col("first.id").alias("id1"), F.col("first.th").alias("th1"), (F.col("pos") - F.col("first.pos")).alias("shift")
@@ -141,7 +140,7 @@ def _extended(lines: DataFrame, seeds: DataFrame) -> DataFrame:
         F.col("id").alias("e_id"), F.col("th").alias("e_th"), F.col("pos").alias("e_pos"), F.col("h").alias("e_h")
     )
     counts = pairs.groupBy("id1", "th1").agg(F.count("*").alias("n"))
-    beside, earlier = _dealt(beside, earlier, {"id1": "e_id", "th1": "e_th"}, counts, ["id", "th", "shift"])
+    beside, earlier = _dealt(beside, earlier, {"id1": "e_id", "th1": "e_th"}, counts, seeds.count(), ["id", "th", "shift"])
     equal = beside.join(earlier, F.expr("id1 <=> e_id and th1 = e_th and salt = f_salt and pos1 = e_pos and h = e_h"))
     along = Window.partitionBy(*pair).orderBy("pos")
     runs = equal.select(*pair, "pos", "line").withColumn("run", F.col("pos") - F.row_number().over(along))
@@ -170,6 +169,8 @@ def dedup_lines(
     plain = documents.toDF(*names)
     key, text = names[columns.index(id_col)], names[columns.index(text_col)]
     gone = deletions(plain, key, text, min_words)
+    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= 8 * SMALL:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     joined = plain.withColumn("__th", F.xxhash64(text)).join(
         gone, F.col(key).eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")) & F.col(text).isNotNull(), "left"
     )

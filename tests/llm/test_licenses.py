@@ -1,4 +1,6 @@
+import math
 import os
+from collections import Counter
 
 from scenelake.llm import licenses
 
@@ -67,3 +69,22 @@ def test_texts_headers_and_wrapped_notices(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_repeats_weigh_by_their_logarithm_and_ties_go_by_name(spark):
+    """Scores of lines against a plain cosine, with repeats, long lines and equal templates."""
+    notices = (("B", "alpha beta beta gamma"), ("A", "alpha beta beta gamma"), ("C", "delta delta delta epsilon"))
+    lines = ["alpha beta beta gamma", "alpha alpha beta beta gamma zeta", "delta epsilon delta", "Delta, delta; epsilon! other", "alpha " * 5000 + "beta beta gamma", "eta theta", ""]
+    df = spark.createDataFrame([(f"d/{i}", x) for i, x in enumerate(lines)] + [("d/0", lines[0])], "path string, text string")
+    got = {r.path: (r.own_license, r.own_score) for r in licenses.scan(df, templates=notices, texts=()).collect()}
+    units = [x.lower().replace(",", "").replace(";", "").replace("!", "").split() for x in [*lines, lines[0]]]
+    total = sum(bool(u) for u in units)
+    weight = lambda w: math.log((1 + total) / (1 + (sum(w in u for u in units) if any(w in n.split() for _, n in notices) else 0))) + 1
+    vector = lambda words: {w: (1 + math.log(n)) * weight(w) for w, n in Counter(words).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for i, unit in enumerate(units[:-1]):
+        u = vector(unit)
+        scored = [(-sum(x * t.get(w, 0) for w, x in u.items()) / (size(u) * size(t)), name) for name, n in notices if u and (t := vector(n.split()))]
+        best = min(((round(s, 6), name) for s, name in scored if s <= -0.6), default=None)
+        assert got[f"d/{i}"] == ((best[1], -best[0]) if best else (None, None)), i
+    assert got["d/0"][0] == "A"
