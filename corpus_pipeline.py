@@ -4,9 +4,6 @@ Toxic documents go; of passages that repeat, the first document keeps the lines;
 of each group of near copies the document with the least id stays; documents
 that hold a benchmark window go; what is left is encoded and decoded.
 
-Each stage writes its result into the shared folder itself, so that Python gets
-few rows at once and nothing is computed twice.
-
 Defined results:
 - all columns of the documents go through all stages but the last, whatever
   their names; the last gives ``doc_id``, ``lang``, ``source``, ``token_ids`` and
@@ -27,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm import bpe, decontamination, jaccard, lines, toxicity
-from scenelake.llm.common import discard, materialize, scratch
+from scenelake.llm.common import discard, materialize, scratch, small
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7, by a model trained on the labelled ones."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return materialize(toxicity.drop_toxic(docs, model), "pipeline-toxicity", keep=True)
+    return toxicity.drop_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,27 +39,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text. A document of which no line with a word is
     left, as all of them stand in earlier documents, goes.
     """
-    with scratch():
-        kept = lines.dedup_lines(docs, added=("__lines", "__removed"))
-        kept = kept.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-        changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-        kept = kept.withColumn("n_chars", changed).select(*docs.columns)
-        return materialize(kept, "pipeline-lines", keep=True)
+    kept = lines.dedup_lines(docs, added=("__lines", "__removed"))
+    kept = kept.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the least id."""
-    with scratch():
-        found = jaccard.components(docs)
-        stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__stay"))
-        stay = materialize(stay.agg((F.count("*") > 1).alias("__twice")), "pipeline-stay")
-        named = docs["doc_id"].eqNullSafe(F.col("__stay"))
-        if stay.where("__twice").isEmpty():
-            kept = docs.join(stay, named, "left_semi")
-        else:
-            kept = docs.join(stay.where("not __twice"), named, "left_semi")
-            kept = kept.unionByName(_one_of_each(docs.join(stay.where("__twice"), named, "left_semi")))
-        return materialize(kept, "pipeline-copies", keep=True)
+    found = jaccard.components(docs)
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__stays")
+    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(stays, (F.count("*") > 1).alias("__twice"))
+    ids = materialize(ids.where("not __stays or __twice"), "pipeline-copies")
+    named = docs["doc_id"].eqNullSafe(F.col("__id"))
+    kept = docs.join(small(ids), named, "left_anti")
+    twice = ids.where("__stays")
+    if not twice.isEmpty():
+        kept = kept.unionByName(_one_of_each(docs.join(small(twice), named, "left_semi")))
+    return kept
 
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
@@ -74,13 +68,12 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    clean = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return materialize(clean, "pipeline-benchmark", keep=True)
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of the ids and of the bytes they decode to."""
-    return materialize(bpe.round_trip(docs, ["doc_id", "lang", "source"], with_ids=True), "pipeline-tokens", keep=True)
+    return bpe.round_trip(docs, ["doc_id", "lang", "source"], with_ids=True)
 
 
 STAGES = [
@@ -98,8 +91,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result over the documents table; the tables between go when they have been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        after = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with scratch():
+            after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", keep=True)
         discard(docs)
         docs = after
     return docs
