@@ -129,6 +129,45 @@ def test_interactions_by_sum_of_squares():
     assert got == pytest.approx(pairs, rel=1e-4)
 
 
+def test_factors_learn_what_single_words_do_not_tell():
+    """Pairs of words decide: no weight of a single word can tell the classes apart."""
+    rng = random.Random(3)
+    features, rows, labels = quality.Features(), [], []
+    for _ in range(600):
+        a, b = rng.choice(["ash", "oak"]), rng.choice(["sun", "fog"])
+        rows.append(features.row(f"{a} {b}", ()))
+        labels.append(float((a == "ash") == (b == "sun")))
+    machine = quality.Machine()
+    machine.fit(rows, np.array(labels))
+    got = machine.score(rows)
+    assert np.mean((got >= 0.5) == (np.array(labels) == 1)) > 0.99
+    machine.factors[:] = 0
+    assert np.mean((machine.score(rows) >= 0.5) == (np.array(labels) == 1)) < 0.8
+
+
+def test_logistic_curve_is_at_its_least_loss():
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 2, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.5 * x - 4)))).astype(float)
+    slope, offset = toxicity.logistic(x, y)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda a, b: float((np.logaddexp(0, a * x + b) - target * (a * x + b)).sum())
+    at = loss(slope, offset)
+    assert all(at < loss(slope + a, offset + b) + 1e-3 for a in (-0.05, 0, 0.05) for b in (-0.1, 0, 0.1) if a or b)
+    assert slope == pytest.approx(1.5, abs=0.5)
+
+
+def test_quality_keeps_clashing_columns_and_takes_long_texts(spark):
+    docs, labels = corpus(spark, 120)
+    docs = docs.withColumnRenamed("label", "__t").withColumnRenamed("lang", "index") if "lang" in docs.columns else docs.withColumnRenamed("label", "__t")
+    machine = quality.train(docs, labels)
+    got = quality.score(docs, machine, ["doc_id", "__t"]).collect()
+    assert len(got) == 124 and all(0 <= r.score <= 1 for r in got)
+    twice = quality.score(docs.unionByName(docs), machine, ["doc_id"]).collect()
+    assert len({(r.doc_id, r.score) for r in twice}) == len({r.doc_id for r in got})
+    assert quality.score(docs.limit(0), machine, ["doc_id"]).count() == 0
+
+
 def test_url_rules(spark):
     cases = {
         "http://x.net/a": ("x.net", "/a", "net/", "block"),
@@ -224,6 +263,13 @@ def test_urls_of_one_domain_are_told_apart_by_their_text(spark):
     assert sum(w for w, _ in errors.values()) < 0.1 * sum(n for _, n in errors.values())
 
 
+def test_url_columns_may_clash(spark):
+    df = spark.createDataFrame([("http://a.net/", "x", 1), ("http://b.org/fr/1", "y", 2)], "url string, rule string, host int")
+    got = urls.judge(df, ["url", "rule", "host"])
+    assert got.columns == ["url", "rule", "host", "host_new", "path", "rule_new", "verdict", "difference"]
+    assert sorted(map(tuple, got.select("rule", "host", "rule_new").collect())) == [("x", 1, "net/"), ("y", 2, "org/fr/")]
+
+
 def test_very_long_urls(spark):
     df = spark.createDataFrame([("http://a.net/" + "x" * 300_000,), ("http://b.org/fr/1",), ("http://c.info/" + "y" * 300_000,)], "url string")
     assert urls.judge(df, ["url"]).count() == 3

@@ -1,8 +1,14 @@
+import hashlib
+
 import duckdb
+import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from scenelake.llm import queries
+from scenelake.llm import queries, toxicity
+from scenelake.llm.bpe import load_ranks, public_vocabulary
+
+from . import test_decontamination, test_jaccard, test_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +65,28 @@ def test_nulls_repeats_and_clashing_columns(spark):
         (None, "a text without an id", 3), (6, "one two three four five six seven", 3),
     }
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
+
+
+def test_the_whole_pipeline_against_plain_stages(spark):
+    """All documents of a small table, through plain versions of the five stages."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    docs = [(i, t) for i, t in docs if model.judge(t)[0] < 0.7]
+    gone, after = test_lines.brute(docs, 50), []
+    for i, t in docs:
+        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone[i, t]]
+        if not gone[i, t] or any(x.split() for x in kept):
+            after.append((i, None if t is None else "\n".join(kept)))
+    docs = [(i, t) for (i, t), (_, _, least) in zip(sorted(after), sorted(test_jaccard.brute(after))) if i == least]
+    docs = [(i, t) for i, t in docs if not test_decontamination.brute(t, items)[1]]
+    path, pattern = public_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    want = []
+    for i, t in docs:
+        ids = library.encode_ordinary(t or "")
+        shas = [hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), (t or "").encode())]
+        want.append((i, ids, len(ids), *shas))
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < 200
