@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import beside, map_text
 
 SHORT = 64
 #: Pieces whose ids a worker remembers.
@@ -294,7 +295,9 @@ def decode(
 ) -> DataFrame:
     """``keep`` columns and ``decoded`` (binary); null ids decode to no bytes."""
     path, pattern = (path, pattern) if path else public_vocabulary()
-    schema = type(tokens.schema)(tokens.select(*keep).schema.fields).add("decoded", "binary")
+    names = [f"__k{i}" for i in range(len(keep))]
+    narrow = tokens.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(ids_col).alias("__ids"))
+    schema = type(narrow.schema)(narrow.schema.fields[:-1]).add("decoded", "binary")
 
     def run(batches):
         bpe = tokenizer(path, pattern)
@@ -304,7 +307,7 @@ def decode(
                 [*batch.columns[:-1], pa.array(texts, pa.binary())], names=schema.names
             )
 
-    return tokens.select(*keep, ids_col).mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *beside(keep, ["decoded"]))
 
 
 def round_trip(

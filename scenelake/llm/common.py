@@ -131,12 +131,14 @@ def map_text(
     ``function()`` is called once in each task and gives the batch function,
     which takes the list of texts (``None`` for null) and returns one Arrow
     array for each field of ``schema``. Batches are cut to about 4 MB of text,
-    so a run of very long texts does not pile up in a worker.
+    so a run of very long texts does not pile up in a worker. Kept columns may
+    have any names; an added column that is named like one of them gets ``_new``.
     """
     spark = df.sparkSession
-    narrow = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    names = [f"__k{i}" for i in range(len(keep))]
+    narrow = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("__text"))
     kept = narrow.drop("__text").schema
-    added = spark.createDataFrame([], schema).schema if schema else None
+    added = spark.createDataFrame([], schema).schema
     out_schema = type(kept)(list(kept.fields) + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,12 @@ def map_text(
                     names=out_schema.names,
                 )
 
-    return narrow.mapInArrow(run, out_schema)
+    return narrow.mapInArrow(run, out_schema).toDF(*keep, *beside(keep, added.names))
+
+
+def beside(keep: list[str], added: list[str]) -> list[str]:
+    """Names for added columns: one that is named like a kept column gets ``_new``."""
+    return [f"{c}_new" if c in keep else c for c in added]
 
 
 def slices(batch: pa.RecordBatch, index: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import beside, slices
 from .toxicity import logistic
 from .training import held_out, labelled_sample
 
@@ -218,9 +218,9 @@ def train(
 
 def score(documents: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", meta_cols: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and ``score``, a row for each input row."""
-    narrow = documents.select(
-        *keep, F.array(*[F.col(c).cast("double") for c in meta_cols]).cast("array<double>").alias("__m"), F.col(text_col).alias("__t")
-    )
+    names = [f"__k{i}" for i in range(len(keep))]
+    meta = F.array(*[F.col(c).cast("double") for c in meta_cols]).cast("array<double>")
+    narrow = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], meta.alias("__m"), F.col(text_col).alias("__t"))
     schema = type(narrow.schema)(narrow.schema.fields[:-2]).add("score", "double")
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
@@ -234,7 +234,7 @@ def score(documents: DataFrame, machine: Machine, keep: list[str], text_col: str
                     [*columns[:-2], pa.array(model.score(rows), pa.float64())], names=schema.names
                 )
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *beside(keep, ["score"]))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ Defined results:
   what text there is, and an empty or null URL is allowed;
 - without examples of both kinds the models allow all;
 - repeated rows are judged each for itself, an empty table gives no rows;
-- further columns are not read, whatever their names.
+- further columns are not read, whatever their names; an added column that is
+  named like a kept one gets ``_new``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import beside, discard, materialize
 
 ORDER, SEEN = 5, 2
 #: Counts that workers hold at most; a larger table is joined instead.
@@ -349,10 +350,9 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "verdict": verdict})
     model = train(judged, "__url", "verdict", "rule", rules)
+    added = ["host", "path", "rule", "verdict", "difference"]
     if model.found is not None:
-        return _by_table(judged, model).select(
-            *[F.col(n).alias(c) for c, n in zip(keep, names)], "host", "path", "rule", "verdict", "difference"
-        )
+        return _by_table(judged, model).select(*names, *added).toDF(*keep, *beside(keep, added))
     shared = pages.sparkSession.sparkContext.broadcast(model)
     out = judged.select(*names, "host", "path", "rule", "verdict", "__url")
     schema = type(out.schema)(out.schema.fields[:-1]).add("difference", "double")
@@ -370,10 +370,7 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
                 [*columns, pa.array(verdicts, pa.string()), pa.array(found, pa.float64())], names=schema.names
             )
 
-    done = out.mapInArrow(run, schema)
-    return done.select(
-        *[F.col(n).alias(c) for c, n in zip(keep, names)], "host", "path", "rule", "verdict", "difference"
-    )
+    return out.mapInArrow(run, schema).select(*names, *added).toDF(*keep, *beside(keep, added))
 
 
 def _by_table(judged: DataFrame, model: Filter) -> DataFrame:
