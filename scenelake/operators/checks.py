@@ -54,7 +54,7 @@ def filter_holds(survivors: DataFrame, stages: DataFrame) -> DataFrame:
     """Per surviving row, the number of its classes of its own stage and of later ones."""
     own = F.explode_outer(F.split("classes_present", r"\|")).alias("class")
     rows = survivors.select("stage_idx", "scene", own).join(
-        F.broadcast(stages.select("class", F.col("stage_idx").alias("c_stage"))), "class", "left"
+        stages.select("class", F.col("stage_idx").alias("c_stage")), "class", "left"
     )
     return rows.groupBy("stage_idx", "scene").agg(
         F.count_if(F.col("c_stage") == F.col("stage_idx")).alias("own_hits"),
@@ -67,7 +67,7 @@ def pair_checks(pairs: DataFrame, bounds: list[tuple[str, str, str, float]]) ->
     spark = pairs.sparkSession
     wanted = spark.createDataFrame(bounds, "check_name string, a string, b string, bound double")
     classes = pairs.select(F.explode(F.array("class_i", "class_j")).alias("class")).distinct()
-    held = wanted.join(F.broadcast(pairs), F.expr("least(a, b) = class_i and greatest(a, b) = class_j"), "left")
+    held = wanted.join(pairs, F.expr("least(a, b) = class_i and greatest(a, b) = class_j"), "left")
     for side in ("a", "b"):
         known = classes.select(F.col("class").alias(f"known_{side}"))
         held = held.join(known, F.col(side) == F.col(f"known_{side}"), "left")

@@ -15,7 +15,7 @@ def presence_patterns(found: DataFrame, features: DataFrame) -> DataFrame:
     to few patterns, over which inertia and silhouette are exact under weights.
     """
     listed = features.groupBy("focal_class").agg(F.sort_array(F.collect_set("feature")).alias("f"))
-    focal = found.join(F.broadcast(listed), found["class"] == listed["focal_class"]).select("scene", "focal_class", "f")
+    focal = found.join(listed, found["class"] == listed["focal_class"]).select("scene", "focal_class", "f")
     sets = found.groupBy("scene").agg(F.collect_set("class").alias("c"))
     bits = F.array_join(F.transform("f", lambda x: F.when(F.array_contains("c", x), "1").otherwise("0")), "")
     return focal.join(sets, "scene").groupBy("focal_class", bits.alias("pattern")).agg(F.count("*").alias("n"))
@@ -346,7 +346,7 @@ def summary(patterns: DataFrame, features: DataFrame, assigned: DataFrame, top:
     the same in all rows of a class.
     """
     listed = features.groupBy("focal_class").agg(F.sort_array(F.collect_set("feature")).alias("f"))
-    rows = assigned.join(patterns, ["focal_class", "pattern"]).join(F.broadcast(listed), "focal_class")
+    rows = assigned.join(patterns, ["focal_class", "pattern"]).join(listed, "focal_class")
     cluster = (F.col("cluster") + 1).cast("long").alias("cluster")
     sizes = rows.groupBy("focal_class", cluster).agg(
         F.sum("n").alias("n_scenes"), F.first("k").cast("long").alias("k"), F.round(F.first("silhouette"), 3).alias("silhouette")

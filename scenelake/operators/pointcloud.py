@@ -180,12 +180,21 @@ def level_table(spark: SparkSession, routing: tuple[int, ...] = LABEL_TO_LEVEL)
     return spark.createDataFrame([(i, level) for i, level in enumerate(routing)], "label long, level long")
 
 
-def synthetic_cloud(spark: SparkSession, n: int = 50_000, scale: float = 6.0, seed: int = 0) -> DataFrame:
-    """Uniform points with colours, alike however they are partitioned: each value from a digest of seed, column and number."""
+def _unit(key: Column, i: int, seed: int) -> Column:
+    """A number from 0 up to 1, from a digest of seed, column and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}/{i}/"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
 
-    def unit(i: int) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}/{i}/"), F.col("id").cast("string")))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
 
+def synthetic_cloud(spark: SparkSession, n: int = 50_000, scale: float = 6.0, seed: int = 0) -> DataFrame:
+    """Uniform points with colours, alike however they are partitioned."""
     names = ("x", "y", "z", "r", "g", "b")
-    return spark.range(n).select("id", *[(unit(i) * (scale if i < 3 else 1.0)).alias(c) for i, c in enumerate(names)])
+    values = [(_unit(F.col("id"), i, seed) * (scale if i < 3 else 1.0)).alias(c) for i, c in enumerate(names)]
+    return spark.range(n).select("id", *values)
+
+
+def synthetic_image(spark: SparkSession, height: int = 530, width: int = 730, seed: int = 0) -> DataFrame:
+    """``v``, ``u`` and eight-bit ``r``, ``g``, ``b`` of uniform noise, alike however they are partitioned."""
+    place = [F.expr(f"id div {width}").alias("v"), (F.col("id") % width).alias("u")]
+    values = [F.floor(_unit(F.col("id"), i, seed) * 256).alias(c) for i, c in enumerate(("r", "g", "b"), 6)]
+    return spark.range(height * width).select(*place, *values)

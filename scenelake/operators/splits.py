@@ -43,7 +43,7 @@ def stage_masks(found: DataFrame, scenes: DataFrame, stages: DataFrame) -> DataF
     One pass over the scenes; every ordering is then judged on these few rows.
     """
     bit = F.expr("shiftleft(1L, cast(stage_idx - 1 as int))").alias("bit")
-    held = found.join(F.broadcast(stages.select("class", "stage_idx")), "class").select("scene", bit)
+    held = found.join(stages.select("class", "stage_idx"), "class").select("scene", bit)
     masks = held.groupBy("scene").agg(F.bit_or("bit").alias("mask"))
     rows = scenes.join(masks, "scene", "left").select("scene_type", F.coalesce("mask", F.lit(0)).alias("mask"))
     return rows.groupBy("scene_type", "mask").agg(F.count("*").alias("n"))
@@ -91,7 +91,7 @@ def future_classes(stages: DataFrame) -> DataFrame:
 
 def surviving_scenes(found: DataFrame, scenes: DataFrame, stages: DataFrame, stage_types: DataFrame) -> DataFrame:
     """``stage_idx``, ``scene_type``, ``scene`` and the ``|``-joined stage classes, in rank order, of scenes that survive."""
-    held = found.join(F.broadcast(stages.select("class", "stage_idx", "position")), "class")
+    held = found.join(stages.select("class", "stage_idx", "position"), "class")
     per = held.groupBy("scene").agg(
         F.max("stage_idx").alias("last"), F.sort_array(F.collect_list(F.struct("position", "class"))).alias("c")
     )

@@ -400,7 +400,7 @@ def _union(spark, sf):
     found, scenes, stages = assigned(spark, sf)
     two = splits.surviving_scenes(found, scenes, stages, stage_types(spark)).select(F.concat(F.lit("v2-"), F.col("stage_idx").cast("string")).alias("split"), "scene")
     found, _, by_freq = frequency_stages(spark, sf)
-    last = found.join(F.broadcast(by_freq), "class").groupBy("scene").agg(F.max("stage_idx").alias("s"))
+    last = found.join(by_freq, "class").groupBy("scene").agg(F.max("stage_idx").alias("s"))
     return two.unionByName(last.select(F.concat(F.lit("v1-"), F.col("s").cast("string")).alias("split"), "scene"))
 
 
@@ -568,14 +568,14 @@ def point_segment_distance(spark, sf):
 @query(ctes("edges", "objs") + f"SELECT vec_id, round(min({_SEG}), 6) AS dist_to_wall FROM (SELECT vec_id, x AS px, z AS pz, ax, az, bx, bz FROM objs JOIN edges USING (label)) GROUP BY vec_id")
 def nearest_wall_distance(spark, sf):
     found = T.objects(spark, sf)
-    walls = found.join(F.broadcast(T.rooms(found).select("label", "xs", "zs")), "label")
+    walls = found.join(T.rooms(found).select("label", "xs", "zs"), "label")
     return walls.select("vec_id", F.round(G.polygon_distance(F.col("x"), F.col("z"), F.col("xs"), F.col("zs")), 6).alias("dist_to_wall"))
 
 
 @query(ctes("edges", "objs") + f"SELECT vec_id, round(min({_SEG}), 6) AS edge_dist FROM (SELECT vec_id, x + sx * w / 2 AS px, z + sz * d / 2 AS pz, ax, az, bx, bz FROM objs JOIN edges USING (label), unnest([-1, 1]) AS s(sx), unnest([-1, 1]) AS t(sz) WHERE w > 0 AND d > 0) GROUP BY vec_id")
 def nearest_edge_distance(spark, sf):
     found = T.objects(spark, sf)
-    walls = found.where("w > 0 and d > 0").join(F.broadcast(T.rooms(found).select("label", "xs", "zs")), "label")
+    walls = found.where("w > 0 and d > 0").join(T.rooms(found).select("label", "xs", "zs"), "label")
     c = [F.col(x) for x in ("x", "z", "w", "d", "xs", "zs")]
     return walls.select("vec_id", F.round(G.nearest_corner_distance(*c), 6).alias("edge_dist"))
 
@@ -584,7 +584,7 @@ def nearest_edge_distance(spark, sf):
 def floor_features(spark, sf):
     found = T.objects(spark, sf)
     above = F.col("floor_y") - (F.col("y") + F.col("h") / 2)
-    rows = found.join(F.broadcast(T.rooms(found).select("label", "floor_y")), "label")
+    rows = found.join(T.rooms(found).select("label", "floor_y"), "label")
     return rows.select("vec_id", F.round(above, 6).alias("bottom_above_floor"), (above < spatial.ON_FLOOR).alias("on_floor"))
 
 
@@ -594,7 +594,7 @@ _NORM = "(x - mx) / greatest((x1 - x0) / 2, 0.1) AS nx, (z - mz) / greatest((z1
 def _normalised(spark, sf):
     found = T.objects(spark, sf)
     mean = found.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("z").alias("mz"))
-    rows = found.join(F.broadcast(T.rooms(found)), "label").join(F.broadcast(mean), "label")
+    rows = found.join(T.rooms(found), "label").join(mean, "label")
     nx, nz = (F.col("x") - F.col("mx")) / G.half_extent(F.col("xs")), (F.col("z") - F.col("mz")) / G.half_extent(F.col("zs"))
     return rows.select("vec_id", "label", F.round(nx, 6).alias("norm_cx"), F.round(nz, 6).alias("norm_cz"))
 
@@ -616,7 +616,7 @@ def top_categories_normalised(spark, sf):
 def negative_offset_examples(spark, sf):
     found = T.objects(spark, sf)
     above = F.col("floor_y") - (F.col("y") + F.col("h") / 2)
-    rows = found.join(F.broadcast(T.rooms(found).select("label", "floor_y")), "label").where(above < 0)
+    rows = found.join(T.rooms(found).select("label", "floor_y"), "label").where(above < 0)
     return rows.select("vec_id", "label", F.round(above, 6).alias("above")).orderBy("above", "vec_id").limit(10)
 
 

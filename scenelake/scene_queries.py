@@ -82,7 +82,7 @@ _KINDS = ["desk", "lamp", "box", "bed", "door", "table", "book", "bag", "mirror"
 def _annotated(spark, sf):
     """Parsed annotations and layouts, as JSON texts of one scene for each embedding, joined by path."""
     found = T.objects(spark, sf)
-    rows = found.join(F.broadcast(T.rooms(found).select("label", "xs", "zs", "floor_y")), "label")
+    rows = found.join(T.rooms(found).select("label", "xs", "zs", "floor_y"), "label")
     path = F.concat(F.lit("/data/scene"), F.col("vec_id").cast("string"))
     half = lambda c, s: F.col(c) + F.lit(s) * F.col({"x": "w", "z": "d", "y": "h"}[c]) / 2
     square = lambda c, signs: F.array(*[half(c, s) for s in signs])
@@ -383,3 +383,9 @@ def decoded_levels(spark, sf):
     deep = fine.where("vec_id % 4 = 0").withColumns({c: F.expr(f"shiftright({c}, 1)") for c in ("vx", "vy", "vz")})
     levels = [pointcloud.decode_boxes(fine), pointcloud.decode_boxes(deep, 2 * pointcloud.VOXEL)]
     return pointcloud.concat_levels(levels).select("vec_id", "level", F.round("cx", 5).alias("cx"), F.round("w", 5).alias("w"))
+
+
+@query("SELECT v, round(avg(r), 6) AS r, round(avg(g), 6) AS g, max(b) AS b FROM (SELECT id // 730 AS v, " + ", ".join(f"CAST(floor(CAST('0x' || substr(md5('0/{i}/' || id), 1, 8) AS BIGINT) / 4294967296.0 * 256) AS BIGINT) AS {c}" for i, c in enumerate("rgb", 6)) + " FROM range(386900) AS t(id)) GROUP BY v")
+def synthetic_image(spark, sf):
+    rows = pointcloud.synthetic_image(spark)
+    return rows.groupBy("v").agg(F.round(F.avg("r"), 6).alias("r"), F.round(F.avg("g"), 6).alias("g"), F.max("b").alias("b"))

@@ -10,35 +10,61 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jpeg import decode_jpeg
+
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
+#: First row and column, and steps, of the seven passes of an interlaced file.
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x channels of a PNG with 8 or 16 bits, without palette or interlacing."""
+    """Height x width x channels of a PNG of any depth, with or without palette and interlacing."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG file")
-    at, packed = 8, []
+    at, packed, palette = 8, [], None
+    width = height = depth = colour = interlaced = 0
     while at < len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + size]
         at += 12 + size
         if kind == b"IHDR":
             width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             packed.append(body)
         elif kind == b"IEND":
             break
-    if depth not in (8, 16) or colour not in _CHANNELS or interlaced:
+    channels = 1 if colour == 3 else _CHANNELS.get(colour)
+    if channels is None or depth not in (1, 2, 4, 8, 16) or colour == 3 and palette is None:
         raise ValueError("unsupported PNG layout")
-    channels = _CHANNELS[colour]
-    step = channels * depth // 8
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
-    above = np.zeros(width * step, np.uint8)
-    out = np.empty((height, width * step), np.uint8)
-    for y in range(height):
-        out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
-    samples = out.reshape(-1).view(">u2").astype(np.uint16) if depth == 16 else out
-    return samples.reshape(height, width, channels)
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    out = np.zeros((height, width, channels), np.uint16 if depth == 16 else np.uint8)
+    for top, left, down, across in _PASSES if interlaced else ((0, 0, 1, 1),):
+        rows, columns = -(-max(0, height - top) // down), -(-max(0, width - left) // across)
+        if rows and columns:
+            line = 1 + (columns * channels * depth + 7) // 8
+            out[top::down, left::across] = _samples(raw[: rows * line].reshape(rows, line), columns, channels, depth)
+            raw = raw[rows * line :]
+    return palette[out[..., 0]] if colour == 3 else out
+
+
+def _samples(lines: np.ndarray, columns: int, channels: int, depth: int) -> np.ndarray:
+    """The samples of filtered lines, each behind the number of its filter."""
+    rows, size = lines.shape[0], lines.shape[1] - 1
+    step = max(1, channels * depth // 8)
+    above = np.zeros(size, np.uint8)
+    out = np.empty((rows, size), np.uint8)
+    for y in range(rows):
+        out[y] = above = _unfilter(int(lines[y, 0]), lines[y, 1:], above, step)
+    if depth == 16:
+        out = out.reshape(-1).view(">u2").astype(np.uint16)
+    elif depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(rows, -1, depth)
+        out = (bits @ (1 << np.arange(depth)[::-1]))[:, : columns * channels].astype(np.uint8)
+    return out.reshape(rows, columns, channels)
 
 
 def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -61,15 +87,12 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
 
 
 def decode_image(data: bytes, path: str) -> np.ndarray:
-    """Samples of a PNG, or of another format where an imaging library is installed."""
-    if path.lower().endswith(".png"):
+    """Samples of a PNG or JPEG file, told apart by their first bytes."""
+    if data[:2] == b"\xff\xd8":
+        return decode_jpeg(data)
+    if data[:4] == b"\x89PNG":
         return decode_png(data)
-    import io
-
-    from PIL import Image  # only for formats other than PNG
-
-    image = np.asarray(Image.open(io.BytesIO(data)))
-    return image if image.ndim == 3 else image[:, :, None]
+    raise ValueError(f"neither PNG nor JPEG: {path}")
 
 
 def pixels(spark: SparkSession, root: str, glob: str = "*.png") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from scenelake import sinks
 from scenelake.operators import spatial
 from scenelake.sources import annotations, rasters
+from scenelake.sources import jpeg as jpegs
 from scenelake.streaming import presence as streams
 
 ROOM = {"name": "Room_1", "polygon": [{"X": [0, 4, 4, 0], "Z": [0, 0, 4, 4], "Ymin": 0, "Ymax": 1.5}]}
@@ -94,6 +95,118 @@ def test_png(spark, tmp_path, depth, channels):
     assert [r.samples for r in got] == image.reshape(-1, channels).tolist()
 
 
+def plain_png(samples, depth, colour, palette=b"", interlaced=0):
+    """An unfiltered PNG of rows x columns samples of any depth."""
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    passes = rasters._PASSES if interlaced else ((0, 0, 1, 1),)
+    out = b""
+    for top, left, down, across in passes:
+        part = samples[top::down, left::across]
+        if part.size:
+            for row in part:
+                bits = "".join(format(int(x), f"0{depth}b") for x in row.reshape(-1))
+                out += b"\0" + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    head = struct.pack(">IIBBBBB", samples.shape[1], samples.shape[0], depth, colour, 0, 0, interlaced)
+    extra = chunk(b"PLTE", palette) if palette else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlaced", [0, 1])
+@pytest.mark.parametrize("depth", [1, 2, 4, 8, 16])
+def test_png_of_any_depth_and_order(depth, interlaced):
+    samples = np.random.default_rng(depth).integers(0, 1 << depth, (11, 13, 1))
+    assert (rasters.decode_png(plain_png(samples, depth, 0, interlaced=interlaced)) == samples).all()
+    if depth <= 8:
+        colours = np.random.default_rng(1).integers(0, 256, (1 << depth, 3)).astype(np.uint8)
+        got = rasters.decode_png(plain_png(samples, depth, 3, colours.tobytes(), interlaced))
+        assert (got == colours[samples[..., 0]]).all()
+
+
+def jpeg(image, sampling=1, every=0):
+    """A baseline JPEG with quantisation 1 and codes of one length, of grey or RGB samples."""
+    h, w, n = image.shape
+    x = image.astype(float)
+    if n == 3:
+        r, g, b = np.moveaxis(x, 2, 0)
+        y = 0.299 * r + 0.587 * g + 0.114 * b
+        x = np.stack([y, 128 + (b - y) / 1.772, 128 + (r - y) / 1.402], 2)
+    side = 8 * sampling
+    rows, columns = -(-h // side), -(-w // side)
+    x = np.pad(x, ((0, rows * side - h), (0, columns * side - w), (0, 0)), "edge")
+    planes = [x[..., 0]] + [x[..., i].reshape(rows * 8, sampling, columns * 8, sampling).mean((1, 3)) for i in range(1, n)]
+    acs = [0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]
+    bits, last, out = [], [0] * n, []
+
+    def number(value):
+        size = abs(value).bit_length()
+        return size, format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def block(i, samples):
+        c = np.rint(jpegs._DCT @ (samples - 128) @ jpegs._DCT.T).astype(int).reshape(64)[jpegs.ZIGZAG]
+        size, text = number(int(c[0]) - last[i])
+        last[i] = int(c[0])
+        bits.append(format(size, "04b") + text)
+        run = 0
+        for k in range(1, 64):
+            if not c[k]:
+                run += 1
+                continue
+            while run > 15:
+                bits.append(format(acs.index(0xF0), "08b"))
+                run -= 16
+            size, text = number(int(c[k]))
+            bits.append(format(acs.index(run << 4 | size), "08b") + text)
+            run = 0
+        if run:
+            bits.append(format(acs.index(0), "08b"))
+
+    def close():
+        text = "".join(bits)
+        text += "1" * (-len(text) % 8)
+        out.append(int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00") if text else b"")
+        bits.clear()
+
+    for unit in range(rows * columns):
+        if every and unit and unit % every == 0:
+            close()
+            out.append(bytes([0xFF, 0xD0 + (unit // every - 1) % 8]))
+            last[:] = [0] * n
+        y, x0 = divmod(unit, columns)
+        for i in range(n):
+            s = sampling if i == 0 else 1
+            for down in range(s):
+                for across in range(s):
+                    a, b = 8 * (y * s + down), 8 * (x0 * s + across)
+                    block(i, planes[i][a : a + 8, b : b + 8])
+    close()
+    seg = lambda m, d: bytes([0xFF, m]) + struct.pack(">H", len(d) + 2) + d
+    frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes([i + 1, 0x11 * (sampling if i == 0 else 1), 0]) for i in range(n))
+    tables = bytes([0]) + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + bytes([0x10]) + bytes([0] * 7 + [len(acs)] + [0] * 8) + bytes(acs)
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, b"\0" + b"\1" * 64) + seg(0xC0, frame) + seg(0xC4, tables)
+    head += seg(0xDD, struct.pack(">H", every)) if every else b""
+    scan = bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\0\x3f\0"
+    return head + seg(0xDA, scan) + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("channels, sampling, every", [(1, 1, 0), (3, 1, 0), (3, 2, 0), (3, 1, 2), (3, 2, 3)])
+def test_jpeg(spark, tmp_path, channels, sampling, every):
+    v, u = np.indices((37, 29))
+    image = np.stack([(3 * u + 2 * v + 60 * i) % 200 if sampling == 1 else (u + v + 20 * i) * 2 for i in range(channels)], 2).astype(np.uint8)
+    data = jpeg(image, sampling, every)
+    off = np.abs(rasters.decode_image(data, "x.jpg").astype(int) - image)
+    assert off.max() <= (3 if sampling == 1 else 8) and off.mean() < 1.6
+    if every:
+        (tmp_path / "x.jpg").write_bytes(data)
+        assert rasters.pixels(spark, str(tmp_path), "*.jpg").count() == image.shape[0] * image.shape[1]
+
+
+def test_what_is_no_sound_image_is_refused():
+    sound = jpeg(np.zeros((8, 8, 1), np.uint8))
+    for data in (b"GIF89a", b"\xff\xd8\xff\xd9", sound.replace(b"\xff\xc0", b"\xff\xc2"), b"\x89PNG\r\n\x1a\n"):
+        with pytest.raises(ValueError):
+            rasters.decode_image(data, "x")
+
+
 def test_sinks(spark, tmp_path):
     cells = spark.createDataFrame([("a", "b", 2), ("b", "a", 2)], "class_i string, class_j string, n long")
     wide = sinks.square_matrix(cells, "n", ["b", "a"])
