@@ -76,6 +76,22 @@ def scratch() -> Iterator[None]:
             discard(df)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, from a copy of the session in which Python gets few rows at once.
+
+    Rows hold whole texts, so batches of the default length are large. The
+    setting counts when the plan runs, which may be long after this call; the
+    caller's session keeps its own.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_ROWS, None) is not None:
+        return df
+    copy = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set(_ROWS, "1000")
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(rows, copy)
+
+
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -152,7 +168,7 @@ def map_text(
                     names=out_schema.names,
                 )
 
-    return narrow.mapInArrow(run, out_schema).toDF(*keep, *beside(keep, added.names))
+    return in_small_batches(narrow.mapInArrow(run, out_schema)).toDF(*keep, *beside(keep, added.names))
 
 
 def beside(keep: list[str], added: list[str]) -> list[str]:

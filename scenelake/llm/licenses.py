@@ -10,16 +10,16 @@ unit; a file without one inherits from the nearest directory above it that has
 one.
 
 Words that no template holds have no document frequency of their own; they weigh
-as words never seen. As no word weighs more, and ``(1 + ln n)^2`` is at most
-``MOST * n``, a unit whose words are too seldom those of templates cannot reach
-the threshold and is left out before anything is exploded.
+as words never seen. One reading of the texts gives the lines that hold each word
+of the templates. With these counts, a file is looked at again if it holds so much
+of a template's weight as the threshold takes; so is each of its units, if its words
+of templates could outweigh the others by then.
 
 Licence texts and standard headers (``license_texts``) are templates too. Files
-that could hold one, or a notice over several lines, by the weight of the words
-they share with it, are also cut into windows of ``SIZES`` consecutive lines with
-words. Texts are compared with lines, windows and the whole text, notices with
-windows. These weights count the words of texts and notices alike; a window
-speaks for its directory as a line does.
+that could hold one, or a notice, are also cut into windows of ``SIZES``
+consecutive lines with words. Texts are compared with lines, windows and the
+whole text, notices with windows. These weights count the words of texts and
+notices alike; a window speaks for its directory as a line does.
 
 Defined results:
 - null and empty texts have no units, and inherit;
@@ -38,11 +38,9 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, small
 
 THRESHOLD = 0.6
-#: The largest (1 + ln n)^2 / n, that of n = e.
-MOST = 4 / math.e
 
 # Short notices of well-known licences.
 TEMPLATES = (
@@ -102,34 +100,36 @@ class Templates:
         self.of_notices = sorted({w for _, _, notice, words in self.known if notice for w in words})
 
 
-def _likely(tokens: str, vocabulary: list[str], threshold: float):
-    """Whether an array of words, by its words in a vocabulary, could reach the threshold, as an SQL expression."""
-    listed = ", ".join(f"'{w}'" for w in vocabulary)
-    hits = f"{MOST}D * size(filter({tokens}, w -> w in ({listed})))"
-    others = f"size(array_distinct(filter({tokens}, w -> not (w in ({listed})))))"
-    return f"({hits} > 0 and {hits} >= {threshold * threshold}D * ({hits} + {others}) - 1e-6)"
+def _likely(vocabulary: list[str], w2: dict[str, float], unseen2: float, threshold: float) -> str:
+    """Whether an array of words ``x`` could reach the threshold, as an SQL expression.
+
+    Its words of the vocabulary, the rare and the common ones apart, weigh most
+    if each comes as often as the other (``(1 + ln n)^2`` is concave), the others
+    least if each comes once; they must hold the square of the threshold of all.
+    """
+    rare = [w for w in vocabulary if w2[w] * 8 > unseen2]
+    common = [w for w in vocabulary if w2[w] * 8 <= unseen2]
+    top = lambda words: max((w2[w] for w in words), default=0.0)
+    among = lambda words: "w in (" + ", ".join(f"'{w}'" for w in words) + ")" if words else "false"
+    most = lambda c, words: f"{top(words)}D * if(size({c}) = 0, 0D, size(array_distinct({c})) * power(1 + ln(size({c}) / size(array_distinct({c}))), 2))"
+    held = f"({most('s.r', rare)} + {most('s.c', common)})"
+    parts = f"filter(x, w -> {among(rare)}) as r, filter(x, w -> {among(common)}) as c, array_distinct(filter(x, w -> not ({among(vocabulary)}))) as o"
+    return f"exists(array(struct({parts})), s -> {held} > 0 and {held} >= {threshold * threshold}D * ({held} + size(s.o) * {unseen2}D) - 1e-6)"
 
 
-def _held(rows: DataFrame, templates: Templates, threshold: float) -> DataFrame:
+def _held(rows: DataFrame, templates: Templates) -> DataFrame:
     """What a single reading of the texts gives for each file.
 
-    ``path``, ``th`` (hash of the text), ``total`` (lines with words), ``seen``
-    (the templates' words, once for each line that holds them) and ``units``: the
-    lines and whole texts, with so many words of notices that they could reach
-    the threshold.
+    ``path``, ``th`` (hash of the text), ``total`` (lines with words) and ``seen``
+    (the templates' words, once for each line that holds them).
     """
     keyed = rows.where("text is not null").select("path", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("cut"))
-    lines = F.filter(F.transform("cut", _words), lambda x: F.size(x) > 0)
+    lines = F.transform("cut", lambda x: F.array_distinct(_words(x)))
     # No condition stands on the lines, as it would be pushed below and cut the text twice.
     keyed = keyed.select("path", "th", lines.alias("lines"))
-    keyed = keyed.select(
-        "path", "th", F.size("lines").cast("long").alias("total"), "lines", F.array(F.flatten("lines")).alias("whole"),
-        F.transform("lines", F.array_distinct).alias("sets"),
-    )
-    unit = "transform(filter({}, x -> " + _likely("x", templates.of_notices, threshold) + "), x -> struct({} as whole, x as words))"
-    units = F.expr("concat(" + unit.format("lines", "false") + ", " + unit.format("whole", "true") + ")")
-    keyed = keyed.select("path", "th", "total", F.flatten("sets").alias("flat"), units.alias("units"))
-    return keyed.select("path", "th", "total", _among("flat", templates.vocabulary).alias("seen"), "units")
+    total = F.size(F.filter("lines", lambda x: F.size(x) > 0)).cast("long")
+    keyed = keyed.select("path", "th", total.alias("total"), F.flatten("lines").alias("flat"))
+    return keyed.select("path", "th", "total", _among("flat", templates.vocabulary).alias("seen"))
 
 
 def _square(total: int, n: int) -> float:
@@ -163,15 +163,15 @@ def _best(spark: SparkSession, units: DataFrame, templates: list[tuple], w2: dic
     terms = spark.createDataFrame(terms, "id int, name string, notice boolean, template2 double, least double, term string, t_times double")
     # Lines and whole texts have met the notices by themselves.
     pairs = weighed.where("w2 is not null").join(norms, "unit").join(F.broadcast(terms), "term")
-    pairs = pairs.where((F.col("n") >= F.col("least")) & (~F.col("notice") | F.col("kind").isin("window", "notice")))
+    pairs = pairs.where((F.col("n") >= F.col("least")) & (~F.col("notice") | F.col("kind").isin("window", "notice", "notice-whole")))
     dots = pairs.groupBy("unit", "id", "name", "norm2", "template2").agg(F.sum(F.col("times") * F.col("t_times") * F.col("w2")).alias("dot"))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("template2")), 6)
     best = dots.withColumn("score", score).where(F.col("score") >= threshold)
     return best.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("back"), "name")).alias("best"))
 
 
-def _by_windows(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict[str, float], unseen2: float, threshold: float) -> DataFrame:
-    """``path``, ``whole`` and ``best`` of the units that are like a text, and of the windows that are like a notice."""
+def _chosen(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict[str, float], threshold: float) -> DataFrame:
+    """``path`` and ``lines`` (arrays of words) of the files that hold enough of a template, each text of a path once."""
     spark = rows.sparkSession
     # A file must hold the square of the threshold of a template's weight, so half of that in the heavier words.
     heavy = []
@@ -187,22 +187,16 @@ def _by_windows(rows: DataFrame, held: DataFrame, templates: Templates, w2: dict
     shared = shared.groupBy("path", "th", "id").agg(F.sum("w2").alias("w2"), F.first("half").alias("half"))
     likely = materialize(shared.where("w2 >= half - 1e-6").select("path", "th").distinct(), "license-files")
     keyed = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
-    chosen = keyed.alias("k").join(likely.alias("l"), F.expr("k.path <=> l.path and k.th = l.th"), "left_semi")
+    kept = keyed.alias("k").join(small(likely).alias("l"), F.expr("k.path <=> l.path and k.th = l.th"), "left_semi")
     lines = F.filter(F.transform(F.split("text", "\n"), _words), lambda x: F.size(x) > 0)
-    chosen = materialize(chosen.dropDuplicates(["path", "th"]).select("path", lines.alias("lines")), "license-lines")
-    unit = lambda words, kind: F.struct(words.alias("words"), F.lit(kind).alias("kind"))
-    groups = [F.transform("lines", lambda x: unit(x, "line"))]
-    groups.append(F.array(unit(F.flatten("lines"), "whole")))
-    none = F.expr("cast(array() as array<struct<words:array<string>,kind:string>>)")
-    for size in SIZES:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1)))
-        windows = F.transform(starts, lambda i: unit(F.flatten(F.slice("lines", i, size)), "window"))
-        groups.append(F.when(F.size("lines") >= size, windows).otherwise(none))
-    units = chosen.repartition(spark.sparkContext.defaultParallelism * 2).select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", "u.words")
-    units = units.where(F.expr(_likely("words", templates.vocabulary, threshold)))
-    units = materialize(units.select("path", "kind", "words", F.xxhash64("kind", F.array_sort("words")).alias("unit")), "license-windows")
-    best = _best(spark, units, templates.known, w2, unseen2, threshold)
-    return units.join(best, "unit").select("path", (F.col("kind") == "whole").alias("whole"), "best")
+    return materialize(kept.dropDuplicates(["path", "th"]).select("path", lines.alias("lines")), "license-lines")
+
+
+def _units(chosen: DataFrame, groups: list, likely: str) -> DataFrame:
+    """``path``, ``kind``, ``words`` and ``unit`` (a key of these two) of the units that could reach the threshold."""
+    units = chosen.select("path", F.explode(F.concat(*groups)).alias("u")).select("path", "u.kind", F.col("u.words").alias("x"))
+    units = units.where(F.expr(likely)).withColumnRenamed("x", "words")
+    return units.withColumn("unit", F.xxhash64("kind", F.array_sort("words")))
 
 
 def scan(
@@ -217,20 +211,31 @@ def scan(
     spark = files.sparkSession
     known = Templates(spark, templates, license_texts() if texts is None else texts)
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    unit = lambda words, kind: F.struct(words.alias("words"), F.lit(kind).alias("kind"))
+    single = lambda kinds: [F.transform("lines", lambda x: unit(x, kinds[0])), F.array(unit(F.flatten("lines"), kinds[1]))]
+    none = F.expr("cast(array() as array<struct<words:array<string>,kind:string>>)")
+    windows = []
+    for size in SIZES:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1)))
+        of_size = F.transform(starts, lambda i: unit(F.flatten(F.slice("lines", i, size)), "window"))  # noqa: B023
+        windows.append(F.when(F.size("lines") >= size, of_size).otherwise(none))
     with scratch():
-        held = materialize(_held(rows, known, threshold), "license-words")
+        held = materialize(_held(rows, known), "license-words")
         total = held.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
         # A row for each term of the templates.
         counts = {r.term: r["count"] for r in held.select(F.explode("seen").alias("term")).groupBy("term").count().collect()}
         w2 = {w: _square(total, counts.get(w, 0)) for w in known.vocabulary}
         unseen2 = _square(total, 0)
-        likely = held.select("path", F.explode("units").alias("u")).select(
-            "path", "u.whole", F.lit("notice").alias("kind"), "u.words", F.xxhash64(F.array_sort("u.words")).alias("unit")
-        )
+        chosen = _chosen(rows, held, known, w2, threshold)
+        dealt = chosen.repartition(2 * spark.sparkContext.defaultParallelism)
+        # Lines and whole texts meet the notices under the weights of the notices' words alone.
         of_notices = {w: w2[w] for w in known.of_notices}
-        best = _best(spark, likely, [t for t in known.known if t[2]], of_notices, unseen2, threshold)
-        found = likely.join(best, "unit").select("path", "whole", "best")
-        found = found.unionByName(_by_windows(rows, held, known, w2, unseen2, threshold))
+        own = materialize(_units(dealt, single(("notice", "notice-whole")), _likely(known.of_notices, w2, unseen2, threshold)), "license-units")
+        best = _best(spark, own, [t for t in known.known if t[2]], of_notices, unseen2, threshold)
+        found = own.join(best, "unit")
+        wide = materialize(_units(dealt, [*single(("line", "whole")), *windows], _likely(known.vocabulary, w2, unseen2, threshold)), "license-windows")
+        best = _best(spark, wide, known.known, w2, unseen2, threshold)
+        found = found.unionByName(wide.join(best, "unit")).select("path", F.col("kind").endswith("whole").alias("whole"), "best")
         own = found.groupBy("path").agg(F.min("best").alias("own"), F.max("whole").alias("whole"))
         own = materialize(own, "license-own", keep=True)
     everyone = rows.select("path").distinct()

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, materialize, slices
+from .common import discard, in_small_batches, map_text, materialize, slices
 from .training import held_out, labelled_sample
 
 #: Labelled rows that training takes at most.
@@ -49,7 +49,7 @@ PRIOR = 4.0
 #: Subtracted from every score, so that a clean text drifts down.
 DRIFT = 1.0
 #: Words whose scores a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _GRID = np.linspace(0.1, 3.0, 59)
 
 _word = re.compile(r"[^\W\d_]+").findall
@@ -234,7 +234,7 @@ def _count(sample: DataFrame) -> dict[str, np.ndarray]:
                         yield flush()
         yield flush()
 
-    counts = sample.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    counts = in_small_batches(sample.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
     sums = [F.min("parent").alias("parent"), F.min("level").alias("level"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]]
     table = counts.groupBy("key").agg(*sums).toArrow()
     found = {c: table.column(c).to_numpy() for c in names}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, discard, materialize
+from .common import beside, discard, in_small_batches, materialize
 
 ORDER, SEEN = 5, 2
 #: Counts that workers hold at most; a larger table is joined instead.
@@ -370,7 +370,7 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
                 [*columns, pa.array(verdicts, pa.string()), pa.array(found, pa.float64())], names=schema.names
             )
 
-    return out.mapInArrow(run, schema).select(*names, *added).toDF(*keep, *beside(keep, added))
+    return in_small_batches(out.mapInArrow(run, schema)).select(*names, *added).toDF(*keep, *beside(keep, added))
 
 
 def _by_table(judged: DataFrame, model: Filter) -> DataFrame:

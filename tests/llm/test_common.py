@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from scenelake.llm import common
 
@@ -70,3 +71,16 @@ def test_small_tables_are_sent_and_large_ones_are_not(spark):
     plan = lambda df: df.join(common.small(spark.range(10), 5), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan(spark.range(1000))
     assert "broadcast" in spark.range(1000).join(common.small(spark.range(3), 5), "id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_python_gets_few_rows_at_once_and_the_session_keeps_its_settings(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df = spark.range(5000).coalesce(1).mapInArrow(sizes, "n long")
+    assert [r.n for r in df.collect()] == [5000]
+    small = common.in_small_batches(df)
+    assert [r.n for r in small.where("n > 0").collect()] == [1000] * 5
+    assert small.join(spark.range(1001), small.n == F.col("id")).count() == 5
+    assert [r.n for r in df.collect()] == [5000] and spark.conf.get(common._ROWS, None) is None
