@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 def presence_patterns(found: DataFrame, features: DataFrame) -> DataFrame:
     """``focal_class``, ``pattern`` (0/1 text over the sorted features) and ``n`` scenes.
 
-    ``features``: ``focal_class`` and ``feature``. Thousands of scenes collapse
-    to few patterns, over which inertia and silhouette are exact under weights.
+    ``features``: ``focal_class`` and ``feature``; where ``focal_class`` only names a
+    case, ``class`` holds the class whose scenes are meant. Thousands of scenes
+    collapse to few patterns, over which inertia and silhouette are exact under
+    weights.
     """
-    listed = features.groupBy("focal_class").agg(F.sort_array(F.collect_set("feature")).alias("f"))
-    focal = found.join(listed, found["class"] == listed["focal_class"]).select("scene", "focal_class", "f")
+    of = F.col("class") if "class" in features.columns else F.col("focal_class")
+    listed = features.select("focal_class", "feature", of.alias("__of")).groupBy("focal_class", "__of")
+    listed = listed.agg(F.sort_array(F.collect_set("feature")).alias("f"))
+    focal = found.join(listed, found["class"] == listed["__of"]).select("scene", "focal_class", "f")
     sets = found.groupBy("scene").agg(F.collect_set("class").alias("c"))
     bits = F.array_join(F.transform("f", lambda x: F.when(F.array_contains("c", x), "1").otherwise("0")), "")
     return focal.join(sets, "scene").groupBy("focal_class", bits.alias("pattern")).agg(F.count("*").alias("n"))

@@ -747,19 +747,18 @@ def threshold_sweep(spark, sf):
 
 @query(None)
 def threshold_sensitivity(spark, sf):
-    """One class at thresholds from 0 to 0.30, as far as two features are left."""
-    focal = T.user_days(spark, sf).groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1)
-    focal = F.broadcast(focal.select(F.col("class").alias("focal_class")))
-    out = None
-    for t in _GRID:
-        features = _features(spark, sf, t).join(focal, "focal_class", "left_semi")
-        n = features.groupBy("focal_class").agg(F.count("*").alias("n_features")).where("n_features >= 2")
-        features = features.join(F.broadcast(n), "focal_class", "left_semi")
-        fitted = cluster.fits(cluster.presence_patterns(T.user_days(spark, sf), features), [2, 3, 4, 5])
-        best = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
-        row = n.join(best, "focal_class").select(F.lit(t).alias("threshold"), "focal_class", "n_features", "best_k", F.round("silhouette", 4).alias("silhouette"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """The most frequent class at thresholds from 0 to 0.30, as far as two features are left."""
+    found = T.user_days(spark, sf)
+    focal = found.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(1).select("class")
+    edges = cooccurrence.symmetric(cooccurrence.jaccard(found), "jaccard").withColumnRenamed("class_i", "class")
+    grid = F.explode(F.array(*[F.lit(t) for t in _GRID])).alias("threshold")
+    kept = edges.join(F.broadcast(focal), "class", "left_semi").select("class", "class_j", "jaccard", grid).where("jaccard >= threshold")
+    cases = kept.select(F.concat("class", F.lit("@"), F.col("threshold").cast("string")).alias("focal_class"), "class", "threshold", F.col("class_j").alias("feature"))
+    sizes = cases.groupBy("focal_class", "class", "threshold").agg(F.count("*").alias("n_features")).where("n_features >= 2")
+    features = cases.join(sizes.select("focal_class"), "focal_class", "left_semi")
+    fitted = cluster.fits(cluster.presence_patterns(found, features), [2, 3, 4, 5])
+    best = cluster.argmax_silhouette(fitted.where("silhouette is not null"))
+    return sizes.join(best, "focal_class").select("threshold", F.col("class").alias("focal_class"), "n_features", "best_k", F.round("silhouette", 4).alias("silhouette"))
 
 
 # -- point clouds and detections -----------------------------------------------------
