@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, in_small_batches, map_text
+from .common import beside, in_small_batches, map_batches, map_text
 
 SHORT = 64
 #: Pieces whose ids a worker remembers.
@@ -307,7 +307,7 @@ def decode(
                 [*batch.columns[:-1], pa.array(texts, pa.binary())], names=schema.names
             )
 
-    return in_small_batches(narrow.mapInArrow(run, schema)).toDF(*keep, *beside(keep, ["decoded"]))
+    return in_small_batches(map_batches(narrow, run, schema)).toDF(*keep, *beside(keep, ["decoded"]))
 
 
 def round_trip(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +78,39 @@ def scratch() -> Iterator[None]:
             discard(df)
 
 
+def lean() -> None:
+    """Let this process give freed memory back to the system at once.
+
+    Workers live on between tasks, so what their allocators keep adds up beside
+    the JVM. Arrow takes its buffers from the C library, which maps blocks of a
+    megabyte and more one by one; elsewhere than on Linux nothing changes.
+    """
+    if not _lean:
+        _lean.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        if sys.platform == "linux":
+            library = ctypes.CDLL(None)
+            library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _lean.append(library.malloc_trim)
+    if len(_lean) > 1:
+        _lean[1](0)
+
+
+#: Whether this process is lean, and how it gives memory back.
+_lean: list = []
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in workers that keep no freed memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from function(batches)
+        lean()
+
+    return df.mapInArrow(run, schema)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same rows, from a copy of the session in which Python gets few rows at once.
 
@@ -168,7 +203,7 @@ def map_text(
                     names=out_schema.names,
                 )
 
-    return in_small_batches(narrow.mapInArrow(run, out_schema)).toDF(*keep, *beside(keep, added.names))
+    return in_small_batches(map_batches(narrow, run, out_schema)).toDF(*keep, *beside(keep, added.names))
 
 
 def beside(keep: list[str], added: list[str]) -> list[str]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, map_text, materialize
+from .common import discard, in_small_batches, map_batches, map_text, materialize
 
 WINDOW = 10
 #: Benchmark text that one automaton takes; a larger benchmark is scanned in blocks.
@@ -208,7 +208,7 @@ def _close(out: DataFrame, names: list[str]) -> DataFrame:
                 [new[n] if n in new else batch.column(n) for n in schema.names], names=schema.names
             )
 
-    return in_small_batches(out.mapInArrow(run, schema))
+    return in_small_batches(map_batches(out, run, schema))
 
 
 _last: dict = {}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, map_text, slices
+from .common import in_small_batches, map_batches, map_text, slices
 
 WIDTH, FRAME_ROWS, DELAY = 64, 1024, 10
 #: A histogram counts the pixels of each of 4 x 4 x 4 colours.
@@ -374,7 +374,7 @@ def media_columns(media: DataFrame, keep: list[str], data_col: str = "data") ->
                 )
 
     shown = [*keep, *[f"gif_{c}" if c in keep else c for c in added.names]]
-    return in_small_batches(narrow.mapInArrow(run, schema)).toDF(*shown)
+    return in_small_batches(map_batches(narrow, run, schema)).toDF(*shown)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, materialize, scratch, slices, small
+from .common import discard, map_batches, map_text, materialize, scratch, slices, small
 from .components import connected_components
 from .shingles import set_hash, shingle_sets
 
@@ -152,7 +152,7 @@ def _tokens(texts: DataFrame) -> DataFrame:
                 tokens = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
 
-    return texts.select("text").mapInArrow(run, "token long, node long")
+    return map_batches(texts.select("text"), run, "token long, node long")
 
 
 def _sieves(tokens: DataFrame, name: str) -> list[Sieve]:
@@ -184,7 +184,7 @@ def _left_over(documents: DataFrame, sieves) -> DataFrame:
                     names=["node", "tokens"],
                 )
 
-    return documents.select("text").mapInArrow(run, "node long, tokens binary")
+    return map_batches(documents.select("text"), run, "node long, tokens binary")
 
 
 def _sets_of(part: pa.RecordBatch, index: int) -> list[np.ndarray]:
@@ -203,7 +203,7 @@ def _all_tokens(sets: DataFrame) -> DataFrame:
                 tokens = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
+    return map_batches(sets.select("node", "tokens"), run, "token long, node long")
 
 
 def _postings(sets: DataFrame, sieves) -> DataFrame:
@@ -228,7 +228,7 @@ def _postings(sets: DataFrame, sieves) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "rank"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, n long, rank long")
+    return map_batches(sets.select("node", "tokens"), run, "token long, node long, n long, rank long")
 
 
 class Group:
@@ -370,7 +370,7 @@ def _open(rows: DataFrame) -> DataFrame:
         if asking.nodes:
             yield flush()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,6 +61,8 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Files whose windows are one task's work.
+FILES = 200
 #: Lines of a window.
 SIZES = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 _FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
@@ -227,7 +229,7 @@ def scan(
         w2 = {w: _square(total, counts.get(w, 0)) for w in known.vocabulary}
         unseen2 = _square(total, 0)
         chosen = _chosen(rows, held, known, w2, threshold)
-        dealt = chosen.repartition(2 * spark.sparkContext.defaultParallelism)
+        dealt = chosen.repartition(max(1, chosen.count() // FILES))
         # Lines and whole texts meet the notices under the weights of the notices' words alone.
         of_notices = {w: w2[w] for w in known.of_notices}
         own = materialize(_units(dealt, single(("notice", "notice-whole")), _likely(known.of_notices, w2, unseen2, threshold)), "license-units")

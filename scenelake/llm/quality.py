@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, in_small_batches, slices
+from .common import beside, in_small_batches, map_batches, slices
 from .toxicity import logistic
 from .training import held_out, labelled_sample
 
@@ -205,7 +205,7 @@ def train(
                     names=["index", "value", "crc", "label"],
                 )
 
-    got = in_small_batches(sample.select("text", "meta", "label").mapInArrow(run, "index binary, value binary, crc long, label int"))
+    got = in_small_batches(map_batches(sample.select("text", "meta", "label"), run, "index binary, value binary, crc long, label int"))
     got = sorted(got.collect(), key=lambda r: (r.crc, r.label, bytes(r["index"])))
     rows = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in got]
     machine = Machine()
@@ -234,7 +234,7 @@ def score(documents: DataFrame, machine: Machine, keep: list[str], text_col: str
                     [*columns[:-2], pa.array(model.score(rows), pa.float64())], names=schema.names
                 )
 
-    return in_small_batches(narrow.mapInArrow(run, schema)).toDF(*keep, *beside(keep, ["score"]))
+    return in_small_batches(map_batches(narrow, run, schema)).toDF(*keep, *beside(keep, ["score"]))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

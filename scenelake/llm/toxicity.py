@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, map_text, materialize, slices
+from .common import discard, in_small_batches, map_batches, map_text, materialize, slices
 from .training import held_out, labelled_sample
 
 #: Labelled rows that training takes at most.
@@ -234,13 +234,16 @@ def _count(sample: DataFrame) -> dict[str, np.ndarray]:
                         yield flush()
         yield flush()
 
-    counts = in_small_batches(sample.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
-    sums = [F.min("parent").alias("parent"), F.min("level").alias("level"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]]
-    table = counts.groupBy("key").agg(*sums).toArrow()
-    found = {c: table.column(c).to_numpy() for c in names}
-    found = {c: v.view(np.uint64) if c in ("key", "parent") else v for c, v in found.items()}
-    order = np.argsort(found["key"])
-    return {c: v[order] for c, v in found.items()}
+    counts = in_small_batches(map_batches(sample, run, ", ".join(f"{c} long" for c in names)))
+    sums = [F.sum(f"c{i}").cast("int").alias(f"c{i}") for i in range(4)]
+    totals = counts.groupBy("key").agg(F.min("parent").alias("parent"), F.min("level").cast("byte").alias("level"), *sums)
+    table = totals.toArrow()
+    order = np.argsort(table.column("key").to_numpy().view(np.uint64))
+    found = {}
+    for c in names:
+        found[c] = table.column(c).to_numpy()[order]
+        table = table.drop_columns(c)
+    return {c: v.view(np.uint64) if c in ("key", "parent") else v for c, v in found.items()}
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
@@ -255,6 +258,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     whole = log_odds(units, c[0] + c[2], c[1] + c[3], (n[0] + n[2], n[1] + n[3]))
     # A fold is scored by the other fold's counts.
     crossed = [log_odds(units, c[2], c[3], (n[2], n[3])), log_odds(units, c[0], c[1], (n[0], n[1]))]
+    del units, c
     shared = sample.sparkSession.sparkContext.broadcast(crossed)
 
     def run(batches):
@@ -274,9 +278,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                     [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["label", "n", "found", "moments"]
                 )
 
-    scored = sample.mapInArrow(run, "label int, n long, found array<double>, moments array<double>")
+    scored = map_batches(sample, run, "label int, n long, found array<double>, moments array<double>")
     scored = materialize(scored, "toxicity-scored")
     shared.destroy()
+    del crossed
     discard(sample)
     model = _calibrate(whole, scored, sum(n), n[1] + n[3])
     discard(scored)
@@ -312,7 +317,7 @@ def _calibrate(scores: Scores, scored: DataFrame, rows: int, toxic: int) -> Mode
             x = [evidence(found, n, rate, k) for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["label", "x"])
 
-    table = scored.select("label", "n", "found").mapInArrow(run, "label int, x double").toArrow()
+    table = map_batches(scored.select("label", "n", "found"), run, "label int, x double").toArrow()
     y, x = table.column("label").to_numpy().astype(float), table.column("x").to_numpy()
     order = np.lexsort((x, y))
     slope, offset = logistic(x[order], y[order])

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, discard, in_small_batches, materialize
+from .common import beside, discard, in_small_batches, map_batches, materialize
 
 ORDER, SEEN = 5, 2
 #: Counts that workers hold at most; a larger table is joined instead.
@@ -146,7 +146,7 @@ def _count(examples: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counts = examples.mapInArrow(run, "gram string, c0 long, c1 long, c2 long, c3 long")
+    counts = map_batches(examples, run, "gram string, c0 long, c1 long, c2 long, c3 long")
     totals = counts.groupBy("gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
     n = F.expr("c0 + c1 + c2 + c3")
     return materialize(totals.where(n >= SEEN), "url-grams")
@@ -170,7 +170,7 @@ def _windows(urls: DataFrame) -> DataFrame:
                         names=["id", "place", "window"],
                     )
 
-    return urls.select("id", "url").mapInArrow(run, "id long, place int, window string")
+    return map_batches(urls.select("id", "url"), run, "id long, place int, window string")
 
 
 def _terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
             )
 
     named = whole.join(smoothed, F.col("window") == F.col("tail")).select("window", "n", *[f"{m}_" for m in parts])
-    terms = materialize(named.mapInArrow(run, "window string, n long, t0 double, t1 double, t double"), "url-terms")
+    terms = materialize(map_batches(named, run, "window string, n long, t0 double, t1 double, t double"), "url-terms")
     discard(whole)
     discard(ends)
     return terms
@@ -307,7 +307,7 @@ def train(judged: DataFrame, url_col: str, verdict_col: str, rule_col: str, rule
                 names=["step", "accepted", "rule", "n"],
             )
 
-    scored = examples.mapInArrow(run, "step long, accepted int, rule string, n long")
+    scored = map_batches(examples, run, "step long, accepted int, rule string, n long")
     table = scored.groupBy("step", "accepted", "rule").agg(F.sum("n").alias("n")).collect()
     discard(examples)
     cut = _cut(table)
@@ -370,7 +370,7 @@ def judge(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES)
                 [*columns, pa.array(verdicts, pa.string()), pa.array(found, pa.float64())], names=schema.names
             )
 
-    return in_small_batches(out.mapInArrow(run, schema)).select(*names, *added).toDF(*keep, *beside(keep, added))
+    return in_small_batches(map_batches(out, run, schema)).select(*names, *added).toDF(*keep, *beside(keep, added))
 
 
 def _by_table(judged: DataFrame, model: Filter) -> DataFrame:
