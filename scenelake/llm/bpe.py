@@ -33,7 +33,7 @@ from .common import beside, in_small_batches, map_batches, map_text
 
 SHORT = 64
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _NONE = np.int64(1) << 62
 
 # White_Space, and letters and numbers, of the first 256 code points.
@@ -86,7 +86,6 @@ class ByteBPE:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys = np.array(sorted(pairs), np.int64)
         self.keys = np.append(keys, np.iinfo(np.int64).max)
         self.values = np.append(np.array([pairs[k] for k in keys.tolist()], np.int64), _NONE)
@@ -106,6 +105,10 @@ class ByteBPE:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], _NONE)
 
+    def _rank_of(self, key: int) -> int:
+        at = int(self.keys.searchsorted(key))
+        return int(self.values[at]) if self.keys[at] == key else 1 << 62
+
     def encode_long(self, piece: bytes) -> tuple[int, ...]:
         """One piece, with a tree of its own."""
         n = len(piece)
@@ -118,7 +121,7 @@ class ByteBPE:
         for node in range(size - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of, none = self.pairs.get, 1 << 62
+        none = 1 << 62
 
         def put(at: int, rank: int) -> None:
             node = size + at
@@ -144,12 +147,12 @@ class ByteBPE:
             put(gone, none)
             if beyond < n:
                 before[beyond] = at
-                put(at, rank_of(rank << 32 | ids[beyond], none))
+                put(at, self._rank_of(rank << 32 | ids[beyond]))
             else:
                 put(at, none)
             left = before[at]
             if left >= 0:
-                put(left, rank_of(ids[left] << 32 | rank, none))
+                put(left, self._rank_of(ids[left] << 32 | rank))
         return tuple(i for i in ids if i >= 0)
 
     def encode_short(self, pieces: list[bytes]) -> list[tuple[int, ...]]:

@@ -181,7 +181,7 @@ def map_text(
 
     ``function()`` is called once in each task and gives the batch function,
     which takes the list of texts (``None`` for null) and returns one Arrow
-    array for each field of ``schema``. Batches are cut to about 4 MB of text,
+    array for each field of ``schema``. Batches are cut to about 1 MB of text,
     so a run of very long texts does not pile up in a worker. Kept columns may
     have any names; an added column that is named like one of them gets ``_new``.
     """
@@ -211,7 +211,7 @@ def beside(keep: list[str], added: list[str]) -> list[str]:
     return [f"{c}_new" if c in keep else c for c in added]
 
 
-def slices(batch: pa.RecordBatch, index: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, index: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of one text column, a row at least."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(index)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0

@@ -140,26 +140,43 @@ class Sieve:
         return found
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """``token`` and ``node`` of the tokens in the lowest part of the hash range."""
+def _counts(nodes: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """The tokens of some sets, each once, with the least and the largest node and the number of sets."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, nodes = tokens[order], nodes[order]
+    begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if tokens.size else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], tokens.size) if tokens.size else begins
+    least = np.minimum.reduceat(nodes, begins) if tokens.size else nodes
+    most = np.maximum.reduceat(nodes, begins) if tokens.size else nodes
+    columns = [tokens[begins].view(np.int64), least, most, (ends - begins).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "first", "last", "n"])
+
+
+_COUNTS = "token long, first long, last long, n int"
+
+
+def _low_counts(texts: DataFrame) -> DataFrame:
+    """``token``, ``first``, ``last`` and ``n`` of the tokens in the lowest part of the hash range, pre-aggregated by batch."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 0, 2 << 20):
+            for part in slices(batch, 0, 4 << 20):
                 sets = [s for s in shingle_sets(part.column(0).to_pylist()) if s.size]
                 kept = [s[: np.count_nonzero(counted(s))] for s in sets]
                 nodes = np.repeat(np.array([set_hash(s) for s in sets], np.int64), [s.size for s in kept])
-                tokens = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
+                yield _counts(nodes, np.concatenate([*kept, np.zeros(0, np.uint64)]))
 
-    return map_batches(texts.select("text"), run, "token long, node long")
+    return map_batches(texts.select("text"), run, _COUNTS)
 
 
 def _sieves(tokens: DataFrame, name: str) -> list[Sieve]:
-    """Sieves of the tokens that are in several nodes, by ``STEPS``."""
-    spans = tokens.groupBy("token").agg(
-        F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")
-    )
+    """Sieves of the tokens that are in several nodes, by ``STEPS``.
+
+    The counts come pre-aggregated by batch, and few tokens are in several
+    batches of a task: so they are shuffled as they are, by token.
+    """
+    spans = tokens.repartition("token").groupBy("token")
+    spans = spans.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     counts = materialize(spans.where("first < last").select("token", "n"), name)
     sizes = counts.agg(*[F.count_if(F.col("n") >= step) for step in STEPS]).first()
     sieves = [Sieve.of(counts.where(F.col("n") >= step), "token", size) for step, size in zip(STEPS, sizes)]
@@ -192,18 +209,17 @@ def _sets_of(part: pa.RecordBatch, index: int) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in part.column(index)]
 
 
-def _all_tokens(sets: DataFrame) -> DataFrame:
-    """``token`` and ``node`` of all tokens of stored sets."""
+def _all_counts(sets: DataFrame) -> DataFrame:
+    """``token``, ``first``, ``last`` and ``n`` of all tokens of stored sets, pre-aggregated by batch."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 4 << 20):
                 found = _sets_of(part, 1)
                 nodes = np.repeat(part.column(0).to_numpy(), [s.size for s in found])
-                tokens = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
+                yield _counts(nodes, np.concatenate([*found, np.zeros(0, np.uint64)]))
 
-    return map_batches(sets.select("node", "tokens"), run, "token long, node long")
+    return map_batches(sets.select("node", "tokens"), run, _COUNTS)
 
 
 def _postings(sets: DataFrame, sieves) -> DataFrame:
@@ -378,10 +394,10 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = materialize(_nodes(docs), "jaccard-nodes")
-    order = spark.sparkContext.broadcast(_sieves(_tokens(docs), "jaccard-counts"))
+    order = spark.sparkContext.broadcast(_sieves(_low_counts(docs), "jaccard-counts"))
     sets = materialize(_left_over(docs, order).dropDuplicates(["node"]), "jaccard-sets")
     order.destroy()
-    order = spark.sparkContext.broadcast(_sieves(_all_tokens(sets), "jaccard-counts"))
+    order = spark.sparkContext.broadcast(_sieves(_all_counts(sets), "jaccard-counts"))
     postings = materialize(_postings(sets, order), "jaccard-postings")
     order.destroy()
     spans = postings.groupBy("token").agg(
