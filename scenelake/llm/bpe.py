@@ -33,7 +33,9 @@ from .common import beside, in_small_batches, map_batches, map_text
 
 SHORT = 64
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
+#: Bytes of text whose new pieces are encoded together.
+SLICE = 2 << 20
 _NONE = np.int64(1) << 62
 
 # White_Space, and letters and numbers, of the first 256 code points.
@@ -290,7 +292,7 @@ def encode(
 
         return work
 
-    return map_text(documents, keep, text_col, "token_ids array<int>", start)
+    return map_text(documents, keep, text_col, "token_ids array<int>", start, SLICE)
 
 
 def decode(
@@ -340,7 +342,7 @@ def round_trip(
         return work
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return map_text(documents, keep, text_col, schema, start)
+    return map_text(documents, keep, text_col, schema, start, SLICE)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

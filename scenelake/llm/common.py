@@ -176,12 +176,13 @@ def map_text(
     text_col: str,
     schema: str,
     function: Callable[[], Callable[[list], list[pa.Array]]],
+    most: int = 1 << 20,
 ) -> DataFrame:
     """Run a batch function over one text column, keeping other columns as they are.
 
     ``function()`` is called once in each task and gives the batch function,
     which takes the list of texts (``None`` for null) and returns one Arrow
-    array for each field of ``schema``. Batches are cut to about 1 MB of text,
+    array for each field of ``schema``. Batches are cut to about ``most`` bytes of text,
     so a run of very long texts does not pile up in a worker. Kept columns may
     have any names; an added column that is named like one of them gets ``_new``.
     """
@@ -195,7 +196,7 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = function()
         for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("__text")):
+            for part in slices(batch, batch.schema.get_field_index("__text"), most):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 arrays = work(texts)
                 yield pa.RecordBatch.from_arrays(
