@@ -244,8 +244,8 @@ _SQUARE = "(" + " + ".join(f"(q[{k}] - c[{k}]) * (q[{k}] - c[{k}])" for k in ran
 OP13_SQL = f"""
 WITH kept AS (
   SELECT row_number() OVER () AS rid, vec_id, label,
-    list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 parts AS (SELECT rid, p, list_slice(v, 4 * p + 1, 4 * p + 4) AS q FROM kept, range(16) AS r(p)),
 seeds AS (SELECT v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 64),
 book0 AS (SELECT p, e, list_slice(v, 4 * p + 1, 4 * p + 4) AS c FROM seeds, range(16) AS r(p)),
