@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, map_batches, materialize, scratch, slices, small
+from .common import discard, in_small_batches, map_batches, materialize, scratch, slices
 from .lines import _dealt as dealt
 from .shingles import _SPACE, mix
 
@@ -193,12 +193,14 @@ def candidates(texts: DataFrame) -> DataFrame:
     few = shared.select(F.col("anchor").alias("f_anchor"))
     many, few = dealt(met, few, {"anchor": "f_anchor"}, shared, total, ["id", "h1"])
     hits = many.join(few, F.expr("anchor = f_anchor and salt = f_salt"))
-    return materialize(hits.groupBy("id", "h1").agg(F.collect_set("anchor").alias("anchors")), "substring-hits")
+    hits = materialize(hits.groupBy("id", "h1").agg(F.collect_set("anchor").alias("anchors")), "substring-hits")
+    discard(met)
+    return hits
 
 
 def places_of(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """``id``, ``h1``, ``pos``, ``edge`` and ``around`` of all windows that may be repeated."""
-    asked = texts.select("id", "h1", "text").join(small(hits, 10_000), ["id", "h1"])
+    asked = texts.select("id", "h1", "text").join(hits.hint("merge"), ["id", "h1"])
 
     def work(part: pa.RecordBatch, words: Words) -> list:
         hashes = words.hashes()
@@ -272,7 +274,7 @@ def passages(found: DataFrame) -> DataFrame:
 def kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``id``, ``h1``, ``h2``, rows ``n`` of each text, with ``n_words``, ``n_removed`` and ``kept_sha256`` under its least id."""
     narrow = spans.select(F.col("id").alias("s_id"), F.col("h1").alias("s_h1"), "a", "b")
-    joined = texts.join(small(narrow, 10_000), F.expr("id = s_id and h1 = s_h1"), "left")
+    joined = texts.join(narrow.hint("merge"), F.expr("id = s_id and h1 = s_h1"), "left")
 
     def work(part: pa.RecordBatch, words: Words) -> list:
         n = part.num_rows
@@ -312,9 +314,13 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows, texts = texts_of(documents, id_col, text_col)
     with scratch():
         texts = materialize(texts, "substring-texts")
-        places = materialize(places_of(texts, candidates(texts)), "substring-places")
+        hits = candidates(texts)
+        places = materialize(places_of(texts, hits), "substring-places")
+        discard(hits)
         found = materialize(graph(places), "substring-edges")
         met = materialize(paths(places, found), "substring-paths")
+        discard(places)
+        discard(found)
         of_text = materialize(kept(texts, spans_of(met)), "substring-kept")
         few = of_text.select(F.col("h1").alias("f_h1"), F.col("h2").alias("f_h2"), F.col("id").alias("f_id"), "n_words", "n_removed", "kept_sha256")
         total = of_text.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
