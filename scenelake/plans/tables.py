@@ -58,11 +58,12 @@ def vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", v.alias("v"))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth pixels made of line items: u, v, raw and filled depth."""
+def pixels(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Depth pixels made of line items: u, v, raw and filled depth, and columns ``more``."""
     return read(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
+        *more,
         (F.col("l_partkey") % 730).alias("u"),
         (F.col("l_suppkey") % 530).alias("v"),
         F.when(F.col("l_partkey") % 7 == 0, 0).otherwise(F.col("l_quantity").cast("long") * 1000 + F.col("l_linenumber")).cast("long").alias("depth_raw"),
