@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .operators import depthfill, kmeans, neighbours, pointcloud
+from .operators import cooccurrence, depthfill, kmeans, lift, neighbours, pointcloud, presence, selection, splits, subsets, suppression
 from .plans import tables as T
-from .queries import _PIX, query
+from .plans.stages import shared_folder
+from .queries import _GREEDY, _PIX, TYPES, _detections, assigned, ctes, query
+from .streaming import cooccurrence as streamed
 
 # -- clouds ------------------------------------------------------------------------
 
@@ -145,3 +149,81 @@ def kmeans_all_points(spark, sf):
     rounds = centres.groupBy("fit").agg(F.max("rounds").alias("rounds"))
     found = kmeans.scores(points, centres).join(rounds, "fit")
     return found.select("fit", "k", "n", F.round("inertia", 4).alias("inertia"), "rounds")
+
+
+# -- other ways to known results ---------------------------------------------------------
+
+
+@query(ctes("gram") + "SELECT * FROM gram")
+def gram_bit_sliced(spark, sf):
+    return cooccurrence.gram_sliced(T.basket(spark, sf))
+
+
+_SHARES = {f"p{round(100 * s):02d}": s for s in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+
+
+@query("SELECT p_brand, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {s}), 6) AS {c}" for c, s in _SHARES.items()) + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def percentiles_by_rank(spark, sf):
+    rows = T.read(spark, sf, "lineitem").join(T.read(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+    found = selection.percentiles(rows, "p_brand", "l_extendedprice", list(_SHARES.values()))
+    return found.select("p_brand", "n", *[F.round(f"p{i}", 6).alias(c) for i, c in enumerate(_SHARES)])
+
+
+@query(ctes("swept", recursive=True) + "SELECT array_to_string(types, '|') AS types, min_survived, total_survived FROM swept JOIN perms USING (ordering) ORDER BY min_survived DESC, total_survived DESC, ordering LIMIT 1")
+def best_ordering_by_subsets(spark, sf):
+    found, scenes, stages = assigned(spark, sf)
+    best = subsets.best_ordering(splits.stage_masks(found, scenes, stages), TYPES)
+    return best.select(F.array_join("types", "|").alias("types"), "min_survived", "total_survived")
+
+
+@query(None)
+def best_ordering_of_months(spark, sf):
+    """Twelve stages, of 479,001,600 orders: scenes by the month of their order, three classes a month."""
+    found = T.basket(spark, sf)
+    months = [f"{m:02d}" for m in range(1, 13)]
+    scenes = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("scene"), F.date_format("o_orderdate", "MM").alias("scene_type"))
+    order = presence.class_frequency(found, scenes)
+    stages = splits.assign_balanced(lift.lift(found, scenes), order, months, 3)
+    best = subsets.best_ordering(splits.stage_masks(found, scenes, stages), months)
+    return best.select(F.array_join("types", "|").alias("types"), "min_survived", "total_survived")
+
+
+@query(ctes("masks", "stage_bits", recursive=True) + """, m AS MATERIALIZED (SELECT s.stage_idx AS i, mask, n FROM masks JOIN stage_bits s USING (scene_type)),
+    cut AS (SELECT c, s AS i, 1 + bit_count(c & ((1 << (s - 1)) - 1)) AS part FROM range(16) AS a(c), range(1, 6) AS b(s)),
+    ends AS (SELECT c, part, min(i) AS a, max(i) AS b FROM cut GROUP BY c, part),
+    kept AS (SELECT c, part, a, b, CAST(coalesce((SELECT sum(n) FROM m WHERE i BETWEEN a AND b), 0) AS BIGINT) AS total, CAST(coalesce((SELECT sum(n) FROM m WHERE i BETWEEN a AND b AND mask >> b = 0), 0) AS BIGINT) AS survived FROM ends),
+    best AS (SELECT c FROM kept GROUP BY c HAVING min(survived) >= (SELECT count(*) // 50 FROM orders) ORDER BY count(*) DESC, sum(survived) DESC, list(b ORDER BY part) LIMIT 1)
+    SELECT CAST(part AS BIGINT) AS part, (SELECT string_agg(scene_type, '|' ORDER BY stage_idx) FROM stage_bits WHERE stage_idx BETWEEN a AND b) AS types, total, survived FROM kept JOIN best USING (c)""")
+def merged_stages(spark, sf):
+    """Neighbouring stages put together until each keeps a fiftieth of the scenes."""
+    found, scenes, stages = assigned(spark, sf)
+    merged = subsets.best_merge(splits.stage_masks(found, scenes, stages), TYPES, scenes.count() // 50)
+    return merged.select("part", F.array_join("types", "|").alias("types"), "total", "survived")
+
+
+@query(_GREEDY)
+def nms_rounds(spark, sf):
+    rows = pointcloud.score_labels(_detections(spark, sf), "logits").where("score > 0.01")
+    rows = rows.select("vec_id", "batch", "label", "score", "cx", "cy", "cz", "w", "h", "l")
+    kept = suppression.suppress(rows, ["batch", "label"], box_id="vec_id")
+    return kept.select("vec_id", "batch", "label", *[F.round(c, 5).alias(c) for c in ("score", "cx", "cy", "cz", "w", "h", "l")])
+
+
+@query("""WITH b AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS scene, event_type AS class FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL), f AS (SELECT class, count(*) AS f FROM b GROUP BY class),
+    p AS (SELECT x.class AS class_i, y.class AS class_j, count(*) AS n FROM b x JOIN b y ON x.scene = y.scene AND x.class < y.class GROUP BY ALL)
+    SELECT class_i, class_j, n, round(CAST(n AS DOUBLE) / (u.f + v.f - n), 6) AS jaccard FROM p JOIN f u ON u.class = class_i JOIN f v ON v.class = class_j""")
+def streamed_cooccurrence(spark, sf):
+    """The events as a stream of ten batches, the first tenth again at the end: pair counts from state by scene."""
+    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    scene = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    rows = T.read(spark, sf, "events").where("user_id is not null and ts is not null")
+    rows = rows.select(scene.alias("scene"), F.col("event_type").alias("class"), F.pmod(F.xxhash64("event_id"), F.lit(10)).alias("tenth"))
+    for tenth in (*range(10), 0):
+        rows.where(F.col("tenth") == tenth).select("scene", "class").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("scene string, class string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    streamed.keep_counts(stream, folder).awaitTermination()
+    alone, pairs = streamed.counts(spark, folder)
+    f_i, f_j = (alone.select(F.col("class").alias(f"c_{x}"), F.col("f").alias(f"f_{x}")) for x in "ij")
+    both = pairs.join(f_i, F.expr("class_i = c_i")).join(f_j, F.expr("class_j = c_j"))
+    share = F.round(F.col("n").cast("double") / (F.col("f_i") + F.col("f_j") - F.col("n")), 6)
+    return both.select("class_i", "class_j", "n", share.alias("jaccard"))

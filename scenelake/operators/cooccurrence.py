@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stages import written
+
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """``class_i`` < ``class_j`` and ``n`` scenes that hold both.
@@ -77,6 +79,26 @@ def gram(found: DataFrame) -> DataFrame:
     return left.join(right, "scene").groupBy("class_i", "class_j").agg(F.count("*").alias("n"))
 
 
+def gram_sliced(found: DataFrame) -> DataFrame:
+    """The product of the incidence matrix with itself, from slices of 64 scenes as the bits of a word.
+
+    A class has a word for each slice that it occurs in; words of two classes are
+    and-ed and their bits counted, so a slice costs a row for each pair of its
+    classes, however many of its scenes hold them. The scenes' numbers are written
+    once, as a lost task would number its scenes anew.
+    """
+    scenes = found.select(F.col("scene").alias("s")).distinct().withColumn("id", F.monotonically_increasing_id())
+    scenes = written(scenes, "scene-numbers")
+    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+    placed = found.join(scenes, F.expr("scene <=> s")).select("class", F.shiftright("id", 6).alias("slice"), bit.alias("bit"))
+    words = placed.groupBy("class", "slice").agg(F.bit_or("bit").alias("word"))
+    left = words.select(F.col("class").alias("class_i"), "slice", F.col("word").alias("a"))
+    right = words.select(F.col("class").alias("class_j"), "slice", F.col("word").alias("b"))
+    both = F.bit_count(F.col("a").bitwiseAND(F.col("b")))
+    counts = left.join(right, "slice").groupBy("class_i", "class_j").agg(F.sum(both).cast("long").alias("n"))
+    return counts.where("n > 0")
+
+
 def conditional(found: DataFrame) -> DataFrame:
     """P(class_j | class_i) for all pairs that occur."""
     f = marginals(found).select(F.col("class").alias("class_i"), "f")

@@ -22,9 +22,11 @@ Defined results:
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stages import dropped, written
@@ -74,20 +76,22 @@ def lloyd(points: DataFrame, centres: DataFrame, rounds: int = 100, still: float
 
     ``points``: ``fit``, ``id``, ``w``, ``v``; ``centres``: ``fit``, ``cluster``, ``v``.
     """
-    going, rested = written(centres.select("fit", "cluster", "v"), "centres"), None
+    first = written(centres.select("fit", "cluster", "v"), "centres")
+    going, rested, mine = first, [], points
     for i in range(rounds):
-        if going.isEmpty():
-            break
-        mine = going.select(F.col("fit").alias("g_fit")).distinct()
-        after = written(step(points.join(mine, F.expr("fit = g_fit"), "left_semi"), going), "centres")
-        shifts = after.groupBy(F.col("fit").alias("s_fit")).agg(F.max("shift").alias("shift"))
-        judged = written(after.join(shifts.withColumnRenamed("shift", "most"), F.expr("fit = s_fit")).select("fit", "cluster", "v", "most"), "centres")
+        moved = step(mine, going)
+        most = F.max("shift").over(Window.partitionBy("fit")).alias("most")  # a row for each cluster of a fit
+        after = written(moved.select("fit", "cluster", "v", most), "centres")
         last = i == rounds - 1
-        done = judged.where("true" if last else f"most <= {still}").select("fit", "cluster", "v", F.lit(i + 1).alias("rounds"))
-        rested = done if rested is None else rested.unionByName(done)
-        dropped(going, after)
-        going = judged.where("false" if last else f"most > {still}").select("fit", "cluster", "v")
-    return going.withColumn("rounds", F.lit(0)) if rested is None else rested
+        done = after.where("true" if last else f"most <= {still}").select("fit", "cluster", "v", F.lit(i + 1).alias("rounds"))
+        going = after.where("false" if last else f"most > {still}").select("fit", "cluster", "v")
+        rested.append(done)
+        ended, left = after.agg(F.count_if(F.col("most") <= still), F.count_if(F.col("most") > still)).first()
+        if last or not left:
+            break
+        if ended:
+            mine = points.join(going.select(F.col("fit").alias("g_fit")).distinct(), F.expr("fit = g_fit"), "left_semi")
+    return reduce(DataFrame.unionByName, rested) if rested else first.withColumn("rounds", F.lit(0))
 
 
 def _unit(seed: int, name: str) -> Column:
