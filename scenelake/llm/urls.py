@@ -3,8 +3,8 @@
 Rules judge the URLs that they fit; those URLs are the examples. Two models,
 of accepted and of rejected URLs, give the next character's probability from
 contexts of up to ``ORDER`` characters, each order smoothed by the next shorter
-one after Witten and Bell; a context counts from ``SEEN`` examples up, so its
-length varies. The log-likelihood difference by character is compared with a
+one after Witten and Bell; the longest context that the examples have is used, so
+its length varies. The log-likelihood difference by character is compared with a
 cut.
 
 The models read a URL without its scheme and without the last two labels of its
@@ -17,7 +17,7 @@ each verdict are dealt out over two folds, and a fold's examples are scored by t
 other fold's counts. (Where a verdict has one rule only, folds go by a hash of the
 URL.) ``Filter.errors`` tells how the examples of each rule fared at the cut.
 
-All counts are used. Up to ``ENTRIES`` of them are sent to the workers; a larger
+All counts are used, those of characters seen once too. Up to ``ENTRIES`` of them are sent to the workers; a larger
 table stays in the shared folder and is joined to the distinct windows of
 ``ORDER + 1`` characters of the URLs, with the same results.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, discard, in_small_batches, map_batches, materialize
 
-ORDER, SEEN = 5, 2
+ORDER = 5
 #: Counts that workers hold at most; a larger table is joined instead.
 ENTRIES = 200_000
 #: The most common windows, sent to workers where the rest is joined.
@@ -148,8 +148,7 @@ def _count(examples: DataFrame) -> DataFrame:
 
     counts = map_batches(examples, run, "gram string, c0 long, c1 long, c2 long, c3 long")
     totals = counts.groupBy("gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
-    n = F.expr("c0 + c1 + c2 + c3")
-    return materialize(totals.where(n >= SEEN), "url-grams")
+    return materialize(totals, "url-grams")
 
 
 def _windows(urls: DataFrame) -> DataFrame:

@@ -243,6 +243,21 @@ def test_markov_sums_to_one_and_meets_the_plain_formula(spark):
         assert markov.difference(text) == pytest.approx(want / (len(marked) - urls.ORDER))
 
 
+def test_counts_hold_every_run_of_characters(spark):
+    """Runs seen once count too: the table is that of a count by loops."""
+    rng = random.Random(21)
+    rows = [("http://" + "".join(rng.choice("abc/.") for _ in range(rng.randint(0, 9))), k % 2, k % 3 // 2) for k in range(60)]
+    want = {}
+    for url, accepted, half in rows:
+        marked = urls.symbols(url)
+        for i in range(urls.ORDER, len(marked)):
+            for n in range(urls.ORDER + 1):
+                want.setdefault(marked[i - n : i + 1], [0] * 4)[2 * half + accepted] += 1
+    df = spark.createDataFrame(rows, "url string, accepted int, half int")
+    got = {r.gram: [r.c0, r.c1, r.c2, r.c3] for r in urls._count(df).collect()}
+    assert got == want and sum(sum(c) == 1 for c in want.values()) > 50
+
+
 def test_urls_of_one_domain_are_told_apart_by_their_text(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice(["ba", "lo", "mi", "ter", "sun"]) for _ in range(2))
