@@ -10,6 +10,7 @@ from .operators import cooccurrence, depthfill, kmeans, lift, neighbours, pointc
 from .plans import tables as T
 from .plans.stages import shared_folder
 from .queries import _GREEDY, _PIX, TYPES, _detections, assigned, ctes, query
+from .sources import annotations, scene_source
 from .streaming import cooccurrence as streamed
 
 # -- clouds ------------------------------------------------------------------------
@@ -227,3 +228,28 @@ def streamed_cooccurrence(spark, sf):
     both = pairs.join(f_i, F.expr("class_i = c_i")).join(f_j, F.expr("class_j = c_j"))
     share = F.round(F.col("n").cast("double") / (F.col("f_i") + F.col("f_j") - F.col("n")), 6)
     return both.select("class_i", "class_j", "n", share.alias("jaccard"))
+
+
+# -- scene folders ---------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, list(DISTINCT lower(event_type)) AS c FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
+    t AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'unknown' WHEN n >= 2 THEN 'busy' ELSE 'calm' END AS scene_type, unnest(c) AS class FROM s)
+    SELECT scene_type, class, count(*) AS n_scenes FROM t GROUP BY ALL""")
+def scene_folder_scan(spark, sf):
+    """A folder for each user's day, with an annotation and, but for every fifth user, a label; read back by the scene source."""
+    root = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}"
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("scene_path")
+    rows = T.read(spark, sf, "events").where("user_id is not null and ts is not null and event_type is not null")
+    days = rows.groupBy(path, "user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("event_type")).alias("c"))
+    objects = F.to_json(F.struct(F.transform("c", lambda x: F.struct(F.concat(x, F.lit("1 ")).alias("name"))).alias("objects")))
+    labels = F.when(F.col("n") >= 2, "busy\n").otherwise(" calm")
+    files = days.select("scene_path", F.lit("annotation_2d").alias("kind"), objects.alias("value"))
+    files = files.unionByName(days.where("user_id % 5 <> 0").select("scene_path", F.lit("label").alias("kind"), labels.alias("value")))
+    scene_source.write_scenes(files, root)
+    scene_source.register(spark)
+    read = lambda kind: spark.read.format("scenes").load(root).where(F.col("kind") == kind)
+    scenes = read("annotation_2d").withColumn("v", F.try_parse_json("value"))
+    typed = annotations.with_labels(scenes, read("label").select("scene_path", "value"))
+    found = annotations.names_2d(scenes).distinct()
+    return found.join(typed, "scene_path").groupBy("scene_type", "class").agg(F.count("*").alias("n_scenes"))
