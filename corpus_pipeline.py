@@ -14,7 +14,8 @@ Defined results:
   never stands for a group of copies that has another id;
 - rows that repeat an id and a text are one document: the first of them in the
   order of their other columns as JSON stays; rows that share an id with
-  different texts each stay if their group is named by that id;
+  different texts are documents of their own, in one group the first by a hash of
+  its text;
 - an empty table gives an empty table.
 """
 
@@ -47,15 +48,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the least id."""
-    found = jaccard.components(docs)
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__stays")
-    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(stays, (F.count("*") > 1).alias("__twice"))
+    # Rows are told apart by id and text; null ids come last, as they stand for no other.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.withColumn("__key", key)
+    found = jaccard.components(keyed, "__key")
+    stays = F.max(F.col("__key").eqNullSafe(F.col("component_id"))).alias("__stays")
+    ids = found.groupBy(F.col("__key").alias("__id")).agg(stays, (F.count("*") > 1).alias("__twice"))
     ids = materialize(ids.where("not __stays or __twice"), "pipeline-copies")
-    named = docs["doc_id"].eqNullSafe(F.col("__id"))
-    kept = docs.join(small(ids), named, "left_anti")
+    named = F.col("__key") == F.col("__id")
+    kept = keyed.join(small(ids), named, "left_anti").select(*docs.columns)
     twice = ids.where("__stays")
     if not twice.isEmpty():
-        kept = kept.unionByName(_one_of_each(docs.join(small(twice), named, "left_semi")))
+        kept = kept.unionByName(_one_of_each(keyed.join(small(twice), named, "left_semi").select(*docs.columns)))
     return kept
 
 

@@ -37,7 +37,7 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 def test_sql_of_the_corpus_queries(spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, (query, sql) in queries.QUERIES.items():
         if sql:
@@ -47,6 +47,15 @@ def test_sql_of_the_corpus_queries(spark):
             assert sorted(map(tuple, got.collect()), key=str) == sorted(result.fetchall(), key=str), name
 
 
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (None, b), (7, c), (7, c + " more"), (None, "alone"), (8, None), (8, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    sevens = [r for r in kept if r[0] == 7]
+    assert len(sevens) == 1 and sorted((r for r in kept if r[0] != 7), key=str) == sorted([(3, a), (5, b), (None, "alone"), (8, None), (9, None)], key=str)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     words = " ".join(f"w{i}" for i in range(70))
     rows = [
