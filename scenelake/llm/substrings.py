@@ -14,11 +14,12 @@ repeated, and the words they cover go.
 4. Edges are joined back to their places. Places that follow one another in a
    text, along edges of one first id and over nodes that do not branch, are
    compacted into a path: one row with the coordinates it has in the text.
-5. Paths are joined by their ends and length to the same path in the text with
-   the least id, whose coordinates verify it as a passage. The words of all paths
-   of a greater id go from the texts.
+5. The words of all paths of a greater id than the first go from the texts.
+   :func:`passages` joins the paths of all texts by their ends and length, and gives
+   the coordinates in the first one.
 
-Edges are told apart by 64 bits and by 32 bits of an independent hash. Edges and
+Edges are told apart by 64 bits and by 32 bits of an independent hash, and a path
+is a run of places without a gap: these verify it, texts are not compared again. Edges and
 texts that very many rows share are dealt out over salts; no group is collected
 but the paths of one text.
 
