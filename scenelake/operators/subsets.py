@@ -42,8 +42,8 @@ def survivors(masks: DataFrame, types: list[str]) -> DataFrame:
 def _layers(sums: DataFrame, n: int, start: DataFrame, reach) -> DataFrame:
     """Fold from the full set to the empty one: each set takes the best of its sets with one more stage.
 
-    ``reach(rows)`` gives ``held`` (the smaller set), ``t`` and the columns of ``start``
-    and ranks them by ``better``, a struct.
+    ``reach`` gets the smaller sets (``held``) with the stage ``t`` that leads on, its
+    ``survived`` and the columns of ``start``, and keeps the best row of each set.
     """
     state = start
     for _ in range(n):
