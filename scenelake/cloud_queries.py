@@ -67,7 +67,7 @@ def cloud_pair_sums(spark, sf):
 
 
 @query("""SELECT label AS cloud, count(*) AS n, round(cos(0.004 * label), 6) AS r00, round(-sin(0.004 * label), 6) + 0.0 AS r01, round(sin(0.004 * label), 6) AS r10, round(cos(0.004 * label), 6) AS r11, 1.0::DOUBLE AS r22,
-    round(0.001 * label, 6) AS tx, -0.002::DOUBLE AS ty, 0.003::DOUBLE AS tz FROM embeddings GROUP BY label""")
+    round(CAST(0.001 * label AS DOUBLE), 6) AS tx, -0.002::DOUBLE AS ty, 0.003::DOUBLE AS tz FROM embeddings GROUP BY label""")
 def cloud_alignment(spark, sf):
     """Each label's cloud, and the same under a motion that depends on the label: alignment finds the motion again."""
     source = _cloud(spark, sf, 0)
