@@ -15,7 +15,18 @@ Such pairs of places are extended both ways as far as the lines of the two
 documents are equal; every line of the later run is deleted. So of a passage
 that many documents share, the first document keeps it.
 
-The work is linear: an occurrence meets the first one only, never all others.
+The work is linear: an occurrence meets the first one only, never all others,
+and no line of a document is compared once for each of its partners:
+
+- from its selected place a pair reaches both ends of its window at once, as the
+  hash of the window's lines says that they are equal;
+- a run that goes on holds the next window whole, which is a later occurrence
+  too. So the windows of later occurrences, as stretches of lines, cover every
+  run but for a tail of fewer than ``min_words`` words behind a stretch, and
+  backwards no line is left;
+- only a pair whose partner goes on with the line behind the stretch has a tail.
+  It is followed from the pair's last window on.
+
 Keys that very many rows share are dealt out over salts.
 
 Defined results:
@@ -39,43 +50,51 @@ HOT = 20_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``id``, ``th``, ``line``, ``at`` (words before), ``pos``, ``words``, ``h`` of the lines with words."""
+    """``id``, ``th``, ``at`` (words before), ``pos``, ``words``, ``h`` and ``next`` (hash of the line behind) of the lines with words."""
     word_count = lambda x: F.regexp_count(x, F.lit(r"[^ \t\x0B\f\r]+"))
     of_text = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.struct(i.alias("line"), F.xxhash64(F.trim(x)).alias("h"), word_count(x).alias("words")),
+        lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), word_count(x).alias("words")),
     )
     arrays = docs.where("text is not null").select(
         "id", "th", F.filter(of_text, lambda x: x["words"] > 0).alias("lines")
     )
     single = arrays.groupBy("id", "th").agg(F.first("lines").alias("lines"))
     rows = single.select("id", "th", F.posexplode("lines").alias("pos", "x"))
-    before = Window.partitionBy("id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("id", "th").orderBy("pos")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         "id",
         "th",
         "pos",
-        F.col("x.line").alias("line"),
         F.col("x.h").alias("h"),
+        F.lead("x.h").over(along).alias("next"),
         F.col("x.words").cast("long").alias("words"),
         F.coalesce(F.sum("x.words").over(before), F.lit(0)).cast("long").alias("at"),
     )
 
 
 def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """The selected places: ``fp`` (the line's hash), ``id``, ``th``, ``pos``, and ``runs``, hashes of the windows that select it."""
+    """The selected places: ``fp`` (the line's hash), ``id``, ``th``, ``pos``, and ``runs``: of the windows that select it the hash, the first and last line, and the line behind."""
     # A line belongs to the window of line p if fewer than min_words words lie between their starts.
     ahead = Window.partitionBy("id", "th").orderBy("at").rangeBetween(0, min_words - 1)
     windows = lines.select(
         "id",
         "th",
+        F.col("pos").alias("lo"),
         F.sum("words").over(ahead).alias("total"),
-        F.collect_list(F.struct("h", (-F.col("pos")).alias("back"))).over(ahead).alias("window"),
+        F.collect_list(F.struct("h", (-F.col("pos")).alias("back"), "next")).over(ahead).alias("window"),
     ).where(F.col("total") >= min_words)
-    least = F.array_min("window")
-    run = F.xxhash64(F.transform("window", lambda x: x["h"]))
-    chosen = windows.select("id", "th", (-least["back"]).alias("pos"), least["h"].alias("fp"), run.alias("run"))
-    return chosen.groupBy("id", "th", "pos", "fp").agg(F.collect_set("run").alias("runs"))
+    least, last = F.array_min("window"), F.element_at("window", -1)
+    run = F.xxhash64(F.transform("window", lambda x: x["h"])).alias("run")
+    chosen = windows.select(
+        "id",
+        "th",
+        (-least["back"]).alias("pos"),
+        least["h"].alias("fp"),
+        F.struct(run, "lo", (-last["back"]).alias("hi"), last["next"].alias("next")).alias("run"),
+    )
+    return chosen.groupBy("id", "th", "pos", "fp").agg(F.collect_list("run").alias("runs"))
 
 
 def _dealt(many: DataFrame, few: DataFrame, keys: dict[str, str], counts: DataFrame, total: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -101,22 +120,28 @@ def _dealt(many: DataFrame, few: DataFrame, keys: dict[str, str], counts: DataFr
 def deletions(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """``id``, ``th`` (hash of the text) and ``gone`` (indices of deleted lines), for documents that lose some."""
+    """``id``, ``th`` (hash of the text) and ``gone``, for documents that lose lines.
+
+    ``gone``: ranges (``start``, ``end``, both deleted) of positions among the lines that hold a word.
+    """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with scratch():
         lines = materialize(_lines(docs.withColumn("th", F.xxhash64("text"))), "lines")
         places = materialize(_fingerprints(lines, min_words), "line-fingerprints")
-        seeds = materialize(_seeds(places), "line-seeds")
-        return materialize(_extended(lines, seeds), "line-deletions", keep=True)
+        pairs = materialize(_stretches(_seeds(places)), "line-pairs")
+        tails = materialize(_going_on(lines, pairs), "line-tails")
+        ranges = pairs.select("id", "th", "start", "end").distinct().unionByName(_followed(lines, tails, min_words))
+        gone = ranges.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+        return materialize(gone, "line-deletions", keep=True)
 
 
 def _seeds(places: DataFrame) -> DataFrame:
-    """Selected places joined by their fingerprints: ``id``, ``th``, ``pos``, the first occurrence ``id1``, ``th1`` and the ``shift`` to it."""
+    """Selected places joined by their fingerprints: the windows ``lo`` to ``hi`` of ``id``, ``th``, the line behind (``next``), the first occurrence ``id1``, ``th1`` and the ``shift`` to it."""
     place = F.struct("id", "th", "pos")
     # A fingerprint at one place only is in no repeated window.
     ends = places.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     shared = ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp")
-    met = places.join(shared, "fp", "left_semi").select("fp", "id", "th", "pos", F.explode("runs").alias("run"))
+    met = places.join(shared, "fp", "left_semi").select("fp", "id", "th", "pos", F.inline("runs"))
     # One fingerprint may stand in different windows: those that are equal have a first occurrence.
     runs = met.groupBy("fp", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     runs = runs.where(~F.col("first").eqNullSafe(F.col("last")))
@@ -124,36 +149,55 @@ def _seeds(places: DataFrame) -> DataFrame:
     later, first = _dealt(met, first, {"fp": "f_fp", "run": "f_run"}, runs.select("fp", "run", "n"), places.count() * MIN_WORDS, ["id", "th", "pos"])
     found = later.join(first, F.expr("fp = f_fp and run = f_run and salt = f_salt")).where(~place.eqNullSafe(F.col("first")))
     return found.select(
-        "id", "th", "pos", F.col("first.id").alias("id1"), F.col("first.th").alias("th1"), (F.col("pos") - F.col("first.pos")).alias("shift")
-    ).distinct()
-
-
-def _extended(lines: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``id``, ``th`` and ``gone`` of the later runs: equal lines both ways from the seeds."""
-    pair = ["id", "th", "id1", "th1", "shift"]
-    pairs = seeds.select(*pair).distinct()
-    # Both documents' lines side by side: those that are equal form runs.
-    own = lines.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), "pos", "line", "h")
-    beside = pairs.join(own, F.expr("id <=> o_id and th = o_th"))
-    beside = beside.select(*pair, "pos", "line", "h", (F.col("pos") - F.col("shift")).alias("pos1"))
-    earlier = lines.select(
-        F.col("id").alias("e_id"), F.col("th").alias("e_th"), F.col("pos").alias("e_pos"), F.col("h").alias("e_h")
+        "id", "th", "lo", "hi", "next", F.col("first.id").alias("id1"), F.col("first.th").alias("th1"), (F.col("pos") - F.col("first.pos")).alias("shift")
     )
-    counts = pairs.groupBy("id1", "th1").agg(F.count("*").alias("n"))
-    beside, earlier = _dealt(beside, earlier, {"id1": "e_id", "th1": "e_th"}, counts, seeds.count(), ["id", "th", "shift"])
-    equal = beside.join(earlier, F.expr("id1 <=> e_id and th1 = e_th and salt = f_salt and pos1 = e_pos and h = e_h"))
-    along = Window.partitionBy(*pair).orderBy("pos")
-    runs = equal.select(*pair, "pos", "line").withColumn("run", F.col("pos") - F.row_number().over(along))
-    marked = runs.join(
-        seeds.select(*[F.col(c).alias(f"s_{c}") for c in [*pair, "pos"]]),
-        F.expr(
-            "id <=> s_id and th = s_th and id1 <=> s_id1 and th1 = s_th1 and shift = s_shift and pos = s_pos"
-        ),
-        "left",
+
+
+def _stretches(seeds: DataFrame) -> DataFrame:
+    """The pairs of each stretch ``start`` to ``end`` of overlapping windows: ``top`` is the pair's last line in it, ``next`` the line behind the stretch."""
+    along = Window.partitionBy("id", "th").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("hi").over(along)
+    opens = seeds.withColumn("opens", (reached.isNull() | (F.col("lo") > reached + 1)).cast("int"))
+    upto = Window.partitionBy("id", "th").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = opens.withColumn("stretch", F.sum("opens").over(upto))
+    pairs = numbered.groupBy("id", "th", "stretch", "id1", "th1", "shift").agg(
+        F.min("lo").alias("lo"), F.max(F.struct("hi", "next")).alias("last")
     )
-    whole = Window.partitionBy(*pair, "run")
-    gone = marked.withColumn("seeded", F.max(F.col("s_pos").isNotNull()).over(whole)).where("seeded")
-    return gone.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
+    whole = Window.partitionBy("id", "th", "stretch")
+    pairs = pairs.withColumns({"start": F.min("lo").over(whole), "end": F.max("last").over(whole)})
+    return pairs.select("id", "th", "start", "end.hi", "end.next", "id1", "th1", "shift", F.col("last.hi").alias("top")).withColumnRenamed("hi", "end")
+
+
+def _going_on(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose partner has the line behind the stretch at its place."""
+    behind = pairs.where("next is not null").withColumn("pos1", F.col("end") + 1 - F.col("shift"))
+    met = _beside(behind, lines, "next")
+    return met.select("id", "th", "end", "id1", "th1", "shift", "top")
+
+
+def _beside(rows: DataFrame, lines: DataFrame, hash_col: str) -> DataFrame:
+    """The rows whose line ``pos1`` of the partner ``id1``, ``th1`` has the hash ``hash_col``."""
+    earlier = lines.select(*[F.col(c).alias(f"e_{c}") for c in ("id", "th", "pos", "h")])
+    counts = rows.groupBy("id1", "th1", "pos1").agg(F.count("*").alias("n"))
+    keys = {"id1": "e_id", "th1": "e_th", "pos1": "e_pos"}
+    rows, earlier = _dealt(rows, earlier, keys, counts, rows.count(), ["id", "th", "shift"])
+    on = F.expr(f"id1 <=> e_id and th1 = e_th and pos1 = e_pos and salt = f_salt and {hash_col} = e_h")
+    return rows.join(earlier, on)
+
+
+def _followed(lines: DataFrame, tails: DataFrame, min_words: int) -> DataFrame:
+    """Tails behind stretches, ``start`` to ``end``, of pairs that are equal from their last window on."""
+    # A tail has fewer than min_words words, and a word a line at least.
+    upto = F.explode(F.sequence(F.col("top") + 1, F.col("end") + min_words - 1)).alias("pos")
+    reach = tails.select("*", upto).withColumn("pos1", F.col("pos") - F.col("shift"))
+    own = lines.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), F.col("pos").alias("o_pos"), "h")
+    reach = reach.join(own, F.expr("id <=> o_id and th = o_th and pos = o_pos"))
+    equal = _beside(reach, lines, "h")
+    pair = ["id", "th", "id1", "th1", "shift", "end", "top"]
+    nth = F.row_number().over(Window.partitionBy(*pair).orderBy("pos"))
+    unbroken = equal.select(*pair, "pos", nth.alias("nth")).where("pos = top + nth")
+    ends = unbroken.groupBy(*pair).agg(F.max("pos").alias("z")).where(F.col("z") > F.col("end"))
+    return ends.select("id", "th", (F.col("end") + 1).alias("start"), F.col("z").alias("end"))
 
 
 def dedup_lines(
@@ -174,15 +218,24 @@ def dedup_lines(
     joined = plain.withColumn("__th", F.xxhash64(text)).join(
         gone, F.col(key).eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")) & F.col(text).isNotNull(), "left"
     )
-    split = F.split(text, "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # Columns that are used twice stay columns; else each line would cut the text anew.
+    joined = joined.withColumn("__split", F.split(text, "\n"))
+    worded = F.filter(
+        F.transform("__split", lambda x, i: F.when(x.rlike(r"[^ \t\x0B\f\r]"), i)), lambda i: i.isNotNull()
+    )
+    joined = joined.withColumn("__worded", F.when(F.col("gone").isNotNull(), worded))
+    places = F.flatten(F.transform("gone", lambda x: F.sequence(x["start"], x["end"])))
+    every = F.sequence(F.lit(0), F.size("__split") - 1)
+    left = F.array_except(every, F.transform(places, lambda p: F.get("__worded", p)))
+    joined = joined.withColumn("__kept", F.when(F.size("__worded") > 0, left))
+    kept = F.array_join(F.transform("__kept", lambda i: F.get("__split", i)), "\n")
     return joined.select(
         *[
             F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(c) if n == text else F.col(n).alias(c)
             for c, n in zip(columns, names)
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias(added[0]),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(added[1]),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("__split")).cast("long").alias(added[0]),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("__split") - F.size("__kept")).cast("long").alias(added[1]),
     )
 
 

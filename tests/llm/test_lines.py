@@ -81,5 +81,22 @@ def test_a_shared_passage_stays_once(spark):
     assert got == {i: int(i > 0) for i in range(20)}
 
 
+def test_one_line_many_times(spark):
+    twenty_thousand = "\n".join(["the same words in every line of it"] * 20_000)
+    df = spark.createDataFrame([(1, twenty_thousand), (2, twenty_thousand + "\nother")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(df).collect()}
+    assert got == {1: (20_000, 19_999, "the same words in every line of it"), 2: (20_001, 20_000, "other")}
+
+
+def test_a_listing_of_many_documents(spark):
+    line = lambda *x: " ".join(f"w{v}" for v in x for _ in range(8))
+    parts = [[line(k, j) for j in range(5)] for k in range(400)]
+    docs = [(k, "\n".join([*p, f"end {k}"])) for k, p in enumerate(parts)]
+    listing = "\n".join(x for k, p in enumerate(parts) for x in [*p, f"end {k}" if k % 2 else "no end"])
+    df = spark.createDataFrame([*docs, (9999, listing)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect() if r.doc_id == 9999 or r.n_removed}
+    assert got == {9999: "\n".join(["no end"] * 200)}
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
