@@ -5,6 +5,11 @@ item where it has fewer) become the patterns of one automaton. A document is
 normalised once, scanned once, and each match is mapped back to word positions
 and to character offsets of the original text.
 
+The automaton reads words, not characters: a word of the patterns is a pair of
+letters, one of an upper and one of a lower alphabet, so a window of ten words
+is twenty nodes deep, whatever the length of its words; every word that no
+pattern holds is one pair of its own.
+
 Words: A-Z are lower-cased, then runs of 0-9, a-z and anything beyond ASCII.
 
 Defined results:
@@ -18,19 +23,21 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, map_batches, map_text, materialize
+from .common import SMALL, in_small_batches, map_batches, map_text, materialize, slices
+from .lines import _dealt as dealt
 
 WINDOW = 10
 #: Benchmark text that one automaton takes; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -43,25 +50,27 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[bytes]:
-    """The windows of one benchmark item, words joined and framed by spaces."""
-    found = words(text)
-    if not found:
-        return set()
-    return {b" %s " % b" ".join(found[i : i + window]) for i in range(max(1, len(found) - window + 1))}
+def item_windows(found: list, window: int = WINDOW) -> set[tuple]:
+    """The windows of the words of one benchmark item."""
+    return {tuple(found[i : i + window]) for i in range(max(1, len(found) - window + 1))} if found else set()
 
 
 class Scanner:
     """An automaton over the windows of a block of items."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item_id, text in items:
-            for pattern in item_windows(text, window):
-                owners.setdefault(pattern, set()).add(item_id)
+        split = [(item_id, words(text)) for item_id, text in items]
+        known = sorted({w for _, found in split for w in found})
+        base = math.isqrt(len(known)) + 1
+        # Upper letters from 1, lower ones behind them; so no match starts within a pair.
+        self.codes = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(known)}
+        owners: dict[str, set[str]] = {}
+        for item_id, found in split:
+            for pattern in item_windows([self.codes[w] for w in found], window):
+                owners.setdefault("".join(pattern), set()).add(item_id)
         self.automaton = ahocorasick.Automaton()
         for pattern, ids in owners.items():
-            self.automaton.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, tuple(ids)))
+            self.automaton.add_word(pattern, (len(pattern) // 2, tuple(ids)))
         if owners:
             self.automaton.make_automaton()
         self.empty = not owners
@@ -70,14 +79,13 @@ class Scanner:
         """Word ranges [first, last) covered by windows, and the ids of their items."""
         if self.empty or not found:
             return set(), set()
-        line = b" %s " % b" ".join(found)
-        matches = list(self.automaton.iter(line.decode("latin-1")))
-        if not matches:
-            return set(), set()
-        ends = np.cumsum([len(w) + 1 for w in found])
-        lasts = np.searchsorted(ends, [end for end, _ in matches]) + 1
-        ranges = {(int(last) - n, int(last)) for last, (_, (n, _)) in zip(lasts, matches)}
-        return ranges, {x for _, (_, ids) in matches for x in ids}
+        code = self.codes.get
+        ranges, items = set(), set()
+        for end, (n, ids) in self.automaton.iter("".join([code(w, "\0\0") for w in found])):
+            last = (end + 1) // 2
+            ranges.add((last - n, last))
+            items.update(ids)
+        return ranges, items
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -91,16 +99,18 @@ def merged(ranges) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The benchmark as lists of at most about ``block_bytes`` of text."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark as tables of about ``block_bytes`` of text, an item at least."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")
-    ).where("text is not null")
+    ).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    for b in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield [(r["item"], r["text"]) for r in block.collect()]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
+
+
+_RANGES = pa.list_(pa.list_(pa.int32()))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def contamination(
@@ -120,95 +130,96 @@ def contamination(
     ``n_words``, ``n_hit``, ``items`` (sorted array of strings) and ``spans``
     (character ranges of the original text, end exclusive).
 
-    Each block of the benchmark is collected by the driver (``block_bytes``
-    bounds it) and sent to the executors; with several blocks the documents are
-    scanned once for each, the state between being a table in the shared folder.
+    The driver and each Python worker hold one block of the benchmark at a time
+    (about ``block_bytes`` of text, or one longer item). With several blocks the
+    texts are read once for each, and only the hits of those that have some are
+    written into the shared folder, by the hashes of the text; at the end they
+    meet the documents again.
     """
     keep = keep or [id_col]
     names = [f"__k{i}" for i in range(len(keep))]
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) if block_bytes else []
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     state = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("__t"))
-    previous = None
-    for b, items in enumerate(blocks):
-        last = b == len(blocks) - 1
-        state = _scan(state, names, items, window, first=b == 0, last=last)
-        if not last:
-            state, old = materialize(state, "decontamination"), previous
-            previous = state
-            if old is not None:
-                discard(old)
-    return state.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_hit", "items", "spans")
-
-
-def _scan(state: DataFrame, names: list[str], items: list, window: int, first: bool, last: bool) -> DataFrame:
-    schema = "n_words long, n_hit long, ranges array<array<int>>, items array<string>, spans array<struct<start:int,end:int>>"
-    if not first:
-        state = state.withColumn("__was", F.struct("ranges", "items"))
+    if len(blocks) == 1:
+        schema = "ranges array<array<int>>, items array<string>, n_words long, n_hit long, spans array<struct<start:int,end:int>>"
+        out = map_text(state, names, "__t", schema, _finder(blocks[0], window, whole=True))
     else:
-        state = state.withColumn(
-            "__was", F.lit(None).cast("struct<ranges:array<array<int>>,items:array<string>>")
-        )
-    before = state.select(*names, "__was", "__t")
-    shared = state.sparkSession.sparkContext.broadcast(items)
+        text_key = {"__h1": F.xxhash64("__t"), "__h2": F.xxhash64(F.lit(1), "__t")}
+        keyed = state.withColumns(text_key)
+        texts = keyed.where("__t is not null").select(*text_key, "__t")
+        hits = [_hits(texts, block, window) for block in blocks]
+        out = _joined(keyed, reduce(DataFrame.unionByName, hits), names)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_hit", "items", "spans")
+
+
+def _finder(block: DataFrame, window: int, whole: bool):
+    """A batch function over texts: ranges and items of one block, and if ``whole`` what follows from them."""
+    shared = block.sparkSession.sparkContext.broadcast([tuple(r) for r in block.select("item", "text").collect()])
 
     def scanner():
         scan = _built(shared, window)
 
         def work(texts: list) -> list[pa.Array]:
-            n_words, n_hit, ranges, found_items, spans = [], [], [], [], []
-            for text in texts:
-                found = words(text)
-                got, ids = scan(found)
-                n_words.append(len(found))
-                cover = merged(got)
-                n_hit.append(sum(b - a for a, b in cover))
-                ranges.append(cover)
-                found_items.append(sorted(ids))
-                spans.append(char_spans(text, cover) if cover else [])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(ranges, pa.list_(pa.list_(pa.int32()))),
-                pa.array(found_items, pa.list_(pa.string())),
-                pa.array(spans, kind),
-            ]
+            split = [words(text) for text in texts]
+            got = [scan(found) for found in split]
+            covers = [merged(ranges) for ranges, _ in got]
+            arrays = [pa.array(covers, _RANGES), pa.array([sorted(ids) for _, ids in got], pa.list_(pa.string()))]
+            return arrays + _counts(texts, split, covers) if whole else arrays
 
         return work
 
-    if first and last:
-        return map_text(before.drop("__was"), names, "__t", schema, scanner)
-    out = map_text(
-        before.withColumn("__text2", F.col("__t")), [*names, "__was", "__text2"], "__t", schema, scanner
-    ).withColumnRenamed("__text2", "__t")
-    ranges = F.concat(F.coalesce("__was.ranges", F.array().cast("array<array<int>>")), "ranges")
-    both = F.array_sort(F.array_distinct(F.concat(F.coalesce("__was.items", F.array().cast("array<string>")), "items")))
-    out = out.withColumns({"ranges": ranges, "items": both}).drop("__was")
-    if not last:
-        return out.select(*names, "__t", "ranges", "items")
+    return scanner
+
+
+def _counts(texts: list, split: list, covers: list) -> list[pa.Array]:
+    """``n_words``, ``n_hit`` and ``spans``."""
+    return [
+        pa.array([len(found) for found in split], pa.int64()),
+        pa.array([sum(b - a for a, b in cover) for cover in covers], pa.int64()),
+        pa.array([char_spans(text, cover) if cover else [] for text, cover in zip(texts, covers)], _SPANS),
+    ]
 
-    return _close(out, names)
 
+def _hits(texts: DataFrame, block: DataFrame, window: int) -> DataFrame:
+    """What one block finds, a row for each different text with hits."""
+    key = ["__h1", "__h2"]
+    found = map_text(texts, key, "__t", "ranges array<array<int>>, items array<string>", _finder(block, window, whole=False))
+    once = found.where("size(items) > 0").groupBy(*key).agg(F.first("ranges").alias("ranges"), F.first("items").alias("items"))
+    return materialize(once, "decontamination")
 
-def _close(out: DataFrame, names: list[str]) -> DataFrame:
-    """Merge the ranges that several blocks found."""
-    schema = type(out.schema)([f for f in out.schema.fields if f.name in (*names, "n_words", "n_hit", "items", "spans")])
+
+def _joined(keyed: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
+    """The documents with the hits of all blocks."""
+    of_text = hits.groupBy(F.col("__h1").alias("h1"), F.col("__h2").alias("h2")).agg(
+        F.flatten(F.collect_list("ranges")).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    of_text = materialize(of_text, "decontamination")
+    on = "__h1 = h1 and __h2 = h2"
+    size = of_text.agg(F.coalesce(F.sum(F.size("ranges") + F.size("items") + 4), F.lit(0))).first()[0]
+    if size <= SMALL:
+        of_text = F.broadcast(of_text)
+    else:  # copies of one text may be many
+        counts = keyed.groupBy("__h1", "__h2").agg(F.count("*").alias("n"))
+        keyed, of_text = dealt(keyed, of_text, {"__h1": "h1", "__h2": "h2"}, counts, keyed.count(), names)
+        on += " and salt = f_salt"
+    met = keyed.join(of_text, F.expr(on), "left").select(*names, "__t", "ranges", "items")
+    none = {c: F.coalesce(c, F.array().cast(met.schema[c].dataType)) for c in ("ranges", "items")}
+    met = met.withColumns(none)
+    added = "n_words long, n_hit long, spans array<struct<start:int,end:int>>"
+    kept = met.drop("__t", "ranges").schema
+    schema = type(kept)(list(kept.fields) + list(met.sparkSession.createDataFrame([], added).schema.fields))
 
     def run(batches):
         for batch in batches:
-            covers = [merged(map(tuple, x)) for x in batch.column("ranges").to_pylist()]
-            texts = batch.column("__t").to_pylist()
-            new = {
-                "n_hit": pa.array([sum(b - a for a, b in c) for c in covers], pa.int64()),
-                "spans": pa.array(
-                    [char_spans(t, c) if c else [] for t, c in zip(texts, covers)], batch.schema.field("spans").type
-                ),
-            }
-            yield pa.RecordBatch.from_arrays(
-                [new[n] if n in new else batch.column(n) for n in schema.names], names=schema.names
-            )
-
-    return in_small_batches(map_batches(out, run, schema))
+            for part in slices(batch, batch.schema.get_field_index("__t")):
+                texts = part.column("__t").to_pylist()
+                covers = [merged(map(tuple, x)) for x in part.column("ranges").to_pylist()]
+                arrays = _counts(texts, [words(t) for t in texts], covers)
+                rest = part.drop_columns(["__t", "ranges"])
+                yield pa.RecordBatch.from_arrays(rest.columns + arrays, names=schema.names)
+
+    return in_small_batches(map_batches(met, run, schema))
 
 
 _last: dict = {}

@@ -55,6 +55,29 @@ def test_against_brute_force_in_one_block_and_in_many(spark):
         assert got == want
 
 
+def test_a_block_of_a_megabyte_fits_a_worker():
+    rng = random.Random(2)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=200))) for i in range(640)]
+    assert sum(len(t) for _, t in items) > 1 << 20
+    scanner = D.Scanner(items)
+    assert scanner.automaton.get_stats()["total_size"] < 300 << 20
+    text = D.words("unknown " + items[7][1] + " unseen " + " ".join(items[8][1].split()[50:60]) + " end")
+    ranges, ids = scanner.scan(text)
+    assert D.merged(ranges) == [(1, 201), (202, 212)] and ids == {"7", "8"}
+
+
+def test_several_blocks_meet_many_copies(spark, monkeypatch):
+    items, docs = world(5)
+    monkeypatch.setattr(D, "SMALL", 0)  # texts and hits are shuffled
+    d = spark.createDataFrame(docs + [(500 + i, docs[3][1]) for i in range(200)], "doc_id long, text string")
+    b = spark.createDataFrame(items + items, "item_id long, text string")
+    one, many = (
+        sorted(map(str, D.contamination(d, b, block_bytes=n).collect())) for n in (1 << 20, 120)
+    )
+    assert one == many
+
+
 def test_spans_cut_the_passages_of_the_original(spark):
     passage = "One, two; THREE four five six seven eight nine ten"
     d = spark.createDataFrame([(1, f"Ünder ... {passage}! Rest.")], "doc_id long, text string")
