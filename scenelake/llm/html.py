@@ -12,9 +12,13 @@ feeds; script, style, template and the like, comments and markup are no text.
 
 Defined results:
 - null, empty and text-free pages give the empty text;
-- markup that breaks off inside a tag, comment or script ends the page there; other bad markup is read on as
-  the HTML parsing rules do: ``</`` and no letter is a comment up to ``>``, a stray quote is part of its
-  attribute, a self-closing svg is empty. A quote that nothing closes does not hold the tag open;
+- markup that breaks off inside a tag, comment, script, template or svg ends the page there; other bad markup is
+  read on as the HTML parsing rules do: ``</`` and no letter is a comment up to ``>``, ``<!-->`` is an empty one,
+  ``--!>`` ends one, a stray quote is part of its attribute, a title has no markup, templates and objects nest,
+  an svg is empty if self-closing and ends where an HTML tag such as ``p`` stands in it, and an audio, video or
+  canvas ends with what it stands in. A quote that nothing closes does not hold the tag open, and an audio, video,
+  canvas or object that nothing ends holds nothing;
+- white space is what Python's ``str.split`` takes for it, no-break spaces and U+001C to U+001F included;
 - elements nested deeper than ``DEPTH`` stand beside the deepest, as in browsers, so a page takes linear time;
 - repeated rows are extracted each for itself, an empty table gives no rows;
 - further columns are not read, whatever their names.
@@ -38,7 +42,17 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-_RAW = frozenset("script style template noscript iframe svg textarea xmp noembed noframes object canvas audio video".split())
+#: Elements that run to their own end tag, whatever stands in them.
+_RAW = frozenset("script style noscript iframe textarea xmp noembed noframes".split())
+#: Elements of markup that is no text. The end tags of outer elements end the last four, but not the first two.
+_CLOSED = frozenset(["template", "object"])
+_HIDDEN = _CLOSED | {"svg", "canvas", "audio", "video"}
+#: Start tags that end an open svg, and elements in which it holds HTML.
+_BREAK = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_POINTS = ("foreignobject", "desc", "title")
 #: Start tags that end an open element of the named kinds.
 _ENDS = {
     "li": {"li"},
@@ -53,12 +67,14 @@ _ENDS = {
 _value = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+|(?=>))"""
 _attribute = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_value})?+"
 _token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|{_attribute})*+)(/?)>"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|{_attribute})*+)(/?)>"
     r"|<(?:[!?]|/(?![a-zA-Z]))[^>]*>|([^<]+)|<",
     re.S,
 )
 _names = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
 _parts = re.compile(r"[a-zA-Z]+")
+_hidden = re.compile(rf"<(?:{'|'.join(sorted(_HIDDEN))})[\s/>]", re.I)
+_end_of = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in [*_RAW, "title"]}
 
 
 #: Elements that may be open at once; deeper ones stand beside the deepest.
@@ -81,6 +97,73 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _hidden_ends(source: str) -> dict[int, int]:
+    """Where to read on behind each element of ``_HIDDEN`` that ends, by the place of its start tag.
+
+    One pass over the page with the open elements, so nested and unclosed ones take linear time.
+    """
+    ends: dict[int, int] = {}
+    if not _hidden.search(source):
+        return ends
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}
+    floors = [0]  # elements below are out of the reach of end tags
+    titled = True
+
+    def close(i: int, own: int, others: int) -> None:
+        while len(stack) > i:
+            name, start = stack.pop()
+            places[name].pop()
+            if name in _HIDDEN:
+                ends[start] = own if len(stack) == i else others
+        while floors[-1] > i:
+            floors.pop()
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
+    def foreign() -> bool:
+        return last("svg") > max(map(last, _POINTS))
+
+    at, end = 0, len(source)
+    while at < end:
+        found = _token.match(source, at)
+        start, at = at, found.end()
+        closing, name, _, empty, text = found.group(1, 2, 3, 4, 5)
+        if text is not None:
+            continue
+        if name is None:
+            rest = source[start + 1 : start + 2]
+            if at == start + 1 and (rest.isascii() and rest.isalpha() or rest == "/"):
+                break
+            continue
+        name = name.lower()
+        if closing:
+            i = last(name)
+            if i >= floors[-1] - (name in _CLOSED and i == floors[-1] - 1) and i >= 0:
+                close(i, at, start)
+            continue
+        if name in _BREAK:
+            while foreign():
+                close(last("svg"), start, start)
+        inside = foreign()
+        if name in _VOID or (inside or name == "svg") and empty:
+            continue
+        if not inside and name in _end_of and (titled or name != "title"):
+            over = _end_of[name].search(source, at)
+            titled = titled and (over is not None or name != "title")
+            if over or name != "title":
+                at = over.end() if over else end
+                continue
+        if not inside and name not in _INLINE and name not in _HIDDEN and stack and stack[-1][0] == "p":
+            close(len(stack) - 1, start, start)
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, start))
+        if name in _CLOSED and not inside:
+            floors.append(len(stack))
+    return ends
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
@@ -99,6 +182,8 @@ def blocks(html: str | None) -> list[Block]:
 
     source, at, end = html or "", 0, len(html or "")
     links = 0
+    hidden = _hidden_ends(source)
+    titled = True  # whether a title may still end
     while at < end:
         found = _token.match(source, at)
         start, at = at, found.end()
@@ -138,12 +223,25 @@ def blocks(html: str | None) -> list[Block]:
             if name == "hr":
                 flush()
             continue
+        if name in _HIDDEN:
+            if not (name == "svg" and empty):
+                at = hidden.get(start, end if name in ("svg", "template") else at)
+            continue
         if name in _RAW:
-            if name == "svg" and empty:
-                continue
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            close = _end_of[name].search(source, at)
             at = close.end() if close else end
             continue
+        if name == "title" and titled:
+            close = _end_of[name].search(source, at)
+            titled = close is not None
+            if titled:
+                flush()
+                stack.append((name, _marks(attributes) if attributes else ()))
+                parts.append(references.unescape(source[at : close.start()]))
+                flush()
+                stack.pop()
+                at = close.end()
+                continue
         if name not in _INLINE:
             flush()
             # A block-level start ends an open paragraph and the inline elements in it.

@@ -449,6 +449,37 @@ def test_blocks_behind_bad_markup(page, want):
     assert [b.text for b in html.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><svg width=1><path d="x"><p>Hello</p></article>', ["Hello"]),
+        ("<svg><svg><div>a</div>", ["a"]),
+        ("<svg><foreignObject><p>x</p></foreignObject><text>x</text></svg><p>a</p>", ["a"]),
+        ("<svg><title>x</title></svg>a", ["a"]),
+        ("<!--><p>a</p><!-- x -->", ["a"]),
+        ("<!-- x --!><p>a</p><!---><p>b</p>", ["a", "b"]),
+        ("<p>a</p><template><template>x</template>x</template><p>b</p>", ["a", "b"]),
+        ("<p>a<object><object>x</object>x</object>b</p>", ["ab"]),
+        ("<p>a</p><template>x<p>x", ["a"]),
+        ("<title>a <b>c &amp; d</title><p>x</p>", ["a <b>c & d", "x"]),
+        ("<title>a<p>b</p>", ["a", "b"]),
+        ("<p>a</p><audio src=x><p>b</p>", ["a", "b"]),
+        ("<div><video src=x>x</div><p>b</p>", ["b"]),
+        ("<div>a<p><canvas>x</p>b<p>c<video><p>x</p></video>d", ["a", "b", "cd"]),
+        ("<div><object><p>x</div><p>x</object><p>b</div>", ["b"]),
+        ("<p>a<script>x</script foo>b", ["ab"]),
+    ],
+)
+def test_blocks_behind_hidden_elements(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+def test_hidden_elements_take_linear_time():
+    n = 30_000
+    for page in ("<video>" * n, "<object>" * n + "</div>" * n, "<svg><title>" * n, "<title>" * n, "<b><object>" + "<div>" * n + "</b>" * n):
+        assert isinstance(html.blocks(page), list)
+
+
 def test_bad_markup_is_read_in_linear_time():
     for page in ("<a " + "b" * 50_000, "<p>" + "<a b='" * 20_000, "<a" + " b=\"" * 20_001, "<a " + "/ " * 40_000):
         assert isinstance(html.blocks(page), list)
