@@ -14,17 +14,20 @@ linked; the result is each document's connected component. The sets are those of
    order that knows less gives the same links.
 3. The list of a token holds the nodes with the token in their prefix. Its leader
    is the node with the longest prefix for its size, so one that lacks few of the
-   tokens its likes share. Each node is held against the leader that it shares
-   most lists with, which links most copies.
-4. Where a list still holds several components, its nodes are put on shelves: by
-   the longest such list that a node is in and by size, in parts of about
-   ``SHELF`` tokens. The token-group matrix has a row for each token and shelf
-   (``jaccard-matrix``); shelves that share a token, can have linked sizes and hold
-   several components are a task, once for all their tokens.
-5. In a task a shelf is cut into groups of ``GROUP`` sets, the next level of the
-   matrix: a group's row is the union of its tokens. A query is bounded by its
-   overlap with that row; only a group whose bound reaches the threshold is
-   opened, and its members of other components are counted against the query.
+   tokens its likes share. The nodes that share most lists with one leader are
+   families, cut into parts of ``QUERIES`` that the leader belongs to as well. A
+   part is a task, in which all its sets are held against each other.
+4. Where a list still holds several components, its nodes are put on shelves, the
+   groups of the token-group matrix: by the longest such list that a node is in and
+   by size, in parts of about ``SHELF`` tokens. The matrix stores each shelf's union
+   of tokens (``jaccard-unions``). Shelves that share an open list, can have linked
+   sizes and hold several components are a pair.
+5. The sets of a pair's first shelf are bounded by their overlap with the stored
+   union of the second: a set with fewer than 80 % of its tokens there is linked
+   with none of its members. The second shelf is opened, that is, its members'
+   sets are read, only where some set qualifies, and only for those that do.
+6. In a task a shelf is cut into groups of ``GROUP`` sets, which are bounded and
+   opened in the same way by their own unions.
 
 Lists of one component only are settled by step 3, so large groups of copies
 never give all pairs; of a group that step 3 leaves in many components, pairs of
@@ -50,7 +53,7 @@ from .components import connected_components
 from .shingles import set_hash, shingle_sets
 
 PERCENT = 80
-#: Sets of a group, and queries that one task holds against a leader.
+#: Sets of a group, and nodes that a part of a family holds beside its leader.
 GROUP, QUERIES = 64, 256
 #: Tokens of a shelf, as planned, and of a group that takes no more sets.
 SHELF = 1 << 17
@@ -247,6 +250,16 @@ def _postings(sets: DataFrame, sieves) -> DataFrame:
     return map_batches(sets.select("node", "tokens"), run, "token long, node long, n long, rank long")
 
 
+def qualifying(union: np.ndarray, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The queries whose overlap with a sorted union reaches the bound; each token's place in it, and whether it is there."""
+    sizes = np.array([q.size for q in queries])
+    joined = np.concatenate(queries)
+    at = np.minimum(np.searchsorted(union, joined), union.size - 1)
+    met = union[at] == joined
+    overlap = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return np.flatnonzero(100 * overlap >= PERCENT * sizes), at, met
+
+
 class Group:
     """Up to ``GROUP`` similar sets: the row of the matrix (the union of their tokens), and its members."""
 
@@ -278,11 +291,7 @@ class Group:
         """The queries that qualify by their overlap with the union, and their intersections with each member."""
         union = self.union
         sizes = np.array([q.size for q in queries])
-        joined = np.concatenate(queries)
-        at = np.minimum(np.searchsorted(union, joined), union.size - 1)
-        met = union[at] == joined
-        overlap = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
-        open_ = np.flatnonzero(100 * overlap >= PERCENT * sizes)
+        open_, at, met = qualifying(union, queries)
         out = np.zeros((open_.size, len(self.sets)), np.int64)
         if not open_.size:
             return [], out
@@ -389,6 +398,63 @@ def _open(rows: DataFrame) -> DataFrame:
     return map_batches(dealt, run, "a long, b long")
 
 
+def _unions(members: DataFrame) -> DataFrame:
+    """``shelf`` and ``union`` (sorted, 8 bytes a token) of the sets on each shelf."""
+    dealt = members.select("shelf", "tokens").repartition("shelf").sortWithinPartitions("shelf")
+
+    def run(batches):
+        now, held, size = None, [], 0
+
+        def row():
+            union = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([union.tobytes()], pa.binary())], names=["shelf", "union"])
+
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                for shelf, found in zip(part.column(0).to_pylist(), _sets_of(part, 1)):
+                    if shelf != now and held:
+                        yield row()
+                        held, size = [], 0
+                    now = shelf
+                    held.append(found)
+                    size += found.size
+                    if size > 2 * SHELF and len(held) > 1:
+                        held = [np.unique(np.concatenate(held))]
+                        size = 0
+        if held:
+            yield row()
+
+    return map_batches(dealt, run, "shelf long, union binary")
+
+
+def _qualified(rows: DataFrame) -> DataFrame:
+    """``x``, ``y`` and ``node`` of the sets (``role`` 1) that the union (``role`` 0) of the pair ``x``, ``y`` lets pass."""
+    dealt = rows.select("x", "y", "role", "node", "tokens").repartition("x", "y").sortWithinPartitions("x", "y", "role")
+
+    def run(batches):
+        now, union = None, None
+        for batch in batches:
+            for part in slices(batch, 4, 2 << 20):
+                x, y, role, node = (part.column(i).to_pylist() for i in range(4))
+                found = _sets_of(part, 4)
+                kept, start = [], 0
+                while start < len(x):
+                    if role[start] == 0:
+                        now, union = (x[start], y[start]), found[start]
+                        start += 1
+                        continue
+                    stop = start
+                    while stop < len(x) and role[stop] and (x[stop], y[stop]) == now:
+                        stop += 1
+                    kept += [start + i for i in qualifying(union, found[start:stop])[0].tolist()]
+                    start = stop
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c[i] for i in kept], pa.int64()) for c in (x, y, node)], names=["x", "y", "node"]
+                )
+
+    return map_batches(dealt, run, "x long, y long, node long")
+
+
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` for each row."""
     spark = documents.sparkSession
@@ -407,7 +473,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialize(postings.join(shared, "token").select("token", "node", "n", "leader"), "jaccard-lists")
     discard(postings)
     with scratch():
-        edges = materialize(_stars(lists, sets), "jaccard-stars", keep=True)
+        edges = materialize(_families(lists, sets), "jaccard-families", keep=True)
     labels = connected_components(edges, name="jaccard-first")
     with scratch():
         more = materialize(_residual(lists, labels, sets), "jaccard-rest", keep=True)
@@ -432,8 +498,8 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _stars(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each node with the leader that it shares most lists with."""
+def _families(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within the parts of families: the nodes that share most lists with one leader, and the leader."""
     stars = (
         lists.where("node <> leader.node")
         .groupBy("node", "leader")
@@ -444,10 +510,12 @@ def _stars(lists: DataFrame, sets: DataFrame) -> DataFrame:
     )
     stars = materialize(stars, "jaccard-leaders")
     many = stars.groupBy("x").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    asks = stars.join(many, "x").select("x", F.pmod(F.xxhash64("node"), F.col("parts")).alias("y"), F.lit(1).alias("role"), "node")
+    asks = stars.join(many, "x").select("x", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    held = many.select("x", parts.alias("y"), F.lit(0).alias("role"), F.col("x").alias("node"))
-    dealt = materialize(asks.unionByName(held), "jaccard-asks")
+    held = many.select("x", parts.alias("part"), F.col("x").alias("node"))
+    group = F.xxhash64("x", "part")
+    dealt = asks.unionByName(held).select(group.alias("x"), group.alias("y"), F.lit(1).alias("role"), "node")
+    dealt = materialize(dealt, "jaccard-asks")
     return _open(sets.join(small(dealt), "node").withColumn("label", F.col("node")))
 
 
@@ -463,22 +531,35 @@ def _residual(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     weights = homes.groupBy("key", "size").agg(F.ceil(F.sum("n") / SHELF).alias("parts"))
     shelf = F.xxhash64("key", "size", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = materialize(homes.join(weights, ["key", "size"]).select("node", "label", shelf.alias("shelf")), "jaccard-shelves")
-    matrix = entries.join(placed.select("node", "shelf"), "node").groupBy("token", "shelf")
-    matrix = matrix.agg(
+    met = entries.join(placed.select("node", "shelf"), "node").groupBy("token", "shelf")
+    met = met.agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last")
     )
-    matrix = materialize(matrix, "jaccard-matrix")
+    met = materialize(met, "jaccard-met")
     discard(entries)
     several = "a.shelf <= b.shelf and least(a.first, b.first) < greatest(a.last, b.last)"
     close = f"100 * a.high >= {PERCENT} * b.low and 100 * b.high >= {PERCENT} * a.low"
-    met = matrix.alias("a").join(matrix.alias("b"), F.expr(f"a.token = b.token and {several} and {close}"))
-    pairs = met.select(F.col("a.shelf").alias("x"), F.col("b.shelf").alias("y")).distinct()
+    pairs = met.alias("a").join(met.alias("b"), F.expr(f"a.token = b.token and {several} and {close}"))
+    pairs = pairs.select(F.col("a.shelf").alias("x"), F.col("b.shelf").alias("y")).distinct()
     pairs = materialize(pairs, "jaccard-pairs")
-    discard(matrix)
-    sides = pairs.select("x", "y", F.col("x").alias("shelf"), F.lit(0).alias("role"))
-    sides = sides.union(pairs.where("x <> y").select("x", "y", F.col("y").alias("shelf"), F.lit(1).alias("role")))
-    dealt = materialize(sides.join(placed, "shelf"), "jaccard-members")
-    return _open(sets.join(small(dealt), "node"))
+    discard(met)
+    members = materialize(sets.join(placed, "node").select("shelf", "node", "label", "tokens"), "jaccard-members")
+    apart = pairs.where("x <> y")
+    matrix = materialize(_unions(members.join(apart.select(F.col("y").alias("shelf")).distinct(), "shelf", "left_semi")), "jaccard-unions")
+    null = F.lit(None).cast("long")
+    unions = apart.join(matrix, apart.y == matrix.shelf).select("x", "y", F.lit(0).alias("role"), null.alias("node"), F.col("union").alias("tokens"))
+    asking = apart.join(members, apart.x == members.shelf).select("x", "y", F.lit(1).alias("role"), "node", "tokens")
+    passed = materialize(_qualified(unions.unionByName(asking)), "jaccard-passed")
+    opened = passed.select("x", "y").distinct()
+    sides = [
+        pairs.where("x = y").join(members, F.col("x") == members.shelf).withColumn("role", F.lit(1)),
+        opened.join(members, F.col("y") == members.shelf).withColumn("role", F.lit(0)),
+        passed.withColumnRenamed("node", "__node")
+        .join(members, (F.col("x") == members.shelf) & (F.col("__node") == members.node))
+        .withColumn("role", F.lit(1)),
+    ]
+    columns = ["x", "y", "role", "label", "node", "tokens"]
+    return _open(sides[0].select(*columns).unionByName(sides[1].select(*columns)).unionByName(sides[2].select(*columns)))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -486,7 +567,6 @@ def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(

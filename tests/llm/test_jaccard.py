@@ -80,6 +80,30 @@ def test_one_large_group_near_the_threshold(spark):
     assert sorted(map(tuple, jaccard.components(df).collect()), key=str) == brute(docs)
 
 
+def test_the_matrix_finds_links_between_shelves(spark, monkeypatch):
+    """Chains of texts, each linked with its neighbours only, and parts of families that are a node and its leader."""
+    made = {}
+    write = jaccard.materialize
+
+    def seen(df, name, **other):
+        out = write(df, name, **other)
+        if name in ("jaccard-families", "jaccard-rest", "jaccard-passed", "jaccard-unions", "jaccard-pairs"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    monkeypatch.setattr(jaccard, "QUERIES", 1)
+    monkeypatch.setattr(jaccard, "SHELF", 500)
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    docs = [(1000 * c + i, " ".join(f"c{c}w{k}" for k in range(8 * i, 8 * i + 104))) for c in range(3) for i in range(40)]
+    random.Random(7).shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.components(df).collect()), key=str)
+    assert got == brute(docs) and len({c for *_, c in got}) == 3
+    assert made["jaccard-rest"] > made["jaccard-families"], made
+    assert made["jaccard-unions"] > 3 and made["jaccard-passed"] > 0
+
+
 def test_groups_count_like_plain_sets(monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 5)
     rng = random.Random(5)
