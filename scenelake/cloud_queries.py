@@ -237,16 +237,17 @@ def streamed_cooccurrence(spark, sf):
     t AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'unknown' WHEN n >= 2 THEN 'busy' ELSE 'calm' END AS scene_type, unnest(c) AS class FROM s)
     SELECT scene_type, class, count(*) AS n_scenes FROM t GROUP BY ALL""")
 def scene_folder_scan(spark, sf):
-    """A folder for each user's day, with an annotation and, but for every fifth user, a label; read back by the scene source."""
+    """A folder for each user's day, with an annotation and, but for every fifth user, a label, in archives; read back by the scene source."""
     root = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}"
     path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("scene_path")
     rows = T.read(spark, sf, "events").where("user_id is not null and ts is not null and event_type is not null")
     days = rows.groupBy(path, "user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("event_type")).alias("c"))
     objects = F.to_json(F.struct(F.transform("c", lambda x: F.struct(F.concat(x, F.lit("1 ")).alias("name"))).alias("objects")))
     labels = F.when(F.col("n") >= 2, "busy\n").otherwise(" calm")
-    files = days.select("scene_path", F.lit("annotation_2d").alias("kind"), objects.alias("value"))
-    files = files.unionByName(days.where("user_id % 5 <> 0").select("scene_path", F.lit("label").alias("kind"), labels.alias("value")))
-    scene_source.write_scenes(files, root)
+    file = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    own = F.when(F.expr("user_id % 5 <> 0"), file("label", labels))
+    files = days.select("scene_path", F.explode(F.array_compact(F.array(file("annotation_2d", objects), own))).alias("f"))
+    scene_source.write_scenes(files.select("scene_path", "f.kind", "f.value"), root, packed=True)
     scene_source.register(spark)
     read = lambda kind: spark.read.format("scenes").load(root).where(F.col("kind") == kind)
     scenes = read("annotation_2d").withColumn("v", F.try_parse_json("value"))

@@ -2,7 +2,10 @@
 
 Rows: ``scene_path`` (below the root), ``kind`` and the file's text ``value``. A
 partition is a range of the root's folders, which its task lists and reads; the
-driver lists the top level only. Filters on ``kind`` keep files of other kinds from
+driver lists the top level only. The root may also hold ZIP archives of scene
+folders, which take no block of the file system for each small file; a partition is
+then some of the archives, of whose entries only those of the kinds asked for are
+unpacked. Filters on ``kind`` keep files of other kinds from
 being opened, those on ``scene_path`` keep folders from being listed; filters of
 other forms are left to Spark.
 
@@ -10,7 +13,9 @@ Defined results:
 - kinds are the names in ``KINDS``; other files are not read;
 - a folder is a scene if it holds a file of some kind, at any depth;
 - files are read as UTF-8, wrong bytes replaced; empty files give empty texts;
-- an empty root gives no rows, a missing one an error.
+- an empty root gives no rows, a missing one an error;
+- an archive's entries are files below the root, the last of one name counts; scenes
+  that folders and archives both hold are read from both.
 
 Spark keeps pushed filters with the loaded frame: where one plan needs files of
 different kinds, load the source once for each.
@@ -21,9 +26,12 @@ Arrow opens (``file:``, ``hdfs:``, ``s3:``).
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
@@ -36,6 +44,8 @@ KINDS = {
     "intrinsics": "intrinsics.txt",
 }
 SCHEMA = "scene_path string, kind string, value string"
+#: Files of an archive that is written, at most; its directory is held in memory.
+PACKED = 20_000
 
 
 @dataclass
@@ -46,6 +56,13 @@ class Folders(InputPartition):
     last: str
 
 
+@dataclass
+class Archives(InputPartition):
+    """Archives of the root."""
+
+    names: list[str]
+
+
 def opened(root: str):
     """The file system and the path of a root."""
     from pyarrow import fs
@@ -103,12 +120,30 @@ class SceneReader(DataSourceReader):
         names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and self._may(f.base_name))
         size = max(1, -(-len(names) // self.parts))
         cuts = [names[i : i + size] for i in range(0, len(names), size)]
-        return [Folders(c[0], c[-1]) for c in cuts] or [Folders("1", "0")]
+        packed = sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(".zip"))
+        dealt = [packed[i :: self.parts] for i in range(min(self.parts, len(packed)))]
+        return [*[Folders(c[0], c[-1]) for c in cuts], *map(Archives, dealt)] or [Folders("1", "0")]
 
-    def read(self, partition: Folders) -> Iterator[tuple[str, str, str]]:
-        """The rows of a range, a folder at a time."""
+    def _unpacked(self, partition: Archives) -> Iterator[tuple[str, str, str]]:
+        """The rows of some archives, an entry at a time."""
+        system, path = opened(self.root)
+        ends = {f"/{KINDS[k]}": k for k in sorted(self.kinds)}
+        own = {v.split("/")[0] for v in KINDS.values()}
+        for name in partition.names:
+            with system.open_input_file(f"{path}/{name}") as file, zipfile.ZipFile(io.BufferedReader(file, 1 << 16)) as archive:
+                for entry in archive.NameToInfo.values():
+                    end = next((e for e in ends if entry.filename.endswith(e)), None)
+                    scene = entry.filename[: -len(end)] if end else ""
+                    if scene and own.isdisjoint(scene.split("/")) and self._passes(scene):
+                        yield scene, ends[end], archive.read(entry).decode("utf-8", "replace")
+
+    def read(self, partition: Folders | Archives) -> Iterator[tuple[str, str, str]]:
+        """The rows of a range, a folder at a time, or of archives."""
         from pyarrow import fs
 
+        if isinstance(partition, Archives):
+            yield from self._unpacked(partition)
+            return
         system, path = opened(self.root)
         waiting = [f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory]
         waiting = sorted(n for n in waiting if partition.first <= n <= partition.last and self._may(n))[::-1]
@@ -147,8 +182,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SceneSource)
 
 
-def write_scenes(files, root: str) -> None:
-    """Write rows of ``scene_path``, ``kind`` and ``value`` as the files of scene folders, each task its own rows."""
+def write_scenes(files, root: str, packed: bool = False) -> None:
+    """Write rows of ``scene_path``, ``kind`` and ``value`` as the files of scene folders, each task its own rows.
+
+    ``packed``: into archives of at most ``PACKED`` files, named by task, so that a task
+    that runs again replaces its own.
+    """
 
     def run(rows) -> None:
         system, path = opened(root)
@@ -158,4 +197,18 @@ def write_scenes(files, root: str) -> None:
             with system.open_output_stream(file) as stream:
                 stream.write((r.value or "").encode())
 
-    files.select("scene_path", "kind", "value").foreachPartition(run)
+    def pack(rows) -> None:
+        system, path = opened(root)
+        system.create_dir(path, recursive=True)
+        task, archive, stream = TaskContext.get().partitionId(), None, None
+        for i, r in enumerate(rows):
+            if i % PACKED == 0:
+                if archive is not None:
+                    archive.close(), stream.close()
+                stream = io.BufferedWriter(system.open_output_stream(f"{path}/{task:06d}-{i // PACKED:06d}.zip"), 1 << 20)
+                archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+            archive.writestr(zipfile.ZipInfo(f"{r.scene_path}/{KINDS[r.kind]}"), (r.value or "").encode(), zipfile.ZIP_DEFLATED)
+        if archive is not None:
+            archive.close(), stream.close()
+
+    files.select("scene_path", "kind", "value").foreachPartition(pack if packed else run)

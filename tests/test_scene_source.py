@@ -87,3 +87,33 @@ def test_written_scenes_come_back(spark, tmp_path):
     assert rows(spark.read.format("scenes").load(str(tmp_path))) == {tuple(r) for r in files.collect()}
     (tmp_path / "empty").mkdir()
     assert rows(spark.read.format("scenes").load(str(tmp_path / "empty"))) == set()
+
+
+def test_packed_scenes_come_back_with_few_files(spark, tmp_path, monkeypatch):
+    S.register(spark)
+    monkeypatch.setattr(S, "PACKED", 7)
+    scene = F.concat(F.lit("u"), (F.col("id") % 7).cast("string"), F.lit("/s"), F.col("id").cast("string"))
+    kind = F.when(F.col("id") % 2 == 0, "label").otherwise("annotation_2d")
+    files = spark.range(0, 90, 1, 3).select(scene.alias("scene_path"), kind.alias("kind"), F.when(F.col("id") % 9 != 0, F.concat(F.lit("é"), F.col("id").cast("string"))).alias("value"))
+    S.write_scenes(files, str(tmp_path), packed=True)
+    S.write_scenes(files, str(tmp_path), packed=True)  # as a task that runs again
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 3 * 5
+    want = {(r.scene_path, r.kind, r.value or "") for r in files.collect()}
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "scene.txt").write_text("folder")
+    df = spark.read.format("scenes").option("partitions", 4).load(str(tmp_path))
+    assert rows(df) == want | {("more", "label", "folder")}
+    for test in ("kind = 'label'", "scene_path like 'u3/%'", "scene_path >= 'u5' and kind = 'annotation_2d'"):
+        again = spark.read.format("scenes").load(str(tmp_path)).where(test)
+        assert rows(again) == rows(spark.createDataFrame([*want, ("more", "label", "folder")], S.SCHEMA).where(test)), test
+
+
+def test_entries_of_an_archive_are_judged_as_files(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in ("scene.txt", "a/annotation2Dfinal/more/scene.txt", "a/other.txt", "a/b/annotation2Dfinal/index.json", "a/scene.txt"):
+            z.writestr(name, name)
+    reader = S.SceneReader(str(tmp_path), 8)
+    found = [r for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(r[:2] for r in found) == [("a", "label"), ("a/b", "annotation_2d")]
