@@ -1,17 +1,15 @@
-"""Nearest neighbours of points by a hierarchy of grids, outliers of a cloud, and the alignment of two clouds.
+"""Nearest neighbours of points by a tree of boxes, outliers of a cloud, and the alignment of two clouds.
 
-Points of a cloud are hashed into cubic cells. A point asks the 27 cells around
-its own, which hold all points within a cell's edge of it. If its k-th distance
-is no longer than that edge, its neighbours are known; else it asks again on a
-grid of twice the edge. So rounds grow with the logarithm of the cloud's extent,
-dense places are settled on fine grids, and only stray points see coarse ones.
-No round compares all points with all.
+A cloud's space is cut at medians of a sample until a box holds a few hundred
+places, so boxes are small where points are dense, and none is empty. A point first
+asks the points of its own box, a group of bounded matrices. Its k-th distance there
+bounds the true one: only the boxes that reach into this distance are asked as well,
+most often none or one, and the lists of a point are put together. So there are two
+rounds, however dense or wide a cloud is, and no round compares all points with all.
 
-The finest grid is chosen by counts: its edge is halved until no cell holds more
-than a stated number of places. Points at one place are one row with a number, so
-a place that very many points share costs nothing. The k nearest of a round are
-taken by rank within an asking point, which Spark limits before it shuffles;
-nothing is collected.
+Points at one place are one row with a number, so a place that very many points
+share costs nothing. The driver gets the boxes' corners alone, of which there are at
+most about ``BOXES``.
 
 Defined results:
 - points with a null or non-finite coordinate have no neighbours and are none;
@@ -27,14 +25,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stages import dropped, sent_if_few, written
 
 AXES = ("x", "y", "z")
-#: Cells of the finest grid hold at most this many times k places, or have been halved HALVINGS times.
-FULL, HALVINGS = 4, 24
+#: Places of a box, about; more if there were more than BOXES boxes. Each box is cut at the medians of some 32 of them.
+FULL, BOXES, SAMPLED = 512, 300_000, 32
+#: Up to this many places the cuts are made at the medians of all.
+WHOLE = 200_000
+#: Boxes are looked up below one of 2 ** TOPS boxes of their cloud.
+TOPS = 8
+#: Numbers of a matrix of distances.
+MATRIX = 1 << 21
 
 
 def _finite(points: DataFrame) -> DataFrame:
@@ -48,100 +53,200 @@ def places(points: DataFrame, cloud: str) -> DataFrame:
     return _finite(named).groupBy("cloud", *AXES).agg(F.count("*").alias("n"))
 
 
-def _cell(axis: Column, low: Column, edge: Column) -> Column:
-    return F.floor((axis - low) / edge)
-
-
-def grids(held: DataFrame, k: int) -> DataFrame:
-    """A row for each cloud: the corner ``lx``, ``ly``, ``lz``, the finest ``edge`` and the levels ``top`` up to one cell for all.
-
-    The edge starts at the cloud's extent over the cube root of its places a k
-    and is halved while a cell of the cloud is too full.
+def _leaves(held: DataFrame, k: int) -> DataFrame:
+    """A row for each box: its cloud ``g``, number ``cell``, the box ``top`` above it, and its corners ``lx`` to ``uz``, the upper ones outside."""
+    total = held.count()
+    full = max(FULL, 4 * k, total // BOXES)
+    share = 1.0 if total <= WHOLE else min(1.0, SAMPLED / full)
+    unit = F.pmod(F.xxhash64(*AXES), F.lit(1 << 20)) / float(1 << 20)
+    some = held.groupBy("cloud").agg(F.min(F.struct(*AXES)).alias("p")).select("cloud", "p.*")
+    sample = held.where(unit < share).select("cloud", *AXES).unionByName(some)
+    names = ["g", "top", *[f"l{c}" for c in AXES], *[f"u{c}" for c in AXES]]
+
+    def cut(table: pa.Table) -> pa.Table:
+        points = np.stack([table[c].to_numpy() for c in AXES], 1)
+        found, waiting = [], [(points, np.full(3, -np.inf), np.full(3, np.inf), 0, 0)]
+        while waiting:
+            p, low, high, depth, top = waiting.pop()
+            axis = int(np.argmax(p.max(0) - p.min(0)))
+            line = np.sort(p[:, axis])
+            if len(p) / share <= full or line[0] == line[-1]:
+                found.append((top, low, high))
+                continue
+            at = line[len(line) // 2] if line[len(line) // 2] > line[0] else line[np.searchsorted(line, line[0], "right")]
+            left = p[:, axis] < at
+            inner, outer = high.copy(), low.copy()
+            inner[axis] = outer[axis] = at
+            tops = (2 * top + 1, 2 * top + 2) if depth < TOPS else (top, top)
+            waiting += [(p[left], low, inner, depth + 1, tops[0]), (p[~left], outer, high, depth + 1, tops[1])]
+        corners = np.array([np.concatenate([low, high]) for _, low, high in found])
+        cloud = pa.array([table["cloud"][0].as_py()] * len(found), table.schema.field("cloud").type)
+        return pa.Table.from_arrays([cloud, pa.array([t for t, _, _ in found], pa.int64()), *map(pa.array, corners.T)], names)
+
+    kind = held.schema["cloud"].dataType.simpleString()
+    boxes = written(sample.groupBy("cloud").applyInArrow(cut, f"g {kind}, top long, " + ", ".join(f"{c} double" for c in names[2:])), "boxes")
+    return written(boxes.withColumn("cell", F.monotonically_increasing_id()), "leaves")
+
+
+def _placed(points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``points`` with the number ``cell`` of their box; those of clouds without boxes are left out."""
+    inside = reduce(lambda a, b: a & b, [(F.col(c) >= F.col(f"l{c}")) & (F.col(c) < F.col(f"u{c}")) for c in AXES])
+    corners = [*[F.min(f"l{c}").alias(f"l{c}") for c in AXES], *[F.max(f"u{c}").alias(f"u{c}") for c in AXES]]
+    tops = leaves.groupBy(F.col("g").alias("t"), F.col("top").alias("above")).agg(*corners)
+    met = points.join(sent_if_few(tops, 2 * BOXES), F.col("cloud").eqNullSafe(F.col("t")) & inside).select(*points.columns, "above")
+    return met.join(sent_if_few(leaves, 2 * BOXES), F.col("cloud").eqNullSafe(F.col("g")) & (F.col("above") == F.col("top")) & inside).select(*points.columns, "cell")
+
+
+class Index:
+    """The places of ``held`` in boxes, to be asked again and again for up to ``k`` neighbours."""
+
+    def __init__(self, held: DataFrame, k: int):
+        self.leaves = _leaves(held, k)
+        self.held = written(_placed(held.select("cloud", *AXES, "n"), self.leaves), "held")
+        corners = [*[F.min(c).alias(f"l{c}") for c in AXES], *[F.max(c).alias(f"u{c}") for c in AXES]]
+        of = self.leaves.select("cell", F.min("cell").over(Window.partitionBy("g")).alias("code"))  # a row for each box
+        table = self.held.groupBy("cell").agg(*corners).join(of, "cell").orderBy("code", "cell").toArrow()
+        self.cells, self.codes = table["cell"].to_numpy(), table["code"].to_numpy()
+        self.low, self.high = (np.stack([table[f"{s}{c}"].to_numpy() for c in AXES], 1).reshape(-1, 3) for s in "lu")
+
+    def drop(self) -> None:
+        """Delete the files of the index."""
+        dropped(self.leaves, self.held)
+
+
+def _near(a: np.ndarray, h: np.ndarray, n: np.ndarray, k: int, same: bool):
+    """Distances, indexes and numbers of the nearest of the places ``h``, sorted by their coordinates, for a part of the places ``a`` at a time."""
+    most = min(k + same, len(h))
+    step = max(1, MATRIX // len(h))
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        d = np.sqrt(sum((part[:, i, None] - h[None, :, i]) ** 2 for i in range(3)))
+        if most == 1:
+            at = d.argmin(1)[:, None]
+        elif most == len(h):
+            at = np.broadcast_to(np.arange(len(h)), d.shape)
+        else:
+            at = np.argpartition(d, most - 1, axis=1)[:, :most]
+            last = np.take_along_axis(d, at, 1).max(1)
+            for row in np.flatnonzero((d <= last[:, None]).sum(1) > most):
+                at[row] = np.argsort(d[row], kind="stable")[:most]
+        near = np.take_along_axis(d, at, 1)
+        order = np.lexsort((at, near), axis=1)
+        at, near = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
+        number = n[at]
+        if same:
+            number = number - (h[at] == part[:, None]).all(2)
+        yield first, part, near, at, number
+
+
+def _lists(mask: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """List columns of the values of each row that the mask keeps."""
+    ends = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
+    return [pa.ListArray.from_arrays(ends, v[mask]) for v in values]
+
+
+def _columns(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in AXES], 1)
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    h = _columns(table)
+    order = np.lexsort(h.T[::-1])
+    return h[order], table["n"].to_numpy()[order]
+
+
+def _asked(asked: DataFrame, index: Index, k: int, same: bool, at: bool) -> DataFrame:
+    """``asked`` with ``near``, the sorted array of the nearest places' ``d``, ``hx``, ``hy``, ``hz`` (if ``at``) and ``m``, and with their ``mean`` distance (else).
+
+    Where the mean is known, ``near`` is empty unless ``at``.
     """
-    spans = [F.max(c) - F.min(c) for c in AXES]
-    boxes = held.groupBy("cloud").agg(*[F.min(c).alias(f"l{c}") for c in AXES], F.greatest(*spans).alias("span"), F.count("*").alias("places"))
-    first = F.col("span") / F.greatest(F.floor(F.cbrt(F.col("places") / float(k))), F.lit(1))
-    grid = boxes.withColumn("edge", F.when(F.col("span") > 0, first).otherwise(1.0)).withColumn("done", F.lit(False))
-    grid = written(grid.drop("places"), "grid")
-    for _ in range(HALVINGS):
-        asked = held.join(sent_if_few(grid.where("not done").select(F.col("cloud").alias("g"), "lx", "ly", "lz", "edge")), F.col("cloud").eqNullSafe(F.col("g")))
-        cells = asked.groupBy("g", *[_cell(F.col(c), F.col(f"l{c}"), F.col("edge")).alias(f"c{c}") for c in AXES]).agg(F.count("*").alias("m"))
-        fullest = cells.groupBy("g").agg(F.max("m").alias("m"))
-        joined = grid.join(fullest, F.col("cloud").eqNullSafe(F.col("g")), "left")
-        full = F.coalesce(F.col("m") > FULL * k, F.lit(False))
-        after = written(
-            joined.select("cloud", "lx", "ly", "lz", "span", F.when(full, F.col("edge") / 2).otherwise(F.col("edge")).alias("edge"), (~full).alias("done")), "grid"
-        )
-        dropped(grid)
-        grid = after
-        if grid.where("not done").isEmpty():
-            break
-    levels = F.greatest(F.ceil(F.log2((F.col("span") + F.col("edge")) / F.col("edge"))), F.lit(0)).cast("int")
-    return grid.select(F.col("cloud").alias("g"), "lx", "ly", "lz", "edge", levels.alias("top"))
-
-
-def nearest(asked: DataFrame, held: DataFrame, k: int, same: bool = False) -> DataFrame:
+    key = ["cloud", *AXES, "n"]
+    lists = ["d", *([f"h{c}" for c in AXES] if at else []), "m"]
+    kind = asked.schema["cloud"].dataType.simpleString()
+    shape = f"cloud {kind}, x double, y double, z double, n long, " + ", ".join(f"{c} array<{'long' if c == 'm' else 'double'}>" for c in lists)
+    cells, codes, low, high = index.cells, index.codes, index.low, index.high
+    place = np.argsort(cells)
+
+    def found(near, spot, number, keep, h):
+        more = [h[spot][..., i] for i in range(3)] if at else []
+        return _lists(keep, near, *more, number)
+
+    def own(asks: pa.Table, held: pa.Table) -> pa.Table:
+        h, n = _sorted(held)
+        a, out = _columns(asks), []
+        me = place[np.searchsorted(cells, asks["cell"][0].as_py(), sorter=place)] if asks.num_rows else 0
+        span = slice(*np.searchsorted(codes, [codes[me], codes[me] + 1]))
+        rivals = np.arange(span.start, span.stop)
+        rivals = rivals[rivals != me]
+        for first, part, near, spot, number in _near(a, h, n, k, same):
+            past = np.cumsum(number, 1)
+            take = np.clip(k - (past - number), 0, number)
+            reach = np.where(past[:, -1] >= k, np.where(take > 0, near, 0).max(1), np.inf)
+            gap = np.maximum(np.maximum(low[rivals] - part.max(0), part.min(0) - high[rivals]), 0)
+            close = rivals[np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= reach.max()]
+            gap = np.sqrt(sum(np.maximum(np.maximum(low[close, i] - part[:, i, None], part[:, i, None] - high[close, i]), 0) ** 2 for i in range(3)))
+            hit = gap * (1 - 1e-12) <= reach[:, None]
+            done = ~hit.any(1)
+            total = take.sum(1)
+            mean = np.where(take > 0, near * take, 0.0).sum(1) / np.maximum(total, 1)
+            keep = (take > 0) & (at | ~done)[:, None]
+            rows = asks.slice(first, len(part)).select(key).combine_chunks()
+            to = _lists(hit, np.broadcast_to(cells[close], hit.shape))[0]
+            columns = [*found(near, spot, number, keep, h), pa.array(mean, mask=~done | (total == 0)), pa.array(reach), to]
+            out.append(pa.Table.from_arrays([*rows.columns, *columns], [*key, *lists, "mean", "reach", "cells"]))
+        return pa.concat_tables(out) if out else empty
+
+    def other(asks: pa.Table, held: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return none
+        h, n = _sorted(held)
+        out, reach = [], asks["reach"].to_numpy()
+        for first, part, near, spot, number in _near(_columns(asks), h, n, k, False):
+            rows = asks.slice(first, len(part)).select(key).combine_chunks()
+            keep = near <= reach[first : first + len(part), None]
+            out.append(pa.Table.from_arrays([*rows.columns, *found(near, spot, number, keep, h)], [*key, *lists]))
+        return pa.concat_tables(out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+
+    none = to_arrow_schema(StructType.fromDDL(shape)).empty_table()
+    whole = StructType.fromDDL(shape).add("mean", DoubleType()).add("reach", DoubleType()).add("cells", ArrayType(LongType()))
+    empty = to_arrow_schema(whole).empty_table()
+    placed = _placed(asked.select(*key), index.leaves)
+    by_cell = index.held.select("cell", *AXES, "n").groupBy("cell")
+    first = written(placed.groupBy("cell").cogroup(by_cell).applyInArrow(own, whole), "near")
+    still = first.where(F.size("cells") > 0)
+    asks = still.select(*key, "reach", F.explode("cells").alias("cell"))
+    more = asks.groupBy("cell").cogroup(by_cell).applyInArrow(other, StructType.fromDDL(shape))
+    zipped = F.arrays_zip(*lists)
+    joined = still.select(*key, zipped.alias("near")).unionByName(more.select(*key, zipped.alias("near"))).groupBy(*key)
+    joined = joined.agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    state = F.struct(F.lit(k).cast("long").alias("left"), F.lit(0.0).alias("s"))
+    fold = F.aggregate("near", state, lambda s, x: F.struct((s["left"] - F.least(s["left"], x["m"])).alias("left"), (s["s"] + x["d"] * F.least(s["left"], x["m"])).alias("s")))
+    mean = F.try_divide(fold["s"], F.lit(k) - fold["left"])
+    known = first.where(F.size("cells") == 0).select(*key, zipped.alias("near"), "mean")
+    return known.unionByName(joined.select(*key, "near", mean.alias("mean")))
+
+
+def nearest(asked: DataFrame, held: DataFrame | Index, k: int, same: bool = False) -> DataFrame:
     """The k nearest places of ``held`` for each place of ``asked``, with ranks and multiplicities.
 
-    Both have ``cloud``, ``x``, ``y``, ``z``, ``n`` as :func:`places` gives them. Rows: the
-    asking place, ``hx``, ``hy``, ``hz``, ``d``, ``take`` (how many of the k stand there).
-    ``same``: both are one cloud, and a point is not its own neighbour.
+    Both have ``cloud``, ``x``, ``y``, ``z``, ``n`` as :func:`places` gives them; ``held`` may be
+    an :class:`Index`. Rows: the asking place, ``hx``, ``hy``, ``hz``, ``d``, ``take`` (how many of
+    the k stand there). ``same``: both are one cloud, and a point is not its own neighbour.
     """
-    grid = written(grids(held, k), "grids")
-    few = sent_if_few(grid)
-    points = held.select(F.col("cloud").alias("h_cloud"), *[F.col(c).alias(f"h{c}") for c in AXES], F.col("n").alias("hn"))
-    points = written(points.join(few, F.col("h_cloud").eqNullSafe(F.col("g"))).drop("g"), "held")
-    open_ = written(asked.select("cloud", *AXES).join(few, F.col("cloud").eqNullSafe(F.col("g"))).drop("g"), "asked")
-    top = grid.agg(F.max("top")).first()[0]
-    found, level = [], 0
-    steps = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> flatten(transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a, b, c))))))"))
-    while top is not None and level <= top + 1:
-        edge = F.col("edge") * float(1 << level)
-        cells = [_cell(F.col(f"h{c}"), F.col(f"l{c}"), edge).alias(f"k{c}") for c in AXES]
-        there = points.select("h_cloud", *[f"h{c}" for c in AXES], "hn", *cells)
-        around = open_.select("*", steps.alias("s"))
-        asks = [(_cell(F.col(c), F.col(f"l{c}"), edge) + F.col(f"s.{a}")).alias(f"a{c}") for c, a in zip(AXES, "abc")]
-        around = around.select("cloud", *AXES, "edge", *asks)
-        met = around.hint("merge").join(there.hint("merge"), F.col("cloud").eqNullSafe(F.col("h_cloud")) & (F.col("ax") == F.col("kx")) & (F.col("ay") == F.col("ky")) & (F.col("az") == F.col("kz")))
-        square = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in AXES])
-        own = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"h{c}") for c in AXES])
-        others = F.col("hn") - F.when(own, 1).otherwise(0) if same else F.col("hn")
-        met = met.select("cloud", *AXES, edge.alias("reach"), *[f"h{c}" for c in AXES], F.sqrt(square).alias("d"), others.alias("m")).where("m > 0")
-        order = Window.partitionBy("cloud", *AXES).orderBy("d", *[f"h{c}" for c in AXES])
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        before = F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = ranked.withColumn("take", F.greatest(F.least(F.col("m"), k - before), F.lit(0))).where("take > 0")
-        whole = Window.partitionBy("cloud", *AXES)
-        known = (F.sum("take").over(whole) >= k) & (F.max("d").over(whole) <= F.col("reach"))
-        # Two cells of the top grid hold the whole cloud.
-        last = level == top + 1
-        out = taken.withColumn("known", F.lit(True) if last else known).where("known")
-        out = written(out.select("cloud", *AXES, *[f"h{c}" for c in AXES], "d", "take"), "near")
-        found.append(out)
-        if last:
-            break
-        done = out.select("cloud", *AXES).distinct()
-        still = open_.join(done.toDF("d_cloud", *[f"d_{c}" for c in AXES]), F.col("cloud").eqNullSafe(F.col("d_cloud")) & reduce(lambda a, b: a & b, [F.col(c) == F.col(f"d_{c}") for c in AXES]), "left_anti")
-        after = written(still, "asked")
-        dropped(open_)
-        open_ = after
-        if open_.isEmpty():
-            break
-        level += 1
-    dropped(points, open_, grid)
-    if not found:
-        schema = ", ".join(["cloud " + asked.schema["cloud"].dataType.simpleString(), *[f"{c} double" for c in (*AXES, "hx", "hy", "hz", "d")], "take bigint"])
-        return asked.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.union, found)
+    index = held if isinstance(held, Index) else Index(held, k)
+    before = lambda i: F.aggregate(F.slice("near", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["m"])
+    take = lambda x, i: F.greatest(F.least(x["m"], F.lit(k) - before(i)), F.lit(0)).alias("take")
+    rows = F.transform("near", lambda x, i: F.struct(*[x[f"h{c}"].alias(f"h{c}") for c in AXES], x["d"].alias("d"), take(x, i)))
+    return _asked(asked, index, k, same, True).select("cloud", *AXES, F.inline(rows)).where("take > 0")
 
 
 def mean_distances(points: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
     """``cloud``, ``x``, ``y``, ``z``, ``n`` and the mean distance ``mean`` to the k nearest other points; null where there is none."""
     held = written(places(points, cloud), "places")
-    near = nearest(held, held, k, same=True).groupBy("cloud", *AXES).agg((F.sum(F.col("d") * F.col("take")) / F.sum("take")).alias("mean"))
-    near = near.toDF("m_cloud", *[f"m_{c}" for c in AXES], "mean")
-    same = F.col("cloud").eqNullSafe(F.col("m_cloud")) & reduce(lambda a, b: a & b, [F.col(c) == F.col(f"m_{c}") for c in AXES])
-    return held.join(near, same, "left").select("cloud", *AXES, "n", "mean")
+    return _asked(held, Index(held, k), k, True, False).select("cloud", *AXES, "n", "mean")
 
 
 def outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, cloud: str = "cloud") -> DataFrame:
@@ -180,10 +285,10 @@ def moved(points: DataFrame, motions: DataFrame, cloud: str = "cloud") -> DataFr
     return joined.select(*[after[AXES.index(c)].alias(c) if c in AXES else F.col(c) for c in points.columns])
 
 
-def pair_sums(source: DataFrame, target: DataFrame, cloud: str = "cloud") -> DataFrame:
+def pair_sums(source: DataFrame, target: DataFrame | Index, cloud: str = "cloud") -> DataFrame:
     """Sums over each source point and its nearest target point: ``pairs``, both centroids, the 3 x 3 covariance sums ``s00`` to ``s22`` and ``rmse``."""
-    a, b = written(places(source, cloud), "source"), written(places(target, cloud), "target")
-    near = nearest(a, b, 1).toDF("p_cloud", "px", "py", "pz", "hx", "hy", "hz", "d", "take")
+    a = written(places(source, cloud), "source")
+    near = nearest(a, target if isinstance(target, Index) else Index(written(places(target, cloud), "target"), 1), 1).toDF("p_cloud", "px", "py", "pz", "hx", "hy", "hz", "d", "take")
     same = F.col("cloud").eqNullSafe(F.col("p_cloud")) & reduce(lambda u, v: u & v, [F.col(c) == F.col(f"p{c}") for c in AXES])
     pairs = a.join(near, same).select("cloud", *AXES, "n", "hx", "hy", "hz", "d")
     w = F.col("n")
@@ -228,10 +333,10 @@ def align(source: DataFrame, target: DataFrame, rounds: int = 30, small: float =
     """
     turn = {f"r{i}{j}": F.lit(1.0 if i == j else 0.0) for i in range(3) for j in range(3)} | {c: F.lit(0.0) for c in _SHIFT}
     state = source.select(F.col(cloud).alias("cloud")).distinct().withColumns(turn | {"rmse": F.lit(float("inf")), "rounds": F.lit(0), "going": F.lit(True)})
-    state = written(state, "motions")
+    state, held = written(state, "motions"), Index(written(places(target, cloud), "target"), 1)
     for _ in range(rounds):
         going = state.where("going")
-        step = rigid_motions(pair_sums(moved(source, going, cloud), target, cloud))
+        step = rigid_motions(pair_sums(moved(source, going, cloud), held, cloud))
         step = step.toDF("s_cloud", *[f"s_{c}" for c in (*_TURN, *_SHIFT, "rmse")])
         joined = state.join(step, F.col("cloud").eqNullSafe(F.col("s_cloud")), "left")
         on = F.col("s_rmse").isNotNull()
