@@ -83,3 +83,28 @@ def test_rigid_motion_of_mirrored_points_is_no_mirror(spark):
     sums = N.pair_sums(frame(spark, {"m": p}), frame(spark, {"m": p * [1, 1, -1]}))
     r = N.rigid_motions(sums).first()
     assert abs(np.linalg.det(np.array([[r[f"r{i}{j}"] for j in range(3)] for i in range(3)])) - 1) < 1e-9
+
+
+def test_rounds_do_not_grow_with_uneven_density(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    uneven = {"scales": np.vstack([rng.normal(0, 10.0**-e, (60, 3)) for e in range(-3, 9)]), "flat": clouds()["flat"], "heap": clouds()["heap"]}
+    real, calls = N.written, []
+    monkeypatch.setattr(N, "FULL", 8, raising=False)
+    monkeypatch.setattr(N, "TOPS", 2, raising=False)
+    monkeypatch.setattr(N, "written", lambda df, name: calls.append(name) or real(df, name))
+    found = {(r.cloud, r.x, r.y, r.z): r["mean"] for r in N.mean_distances(frame(spark, uneven), 5).collect()}
+    assert len(calls) <= 6
+    for c, p in uneven.items():
+        for point, d in zip(p, plain(p, 5)):
+            assert abs(found[c, *point] - d) < 1e-9 * max(1, d), (c, point)
+
+
+def test_nearest_of_other_places_over_several_boxes(spark, monkeypatch):
+    monkeypatch.setattr(N, "FULL", 8, raising=False)
+    rng = np.random.default_rng(7)
+    held, asked = np.round(rng.random((300, 3)), 1), np.round(4 * rng.random((80, 3)) - 2, 1)  # many ties
+    rows = N.nearest(N.places(frame(spark, {None: asked, "none": asked[:2]}), "cloud"), N.places(frame(spark, {None: held}), "cloud"), 1).collect()
+    found = {(r.x, r.y, r.z): (r.d, r.hx, r.hy, r.hz) for r in rows}
+    assert len(rows) == len(found) == len({tuple(p) for p in asked + 0.0})
+    for p in asked + 0.0:
+        assert found[tuple(p)] == min((float(np.sqrt(sum((p - q) ** 2))), *q) for q in held + 0.0)
