@@ -1,10 +1,11 @@
 """Weighted k-means as jobs over all points, many fits at once.
 
 A fit is a key: a class, a number of clusters, a draw, a start. Its points and
-centres carry the key, so one round of a job moves the centres of all fits. Points
-meet the few centres of their fit as one array; members, inertia and coordinate
-sums are partial aggregates by fit and cluster, so a fit of any size is the work of
-all tasks. Fits whose centres stand still leave the rounds.
+centres carry the key, so one round of a job moves the centres of all fits. Batches of
+points meet the few centres of their fits as matrices; members, inertia and coordinate
+sums are partial sums of a task by fit and cluster, so a fit of any size is the work of
+all tasks and a round shuffles a row for each task and cluster. Fits whose centres
+stand still leave the rounds.
 
 Seeds come in rounds as well (k-means||): each round takes a point with a
 probability of its share of the error, about twice as many points as clusters; the
@@ -26,8 +27,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.stages import dropped, written
 
@@ -40,26 +44,93 @@ def square(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _few(centres: DataFrame) -> dict | None:
+    """The centres as ``fit`` -> (cluster numbers, matrix), in the order of the numbers; none if there are too many to send."""
+    if centres.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] > NUMBERS:
+        return None
+    books: dict = {}
+    for r in sorted(centres.select("fit", "cluster", "v").collect(), key=lambda r: r.cluster):
+        books.setdefault(r.fit, []).append((r.cluster, r.v))
+    return {fit: (np.array([c for c, _ in rows]), np.array([v for _, v in rows], float)) for fit, rows in books.items()}
+
+
+def _nearest(batch: pa.RecordBatch, books: dict):
+    """For each fit of a batch its rows, their vectors, and the index and squared distance of the nearest centre."""
+    fits = batch.column("fit").dictionary_encode()
+    codes, vectors = fits.indices.fill_null(-1).to_numpy(zero_copy_only=False), batch.column("v")
+    for code, fit in enumerate(fits.dictionary.to_pylist()):
+        if fit not in books:
+            continue
+        rows = np.flatnonzero((codes == code) & vectors.is_valid().to_numpy(zero_copy_only=False))
+        if not len(rows):
+            continue
+        x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        at, least = np.zeros(len(rows), int), np.full(len(rows), np.inf)
+        for i, c in enumerate(books[fit][1]):
+            gap = x - c
+            d = np.einsum("ij,ij->i", gap, gap)
+            at, least = np.where(d < least, i, at), np.minimum(d, least)
+        yield fit, rows, x, at, least
+
+
 def assigned(points: DataFrame, centres: DataFrame) -> DataFrame:
     """``points`` (``fit``, ``id``, ``w``, ``v``) with the nearest ``cluster`` of their fit and its squared distance ``d``."""
+    few, names = _few(centres), points.columns
+    if few is not None:
+
+        def run(batches):
+            for batch in batches:
+                for fit, rows, _, at, d in _nearest(batch, few):
+                    columns = [*batch.take(pa.array(rows)).columns, pa.array(few[fit][0][at]), pa.array(d)]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "cluster", "d"])
+
+        kind = centres.schema["cluster"].dataType
+        return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("cluster", kind), T.StructField("d", T.DoubleType())]))
     books = centres.groupBy(F.col("fit").alias("c_fit")).agg(F.sort_array(F.collect_list(F.struct("cluster", F.col("v").alias("c")))).alias("book"))
-    numbers = centres.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    if numbers <= NUMBERS:
-        met = points.join(F.broadcast(books), F.col("fit") == F.col("c_fit"))
-    else:
-        salted = books.withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = points.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, F.expr("fit = c_fit and salt = c_salt"))
+    salted = books.withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = points.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, F.expr("fit = c_fit and salt = c_salt"))
     best = F.array_min(F.transform("book", lambda x: F.struct(square(F.col("v"), x["c"]).alias("d"), x["cluster"].alias("cluster"))))
     return met.withColumn("best", best).select(*points.columns, F.col("best.cluster").alias("cluster"), F.col("best.d").alias("d"))
 
 
+def _sums(points: DataFrame, few: dict, kind: T.DataType) -> DataFrame:
+    """``fit``, ``cluster``, ``i``, and sums of ``w * x``, ``w`` and ``w * d``: those of a task's batches, added."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            weights = batch.column("w").to_numpy(zero_copy_only=False)
+            for fit, rows, x, at, d in _nearest(batch, few):
+                w = weights[rows]
+                for c in np.unique(at):
+                    of = at == c
+                    more = np.concatenate([w[of] @ x[of], [w[of].sum(), (w[of] * d[of]).sum()]])
+                    held[fit, c] = held.get((fit, c), 0.0) + more
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in keys], fit_type), pa.array([int(few[f][0][c]) for f, c in keys], pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))],
+            ["fit", "cluster", "s"],
+        )
+
+    fit_type = to_arrow_type(points.schema["fit"].dataType)
+    shape = T.StructType([points.schema["fit"], T.StructField("cluster", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    parts = points.select("fit", "w", "v").mapInArrow(run, shape)
+    per = parts.select("fit", F.col("cluster").cast(kind).alias("cluster"), F.posexplode("s").alias("i", "x")).groupBy("fit", "cluster", "i").agg(F.sum("x").alias("x"))
+    whole = per.groupBy("fit", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("s"))
+    w, e = F.element_at("s", -2), F.element_at("s", -1)
+    return whole.select("fit", "cluster", F.posexplode(F.slice("s", 1, F.size("s") - 2)).alias("i", "x"), w.alias("w"), e.alias("e")).withColumn("x", F.col("x") / F.col("w"))
+
+
 def step(points: DataFrame, centres: DataFrame) -> DataFrame:
     """The centres after one round: ``fit``, ``cluster``, ``v``, its members' weight ``w`` and ``inertia`` about the centre before."""
-    near = assigned(points, centres)
-    flat = near.select("fit", "cluster", "w", "d", F.posexplode("v").alias("i", "x"))
-    sums = flat.groupBy("fit", "cluster", "i").agg(
-        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("e")
-    )
+    few = _few(centres)
+    if few is not None:
+        sums = _sums(points, few, centres.schema["cluster"].dataType)
+    else:
+        flat = assigned(points, centres).select("fit", "cluster", "w", "d", F.posexplode("v").alias("i", "x"))
+        sums = flat.groupBy("fit", "cluster", "i").agg(
+            (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("e")
+        )
     rows = F.sort_array(F.collect_list(F.struct("i", "x")))
     moved = sums.groupBy(F.col("fit").alias("m_fit"), F.col("cluster").alias("m_cluster")).agg(
         F.transform(rows, lambda r: r["x"]).alias("to"), F.max("w").alias("w"), F.max("e").alias("inertia")
@@ -142,8 +213,9 @@ def seeds(points: DataFrame, ks: DataFrame, seed: int = 42, rounds: int = 5, ove
 
 def kmeans(points: DataFrame, ks: DataFrame, seed: int = 42, rounds: int = 100) -> DataFrame:
     """The centres of each fit after seeding and Lloyd rounds: ``fit``, ``cluster``, ``v``, ``rounds``."""
-    begun = written(seeds(points, ks, seed), "seeds")
-    return lloyd(points.where("w > 0 and v is not null"), begun, rounds)
+    usable = written(points.where("w > 0 and v is not null"), "points")
+    begun = written(seeds(usable, ks, seed), "seeds")
+    return lloyd(usable, begun, rounds)
 
 
 def scores(points: DataFrame, centres: DataFrame) -> DataFrame:

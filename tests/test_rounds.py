@@ -111,3 +111,21 @@ def test_null_references_have_the_shares_and_sizes(spark):
     means = drawn.select("draw", "w", F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("p"))
     assert np.allclose([r.p for r in means.orderBy("i").collect()], [0.5, 1, 0, 0.25], atol=0.03)
     assert drawn.where("draw = 1").exceptAll(drawn.where("draw = 2").withColumn("draw", F.lit(1))).count() > 0
+
+
+def test_a_round_shuffles_sums_of_tasks_and_not_coordinates(spark):
+    rows = [(f, i, 1.0 + i % 3, [float(i % 7), float(i % 5), float(-i)]) for f in ("a", "b") for i in range(500)] + [("a", 999, 1.0, None), (None, 1, 1.0, [0.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "fit string, id long, w double, v array<double>")
+    centres = spark.createDataFrame([("a", 0, [0.0, 0.0, 0.0]), ("a", 1, [3.0, 3.0, -300.0]), ("b", 5, [0.0, 0.0, 0.0])], "fit string, cluster long, v array<double>")
+    moved = kmeans.step(points, centres)
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(v" not in plan and "posexplode(v" not in plan
+    found = {(r.fit, r.cluster): r for r in moved.collect()}
+    for f, numbers in (("a", (0, 1)), ("b", (5,))):
+        x, w = (np.array([r[j] for r in rows if r[0] == f and r[3]], float) for j in (3, 2))
+        c = np.array([r.v for r in sorted(centres.where(f"fit = '{f}'").collect(), key=lambda r: r.cluster)])
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        for i, number in enumerate(numbers):
+            own = d.argmin(1) == i
+            r = found[f, number]
+            assert np.allclose(r.v, (w[own, None] * x[own]).sum(0) / w[own].sum()) and abs(r.w - w[own].sum()) < 1e-9 and np.isclose(r.inertia, (w * d[:, i])[own].sum())
