@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import cooccurrence, depthfill, kmeans, lift, neighbours, pointcloud, presence, selection, splits, subsets, suppression
 from .plans import tables as T
-from .plans.stages import shared_folder
+from .plans.stages import shared_folder, written
 from .queries import _GREEDY, _PIX, TYPES, _detections, assigned, ctes, query
 from .sources import annotations, scene_source
 from .streaming import cooccurrence as streamed
@@ -180,11 +180,11 @@ def best_ordering_by_subsets(spark, sf):
 @query(None)
 def best_ordering_of_months(spark, sf):
     """Twelve stages, of 479,001,600 orders: scenes by the month of their order, three classes a month."""
-    found = T.basket(spark, sf)
+    found = written(T.basket(spark, sf), "basket")
     months = [f"{m:02d}" for m in range(1, 13)]
     scenes = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("scene"), F.date_format("o_orderdate", "MM").alias("scene_type"))
     order = presence.class_frequency(found, scenes)
-    stages = splits.assign_balanced(lift.lift(found, scenes), order, months, 3)
+    stages = written(splits.assign_balanced(written(lift.lift(found, scenes), "lifts"), order, months, 3), "stages")
     best = subsets.best_ordering(splits.stage_masks(found, scenes, stages), months)
     return best.select(F.array_join("types", "|").alias("types"), "min_survived", "total_survived")
 
@@ -214,14 +214,16 @@ def nms_rounds(spark, sf):
     p AS (SELECT x.class AS class_i, y.class AS class_j, count(*) AS n FROM b x JOIN b y ON x.scene = y.scene AND x.class < y.class GROUP BY ALL)
     SELECT class_i, class_j, n, round(CAST(n AS DOUBLE) / (u.f + v.f - n), 6) AS jaccard FROM p JOIN f u ON u.class = class_i JOIN f v ON v.class = class_j""")
 def streamed_cooccurrence(spark, sf):
-    """The events as a stream of ten batches, the first tenth again at the end: pair counts from state by scene."""
+    """The events as a stream of ten batches, about a tenth of them again at the end: pair counts from the classes held by scene."""
     folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
     scene = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     rows = T.read(spark, sf, "events").where("user_id is not null and ts is not null")
     rows = rows.select(scene.alias("scene"), F.col("event_type").alias("class"), F.pmod(F.xxhash64("event_id"), F.lit(10)).alias("tenth"))
-    for tenth in (*range(10), 0):
-        rows.where(F.col("tenth") == tenth).select("scene", "class").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("scene string, class string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = 1 + rows.count() // 5_000_000  # of a batch
+    again = rows.where("tenth = 0").select("scene", "class").repartition(files)
+    for part in (rows.select("scene", "class").repartition(10 * files), again):
+        part.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("scene string, class string").option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     streamed.keep_counts(stream, folder).awaitTermination()
     alone, pairs = streamed.counts(spark, folder)
     f_i, f_j = (alone.select(F.col("class").alias(f"c_{x}"), F.col("f").alias(f"f_{x}")) for x in "ij")

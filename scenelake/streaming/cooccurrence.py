@@ -1,56 +1,68 @@
-"""Co-occurrence kept up to date from a stream: state by scene, pair deltas, sums.
+"""Co-occurrence kept up to date from a stream: classes held by scene, pair deltas, sums.
 
-A scene's state is the set of its classes. A batch's rows of a scene add the classes
-that are new to it, and give a delta for each new class and for each pair that it
-completes. Repeated rows add nothing, and late rows are rows like any other, as the
-state keeps no times. Deltas are summed before they are written, a folder a batch, so a
-batch that runs again replaces its own folder; frequencies and pairs are the sums of
-the folders.
+Of each batch the classes that are new to their scenes are kept, a folder a batch, with
+those that the scene held before; they give a delta for each new class and for each
+pair that it completes. So repeated rows add nothing, and late rows are rows like any
+other, as nothing kept has a time. Deltas are summed before they are written, a folder
+a batch as well, and a batch that runs again reads the batches before it and replaces
+its own folders; frequencies and pairs are the sums of the folders.
+
+A batch joins its scenes with all that is held, by a shuffle that spills where memory
+ends; so batches should not be much smaller than what a scan of the held classes is worth.
 
 Defined results:
 - rows with a null scene or class are left out;
-- a scene's state grows with its classes, not with its rows;
+- what is kept of a scene grows with its classes, not with its rows;
 - no batch, or batches without new classes, give no rows or no deltas.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A class alone has no partner: ``class_j`` is null.
 DELTAS = "class_i string, class_j string, n long"
+#: A scene's classes before a batch and those that the batch added.
+HELD = "scene {}, old array<string>, fresh array<string>, batch long"
+
 
+def grown(batch: DataFrame, held: DataFrame | None) -> DataFrame:
+    """``scene``, ``old`` and ``fresh`` classes of the scenes to which a batch of ``scene`` and ``class`` adds classes.
 
-def _grown(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = set(state.get[0]) if state.exists else set()
-    new = {c for frame in frames for c in frame["class"]} - held
-    if new:
-        state.update((sorted(held | new),))
-        rows = [(c, None, 1) for c in sorted(new)]
-        rows += [(min(a, b), max(a, b), 1) for a in sorted(new) for b in sorted(held)]
-        rows += [(a, b, 1) for a in sorted(new) for b in sorted(new) if a < b]
-        yield pd.DataFrame(rows, columns=["class_i", "class_j", "n"])
+    ``held``: ``scene`` and ``class`` of the batches before.
+    """
+    rows = batch.where("scene is not null and class is not null")
+    sets = rows.groupBy("scene").agg(F.collect_set(F.col("class").cast("string")).alias("now"))
+    if held is None:
+        return sets.select("scene", F.array().cast("array<string>").alias("old"), F.sort_array("now").alias("fresh"))
+    before = held.groupBy("scene").agg(F.collect_set("class").alias("had"))
+    old = F.coalesce("had", F.array().cast("array<string>"))
+    both = sets.join(before, "scene", "left").select("scene", old.alias("old"), F.sort_array(F.array_except("now", old)).alias("fresh"))
+    return both.where(F.size("fresh") > 0)
 
 
-def pair_deltas(stream: DataFrame) -> DataFrame:
-    """The deltas of a stream of ``scene`` and ``class`` (text)."""
-    rows = stream.where("scene is not null and class is not null").select("scene", F.col("class").cast("string").alias("class"))
-    return rows.groupBy("scene").applyInPandasWithState(_grown, DELTAS, "classes array<string>", "append", GroupStateTimeout.NoTimeout)
+def deltas(added: DataFrame) -> DataFrame:
+    """The summed deltas of the rows of :func:`grown`."""
+    cell = lambda x, y: F.struct(x.alias("class_i"), y.alias("class_j"))
+    alone = F.transform("fresh", lambda x: cell(x, F.lit(None).cast("string")))
+    known = F.flatten(F.transform("fresh", lambda x: F.transform("old", lambda y: cell(F.least(x, y), F.greatest(x, y)))))
+    new = F.flatten(F.transform("fresh", lambda x: F.transform(F.filter("fresh", lambda y: x < y), lambda y: cell(x, y))))
+    return added.select(F.inline(F.concat(alone, known, new))).groupBy("class_i", "class_j").agg(F.count("*").alias("n"))
 
 
 def keep_counts(stream: DataFrame, folder: str, **trigger):
-    """Start a query that adds each batch's summed deltas under ``folder``/deltas; its checkpoint is in ``folder``/state."""
+    """Start a query that adds each batch's classes under ``folder``/held and its deltas under ``folder``/deltas; its checkpoint is in ``folder``/state."""
+    kept = HELD.format(stream.schema["scene"].dataType.simpleString())
 
     def add(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("class_i", "class_j").agg(F.sum("n").alias("n"))
-        summed.write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
+        read = batch.sparkSession.read.schema(kept)
+        held = read.parquet(f"{folder}/held").where(F.col("batch") < number).select("scene", F.explode("fresh").alias("class")) if number else None
+        grown(batch, held).write.mode("overwrite").parquet(f"{folder}/held/batch={number}")
+        added = read.parquet(f"{folder}/held").where(F.col("batch") == number)
+        deltas(added).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
 
-    writer = pair_deltas(stream).writeStream.foreachBatch(add).outputMode("append")
+    writer = stream.writeStream.foreachBatch(add).outputMode("append")
     return writer.option("checkpointLocation", f"{folder}/state").trigger(**(trigger or {"availableNow": True})).start()
 
 
