@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import written
 from .cooccurrence import gram, pair_counts
 
 
@@ -27,9 +28,19 @@ def asymmetric_cells(matrix: DataFrame) -> DataFrame:
     return matrix.join(back, ["class_i", "class_j"], "left").where(~F.col("n").eqNullSafe(F.col("m")))
 
 
+#: Rows that a task of a self-join sorts on each side, about.
+SORTED = 500_000
+
+
 def diagonal_deviation(found: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Diagonal of the Gram matrix against the class frequency."""
-    diagonal = gram(found).where("class_i = class_j").select(F.col("class_i").alias("class"), F.col("n").alias("diagonal"))
+    """Diagonal of the Gram matrix against the class frequency.
+
+    The presence is written and dealt by its number of rows, so that a task of the
+    self-join holds no more of a larger table.
+    """
+    found = written(found, "presence")
+    dealt = found.repartition(1 + found.count() // SORTED, "scene", "class")
+    diagonal = gram(dealt).where("class_i = class_j").select(F.col("class_i").alias("class"), F.col("n").alias("diagonal"))
     f = found.groupBy("class").agg(F.count("*").alias("frequency"))
     out = f.join(diagonal, "class", "left")
     return out.withColumn("result", result(F.abs(F.col("diagonal") - F.col("frequency")) <= tolerance))
