@@ -25,11 +25,13 @@ MOST = 20
 def survivors(masks: DataFrame, types: list[str]) -> DataFrame:
     """``t`` (place of the type), ``held`` (a set of stages as bits) and ``n``: scenes of the type whose classes are all of these stages.
 
-    Sums over subsets, a doubling step for each stage.
+    Sums over subsets, a doubling step for each stage. Each step reads its rows twice, so the
+    first ones, a row for each type and set that occurs, are written, and the masks are made once.
     """
     places = F.create_map(*[x for i, t in enumerate(types) for x in (F.lit(t), F.lit(i))])
     own = F.col("mask").bitwiseAND(F.lit((1 << len(types)) - 1).cast("long")).alias("held")
     rows = masks.where(F.col("scene_type").isin(types)).select(F.element_at(places, F.col("scene_type")).alias("t"), own, "n")
+    rows = written(rows.groupBy("t", "held").agg(F.sum("n").alias("n")), "subset-sums")
     for i in range(len(types)):
         bit = 1 << i
         more = rows.where(f"held & {bit}L = 0").select("t", F.col("held").bitwiseOR(F.lit(bit).cast("long")).alias("held"), "n")

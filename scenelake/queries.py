@@ -10,6 +10,7 @@ from .functions import labels as L
 from .operators import checks, cluster, cooccurrence, lift, pointcloud, presence, spatial, splits
 from .plans import catalogue
 from .plans import tables as T
+from .plans.stages import written
 
 QUERIES: dict = {}
 EXCLUDED = ["Brand#1", "Brand#2", "Brand#3"]
@@ -109,9 +110,10 @@ _CURVE_ROWS = ", ".join(f"('{c}', {k}, {s})" for c, k, s in CURVE)
 
 def assigned(spark, sf_dir):
     """Scenes, presence, and the balanced assignment of the classes to the five types."""
-    found, scenes = T.basket(spark, sf_dir), T.scenes(spark, sf_dir)
+    found, scenes = written(T.basket(spark, sf_dir), "basket"), T.scenes(spark, sf_dir)
     order = presence.class_frequency(found, scenes)
-    return found, scenes, splits.assign_balanced(lift.lift(found, scenes), order, TYPES, 5)
+    lifts = written(lift.lift(found, scenes), "lifts")
+    return found, scenes, written(splits.assign_balanced(lifts, order, TYPES, 5), "stages")
 
 
 def stage_types(spark):
@@ -720,7 +722,7 @@ def kmeans_inertia_curve(spark, sf):
 
 @query(None)
 def gap_statistic(spark, sf):
-    gaps = cluster.gap_table(cluster.fits(_patterns(spark, sf, 0.1), list(range(2, 11)), draws=20))
+    gaps = written(cluster.gap_table(cluster.fits(written(_patterns(spark, sf, 0.1), "patterns"), list(range(2, 11)), draws=20)), "gaps")
     return cluster.one_se_steps(gaps).join(cluster.best_k(gaps), "focal_class")
 
 
