@@ -188,3 +188,29 @@ def test_top_positions_keeps_every_row(spark, tmp_path):
     want = set(duck.execute(queries.QUERIES["top_positions"][1]).fetchall())
     per = {c: sum(w[0] == c for w in want) for c in {w[0] for w in want}}
     assert max(per.values()) > 2000 and found == want
+
+
+@pytest.mark.parametrize("judge", ["ordering", "merge"])
+def test_masks_are_made_once(spark, judge):
+    masks, types = random_masks(5, 5), [f"t{t}" for t in range(5)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    counted = F.udf(count, "long").asNondeterministic()
+    df = spark.createDataFrame(masks, "scene_type string, mask long, n long").withColumn("n", counted("n"))
+    (subsets.best_ordering(df, types) if judge == "ordering" else subsets.best_merge(df, types, 1)).collect()
+    assert seen.value == len(masks)
+
+
+def test_batches_add_classes_and_pairs_without_python_rows(spark):
+    schema = "scene string, class string"
+    held = spark.createDataFrame([("s", "b"), ("s", "d"), ("t", "a")], schema)
+    batch = spark.createDataFrame([("s", "c"), ("s", "a"), ("s", "b"), ("u", "x"), ("u", "x"), ("t", "a"), (None, "a"), ("u", None)], schema)
+    added = streamed.grown(batch, held)
+    assert "Python" not in streamed.deltas(added)._jdf.queryExecution().executedPlan().toString()
+    assert {(r.scene, *r.fresh) for r in added.collect()} == {("s", "a", "c"), ("u", "x")}
+    want = {("a", None, 1), ("c", None, 1), ("x", None, 1), ("a", "b", 1), ("a", "d", 1), ("a", "c", 1), ("b", "c", 1), ("c", "d", 1)}
+    assert {tuple(r) for r in streamed.deltas(added).collect()} == want
