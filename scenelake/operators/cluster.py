@@ -97,21 +97,18 @@ def weighted_silhouette(x: np.ndarray, w: np.ndarray, labels: np.ndarray) -> flo
 def null_reference(x: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and their counts of as many draws as the rows weigh, with independent columns of the same shares.
 
-    Drawn in blocks of rows, each of which is counted by pattern at once.
+    The draws are split column by column, a pattern's so far by one binomial number, so
+    the work grows with the patterns that occur and not with the draws.
     """
     p = np.clip((w[:, None] * x).sum(0) / w.sum(), 1e-6, 1 - 1e-6)
-    counts: dict[bytes, int] = {}
-    left = int(w.sum())
-    while left:
-        n = min(left, 1 << 16)
-        packed = np.packbits(rng.random((n, x.shape[1])) < p, axis=1)
-        kinds, times = np.unique(packed, axis=0, return_counts=True)
-        for kind, t in zip(kinds, times.tolist()):
-            counts[kind.tobytes()] = counts.get(kind.tobytes(), 0) + t
-        left -= n
-    keys = sorted(counts)
-    bits = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
-    return np.unpackbits(bits, axis=1)[:, : x.shape[1]].astype(float), np.array([counts[k] for k in keys], float)
+    bits, counts = np.zeros((1, 0)), np.array([int(w.sum())])
+    for share in p:
+        ones = rng.binomial(counts, share)
+        column = np.repeat([0.0, 1.0], len(counts))[:, None]
+        bits, counts = np.hstack([np.vstack([bits, bits]), column]), np.concatenate([counts - ones, ones])
+        bits, counts = bits[counts > 0], counts[counts > 0]
+    order = np.lexsort(bits.T[::-1])
+    return bits[order], counts[order].astype(float)
 
 
 _FITS = "focal_class string, k int, draw int, log_w double, silhouette double, labels string"
@@ -240,51 +237,64 @@ def diagnosis(gaps: DataFrame) -> DataFrame:
     return rows.select("focal_class", "k", "gap", "sk", "bound", "fires", "best_k", "argmax_k", tag.alias("tag"), early.alias("fired_early"))
 
 
+#: Parts of the asking points, and of those they are compared with, at most; the former is a multiple of the latter.
+ASKING, HELD = 32, 8
+
+
 def silhouette_of_labels(points: DataFrame, block: int = 2048) -> DataFrame:
     """Mean Euclidean silhouette of each label, of ``id``, ``v`` (array) and ``label``.
 
-    Exact, so each point meets all others: points are put into blocks of about
-    ``block``, and a pair of blocks is a task of matrix products, which gives a
-    sum of distances for each point and label. Work grows with the square of the
-    points, memory does not.
+    Exact, so each point meets all others, and work grows with the square of the
+    points. They are dealt into at most ``ASKING`` parts that ask and ``HELD`` that are
+    asked; a pair of parts is a task of matrix products of ``block`` points, which gives
+    a sum of distances for each point and label. So a point is sent at most ``ASKING +
+    HELD`` times, and a task holds an eighth of the points and a block of matrices.
     """
     n = points.count()
     parts = max(1, -(-n // block))
-    dealt = points.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asks = dealt.select("id", "label", "v", F.col("part").alias("x"), other.alias("y"), F.lit(1).alias("role"))
-    held = dealt.select("id", "label", "v", other.alias("x"), F.col("part").alias("y"), F.lit(0).alias("role"))
-    rows = asks.union(held).repartition("x", "y").sortWithinPartitions("x", "y", "role")
+    few = min(HELD, parts)
+    many = few * max(1, min(ASKING // HELD, -(-parts // few)))
+    dealt = points.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("part"))
+    own = (F.col("part") % few).cast("int")  # points of one id meet in these pairs only
+    asks = dealt.select("id", "label", "v", F.col("part").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("y"), F.lit(1).alias("role"))
+    held = dealt.select("id", "label", "v", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("x"), own.alias("y"), F.lit(0).alias("role"))
+    rows = asks.union(held).repartition(many * few, "x", "y").sortWithinPartitions("x", "y", "role")
     kind = points.schema
 
     def run(frames):
-        now, have, waiting = None, [], []
-
-        def sums() -> pd.DataFrame:
-            labels = np.concatenate([f.label.to_numpy() for f in have])
-            matrix = np.concatenate([np.stack(f.v.to_numpy()) for f in have])
-            ids = np.concatenate([f.id.to_numpy() for f in have])
-            out = []
-            for frame in waiting:
-                distance = _distances(np.stack(frame.v.to_numpy()), matrix)
-                same = frame.id.to_numpy()[:, None] == ids[None]
-                distance[same] = 0.0
-                for label in np.unique(labels):
-                    of = labels == label
-                    met = of.sum() - same[:, of].sum(1)
-                    out.append(pd.DataFrame({"i": frame.id, "li": frame.label, "lj": label, "d": distance[:, of].sum(1), "n": met}))
-            return pd.concat(out)
+        now, have, book = None, [], None
+
+        def sums(frame: pd.DataFrame, meets: bool) -> pd.DataFrame:
+            labels, ids, matrix, kinds, member = book
+            asked = np.stack(frame.v.to_numpy())
+            total, met = np.zeros((len(frame), len(kinds))), np.tile(member.sum(0), (len(frame), 1))
+            for first in range(0, len(matrix), block):
+                part = slice(first, first + block)
+                distance = _distances(asked, matrix[part])
+                if meets:
+                    same = frame.id.to_numpy()[:, None] == ids[None, part]
+                    distance[same] = 0.0
+                    met -= same @ member[part]
+                total += distance @ member[part]
+            of = np.tile(np.arange(len(kinds)), len(frame))
+            out = frame.loc[frame.index.repeat(len(kinds)), ["id", "label"]].set_axis(["i", "li"], axis=1)
+            return out.assign(lj=kinds[of], d=total.ravel(), n=met.ravel().astype("int64"))
 
         for frame in frames:
             for key, part in frame.groupby(["x", "y"], sort=False):
                 if key != now:
-                    if waiting:
-                        yield sums()
-                    now, have, waiting = key, [], []
+                    now, have, book = key, [], None
                 for role, rows in part.groupby("role"):
-                    (waiting if role else have).append(rows)
-        if waiting:
-            yield sums()
+                    if not role:
+                        have.append(rows)
+                        continue
+                    if book is None and have:
+                        labels = np.concatenate([f.label.to_numpy() for f in have])
+                        kinds, at = np.unique(labels, return_inverse=True)
+                        book = labels, np.concatenate([f.id.to_numpy() for f in have]), np.concatenate([np.stack(f.v.to_numpy()) for f in have]), kinds, np.eye(len(kinds))[at]
+                        have = []
+                    for first in range(0, len(rows) if book is not None else 0, block):
+                        yield sums(rows.iloc[first : first + block].reset_index(drop=True), key[0] % few == key[1])
 
     schema = f"i {kind['id'].dataType.simpleString()}, li {kind['label'].dataType.simpleString()}, lj {kind['label'].dataType.simpleString()}, d double, n long"
     met = rows.mapInPandas(run, schema).groupBy("i", "li", "lj").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
