@@ -203,3 +203,32 @@ def test_full_matrix_is_refused_for_raw_labels(spark, monkeypatch):
     with pytest.raises(ValueError, match="4 classes"):
         cooccurrence.full_matrix(found)
     assert cooccurrence.full_matrix(found.where("scene < 3")).count() == 9
+
+
+def test_null_reference_of_very_many_scenes():
+    x = np.array([[0, 1, 1], [1, 0, 1]], float)
+    patterns, counts = cluster.null_reference(x, np.array([3e12, 1e12]), np.random.default_rng(1))
+    assert counts.sum() == 4e12 and (counts[:, None] * patterns).sum(0) / 4e12 == pytest.approx([0.25, 0.75, 1], abs=1e-4)
+    both = counts[[p[0] == 1 and p[1] == 1 for p in patterns.tolist()]].sum() / 4e12
+    assert both == pytest.approx(0.25 * 0.75, abs=1e-4)  # columns are independent
+
+
+def test_silhouette_sends_a_point_to_a_bounded_number_of_parts(spark, monkeypatch):
+    import re
+
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, i % 3, (rng.normal(size=3) + i % 3).tolist()) for i in range(700)], "id long, label long, v array<double>")
+    made = cluster.silhouette_of_labels(points, 4)
+    sent = [int(m) + 1 for m in re.findall(r"sequence\(0, (\d+)", made._jdf.queryExecution().analyzed().toString())]
+    assert sent and max(sent) <= 32 and sum(set(sent)) <= 40
+    key = ("label", "n", "silhouette")
+    assert rows(made, *key) == rows(cluster.silhouette_of_labels(points), *key)
+
+
+def test_diagonal_is_dealt_by_the_rows_of_the_presence(spark, monkeypatch):
+    monkeypatch.setattr(checks, "SORTED", 50, raising=False)
+    found = spark.createDataFrame([(i, c) for i in range(60) for c in "abcdef"[: 1 + i % 6]], "scene long, class string")
+    made = checks.diagonal_deviation(found)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert f", {1 + found.count() // 50}), REPARTITION_BY_NUM" in plan
+    assert {(r["class"], r.frequency, r.diagonal, r.result) for r in made.collect()} == {(c, 60 - 10 * i, 60 - 10 * i, "PASS") for i, c in enumerate("abcdef")}
