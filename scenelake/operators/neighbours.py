@@ -7,9 +7,14 @@ bounds the true one: only the boxes that reach into this distance are asked as w
 most often none or one, and the lists of a point are put together. So there are two
 rounds, however dense or wide a cloud is, and no round compares all points with all.
 
-Points at one place are one row with a number, so a place that very many points
-share costs nothing. The driver gets the boxes' corners alone, of which there are at
-most about ``BOXES``.
+Mean distances need no neighbour's place, so their boxes are larger: few points are
+near enough to a border to ask further boxes, and a group cuts its points again, into
+parts of ``PART``, each of which is compared with the parts in its reach. The points
+go through as they are, and their copies are put together in the group.
+
+Where a place has more copies than a box may have points, points at one place are
+one row with a number, so a place that very many points share costs nothing. The
+driver gets the boxes' corners alone, of which there are at most about ``BOXES``.
 
 Defined results:
 - points with a null or non-finite coordinate have no neighbours and are none;
@@ -28,12 +33,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from ..plans.stages import dropped, sent_if_few, written
 
 AXES = ("x", "y", "z")
 #: Places of a box, about; more if there were more than BOXES boxes. Each box is cut at the medians of some 32 of them.
 FULL, BOXES, SAMPLED = 512, 300_000, 32
+#: For mean distances there are some SHARES boxes, but of 8 to 64 times FULL points. Their parts have PART places.
+SHARES, PART = 256, 128
 #: Up to this many places the cuts are made at the medians of all.
 WHOLE = 200_000
 #: Boxes are looked up below one of 2 ** TOPS boxes of their cloud.
@@ -42,9 +51,12 @@ TOPS = 8
 MATRIX = 1 << 21
 
 
+def _is_finite(axes: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)) for c in axes])
+
+
 def _finite(points: DataFrame) -> DataFrame:
-    fine = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(c) for c in AXES])
-    return points.where(fine)
+    return points.where(_is_finite([F.col(c) for c in AXES]))
 
 
 def places(points: DataFrame, cloud: str) -> DataFrame:
@@ -53,22 +65,33 @@ def places(points: DataFrame, cloud: str) -> DataFrame:
     return _finite(named).groupBy("cloud", *AXES).agg(F.count("*").alias("n"))
 
 
-def _leaves(held: DataFrame, k: int) -> DataFrame:
-    """A row for each box: its cloud ``g``, number ``cell``, the box ``top`` above it, and its corners ``lx`` to ``uz``, the upper ones outside."""
-    total = held.count()
-    full = max(FULL, 4 * k, total // BOXES)
+def _full(total: int, k: int) -> int:
+    """Places of a box that is asked for neighbours themselves."""
+    return max(FULL, 4 * k, total // BOXES)
+
+
+def _wide(total: int, k: int) -> int:
+    """Points of a box that is asked for mean distances."""
+    return max(min(max(total // SHARES, 8 * FULL), 64 * FULL), 4 * k, total // BOXES)
+
+
+def _leaves(held: DataFrame, k: int, fill=_full) -> tuple[DataFrame, int]:
+    """A row for each box: its cloud ``g``, number ``cell``, the box ``top`` above it, and its corners ``lx`` to ``uz``, the upper ones outside. And the size of a box."""
+    clouds = written(held.groupBy("cloud").agg(F.count("*").alias("n")), "clouds")
+    total = clouds.agg(F.sum("n")).first()[0] or 0
+    full = fill(total, k)
     share = 1.0 if total <= WHOLE else min(1.0, SAMPLED / full)
     unit = F.pmod(F.xxhash64(*AXES), F.lit(1 << 20)) / float(1 << 20)
-    some = held.groupBy("cloud").agg(F.min(F.struct(*AXES)).alias("p")).select("cloud", "p.*")
+    some = clouds.select("cloud", *[F.lit(float("nan")).alias(c) for c in AXES])  # for the clouds of which the sample has none
     sample = held.where(unit < share).select("cloud", *AXES).unionByName(some)
     names = ["g", "top", *[f"l{c}" for c in AXES], *[f"u{c}" for c in AXES]]
 
     def cut(table: pa.Table) -> pa.Table:
-        points = np.stack([table[c].to_numpy() for c in AXES], 1)
-        found, waiting = [], [(points, np.full(3, -np.inf), np.full(3, np.inf), 0, 0)]
+        points = _columns(table)
+        found, waiting = [], [(points[~np.isnan(points[:, 0])], np.full(3, -np.inf), np.full(3, np.inf), 0, 0)]
         while waiting:
             p, low, high, depth, top = waiting.pop()
-            axis = int(np.argmax(p.max(0) - p.min(0)))
+            axis = int(np.argmax(np.ptp(p, 0))) if len(p) else 0
             line = np.sort(p[:, axis])
             if len(p) / share <= full or line[0] == line[-1]:
                 found.append((top, low, high))
@@ -84,30 +107,36 @@ def _leaves(held: DataFrame, k: int) -> DataFrame:
         return pa.Table.from_arrays([cloud, pa.array([t for t, _, _ in found], pa.int64()), *map(pa.array, corners.T)], names)
 
     kind = held.schema["cloud"].dataType.simpleString()
-    boxes = written(sample.groupBy("cloud").applyInArrow(cut, f"g {kind}, top long, " + ", ".join(f"{c} double" for c in names[2:])), "boxes")
-    return written(boxes.withColumn("cell", F.monotonically_increasing_id()), "leaves")
+    boxes = sample.groupBy("cloud").applyInArrow(cut, f"g {kind}, top long, " + ", ".join(f"{c} double" for c in names[2:]))
+    leaves = written(boxes.withColumn("cell", F.monotonically_increasing_id()), "leaves")
+    dropped(clouds)
+    return leaves, full
 
 
 def _placed(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """``points`` with the number ``cell`` of their box; those of clouds without boxes are left out."""
     inside = reduce(lambda a, b: a & b, [(F.col(c) >= F.col(f"l{c}")) & (F.col(c) < F.col(f"u{c}")) for c in AXES])
+    cell = F.col("cloud").eqNullSafe(F.col("g")) & inside
+    if leaves.groupBy("g", "top").count().where("count > 1").isEmpty():
+        return points.join(sent_if_few(leaves, 2 * BOXES), cell).select(*points.columns, "cell")
     corners = [*[F.min(f"l{c}").alias(f"l{c}") for c in AXES], *[F.max(f"u{c}").alias(f"u{c}") for c in AXES]]
     tops = leaves.groupBy(F.col("g").alias("t"), F.col("top").alias("above")).agg(*corners)
     met = points.join(sent_if_few(tops, 2 * BOXES), F.col("cloud").eqNullSafe(F.col("t")) & inside).select(*points.columns, "above")
-    return met.join(sent_if_few(leaves, 2 * BOXES), F.col("cloud").eqNullSafe(F.col("g")) & (F.col("above") == F.col("top")) & inside).select(*points.columns, "cell")
+    return met.join(sent_if_few(leaves, 2 * BOXES), cell & (F.col("above") == F.col("top"))).select(*points.columns, "cell")
 
 
 class Index:
     """The places of ``held`` in boxes, to be asked again and again for up to ``k`` neighbours."""
 
-    def __init__(self, held: DataFrame, k: int):
-        self.leaves = _leaves(held, k)
-        self.held = written(_placed(held.select("cloud", *AXES, "n"), self.leaves), "held")
+    def __init__(self, held: DataFrame, k: int, fill=_full):
+        self.leaves, self.full = _leaves(held, k, fill)
+        self.held = written(_placed(held, self.leaves), "held")
         corners = [*[F.min(c).alias(f"l{c}") for c in AXES], *[F.max(c).alias(f"u{c}") for c in AXES]]
         of = self.leaves.select("cell", F.min("cell").over(Window.partitionBy("g")).alias("code"))  # a row for each box
-        table = self.held.groupBy("cell").agg(*corners).join(of, "cell").orderBy("code", "cell").toArrow()
+        table = self.held.groupBy("cell").agg(*corners, F.count("*").alias("rows")).join(of, "cell").orderBy("code", "cell").toArrow()
         self.cells, self.codes = table["cell"].to_numpy(), table["code"].to_numpy()
         self.low, self.high = (np.stack([table[f"{s}{c}"].to_numpy() for c in AXES], 1).reshape(-1, 3) for s in "lu")
+        self.most = max(table["rows"].to_pylist(), default=0)
 
     def drop(self) -> None:
         """Delete the files of the index."""
@@ -155,21 +184,17 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return h[order], table["n"].to_numpy()[order]
 
 
-def _asked(asked: DataFrame, index: Index, k: int, same: bool, at: bool) -> DataFrame:
-    """``asked`` with ``near``, the sorted array of the nearest places' ``d``, ``hx``, ``hy``, ``hz`` (if ``at``) and ``m``, and with their ``mean`` distance (else).
-
-    Where the mean is known, ``near`` is empty unless ``at``.
-    """
+def _asked(asked: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
+    """``asked`` with ``near``, the sorted array of the nearest places' ``d``, ``hx``, ``hy``, ``hz`` and ``m``."""
     key = ["cloud", *AXES, "n"]
-    lists = ["d", *([f"h{c}" for c in AXES] if at else []), "m"]
+    lists = ["d", *[f"h{c}" for c in AXES], "m"]
     kind = asked.schema["cloud"].dataType.simpleString()
     shape = f"cloud {kind}, x double, y double, z double, n long, " + ", ".join(f"{c} array<{'long' if c == 'm' else 'double'}>" for c in lists)
     cells, codes, low, high = index.cells, index.codes, index.low, index.high
     place = np.argsort(cells)
 
     def found(near, spot, number, keep, h):
-        more = [h[spot][..., i] for i in range(3)] if at else []
-        return _lists(keep, near, *more, number)
+        return _lists(keep, near, *[h[spot][..., i] for i in range(3)], number)
 
     def own(asks: pa.Table, held: pa.Table) -> pa.Table:
         h, n = _sorted(held)
@@ -186,14 +211,10 @@ def _asked(asked: DataFrame, index: Index, k: int, same: bool, at: bool) -> Data
             close = rivals[np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= reach.max()]
             gap = np.sqrt(sum(np.maximum(np.maximum(low[close, i] - part[:, i, None], part[:, i, None] - high[close, i]), 0) ** 2 for i in range(3)))
             hit = gap * (1 - 1e-12) <= reach[:, None]
-            done = ~hit.any(1)
-            total = take.sum(1)
-            mean = np.where(take > 0, near * take, 0.0).sum(1) / np.maximum(total, 1)
-            keep = (take > 0) & (at | ~done)[:, None]
             rows = asks.slice(first, len(part)).select(key).combine_chunks()
             to = _lists(hit, np.broadcast_to(cells[close], hit.shape))[0]
-            columns = [*found(near, spot, number, keep, h), pa.array(mean, mask=~done | (total == 0)), pa.array(reach), to]
-            out.append(pa.Table.from_arrays([*rows.columns, *columns], [*key, *lists, "mean", "reach", "cells"]))
+            columns = [*found(near, spot, number, take > 0, h), pa.array(reach), to]
+            out.append(pa.Table.from_arrays([*rows.columns, *columns], [*key, *lists, "reach", "cells"]))
         return pa.concat_tables(out) if out else empty
 
     def other(asks: pa.Table, held: pa.Table) -> pa.Table:
@@ -207,11 +228,8 @@ def _asked(asked: DataFrame, index: Index, k: int, same: bool, at: bool) -> Data
             out.append(pa.Table.from_arrays([*rows.columns, *found(near, spot, number, keep, h)], [*key, *lists]))
         return pa.concat_tables(out)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
-
     none = to_arrow_schema(StructType.fromDDL(shape)).empty_table()
-    whole = StructType.fromDDL(shape).add("mean", DoubleType()).add("reach", DoubleType()).add("cells", ArrayType(LongType()))
+    whole = StructType.fromDDL(shape).add("reach", DoubleType()).add("cells", ArrayType(LongType()))
     empty = to_arrow_schema(whole).empty_table()
     placed = _placed(asked.select(*key), index.leaves)
     by_cell = index.held.select("cell", *AXES, "n").groupBy("cell")
@@ -222,11 +240,8 @@ def _asked(asked: DataFrame, index: Index, k: int, same: bool, at: bool) -> Data
     zipped = F.arrays_zip(*lists)
     joined = still.select(*key, zipped.alias("near")).unionByName(more.select(*key, zipped.alias("near"))).groupBy(*key)
     joined = joined.agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    state = F.struct(F.lit(k).cast("long").alias("left"), F.lit(0.0).alias("s"))
-    fold = F.aggregate("near", state, lambda s, x: F.struct((s["left"] - F.least(s["left"], x["m"])).alias("left"), (s["s"] + x["d"] * F.least(s["left"], x["m"])).alias("s")))
-    mean = F.try_divide(fold["s"], F.lit(k) - fold["left"])
-    known = first.where(F.size("cells") == 0).select(*key, zipped.alias("near"), "mean")
-    return known.unionByName(joined.select(*key, "near", mean.alias("mean")))
+    known = first.where(F.size("cells") == 0).select(*key, zipped.alias("near"))
+    return known.unionByName(joined)
 
 
 def nearest(asked: DataFrame, held: DataFrame | Index, k: int, same: bool = False) -> DataFrame:
@@ -240,13 +255,161 @@ def nearest(asked: DataFrame, held: DataFrame | Index, k: int, same: bool = Fals
     before = lambda i: F.aggregate(F.slice("near", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["m"])
     take = lambda x, i: F.greatest(F.least(x["m"], F.lit(k) - before(i)), F.lit(0)).alias("take")
     rows = F.transform("near", lambda x, i: F.struct(*[x[f"h{c}"].alias(f"h{c}") for c in AXES], x["d"].alias("d"), take(x, i)))
-    return _asked(asked, index, k, same, True).select("cloud", *AXES, F.inline(rows)).where("take > 0")
+    return _asked(asked, index, k, same).select("cloud", *AXES, F.inline(rows)).where("take > 0")
+
+
+class _Parts:
+    """Places cut at medians into parts, to be compared with the places in their reach; ``number`` copies of a place count, up to ``k``."""
+
+    def __init__(self, p: np.ndarray, number: np.ndarray, k: int):
+        self.order, ends, waiting = np.arange(len(p)), [], [(0, len(p))]
+        while waiting:
+            a, b = waiting.pop()
+            if b - a <= max(PART, 3 * k):
+                ends.append((a, b))
+                continue
+            span = self.order[a:b]
+            own = p[span]
+            m = (b - a) // 2
+            self.order[a:b] = span[np.argpartition(own[:, np.argmax(np.ptp(own, 0))], m)]
+            waiting += [(a, a + m), (a + m, b)]
+        self.ends, self.p = sorted(ends), p[self.order]
+        starts = [a for a, _ in self.ends]
+        self.low, self.high = (f.reduceat(self.p, starts) if len(p) else self.p for f in (np.minimum, np.maximum))
+        number = np.minimum(number[self.order], k)
+        self.number = number if (number > 1).any() else None
+
+    def around(self, low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
+        """The places within reach of a box, copies after one another."""
+        spans = [slice(*self.ends[i]) for i in np.flatnonzero(_gap(self.low, self.high, low, high) <= reach)]
+        p = np.concatenate([self.p[:0], *[self.p[x] for x in spans]])
+        near = _gap(p, p, low, high) <= reach
+        return p[near] if self.number is None else np.repeat(p[near], np.concatenate([self.number[:0], *[self.number[x] for x in spans]])[near], 0)
+
+
+def _gap(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between boxes, a little less than computed ones of their points."""
+    square = 0.0
+    for i in range(3):
+        gap = np.maximum(np.maximum(low[..., i] - b[..., i], a[..., i] - high[..., i]), 0)
+        square = square + gap * gap
+    return np.sqrt(square) * (1 - 1e-12)
+
+
+def _least(a: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each of the places ``a`` to ``h``, sorted; infinite ones where there are fewer."""
+    out = np.full((len(a), k), np.inf)
+    step = max(1, MATRIX // max(1, len(h)))
+    for first in range(0, len(a) if len(h) else 0, step):
+        part = a[first : first + step]
+        d = np.zeros((len(part), len(h)))
+        for i in range(3):
+            side = part[:, i, None] - h[None, :, i]
+            side *= side
+            d += side
+        least = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if len(h) > k else d, axis=1)
+        out[first : first + step, : least.shape[1]] = np.sqrt(least)
+    return out
+
+
+def _once(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of points, their numbers, and the place of each point."""
+    order = np.lexsort(p.T)
+    new = np.concatenate([[True], (p[order[1:]] != p[order[:-1]]).any(1)])
+    place = np.empty(len(p), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return p[order[new]], np.bincount(place, n).astype(np.int64), place
+
+
+def _means(index: Index, k: int) -> DataFrame:
+    """The points of an index, without their cell, and the mean distance ``mean`` to the k nearest other points."""
+    cells, codes, low, high = index.cells, index.codes, index.low, index.high
+    place = np.argsort(cells)
+    columns = [f for f in index.held.schema.fields if f.name != "cell"]
+    names = [f.name for f in columns]
+    ended = StructType([*columns]).add("mean", DoubleType())
+    begun = StructType([*ended.fields]).add("home", LongType()).add("at", LongType()).add("reach", DoubleType()).add("near", ArrayType(DoubleType())).add("cells", ArrayType(LongType()))
+    heard = "home long, at long, near array<double>"
+    none = to_arrow_schema(StructType.fromDDL(heard)).empty_table()
+
+    def own(table: pa.Table) -> pa.Table:
+        home = table["cell"][0].as_py()
+        me = place[np.searchsorted(cells, home, sorter=place)]
+        rivals = np.arange(*np.searchsorted(codes, [codes[me], codes[me] + 1]))
+        rivals = rivals[rivals != me]
+        p, n, at = _once(_columns(table), table["n"].to_numpy())
+        parts = _Parts(p, n, k + 1)  # a point finds itself as well
+        near, asks, asked = np.empty((len(p), k)), [at[:0]], [cells[:0]]
+        for (a, b), inner, outer in zip(parts.ends, parts.low, parts.high):
+            part = parts.p[a:b]
+            copies = part if parts.number is None else np.repeat(part, parts.number[a:b], 0)
+            most = _least(part, copies, k + 1)[:, -1].max()
+            near[a:b] = _least(part, parts.around(inner, outer, most), k + 1)[:, 1:]
+            close = rivals[_gap(low[rivals], high[rivals], inner, outer) <= near[a:b, -1].max()]
+            if len(close):
+                i, j = np.nonzero(_gap(low[close], high[close], part[:, None], part[:, None]) <= near[a:b, -1:])
+                asks.append(parts.order[a + i])
+                asked.append(cells[close[j]])
+        near[parts.order] = near.copy()
+        told = np.isfinite(near)
+        total = told.sum(1)
+        mean = np.where(told, near, 0.0).sum(1) / np.maximum(total, 1)
+        asks, asked = np.concatenate(asks), np.concatenate(asked)
+        asked, number = asked[np.argsort(asks, kind="stable")], np.bincount(asks, minlength=len(p))
+        row = number[at] > 0
+        lists = _lists(told[at] & row[:, None], near[at])[0]
+        ends = np.concatenate([[0], np.cumsum(number[at])])
+        spot = np.arange(ends[-1]) + np.repeat((np.cumsum(number) - number)[at] - ends[:-1], number[at])
+        to = pa.ListArray.from_arrays(ends.astype(np.int32), asked[spot])
+        more = [pa.array(mean[at], mask=row | (total == 0)[at]), pa.array(np.full(len(at), home)), pa.array(np.arange(len(at))), pa.array(near[at, -1]), lists, to]
+        return pa.Table.from_arrays([*table.select(names).columns, *more], begun.names)
+
+    def other(asks: pa.Table, held: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return none
+        p, n, _ = _once(_columns(held), held["n"].to_numpy())
+        parts, askers = _Parts(p, n, k), _Parts(_columns(asks), np.ones(asks.num_rows, np.int64), 1)
+        reach = asks["reach"].to_numpy()[askers.order]
+        near = np.empty((asks.num_rows, k))
+        for (a, b), inner, outer in zip(askers.ends, askers.low, askers.high):
+            near[a:b] = _least(askers.p[a:b], parts.around(inner, outer, reach[a:b].max()), k)
+        keep = (near <= reach[:, None]) & np.isfinite(near)
+        some = keep.any(1)
+        of = [asks[c].to_numpy()[askers.order][some] for c in ("home", "at")]
+        return pa.Table.from_arrays([*map(pa.array, of), *_lists(keep[some], near[some])], none.column_names)
+
+    def all_in_all(mine: pa.Table, told: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return empty
+        place = np.argsort(mine["at"].to_numpy())
+        row, d = [], []
+        for t in (mine, told):
+            lists = t["near"].combine_chunks()
+            rows = place[np.searchsorted(mine["at"].to_numpy(), t["at"].to_numpy(), sorter=place)]
+            row.append(np.repeat(rows, lists.value_lengths().to_numpy()))
+            d.append(lists.flatten().to_numpy())
+        row, d = np.concatenate(row), np.concatenate(d)
+        order = np.lexsort((d, row))
+        row, d = row[order], d[order]
+        number = np.bincount(row, minlength=mine.num_rows)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+        total = np.minimum(number, k)
+        mean = np.bincount(row, np.where(rank < k, d, 0.0), mine.num_rows) / np.maximum(total, 1)
+        return pa.Table.from_arrays([*mine.select(names).columns, pa.array(mean, mask=total == 0)], ended.names)
+
+    empty = to_arrow_schema(ended).empty_table()
+    first = written(index.held.groupBy("cell").applyInArrow(own, begun), "near")
+    still = first.where(F.size("cells") > 0)
+    asks = still.select("home", "at", "reach", *AXES, F.explode("cells").alias("cell"))
+    held = index.held.select("cell", *AXES, "n")
+    answers = asks.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(other, heard)
+    joined = still.drop("cells").groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(all_in_all, ended)
+    return first.where(F.size("cells") == 0).select(*ended.names).unionByName(joined)
 
 
 def mean_distances(points: DataFrame, k: int, cloud: str = "cloud") -> DataFrame:
     """``cloud``, ``x``, ``y``, ``z``, ``n`` and the mean distance ``mean`` to the k nearest other points; null where there is none."""
-    held = written(places(points, cloud), "places")
-    return _asked(held, Index(held, k), k, True, False).select("cloud", *AXES, "n", "mean")
+    return _means(Index(written(places(points, cloud), "places"), k, _wide), k)
 
 
 def outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, cloud: str = "cloud") -> DataFrame:
@@ -256,17 +419,25 @@ def outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, cloud: str = "c
     them. Points without neighbours or without whole coordinates have nulls and are
     no outliers.
     """
-    means = written(mean_distances(points, k, cloud), "means")
+    whole = F.struct(*[F.col(c) for c in points.columns]).alias("row")
+    named = points.select(F.col(cloud).alias("cloud"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in AXES], F.lit(1).cast("long").alias("n"), whole)
+    index = Index(_finite(named), k, _wide)
+    copies = index.most > 4 * index.full
+    if copies:
+        index.drop()
+    means = written(mean_distances(points, k, cloud) if copies else _means(index, k).select("cloud", "n", "mean", "row"), "means")
     total, one, two = F.sum("n"), F.sum(F.col("n") * F.col("mean")), F.sum(F.col("n") * F.col("mean") * F.col("mean"))
     sums = means.where("mean is not null").groupBy(F.col("cloud").alias("c_cloud")).agg(total.alias("t"), (one / total).alias("m"), two.alias("s"))
     spread = F.sqrt(F.greatest(F.col("s") - F.col("t") * F.col("m") * F.col("m"), F.lit(0.0)) / F.greatest(F.col("t") - 1, F.lit(1)))
     cuts = sent_if_few(sums.select("c_cloud", (F.col("m") + ratio * spread).alias("cut")))
-    judged = means.join(cuts, F.col("cloud").eqNullSafe(F.col("c_cloud")), "left").select(
-        F.col("cloud").alias("j_cloud"), *[F.col(c).alias(f"j_{c}") for c in AXES], F.col("mean").alias("mean_distance"), "cut"
-    )
-    same = F.col(cloud).eqNullSafe(F.col("j_cloud")) & reduce(lambda a, b: a & b, [F.col(c) == F.col(f"j_{c}") for c in AXES])
+    judged = means.join(cuts, F.col("cloud").eqNullSafe(F.col("c_cloud")), "left")
     out = F.coalesce(F.col("mean_distance") > F.col("cut"), F.lit(False)).alias("outlier")
-    return points.join(judged, same, "left").select(*points.columns, "mean_distance", "cut", out)
+    if copies:
+        judged = judged.select(F.col("cloud").alias("j_cloud"), *[F.col(c).alias(f"j_{c}") for c in AXES], F.col("mean").alias("mean_distance"), "cut")
+        same = F.col(cloud).eqNullSafe(F.col("j_cloud")) & reduce(lambda a, b: a & b, [F.col(c) == F.col(f"j_{c}") for c in AXES])
+        return points.join(judged, same, "left").select(*points.columns, "mean_distance", "cut", out)
+    broken = points.where(~_is_finite([F.col(c).cast("double") for c in AXES])).withColumns({c: F.lit(None).cast("double") for c in ("mean_distance", "cut")})
+    return judged.select("row.*", F.col("mean").alias("mean_distance"), "cut").unionByName(broken).select(*points.columns, "mean_distance", "cut", out)
 
 
 # -- alignment --------------------------------------------------------------------

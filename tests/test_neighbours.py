@@ -108,3 +108,40 @@ def test_nearest_of_other_places_over_several_boxes(spark, monkeypatch):
     assert len(rows) == len(found) == len({tuple(p) for p in asked + 0.0})
     for p in asked + 0.0:
         assert found[tuple(p)] == min((float(np.sqrt(sum((p - q) ** 2))), *q) for q in held + 0.0)
+
+
+def test_few_points_ask_further_boxes(spark, monkeypatch):
+    p = np.random.default_rng(9).random((9000, 3))
+    real, near = N.written, []
+
+    def written(df, name):
+        out = real(df, name)
+        if name == "near":
+            near.append(out.selectExpr("avg(int(size(cells) > 0)) AS s").first().s)
+        return out
+
+    monkeypatch.setattr(N, "written", written)
+    found = N.outliers(frame(spark, {"a": p}), 20)
+    assert len(near) == 1 and 0 < near[0] < 0.4
+    some = found.where("x < 0.1").collect()
+    assert len(some) == (p[:, 0] < 0.1).sum() > 500
+    for r in some:
+        d = np.sort(np.sqrt(((p - [r.x, r.y, r.z]) ** 2).sum(1)))[1:21]
+        assert abs(r.mean_distance - d.mean()) < 1e-9
+
+
+def test_outliers_with_more_copies_than_a_box_has_points(spark, monkeypatch):
+    monkeypatch.setattr(N, "FULL", 8)
+    rng = np.random.default_rng(10)
+    p = np.vstack([np.repeat([[0.5, 0.5, 0.5]], 700, 0), np.repeat([[0.5, 0.5, 0.75]], 4, 0), rng.random((300, 3))])
+    rows = N.outliers(frame(spark, {"a": p, None: p[690:800]}), 6).collect()
+    assert len(rows) == 1004 + 110
+    for c, points in (("a", p), (None, p[690:800])):
+        want = plain(points, 6)
+        cut = want.mean() + 2 * want.std(ddof=1)
+        means = dict(zip(map(tuple, points), want))
+        got = [r for r in rows if r.cloud == c]
+        assert len(got) == len(points)
+        for r in got:
+            assert abs(r.mean_distance - means[r.x, r.y, r.z]) < 1e-9 and abs(r.cut - cut) < 1e-9
+            assert r.outlier == (r.mean_distance > r.cut)
