@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from ..plans.stages import dropped, sent_if_few, written
+from ..plans.stages import SENT, dropped, sent_if_few, written
 
 AXES = ("x", "y", "z")
 #: Places of a box, about; more if there were more than BOXES boxes. Each box is cut at the medians of some 32 of them.
@@ -59,10 +59,10 @@ def _finite(points: DataFrame) -> DataFrame:
     return points.where(_is_finite([F.col(c) for c in AXES]))
 
 
-def places(points: DataFrame, cloud: str) -> DataFrame:
-    """``cloud``, ``x``, ``y``, ``z`` and the number ``n`` of points at each place."""
-    named = points.select(F.col(cloud).alias("cloud"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in AXES])
-    return _finite(named).groupBy("cloud", *AXES).agg(F.count("*").alias("n"))
+def places(points: DataFrame, cloud: str, number: str | None = None) -> DataFrame:
+    """``cloud``, ``x``, ``y``, ``z`` and the number ``n`` of points at each place; a row is one point, or as many as ``number`` says."""
+    named = points.select(F.col(cloud).alias("cloud"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in AXES], (F.col(number) if number else F.lit(1)).cast("long").alias("n"))
+    return _finite(named).groupBy("cloud", *AXES).agg(F.sum("n").alias("n"))
 
 
 def _full(total: int, k: int) -> int:
@@ -132,10 +132,11 @@ class Index:
         self.leaves, self.full = _leaves(held, k, fill)
         self.held = written(_placed(held, self.leaves), "held")
         corners = [*[F.min(c).alias(f"l{c}") for c in AXES], *[F.max(c).alias(f"u{c}") for c in AXES]]
-        of = self.leaves.select("cell", F.min("cell").over(Window.partitionBy("g")).alias("code"))  # a row for each box
+        ends = [F.col(f"{s}{c}").alias(f"{s}{s}{c}") for s in "lu" for c in AXES]
+        of = self.leaves.select("cell", F.min("cell").over(Window.partitionBy("g")).alias("code"), *ends)  # a row for each box
         table = self.held.groupBy("cell").agg(*corners, F.count("*").alias("rows")).join(of, "cell").orderBy("code", "cell").toArrow()
         self.cells, self.codes = table["cell"].to_numpy(), table["code"].to_numpy()
-        self.low, self.high = (np.stack([table[f"{s}{c}"].to_numpy() for c in AXES], 1).reshape(-1, 3) for s in "lu")
+        self.low, self.high, self.inner, self.outer = (np.stack([table[f"{s}{c}"].to_numpy() for c in AXES], 1).reshape(-1, 3) for s in ("l", "u", "ll", "uu"))
         self.most = max(table["rows"].to_pylist(), default=0)
 
     def drop(self) -> None:
@@ -456,22 +457,114 @@ def moved(points: DataFrame, motions: DataFrame, cloud: str = "cloud") -> DataFr
     return joined.select(*[after[AXES.index(c)].alias(c) if c in AXES else F.col(c) for c in points.columns])
 
 
+_SUMMED = ["w", *[f"{s}{c}" for s in "ab" for c in AXES], *[f"q{i}{j}" for i in range(3) for j in range(3)], "e"]
+
+
+def _paired(a: DataFrame, index: Index) -> DataFrame:
+    """Weights, weighted coordinates, products and squared distances, summed over the places ``a`` and their nearest ones."""
+    near = nearest(a, index, 1).toDF("p_cloud", "px", "py", "pz", "hx", "hy", "hz", "d", "take")
+    same = F.col("cloud").eqNullSafe(F.col("p_cloud")) & reduce(lambda u, v: u & v, [F.col(c) == F.col(f"p{c}") for c in AXES])
+    pairs = a.join(near, same).select("cloud", *AXES, F.col("n").cast("double").alias("w"), "hx", "hy", "hz", "d")
+    w = F.col("w")
+    terms = [w, *[w * F.col(c) for c in AXES], *[w * F.col(f"h{c}") for c in AXES], *[w * F.col(c) * F.col(f"h{e}") for c in AXES for e in AXES], w * F.col("d") * F.col("d")]
+    return pairs.groupBy("cloud").agg(*[F.sum(t).alias(name) for t, name in zip(terms, _SUMMED)])
+
+
+def _centred(sums: DataFrame) -> DataFrame:
+    """Centroids, covariance sums and error of each cloud from rows of :func:`_paired`."""
+    sums = sums.groupBy("cloud").agg(*[F.sum(c).alias(c) for c in _SUMMED]).where("w > 0")
+    means = {c: F.col(c) / F.col("w") for c in _SUMMED[1:7]}
+    centred = [(F.col(f"q{i}{j}") - F.col("w") * means[f"a{c}"] * means[f"b{e}"]).alias(f"s{i}{j}") for i, c in enumerate(AXES) for j, e in enumerate(AXES)]
+    return sums.select("cloud", F.col("w").cast("long").alias("pairs"), *[m.alias(c) for c, m in means.items()], *centred, F.sqrt(F.col("e") / F.col("w")).alias("rmse"))
+
+
 def pair_sums(source: DataFrame, target: DataFrame | Index, cloud: str = "cloud") -> DataFrame:
     """Sums over each source point and its nearest target point: ``pairs``, both centroids, the 3 x 3 covariance sums ``s00`` to ``s22`` and ``rmse``."""
-    a = written(places(source, cloud), "source")
-    near = nearest(a, target if isinstance(target, Index) else Index(written(places(target, cloud), "target"), 1), 1).toDF("p_cloud", "px", "py", "pz", "hx", "hy", "hz", "d", "take")
-    same = F.col("cloud").eqNullSafe(F.col("p_cloud")) & reduce(lambda u, v: u & v, [F.col(c) == F.col(f"p{c}") for c in AXES])
-    pairs = a.join(near, same).select("cloud", *AXES, "n", "hx", "hy", "hz", "d")
-    w = F.col("n")
-    sums = pairs.groupBy("cloud").agg(
-        F.sum(w).alias("pairs"),
-        *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"a{c}") for c in AXES],
-        *[(F.sum(w * F.col(f"h{c}")) / F.sum(w)).alias(f"b{c}") for c in AXES],
-        *[F.sum(w * F.col(c) * F.col(f"h{e}")).alias(f"q{i}{j}") for i, c in enumerate(AXES) for j, e in enumerate(AXES)],
-        F.sqrt(F.sum(w * F.col("d") * F.col("d")) / F.sum(w)).alias("rmse"),
-    )
-    centred = [(F.col(f"q{i}{j}") - F.col("pairs") * F.col(f"a{c}") * F.col(f"b{e}")).alias(f"s{i}{j}") for i, c in enumerate(AXES) for j, e in enumerate(AXES)]
-    return sums.select("cloud", "pairs", *[f"a{c}" for c in AXES], *[f"b{c}" for c in AXES], *centred, "rmse")
+    index = target if isinstance(target, Index) else Index(written(places(target, cloud), "target"), 1)
+    return _centred(_paired(written(places(source, cloud), "source"), index))
+
+
+def _packs(source: DataFrame, index: Index, motions: DataFrame) -> DataFrame:
+    """Rows of source places with all target places around them, for many rounds.
+
+    A row has up to about ``4 * FULL`` places of ``source`` (``sx``, ``sy``, ``sz``, ``sn``) that ``motions`` bring
+    into one box of the index, and the target places ``hx``, ``hy``, ``hz`` within the corners ``e`` of that box, moved out by a
+    quarter of its width.
+    """
+    cells, codes, low, high = index.cells, index.codes, index.low, index.high
+    place = np.argsort(cells)
+    span = np.sort(high - low, 1)
+    margin = (np.where(span[:, 1] > 0, span[:, 1], span[:, 2]) / 4)[:, None]
+    least, most = index.inner - margin, index.outer + margin
+    corners = [f"e{s}{c}" for s in "lu" for c in AXES]
+
+    def around(tables):
+        for batch in tables:
+            for cell in batch["cell"].to_numpy():
+                me = place[np.searchsorted(cells, cell, sorter=place)]
+                first, last = np.searchsorted(codes, [codes[me], codes[me] + 1])
+                met = first + np.flatnonzero(((low[first:last] <= most[me]) & (high[first:last] >= least[me])).all(1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(met), cell)), pa.array(cells[met]), *[pa.array(np.full(len(met), x)) for x in (*least[me], *most[me])]], ["to", "cell", *corners]
+                )
+
+    def pack(key: tuple, mine: pa.Table, held: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return none
+        me = place[np.searchsorted(cells, key[0].as_py(), sorter=place)]
+        h, _ = _sorted(held.append_column("n", held["x"]))
+        lists = [*[mine[f"o{c}"].to_numpy() for c in AXES], mine["n"].to_numpy(), *h.T, np.concatenate([least[me], most[me]])]
+        return pa.Table.from_arrays([mine["cloud"].slice(0, 1), *[pa.array([x]) for x in lists]], names)
+
+    kept = source.withColumns({f"o{c}": F.col(c) for c in AXES})
+    placed = written(_placed(moved(kept, motions), index.leaves).select("cloud", "cell", "n", *[f"o{c}" for c in AXES]), "placed")
+    parts = placed.groupBy(F.col("cell").alias("p_cell")).agg(F.ceil(F.count("*") / (4 * FULL)).alias("parts")).where("parts > 1")
+    dealt = placed.join(sent_if_few(parts), F.expr("cell = p_cell"), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("ox", "oy", "oz"), F.coalesce("parts", F.lit(1))))
+    some = dealt.select("cell", "part").distinct().toDF("to", "part")
+    met = index.leaves.select("cell").mapInArrow(around, "to long, cell long, " + ", ".join(f"{c} double" for c in corners)).join(some, "to")
+    inside = reduce(lambda a, b: a & b, [(F.col(c) >= F.col(f"el{c}")) & (F.col(c) <= F.col(f"eu{c}")) for c in AXES])
+    held = met.join(index.held.select("cell", *AXES), "cell").where(inside).select("to", "part", *AXES)
+    names = ["cloud", *[f"s{c}" for c in AXES], "sn", *[f"h{c}" for c in AXES], "e"]
+    kind = source.schema["cloud"].dataType.simpleString()
+    shape = f"cloud {kind}, " + ", ".join(f"{c} array<{'long' if c == 'sn' else 'double'}>" for c in names[1:])
+    none = to_arrow_schema(StructType.fromDDL(shape)).empty_table()
+    tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, len(cells) // 32)  # the rows are few for their work
+    sides = [df.repartition(tasks, c, "part").groupBy(c, "part") for df, c in ((dealt, "cell"), (held, "to"))]
+    packs = written(sides[0].cogroup(sides[1]).applyInArrow(pack, shape), "packs")
+    dropped(placed)
+    return packs
+
+
+def _round(packs: DataFrame, motions: DataFrame) -> DataFrame:
+    """The sums of each row of ``packs`` under its cloud's motion, and the moved places ``x``, ``y``, ``z``, ``n`` that may have a nearer target place than those of the row."""
+    kind = packs.schema["cloud"].dataType.simpleString()
+    shape = f"cloud {kind}, " + ", ".join(f"{c} double" for c in _SUMMED) + ", " + ", ".join(f"{c} array<double>" for c in AXES) + ", n array<long>"
+    names = StructType.fromDDL(shape).names
+
+    def run(batches):
+        for batch in batches:
+            turns = np.stack([batch[c].to_numpy() for c in (*_TURN, *_SHIFT)], 1)
+            lists = [batch[c] for c in ("sx", "sy", "sz", "sn", "hx", "hy", "hz", "e")]
+            for row, turn in enumerate(turns):
+                sx, sy, sz, n, hx, hy, hz, e = (x[row].values.to_numpy() for x in lists)
+                p, h = np.stack([sx, sy, sz], 1) @ turn[:9].reshape(3, 3).T + turn[9:], np.stack([hx, hy, hz], 1)
+                d, at = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
+                parts = _Parts(p, n, 1)
+                for (a, b), low, high in zip(parts.ends, parts.low, parts.high) if len(h) else ():
+                    reach = _least(parts.p[a:b], h[::8], 1).max()
+                    around = np.flatnonzero(_gap(h, h, low, high) <= reach)
+                    for first, part, near, spot, _ in _near(parts.p[a:b], h[around], np.ones(len(around)), 1, False) if len(around) else ():
+                        of = parts.order[a + first : a + first + len(part)]
+                        d[of], at[of] = near[:, 0], around[spot[:, 0]]
+                done = d <= np.minimum(p - e[:3], e[3:] - p).min(1) * (1 - 1e-12)
+                w, a, b = n[done].astype(float), p[done], h[at[done]]
+                sums = [w.sum(), *(w @ a), *(w @ b), *((a * w[:, None]).T @ b).ravel(), w @ (d[done] ** 2)]
+                rest = [*p[~done].T, n[~done]]
+                yield pa.RecordBatch.from_arrays([batch["cloud"].slice(row, 1), *[pa.array([x]) for x in (*sums, *rest)]], names)
+
+    joined = packs.join(motions.select(F.col("cloud").alias("m_cloud"), *_TURN, *_SHIFT), F.col("cloud").eqNullSafe(F.col("m_cloud"))).drop("m_cloud")
+    return written(joined.mapInArrow(run, shape), "round")
 
 
 def rigid_motions(sums: DataFrame) -> DataFrame:
@@ -501,13 +594,26 @@ def align(source: DataFrame, target: DataFrame, rounds: int = 30, small: float =
     A round pairs each point with the nearest target point, and adds the rigid
     motion of these pairs to the one so far; the state is a row a cloud. Clouds
     stop when their error falls by less than ``small``.
+
+    Points are put beside the target points around them once, so a round reads these
+    rows and shuffles sums alone. Points whose nearest target point may lie further
+    away ask the boxes of the target; if these are many, points are dealt anew.
     """
     turn = {f"r{i}{j}": F.lit(1.0 if i == j else 0.0) for i in range(3) for j in range(3)} | {c: F.lit(0.0) for c in _SHIFT}
     state = source.select(F.col(cloud).alias("cloud")).distinct().withColumns(turn | {"rmse": F.lit(float("inf")), "rounds": F.lit(0), "going": F.lit(True)})
     state, held = written(state, "motions"), Index(written(places(target, cloud), "target"), 1)
+    source = written(places(source, cloud), "source")
+    packs, most = _packs(source, held, state), source.count() // 8
+    few = state.count() <= SENT
     for _ in range(rounds):
         going = state.where("going")
-        step = rigid_motions(pair_sums(moved(source, going, cloud), held, cloud))
+        found = _round(packs, going.hint("broadcast") if few else going)
+        rest = found.agg(F.sum(F.size("n"))).first()[0] or 0
+        sums = found.select("cloud", *_SUMMED)
+        if rest:
+            asks = written(places(found.select("cloud", F.inline(F.arrays_zip(*AXES, "n"))), "cloud", "n"), "asks")
+            sums = sums.unionByName(_paired(asks, held))
+        step = rigid_motions(_centred(sums))
         step = step.toDF("s_cloud", *[f"s_{c}" for c in (*_TURN, *_SHIFT, "rmse")])
         joined = state.join(step, F.col("cloud").eqNullSafe(F.col("s_cloud")), "left")
         on = F.col("s_rmse").isNotNull()
@@ -521,8 +627,12 @@ def align(source: DataFrame, target: DataFrame, rounds: int = 30, small: float =
             "cloud", *kept, F.coalesce("s_rmse", "rmse").alias("rmse"), (F.col("rounds") + on.cast("int")).alias("rounds"), falls.alias("going")
         )
         after = written(after, "motions")
-        dropped(state)
+        dropped(state, found)
         state = after
         if state.where("going").isEmpty():
             break
+        if rest > most:
+            dropped(packs)
+            packs = _packs(source, held, state)
+    dropped(packs)
     return state.drop("going")

@@ -145,3 +145,34 @@ def test_outliers_with_more_copies_than_a_box_has_points(spark, monkeypatch):
         for r in got:
             assert abs(r.mean_distance - means[r.x, r.y, r.z]) < 1e-9 and abs(r.cut - cut) < 1e-9
             assert r.outlier == (r.mean_distance > r.cut)
+
+
+def test_a_round_of_alignment_reads_packed_points(spark, monkeypatch):
+    monkeypatch.setattr(N, "FULL", 40)
+    rng = np.random.default_rng(11)
+    real, calls = N.written, []
+    monkeypatch.setattr(N, "written", lambda df, name: calls.append(name) or real(df, name))
+    p, far = rng.random((500, 3)), rng.random((200, 3))
+    r = turn(0.02, -0.03)
+    source, target = {"a": np.vstack([p, p[:9]]), None: far, "alone": far[:5]}, {"a": p @ r.T + [0.01, -0.005, 0.004], None: far + [0.06, 0.0, -0.05]}
+    rows = {x.cloud: x for x in N.align(frame(spark, source), frame(spark, target)).collect()}
+    assert calls.count("packs") <= 3 and calls.count("near") < calls.count("round")
+    for c, turned, shift in (("a", r, [0.01, -0.005, 0.004]), (None, np.eye(3), [0.06, 0.0, -0.05])):
+        x = rows[c]
+        assert np.allclose([[x[f"r{i}{j}"] for j in range(3)] for i in range(3)], turned, atol=1e-7) and np.allclose([x.tx, x.ty, x.tz], shift, atol=1e-7)
+    assert rows["alone"].rounds == 0 and rows["alone"].tx == 0
+
+
+def test_packed_sums_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "FULL", 8)
+    rng = np.random.default_rng(12)
+    p, q = np.round(rng.random((200, 3)), 1), np.round(rng.random((250, 3)), 1)  # many ties
+    source, target = frame(spark, {"a": p}), N.Index(N.written(N.places(frame(spark, {"a": q}), "cloud"), "target"), 1)
+    still = spark.createDataFrame([("a", *map(float, np.eye(3).ravel()), 0.0, 0.0, 0.0)], "cloud string, " + ", ".join(f"{c} double" for c in (*N._TURN, *N._SHIFT)))
+    found = N._round(N._packs(N.written(N.places(source, "cloud"), "source"), target, still), still)
+    rest = N.places(found.selectExpr("cloud", "inline(arrays_zip(x, y, z, n))"), "cloud", "n")
+    got = N._centred(found.select("cloud", *N._SUMMED).unionByName(N._paired(rest, target))).first()
+    near = np.array([min((float(np.sqrt(sum((x - y) ** 2))), *y) for y in q) for x in p])
+    want = p.mean(0), near[:, 1:].mean(0), (p - p.mean(0)).T @ (near[:, 1:] - near[:, 1:].mean(0)), np.sqrt((near[:, 0] ** 2).mean())
+    assert got.pairs == 200 and np.allclose([got.ax, got.ay, got.az], want[0]) and np.allclose([got.bx, got.by, got.bz], want[1])
+    assert np.allclose([[got[f"s{i}{j}"] for j in range(3)] for i in range(3)], want[2]) and abs(got.rmse - want[3]) < 1e-12
