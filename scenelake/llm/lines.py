@@ -27,7 +27,10 @@ and no line of a document is compared once for each of its partners:
 - only a pair whose partner goes on with the line behind the stretch has a tail.
   It is followed from the pair's last window on.
 
-Keys that very many rows share are dealt out over salts.
+Keys that very many rows share are dealt out over salts. Joins are merge joins by
+hint: the planner takes the size of a table from its compressed files and does
+not count what an explode adds, so it would broadcast far larger tables than it
+means to. Only hot keys, 10,000 at most, and few deletions are broadcast.
 
 Defined results:
 - lines without a word are no part of runs and stay; null text stays null;
@@ -141,13 +144,13 @@ def _seeds(places: DataFrame) -> DataFrame:
     # A fingerprint at one place only is in no repeated window.
     ends = places.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     shared = ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp")
-    met = places.join(shared, "fp", "left_semi").select("fp", "id", "th", "pos", F.inline("runs"))
+    met = places.join(shared.hint("merge"), "fp", "left_semi").select("fp", "id", "th", "pos", F.inline("runs"))
     # One fingerprint may stand in different windows: those that are equal have a first occurrence.
     runs = met.groupBy("fp", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     runs = runs.where(~F.col("first").eqNullSafe(F.col("last")))
     first = runs.select(F.col("fp").alias("f_fp"), F.col("run").alias("f_run"), "first")
     later, first = _dealt(met, first, {"fp": "f_fp", "run": "f_run"}, runs.select("fp", "run", "n"), places.count() * MIN_WORDS, ["id", "th", "pos"])
-    found = later.join(first, F.expr("fp = f_fp and run = f_run and salt = f_salt")).where(~place.eqNullSafe(F.col("first")))
+    found = later.join(first.hint("merge"), F.expr("fp = f_fp and run = f_run and salt = f_salt")).where(~place.eqNullSafe(F.col("first")))
     return found.select(
         "id", "th", "lo", "hi", "next", F.col("first.id").alias("id1"), F.col("first.th").alias("th1"), (F.col("pos") - F.col("first.pos")).alias("shift")
     )
@@ -182,7 +185,7 @@ def _beside(rows: DataFrame, lines: DataFrame, hash_col: str) -> DataFrame:
     keys = {"id1": "e_id", "th1": "e_th", "pos1": "e_pos"}
     rows, earlier = _dealt(rows, earlier, keys, counts, rows.count(), ["id", "th", "shift"])
     on = F.expr(f"id1 <=> e_id and th1 = e_th and pos1 = e_pos and salt = f_salt and {hash_col} = e_h")
-    return rows.join(earlier, on)
+    return rows.join(earlier.hint("merge"), on)
 
 
 def _followed(lines: DataFrame, tails: DataFrame, min_words: int) -> DataFrame:
@@ -191,7 +194,7 @@ def _followed(lines: DataFrame, tails: DataFrame, min_words: int) -> DataFrame:
     upto = F.explode(F.sequence(F.col("top") + 1, F.col("end") + min_words - 1)).alias("pos")
     reach = tails.select("*", upto).withColumn("pos1", F.col("pos") - F.col("shift"))
     own = lines.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), F.col("pos").alias("o_pos"), "h")
-    reach = reach.join(own, F.expr("id <=> o_id and th = o_th and pos = o_pos"))
+    reach = reach.join(own.hint("merge"), F.expr("id <=> o_id and th = o_th and pos = o_pos"))
     equal = _beside(reach, lines, "h")
     pair = ["id", "th", "id1", "th1", "shift", "end", "top"]
     nth = F.row_number().over(Window.partitionBy(*pair).orderBy("pos"))

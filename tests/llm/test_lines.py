@@ -1,6 +1,7 @@
 import random
 
 from scenelake.llm import lines
+from scenelake.llm.common import materialize, scratch
 
 
 def brute(docs, least):
@@ -98,5 +99,25 @@ def test_a_listing_of_many_documents(spark):
     assert got == {9999: "\n".join(["no end"] * 200)}
 
 
+def broadcast_joins(df):
+    return [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+
+
+def test_only_hot_keys_are_broadcast(spark):
+    passage = "\n".join(" ".join(f"w{i}" for i in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(i, f"own {i} line\n{passage}\nshort\nend {i}") for i in range(20)], "id long, text string")
+    with scratch():  # as tables behind files, which are small
+        rows = materialize(lines._lines(df.selectExpr("id", "text", "xxhash64(text) th")), "lines")
+        places = materialize(lines._fingerprints(rows, 50), "line-fingerprints")
+        seeds = lines._seeds(places)
+        pairs = materialize(lines._stretches(seeds), "line-pairs")
+        going_on = lines._going_on(rows, pairs)
+        tails = materialize(going_on, "line-tails")
+        followed = lines._followed(rows, tails, 50)
+        assert tails.count() == 19 and followed.count() == 19
+        joins = [x for step in (seeds, going_on, followed) for x in broadcast_joins(step)]
+        assert joins and all("hot_" in x for x in joins)
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
