@@ -216,8 +216,8 @@ def dedup_lines(
     plain = documents.toDF(*names)
     key, text = names[columns.index(id_col)], names[columns.index(text_col)]
     gone = deletions(plain, key, text, min_words)
-    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= 8 * SMALL:  # else both sides are shuffled
-        gone = F.broadcast(gone)
+    few = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= SMALL  # about 30 bytes each
+    gone = F.broadcast(gone) if few else gone.hint("shuffle_hash")  # which does not sort the texts
     joined = plain.withColumn("__th", F.xxhash64(text)).join(
         gone, F.col(key).eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")) & F.col(text).isNotNull(), "left"
     )

@@ -119,5 +119,15 @@ def test_only_hot_keys_are_broadcast(spark):
         assert joins and all("hot_" in x for x in joins)
 
 
+def test_many_deletions_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in world(4)], "doc_id long, text string")
+    few = lines.dedup_lines(docs, min_words=6)
+    want = sorted(map(tuple, few.collect()), key=str)
+    monkeypatch.setattr(lines, "SMALL", 40)  # some twenty documents lose lines
+    many = lines.dedup_lines(docs, min_words=6)
+    assert len(broadcast_joins(few)) == 1 and not broadcast_joins(many)
+    assert sorted(map(tuple, many.collect()), key=str) == want and any(x[-1] for x in want)
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
